@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 
-from . import exact_dedup, pii, url_filter
+from . import exact_dedup, near_dup, pii, url_filter
 
-OPERATORS = [exact_dedup, url_filter, pii]
+OPERATORS = [exact_dedup, url_filter, near_dup, pii]
 
 QUERIES = {name: f for m in OPERATORS for name, f in vars(m).items() if name.startswith("op") and name[2].isdigit() and callable(f)}
 ORACLES = {name: m.ORACLE for m in OPERATORS for name in QUERIES if name in vars(m) and getattr(m, "ORACLE", None)}
