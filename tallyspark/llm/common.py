@@ -42,3 +42,10 @@ def col(name: str) -> Column:
 def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text) under fixed names: other columns, whatever their names, can't clash."""
     return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+
+
+def span_digest(spans: Column, kinds: list[str]) -> Column:
+    """kind:start:end of structs (kind, s, e), by start, then kind as listed, comma-joined."""
+    rank = F.create_map(*[F.lit(x) for i, k in enumerate(kinds) for x in (k, i)])
+    keyed = F.array_sort(F.transform(spans, lambda c: F.struct(c["s"].alias("s"), rank[c["kind"]].alias("r"), c["e"].alias("e"), c["kind"].alias("kind"))))
+    return F.array_join(F.transform(keyed, lambda c: F.concat_ws(":", c["kind"], c["s"].cast("string"), c["e"].cast("string"))), ",")

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, id_text, table
+from .common import durable, id_text, span_digest, table
 
 #: Kinds in the order that breaks ties of the digests.
 KINDS = ["email", "ip", "card", "phone"]
@@ -205,13 +205,6 @@ def span_classifier(cands: DataFrame) -> tuple[dict[str, float], dict[str, float
     return bias, weight
 
 
-def digest_text(spans: Column) -> Column:
-    """kind:start:end by start, then kind as listed, comma-joined."""
-    rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
-    keyed = F.array_sort(F.transform(spans, lambda c: F.struct(c["s"].alias("s"), rank[c["kind"]].alias("r"), c["e"].alias("e"), c["kind"].alias("kind"))))
-    return F.array_join(F.transform(keyed, lambda c: F.concat_ws(":", c["kind"], c["s"].cast("string"), c["e"].cast("string"))), ",")
-
-
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, spans): arrays of struct<kind, s, e>, offsets in code points, end exclusive.
 
@@ -243,4 +236,4 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     number = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[number(k) for k in KINDS], F.sha2(digest_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), digest_text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[number(k) for k in KINDS], F.sha2(span_digest(F.col("base"), KINDS).cast("binary"), 256).alias("base_sha256"), span_digest(F.col("spans"), KINDS).alias("spans"))
