@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +43,7 @@ def col(name: str) -> Column:
 
 def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text) under fixed names: other columns, whatever their names, can't clash."""
+    ship(docs.sparkSession)
     return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
 
 

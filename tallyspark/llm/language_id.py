@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import col, table
 
 WINDOW = 256
@@ -231,6 +232,7 @@ def identify(docs: DataFrame, model: Tables, id_col: str = "doc_id", text_col: s
     every text where there was nothing to learn from. Ties go to the language that sorts first.
     Repeated rows are judged each; no rows give no rows; other columns are ignored.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
