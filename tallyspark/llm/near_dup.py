@@ -10,11 +10,12 @@ Two documents link when their sets of distinct 5-word shingles have a Jaccard si
    document picks the l of least estimated cost: the listed lengths of its prefix tokens,
    plus the candidates to verify, which a larger l makes fewer.
 3. Documents with equal sets become one class.
-4. Star links: classes that share one of four minima of random orders are verified against
-   the smallest such class only. Large families of near copies so become one component at
-   linear cost.
-5. The multi-match join: classes of different components that share a prefix token, as often
-   as the smaller of their l, are candidates. Tokens that one component alone holds (nearly
+4. Star links: classes that share three of six minima of random orders are verified against
+   the most typical such class only, then, where components differ still, against the ends of
+   finer groups. Large families of near copies so become one component, or few, at linear
+   cost.
+5. The multi-match join: classes of different components that share as many prefix tokens as
+   a link needs are candidates. Tokens that one component alone holds (nearly
    all, those of large families too) drop out of an aggregate before anything is paired, and
    within a token the largest component is paired only against the others. No link between
    different components is lost; those within one can't change a component.
@@ -27,6 +28,7 @@ of their shingles).
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -42,8 +44,9 @@ PERCENT = 75
 BITS = 19  # of the sketch: 4 MB
 BLOCKS = 64
 FAN = 256
-MOST_MATCHES, VERIFY = 8, 16.0  # largest l; cost of a verification, in list entries
-MINIMA = [0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89]
+MOST_MATCHES, VERIFY = 8, 4.0  # largest l; cost of a verification, in list entries
+MINIMA = [0x9E3779B97F4A7C15 * k % 2**64 for k in range(1, 7)]
+STAR_MINIMA = 3  # shared ones before a star link is verified
 FILTER_BITS = 23  # of the broadcast bitmaps: 1 MB, whatever the input
 
 
@@ -89,7 +92,8 @@ def matches_needed(weights: np.ndarray, n: int, must: int) -> int:
 
 
 def signatures(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, n, l, sig, prefix, minima) of each row."""
+    """(doc_id, n, l, rare, sig, prefix, minima) of each row; rare: tokens with no sign of a
+    second document."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     usual = float(np.median(sketch))
     noise = usual + 3 * usual**0.5
@@ -106,10 +110,10 @@ def signatures(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 l = matches_needed(np.maximum(est[order] - noise, 0.0), n, must) if n else 0
                 prefix = s[order[: n - must + l]].astype(np.int64)
                 minima = np.array([mix(s ^ np.uint64(x)).min() for x in MINIMA] if n else [], np.uint64).astype(np.int64)
-                rows.append((n, l, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), prefix, minima))
-            yield pd.DataFrame(rows, columns=["n", "l", "sig", "prefix", "minima"]).assign(doc_id=pdf["doc_id"].astype("Int64").to_numpy(dtype=object) if len(pdf) else [])[["doc_id", "n", "l", "sig", "prefix", "minima"]]
+                rows.append((n, l, int((est <= noise).sum()), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), prefix, minima))
+            yield pd.DataFrame(rows, columns=["n", "l", "rare", "sig", "prefix", "minima"]).assign(doc_id=pdf["doc_id"].astype("Int64").to_numpy(dtype=object) if len(pdf) else [])[["doc_id", "n", "l", "rare", "sig", "prefix", "minima"]]
 
-    return docs.mapInPandas(sign, "doc_id long, n long, l int, sig binary, prefix array<long>, minima array<long>")
+    return docs.mapInPandas(sign, "doc_id long, n long, l int, rare long, sig binary, prefix array<long>, minima array<long>")
 
 
 def bit_of(c):
@@ -157,31 +161,69 @@ def linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 SIMILAR_SIZES = f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
+#: Shared prefix tokens that a link needs. Its overlap is at least 3/7 of both sizes, and the
+#: document whose prefix ends first in the order has no more than c - l tokens after it.
+_AFTER = lambda s: f"floor(({PERCENT} * n{s} + 99) / 100) - l{s}"
+NEED = f"greatest(least(la, lb), ceil({PERCENT} * (na + nb) / {100 + PERCENT}) - greatest({_AFTER('a')}, {_AFTER('b')}))"
 
 
 def star_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b): each class with the smallest class that shares one of its minima."""
-    each = classes.select("rep", "n", F.posexplode("minima").alias("j", "m"))
-    first = durable(each.groupBy("j", "m").agg(F.min(F.struct("rep", "n")).alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "firsts")
+    """(a, b): each class with one that shares enough of its minima: the one with the fewest
+    rare tokens, which in a family of copies is nearest to what they were copied from."""
+    each = classes.select("rep", "n", "rare", F.posexplode("minima").alias("j", "m"))
+    first = durable(each.groupBy("j", "m").agg(F.min(F.struct("rare", "rep", "n")).alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "firsts")
     p = each.join(first, ["j", "m"]).select(F.col("rep").alias("a"), F.col("first.rep").alias("b"), F.col("n").alias("na"), F.col("first.n").alias("nb"))
-    return p.filter(f"a <> b AND {SIMILAR_SIZES}").select("a", "b").distinct()
+    return p.filter(f"a <> b AND {SIMILAR_SIZES}").groupBy("a", "b").count().filter(f"count >= {STAR_MINIMA}").select("a", "b")
+
+
+def finer_star_pairs(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, ca, cb): each class with those of the fewest and the most rare tokens that share
+    three given minima, where their components differ still."""
+    three = [F.xxhash64(F.lit(i), *[F.col("minima")[k] for k in t]) for i, t in enumerate(combinations(range(len(MINIMA)), STAR_MINIMA)) if i % 2]
+    own = F.struct("rare", "rep", "n", "comp")
+    each = classes.join(labels.select("rep", "comp"), "rep").select(own.alias("own"), F.explode(F.array(*three)).alias("key"))
+    ends = each.groupBy("key").agg(F.min("own").alias("first"), F.max("own").alias("last"), F.min("own.comp").alias("lo"), F.max("own.comp").alias("hi"))
+    ends = durable(ends.filter("lo <> hi").select("key", F.array("first", "last").alias("ends")), "ends")
+    p = each.join(ends, "key").select("own", F.explode("ends").alias("end")).filter("own.comp <> end.comp")
+    p = p.select(F.col("own.rep").alias("a"), F.col("end.rep").alias("b"), F.col("own.comp").alias("ca"), F.col("end.comp").alias("cb"), F.col("own.n").alias("na"), F.col("end.n").alias("nb"))
+    return p.filter(SIMILAR_SIZES).select("a", "b", "ca", "cb").distinct()
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, sig, comp) after links (ca, cb) between components."""
+    m = components(links, "ca", "cb").select(F.col("node").alias("comp"), F.col("comp").alias("final"))
+    return durable(labels.join(m, "comp", "left").select("rep", "sig", F.coalesce("final", "comp").alias("comp")), "labels")
 
 
 def cross_pairs(signed: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b, ca, cb): candidates between classes of different components."""
-    t = signed.join(labels.select(F.col("rep").alias("doc_id"), "sig", "comp"), ["doc_id", "sig"]).select(F.explode("prefix").alias("token"), F.col("doc_id").alias("rep"), "n", "l", "comp")
-    spanning = durable(t.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token"), "spanning")
+    """(a, b, ca, cb): candidates between classes of different components.
+
+    The first token that two linked documents share is among the first n - ceil(6n/7) + 1 of
+    the shorter one, since the overlap is 6/7 of its size at least, and in the other's prefix.
+    Of equal sizes either may count as the shorter: the one with more rare tokens does, which
+    has fewer frequent ones among its first. Pairs are made where that holds; their whole prefixes must then share what a link needs.
+    """
+    own = signed.join(labels.select(F.col("rep").alias("doc_id"), "sig", "comp"), ["doc_id", "sig"])
+    t = own.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("rep"), "n", "l", "rare", "comp").withColumn("early", F.expr(f"pos <= n - ceil({2 * PERCENT} * n / {100 + PERCENT})")).drop("pos")
+    spanning = durable(t.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("early").alias("any")).filter("lo <> hi").select("token", "any"), "spanning")
     some = maybe_in(t, "token", durable(bitmap(spanning, "token"), "bitmap"))
     x = durable(some.join(spanning, "token"), "tokens")
-    main = x.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    x = durable(x.join(durable(main, "main"), "token"), "tokens")
-    side = lambda s: x.select("token", "main", *[F.col(c).alias(d + s) for c, d in (("rep", "r"), ("n", "n"), ("l", "l"), ("comp", "c"))])
-    p = side("a").filter("ca <> main").join(side("b").drop("main"), "token").filter(f"ca <> cb AND (cb = main OR ra < rb) AND {SIMILAR_SIZES}")
+    main = x.filter("any").groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+    # no more of a prefix can be shared than its tokens that span components
+    shared = x.groupBy("rep", "n", "l").agg(F.count(F.lit(1)).alias("s"))
+    x = durable(x.join(durable(main, "main"), "token").join(durable(shared, "shared"), ["rep", "n", "l"]).filter("any"), "tokens")
+    side = lambda s: x.select("token", "main", *[F.col(c).alias(d + s) for c, d in (("rep", "r"), ("n", "n"), ("l", "l"), ("comp", "c"), ("early", "e"), ("s", "s"), ("rare", "x"))])
+    # the documents of the token's largest component meet the others only, never one another
+    p = side("a").filter("ca <> main").join(side("b").drop("main"), "token").filter(f"ca <> cb AND (cb = main OR ra < rb) AND {SIMILAR_SIZES} AND CASE WHEN struct(na, -xa, ra) < struct(nb, -xb, rb) THEN ea ELSE eb END AND least(sa, sb) >= {NEED}")
     lo = F.col("ra") < F.col("rb")
     pick = lambda c: (F.when(lo, F.col(c + "a")).otherwise(F.col(c + "b")), F.when(lo, F.col(c + "b")).otherwise(F.col(c + "a")))
     (ra, rb), (ca, cb) = pick("r"), pick("c")
-    p = p.select(ra.alias("a"), rb.alias("b"), ca.alias("ca"), cb.alias("cb"), F.least("la", "lb").alias("need"))
-    return p.groupBy("a", "b", "ca", "cb").agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("need")).filter("k >= need").drop("k", "need")
+    p = durable(p.select(ra.alias("a"), rb.alias("b"), ca.alias("ca"), cb.alias("cb")).distinct(), "candidates")
+    ids = p.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    held = maybe_in(signed.filter("n > 0").select("doc_id", "n", "l", "prefix"), "doc_id", durable(bitmap(ids, "doc_id"), "bitmap"))
+    for s in "ab":
+        p = p.join(held.select(F.col("doc_id").alias(s), F.col("n").alias("n" + s), F.col("l").alias("l" + s), F.col("prefix").alias("p" + s)), s)
+    return p.filter(F.size(F.array_intersect("pa", "pb")) >= F.expr(NEED)).select("a", "b", "ca", "cb").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,12 +239,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = id_text(docs, id_col, text_col)
     signed = durable(signatures(d, frequency_sketch(d)), "signed")
     classes = durable(signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = signed.select(F.col("doc_id").alias("rep"), "sig", "n", "minima").join(classes, ["rep", "sig"]).drop("sig").distinct()
-    stars = components(linked(d, star_pairs(reps)))
-    labels = durable(classes.join(stars.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "sig", F.coalesce("comp", "rep").alias("comp")), "labels")
-    crossing = linked(d, cross_pairs(signed, labels))
-    merged = components(crossing, "ca", "cb").select(F.col("node").alias("comp"), F.col("comp").alias("final"))
-    final = durable(labels.join(merged, "comp", "left").select("sig", F.coalesce("final", "comp").alias("component_id")), "final")
+    reps = signed.select(F.col("doc_id").alias("rep"), "sig", "n", "rare", "minima").join(classes, ["rep", "sig"]).drop("sig").distinct()
+    reps = durable(reps, "reps")
+    labels = classes.select("rep", "sig", F.col("rep").alias("comp"))
+    labels = merged(labels, linked(d, star_pairs(reps).select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))))
+    labels = merged(labels, linked(d, finer_star_pairs(reps, labels)))
+    labels = merged(labels, linked(d, cross_pairs(signed, labels)))
+    final = labels.select("sig", F.col("comp").alias("component_id"))
     return signed.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(final, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
