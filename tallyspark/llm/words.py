@@ -16,6 +16,8 @@ SEGMENT = 1 << 20
 WORDS_IN_SHINGLE = 5
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+LOOSE_GAPS = _SPACE.copy()  # ASCII punctuation parts words too
+LOOSE_GAPS[[c for c in range(128) if not chr(c).isalnum()]] = True
 _CODES = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _STEP = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
@@ -35,10 +37,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, b, np.uint64))]) for b in (_BASE, inverse))
 
 
-def _segment_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _segment_words(raw: bytes, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of each word of a segment."""
     b = np.frombuffer(raw.lower(), np.uint8)
-    gap = np.concatenate([[True], _SPACE[b], [True]])
+    gap = np.concatenate([[True], gaps[b], [True]])
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     start, end = edge[::2], edge[1::2]
     up, down = _powers(max(SEGMENT, 1 << (len(b) - 1).bit_length() if len(b) else 0))
@@ -60,8 +62,8 @@ def _pieces(raw: bytes):
     yield raw[at:]
 
 
-def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
-    """The words of each text in order, as hashes."""
+def word_hashes(texts: list[str | None], gaps: np.ndarray = _SPACE) -> list[np.ndarray]:
+    """The words of each text in order, as hashes; ``gaps``: the bytes between words."""
     out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
     batch: list[tuple[int, bytes]] = []
     held = 0
@@ -69,7 +71,7 @@ def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
     def flush() -> None:
         nonlocal batch, held
         if batch:
-            h, start, _ = _segment_words(b"\n".join(x for _, x in batch))
+            h, start, _ = _segment_words(b"\n".join(x for _, x in batch), gaps)
             bounds = np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for _, x in batch)]))
             for (i, _), a, z in zip(batch, bounds[:-1], bounds[1:]):
                 out[i] = h[a:z]
@@ -78,7 +80,7 @@ def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
     for i, text in enumerate(texts):
         raw = (text or "").encode()
         if len(raw) > SEGMENT:
-            out[i] = np.concatenate([_segment_words(p)[0] for p in _pieces(raw)])
+            out[i] = np.concatenate([_segment_words(p, gaps)[0] for p in _pieces(raw)])
             continue
         batch.append((i, raw))
         held += len(raw) + 1
