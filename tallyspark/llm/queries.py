@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 
-from . import exact_dedup, language_id, near_dup, pii, secrets, url_filter
+from . import decontaminate, exact_dedup, language_id, near_dup, pii, secrets, sentencepiece_codec, toxicity, url_filter
 
-OPERATORS = [exact_dedup, language_id, secrets, url_filter, near_dup, pii]
+OPERATORS = [exact_dedup, sentencepiece_codec, language_id, secrets, url_filter, near_dup, decontaminate, toxicity, pii]
 
 QUERIES = {name: f for m in OPERATORS for name, f in vars(m).items() if name.startswith("op") and name[2].isdigit() and callable(f)}
 ORACLES = {name: m.ORACLE for m in OPERATORS for name in QUERIES if name in vars(m) and getattr(m, "ORACLE", None)}
