@@ -17,6 +17,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -244,6 +245,19 @@ def identify(docs: DataFrame, model: Tables, id_col: str = "doc_id", text_col: s
     return d.mapInPandas(judge, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep(docs: DataFrame, model: Tables, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a language with at least that score."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches):
+        for b in batches:
+            langs, scores = shared.value.judge(b.column(b.schema.names.index(text_col)).to_pylist())
+            yield b.filter(pa.array([y != UNKNOWN and s >= least_score for y, s in zip(langs, scores)], pa.bool_()))
+
+    return docs.mapInArrow(judge, docs.schema)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit(docs.filter(remainder("doc_id", 4) != 2)))

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 
 
-from . import decontaminate, exact_dedup, language_id, near_dup, pii, secrets, sentencepiece_codec, toxicity, url_filter
+import corpus_pipeline
 
-OPERATORS = [exact_dedup, sentencepiece_codec, language_id, secrets, url_filter, near_dup, decontaminate, toxicity, pii]
+from . import decontaminate, exact_dedup, language_id, near_dup, pii, quality, secrets, sentencepiece_codec, toxicity, url_filter
+
+OPERATORS = [exact_dedup, sentencepiece_codec, language_id, secrets, url_filter, near_dup, quality, decontaminate, toxicity, pii]
 
 QUERIES = {name: f for m in OPERATORS for name, f in vars(m).items() if name.startswith("op") and name[2].isdigit() and callable(f)}
 ORACLES = {name: m.ORACLE for m in OPERATORS for name in QUERIES if name in vars(m) and getattr(m, "ORACLE", None)}
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

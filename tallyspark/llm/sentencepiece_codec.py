@@ -306,7 +306,7 @@ def encode(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "tex
 
 
 def decode(encoded: DataFrame, shared) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, text_sha256, text): the texts of ids, and the ids' digest
+    """(doc_id, ids, n_tokens, ids_sha256, text_sha256, text): the texts of ids, and the ids' digest
     (of their little-endian 32-bit form). Null ids decode to the empty text."""
 
     def run(batches):
@@ -317,10 +317,10 @@ def decode(encoded: DataFrame, shared) -> DataFrame:
                 lists, offsets = part.column(1), part.column(1).offsets.to_numpy()
                 values = lists.values.to_numpy(zero_copy_only=False)
                 ids = [values[a:z].astype(np.int32) for a, z in zip(offsets[:-1], offsets[1:])]
-                arrays = [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]), part.column(2), pa.array([codec.decode(x) for x in ids], pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "text_sha256", "text"])
+                arrays = [part.column(0), lists, pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]), part.column(2), pa.array([codec.decode(x) for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "n_tokens", "ids_sha256", "text_sha256", "text"])
 
-    return encoded.select("doc_id", "ids", "text_sha256").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, text_sha256 string, text string")
+    return encoded.select("doc_id", "ids", "text_sha256").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, text_sha256 string, text string")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
