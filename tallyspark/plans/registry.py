@@ -1,4 +1,8 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import analytics_queries
+
+_MODULES = [analytics_queries]
+
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES: dict = {name: q for m in _MODULES for name, q in m.ORACLES.items()}
