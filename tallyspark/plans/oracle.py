@@ -13,6 +13,8 @@ SELECT CASE WHEN l_returnflag = 'R' THEN 'SellExecution' ELSE 'BuyExecution' END
        l_suppkey % 10 AS portfolio_id, l_partkey % 40 AS ticker_id, CAST(l_quantity AS BIGINT) AS shares, l_extendedprice / l_quantity AS price,
        CAST(l_shipdate AS DATE) AS execution_date, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_linenumber * 60 END AS minutes,
        l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem)"""
+DENSE = FACTS.replace("v_facts AS (", "v_fine AS (") + """, v_facts AS (
+SELECT * REPLACE (CAST(date_trunc('month', execution_date) AS DATE) AS execution_date, (shares % 4 + 1) * 10 AS shares, CAST((floor(price / 250) + 1) * 250.0 + l_linenumber AS DOUBLE) AS price) FROM v_fine)"""
 CASH = """v_cash AS (
 SELECT event_id AS seq, user_id AS portfolio_id, CASE event_type WHEN 'purchase' THEN 'Withdrawal' WHEN 'signup' THEN 'Deposit' WHEN 'click' THEN 'DividendPayment'
        WHEN 'error' THEN 'CashReset' ELSE 'CashAdjustment' END AS kind, value AS amount, ts FROM events)"""

@@ -78,3 +78,11 @@ def lot_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_seen(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Adds ord: the row's place within its keys."""
     return df.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def dense_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts on a coarse grid of months, share counts and prices, where many rows coincide."""
+    return (
+        facts(spark, sf_dir).withColumn("execution_date", F.trunc("execution_date", "month")).withColumn("shares", (F.col("shares") % 4 + 1) * 10)
+        .withColumn("price", (F.floor(F.col("price") / 250) + 1) * F.lit(250.0) + F.col("l_linenumber"))
+    )
