@@ -30,7 +30,9 @@ MODEL_FILE = os.environ.get("TALLYSPARK_PIECES", "/opt/tokenizers/piece_bpe_32k.
 MARK = "▁"
 UNIT = re.compile(f" +[^ \n{MARK}]*|[^ \n{MARK}]+|\n|{MARK}")
 UNK_PENALTY = 10.0
-LONG_UNIT, CACHED, TOGETHER = 96, 400_000, 20_000
+LONG_UNIT, CACHED, TOGETHER = 96, 150_000, 8_000
+ROWS = 128  # of a batch of ids
+UNITS = 150_000  # of texts that are encoded together
 
 
 class DoubleArray:
@@ -244,7 +246,7 @@ class Codec:
             units = UNIT.findall(" " + t) if t else []
             group.append(units)
             size += len(units)
-            if size > 1_000_000 or len(group) + len(out) > len(texts):
+            if size > UNITS or len(group) + len(out) > len(texts):
                 new = {u for g in group for u in g}.difference(self.cache)
                 if len(self.cache) + len(new) > CACHED:
                     self.cache.clear()
@@ -292,14 +294,15 @@ def encode(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "tex
     def run(batches):
         codec = _codec(shared)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
                 texts = part.column(1).to_pylist()
                 ids = [np.frombuffer(x, np.int32) for x in codec.encode_batch(texts)]
                 offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 digests = [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())), pa.array(digests, pa.string())], names=["doc_id", "ids", "text_sha256"])
+        codec.cache.clear()  # the process may idle on, or serve other stages
 
     d = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     return d.mapInArrow(run, "doc_id long, ids array<int>, text_sha256 string")
@@ -312,8 +315,8 @@ def decode(encoded: DataFrame, shared) -> DataFrame:
     def run(batches):
         codec = _codec(shared)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
                 lists, offsets = part.column(1), part.column(1).offsets.to_numpy()
                 values = lists.values.to_numpy(zero_copy_only=False)
                 ids = [values[a:z].astype(np.int32) for a, z in zip(offsets[:-1], offsets[1:])]
