@@ -90,7 +90,7 @@ def fifo_matches(timeline: DataFrame, keys: list[str], lot_id: Column, sell_id:
     for c in ("lot_id", "lot_hi", "sell_id", "sell_hi"):
         p = p.withColumn(c, F.last(c, ignorenulls=True).over(upto))
     size = F.least("lot_hi", "sell_hi", F.coalesce("next", F.col("lot_hi"))) - F.col("at")
-    return p.withColumn("matched", size.cast("bigint")).filter("matched > 0").groupBy(*keys, "lot_id", "sell_id").agg(F.sum("matched").alias("matched"))
+    return p.withColumn("matched", size.cast("bigint")).filter("lot_id IS NOT NULL AND sell_id IS NOT NULL AND matched > 0").groupBy(*keys, "lot_id", "sell_id").agg(F.sum("matched").alias("matched"))
 
 
 def propose_fifo(lots: DataFrame, need: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

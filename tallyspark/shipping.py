@@ -1,4 +1,4 @@
-"""Makes this package importable in Python workers, wherever they run."""
+"""Makes this package importable in Python workers, wherever they run, with batches they can hold."""
 
 from __future__ import annotations
 
@@ -10,9 +10,15 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows of an Arrow batch, unless the session says otherwise: whole texts are wide, and Spark's
+#: 10,000 of them would take hundreds of MB in each Python worker.
+BATCH_ROWS, BATCH_KEY = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def ship(spark: SparkSession) -> None:
     """Once per application, hand a zip of the package to Spark, which serves it to executors."""
+    if spark.conf.get(BATCH_KEY) == "10000":
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
     sc = spark.sparkContext
     root = os.path.dirname(os.path.abspath(__file__))
     if sc.applicationId in _shipped or not os.path.isdir(root):
