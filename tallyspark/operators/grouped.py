@@ -193,3 +193,53 @@ def mismatch_suggestions(rows: DataFrame, keys: list[str]) -> DataFrame:
     types = dict(rows.dtypes)
     few = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, MOST_SUBSET_ROWS)).drop("n")
     return _run(rows.join(few, keys, "left_semi"), keys, kernel, ", ".join(f"{k} {types[k]}" for k in keys) + ", remove string, alternatives long")
+
+
+def repair_official_sells(lots: list[tuple], decided: list[tuple], sells: list[tuple]) -> dict:
+    """First-in first-out lines of official sales: sell id to [(lot_id, shares)], or None where
+    lots dated no later don't suffice.
+
+    ``lots``: (lot_id, shares, at) in time order; ``decided``: (lot_id, shares) that other sales
+    take first; ``sells``: (sell_id, shares, at) in time order, unknown times (None) taking any.
+    """
+    left = {i: s for i, s, _ in lots}
+    for i, s in decided:
+        if i in left:
+            left[i] = max(0.0, left[i] - s)
+    out = {}
+    for sid, need, at in sells:
+        lines = []
+        for i, _, lot_at in lots:
+            if need > DUST and left[i] > DUST and (at is None or lot_at is None or lot_at <= at):
+                take = min(left[i], need)
+                lines.append((i, take))
+                need -= take
+        if need > DUST:
+            out[sid] = None
+            continue
+        for i, take in lines:
+            left[i] -= take
+        out[sid] = lines
+    return out
+
+
+def match_consuming(canonical: list[tuple], stored: list[tuple], tolerance: float = 0.01) -> dict:
+    """Canonical id to stored id, each stored row used once; numbered rows choose first: by
+    number, then by the price to four places, then by the closest price within the tolerance.
+    Rows: (id, number, price)."""
+    used, out = set(), {}
+    for cid, number, price in sorted(canonical, key=lambda r: r[1] is None):
+        best = None
+        for k, (sid, snumber, sprice) in enumerate(stored):
+            if sid in used:
+                continue
+            same = number is not None and number == snumber
+            if not same and abs(price - sprice) > max(price, sprice) * tolerance:
+                continue
+            rank = (0 if same else 1 if round(price * 1e4) == round(sprice * 1e4) else 2, abs(price - sprice), k)
+            if best is None or rank < best[0]:
+                best = (rank, sid)
+        if best:
+            used.add(best[1])
+            out[cid] = best[1]
+    return out

@@ -101,3 +101,31 @@ def guarded_files(spark: SparkSession, path: str) -> DataFrame:
     f = spark.read.format("binaryFile").load(path)
     problem = F.when(F.col("length") > MAX_BYTES, "too-large").when(~F.col("path").rlike(r"(?i)\.xlsx$"), None).when(F.substring("content", 1, 4) != F.lit(ZIP_MAGIC), "not-a-workbook")
     return f.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), problem.alias("problem"))
+
+
+#: Fixed: sources of the exchange workbook's document types.
+DOCUMENT_SOURCES = {"invoice": "invoice", "statement": "statement", "orders": "orders-screen", "official export": "official-broker-excel"}
+
+
+def exchange_workbook(observations: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(executions, rejects) of an exchange workbook's sheets, which come as tables of texts.
+
+    A row is rejected with its first problem: unknown document, bad side, ticker, date, quantity
+    or price, or a gross amount off by more than 0.05 and 0.1 %. Cancelled rows are kept apart
+    by their status.
+    """
+    kind = F.create_map(*[F.lit(x) for kv in DOCUMENT_SOURCES.items() for x in kv])[F.lower(F.trim("document_type"))]
+    docs = documents.select("document_id", F.coalesce(kind, F.lit("other-document")).alias("source"))
+    o = observations.join(docs, "document_id", "left")
+    serial = F.col("trade_date").try_cast("double")
+    day = F.coalesce(F.try_to_date("trade_date", "yyyy-MM-dd"), F.try_to_date("trade_date", "d/M/yyyy"), F.when(serial.between(1, 80000), F.date_add(F.to_date(F.lit("1899-12-30")), F.floor(serial).cast("int"))))
+    side = F.when(F.lower("transaction_type").isin("buy", "purchase"), "BUY").when(F.lower("transaction_type").isin("sell", "sale"), "SELL")
+    q, p, gross = parse_price("quantity"), parse_price("price"), parse_price("gross_amount")
+    off = F.abs(gross - q * p) > F.greatest(F.lit(0.05), F.abs(gross) * 0.001)
+    problem = (
+        F.when(F.col("source").isNull(), "unknown-document").when(side.isNull(), "bad-side").when(F.coalesce(F.trim("ticker"), F.lit("")) == "", "no-ticker").when(day.isNull(), "bad-date")
+        .when(~F.coalesce(q > 0, F.lit(False)), "bad-quantity").when(~F.coalesce(p > 0, F.lit(False)), "bad-price").when(F.coalesce(off, F.lit(False)), "gross-mismatch")
+    )
+    status = F.when(F.lower("order_status").contains("cancel"), "cancelled").when(F.lower("order_status").contains("partial"), "partial").otherwise("executed")
+    r = o.select("observation_id", "document_id", "source", side.alias("side"), normalize_ticker("ticker").alias("ticker"), day.alias("day"), time_to_minutes("trade_time").alias("minutes"), q.alias("shares"), p.alias("price"), status.alias("status"), problem.alias("problem"))
+    return r.filter("problem IS NULL").drop("problem"), r.filter("problem IS NOT NULL").select("observation_id", "problem")

@@ -88,3 +88,10 @@ def test_completeness_and_compare(spark):
     a = spark.createDataFrame([("k1", 1.0, 0), ("k2", 1.0, 0), ("k3", 1.0, 0)], "k string, shares double, cost_micros long")
     b = spark.createDataFrame([("k1", 1.0, 20_000), ("k2", 2.0, 0), ("k4", 1.0, 0)], "k string, shares double, cost_micros long")
     assert {r["k"]: r["result"] for r in R.compare_positions(a, b, ["k"]).collect()} == {"k1": "cost-differs", "k2": "shares-differ", "k3": "only-left", "k4": "only-right"}
+
+
+def test_official_repair_and_diff_match():
+    lots = [("a", 10.0, 1), ("b", 10.0, 3)]
+    assert G.repair_official_sells(lots, [("a", 4.0)], [("s", 8.0, 5), ("t", 9.0, 5), ("u", 1.0, 2)]) == {"s": [("a", 6.0), ("b", 2.0)], "t": None, "u": None}
+    got = G.match_consuming([("c1", None, 10.0), ("c2", "n", 99.0)], [("s1", "n", 10.0), ("s2", None, 10.05), ("s3", None, 10.0)])
+    assert got == {"c2": "s1", "c1": "s3"}

@@ -87,3 +87,24 @@ def test_facts_stream(spark, tmp_path):
     put([fact("c", 3, "CashReset", 2, 1.0)])
     run()
     assert {r["portfolio_id"]: r["cash_micros"] for r in spark.read.parquet(out).collect()} == {1: 5_000_000, 2: 1_000_000}
+
+
+def test_exchange_workbook(spark):
+    cols = "observation_id string, document_id string, transaction_type string, ticker string, trade_date string, trade_time string, quantity string, price string, gross_amount string, order_status string"
+    rows = [("1", "d", "Buy", "comi.ca", "2026-01-05", "10:00AM", "100", "10", "1000", "Executed"), ("2", "d", "Buy", "COMI", "46027", None, "1", "2", "3", ""), ("3", "x", "Buy", "A", "2026-01-05", None, "1", "1", None, None), ("4", "d", "Sell", "A", "31/02/2026", None, "1", "1", None, None), ("5", "d", "Sell", "A", "46027", None, "1", "1", None, "Cancelled")]
+    good, bad = D.exchange_workbook(spark.createDataFrame(rows, cols), spark.createDataFrame([("d", "Invoice")], "document_id string, document_type string"))
+    assert {(r["observation_id"], r["ticker"], r["day"], r["minutes"], r["source"], r["status"]) for r in good.collect()} == {("1", "COMI", dt.date(2026, 1, 5), 600, "invoice", "executed"), ("5", "A", dt.date(2026, 1, 5), None, "invoice", "cancelled")}
+    assert dict(bad.collect()) == {"2": "gross-mismatch", "3": "unknown-document", "4": "bad-date"}
+
+
+def test_sql_functions_and_calculators(spark, sf):
+    from tallyspark.functions.register import register
+    from tallyspark.plans.calculators import CALCULATORS, compute
+    from tallyspark.sources import adapters as S
+
+    register(spark)
+    assert tuple(spark.sql("SELECT half_up(-2.5D), to_micros(1.5D), normalize_ticker(' comi.ca '), ratio_pct(1, 0), within_share(100, 101, 0.01D)").first()) == (-2, 1_500_000, "COMI", 0.0, True)
+    cash = spark.range(8).select(F.col("id").alias("portfolio_id"), F.lit(10**9).alias("cash_micros"))
+    tables = {"trades": S.trades(spark, sf), "allocations": S.allocations(spark, sf), "prices": S.lot_prices(spark, sf), "cash": cash}
+    for name in CALCULATORS:
+        assert compute(name, tables, "2002-01-01").count() > 0
