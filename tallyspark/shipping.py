@@ -10,15 +10,16 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
-#: Rows of an Arrow batch, unless the session says otherwise: whole texts are wide, and Spark's
-#: 10,000 of them would take hundreds of MB in each Python worker.
-BATCH_ROWS, BATCH_KEY = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of an Arrow batch, Spark's defaults and ours, unless the session says otherwise:
+#: whole texts are wide, and 10,000 of them would take a lot of each Python worker.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "512"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
 
 
 def ship(spark: SparkSession) -> None:
     """Once per application, hand a zip of the package to Spark, which serves it to executors."""
-    if spark.conf.get(BATCH_KEY) == "10000":
-        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, ours)
     sc = spark.sparkContext
     root = os.path.dirname(os.path.abspath(__file__))
     if sc.applicationId in _shipped or not os.path.isdir(root):
