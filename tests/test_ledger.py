@@ -95,3 +95,10 @@ def test_official_repair_and_diff_match():
     assert G.repair_official_sells(lots, [("a", 4.0)], [("s", 8.0, 5), ("t", 9.0, 5), ("u", 1.0, 2)]) == {"s": [("a", 6.0), ("b", 2.0)], "t": None, "u": None}
     got = G.match_consuming([("c1", None, 10.0), ("c2", "n", 99.0)], [("s1", "n", 10.0), ("s2", None, 10.05), ("s3", None, 10.0)])
     assert got == {"c2": "s1", "c1": "s3"}
+
+
+def test_closure(spark):
+    from tallyspark.operators.sweep import closure
+
+    e = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(20, 21)], "a long, b long")
+    assert sorted(r[0] for r in closure(e, spark.createDataFrame([(3,)], "node long")).collect()) == list(range(7))
