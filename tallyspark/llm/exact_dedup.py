@@ -74,6 +74,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     r = durable(recipes(docs, digest_bytes, id_col, text_col), "recipes")
     groups = r.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = durable(groups, "groups")  # read back, it has no partitioning that would keep the skew join from splitting
     return r.join(groups, "recipe").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
