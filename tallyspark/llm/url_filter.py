@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import col, table
+from .common import col, durable, table
 
 #: The fixed rules of the contract: verdict, host, path.
 RULES = [
@@ -94,6 +94,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", targe
         probes.groupBy("rev").agg(F.count(F.lit(1)).alias("n")).join(per_host, "rev")
         .select("rev", F.greatest(F.lit(1), F.ceil(F.col("n") / F.greatest(F.lit(target), F.col("n_rules")))).cast("int").alias("salts"))
     )
+    deal = durable(deal, "deal")  # of measured size: Spark broadcasts it below its threshold, else splits skewed joins
     dealt = probes.join(deal, "rev").select(
         "rev", F.pmod(F.xxhash64("host", "path"), F.col("salts")).cast("int").alias("salt"),
         F.col("path").cast("binary").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(events.schema["event"].dataType).alias("event"), "host", "path",
