@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, id_text, table
+from .common import durable, id_text, table, tidy
 from .graph import components
 from .words import mix, shingle_sets
 
@@ -47,6 +47,7 @@ FAN = 256
 MOST_MATCHES, VERIFY = 8, 4.0  # largest l; cost of a verification, in list entries
 MINIMA = [0x9E3779B97F4A7C15 * k % 2**64 for k in range(1, 7)]
 STAR_MINIMA = 3  # shared ones before a star link is verified
+MOST_VALUES = 1 << 19  # of a batch of sets
 FILTER_BITS = 23  # of the broadcast bitmaps: 1 MB, whatever the input
 
 
@@ -70,7 +71,7 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
         return pd.DataFrame({"part": pdf["part"][:1], "block": pdf["block"][:1], "counts": [sum(map(numbers, pdf["counts"]), np.zeros((1 << BITS) // BLOCKS, np.int64)).tobytes()]})
 
     schema = "part long, block int, counts binary"
-    n, level = docs.rdd.getNumPartitions(), docs.mapInPandas(count, schema)
+    n, level = docs.rdd.getNumPartitions(), docs.mapInPandas(tidy(count), schema)
     while n > 1:
         level = level.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part", "block").applyInPandas(add, schema)
         n = -(-n // FAN)
@@ -113,7 +114,7 @@ def signatures(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 rows.append((n, l, int((est <= noise).sum()), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), prefix, minima))
             yield pd.DataFrame(rows, columns=["n", "l", "rare", "sig", "prefix", "minima"]).assign(doc_id=pdf["doc_id"].astype("Int64").to_numpy(dtype=object) if len(pdf) else [])[["doc_id", "n", "l", "rare", "sig", "prefix", "minima"]]
 
-    return docs.mapInPandas(sign, "doc_id long, n long, l int, rare long, sig binary, prefix array<long>, minima array<long>")
+    return docs.mapInPandas(tidy(sign), "doc_id long, n long, l int, rare long, sig binary, prefix array<long>, minima array<long>")
 
 
 def bit_of(c):
@@ -141,23 +142,23 @@ def linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def make(batches):
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "s": [x.tobytes() for x in shingle_sets(pdf["text"].tolist())]})
-
-    sets = some.mapInPandas(make, "doc_id long, s binary")
+            ids, sets, held = [], [], 0
+            for i, s in zip(pdf["doc_id"], shingle_sets(pdf["text"].tolist())):
+                ids.append(i)
+                sets.append(s.astype(np.int64))
+                held += len(s)
+                if held > MOST_VALUES:
+                    yield pd.DataFrame({"doc_id": ids, "s": sets})
+                    ids, sets, held = [], [], 0
+            if ids:
+                yield pd.DataFrame({"doc_id": ids, "s": sets})
+
+    sets = some.mapInPandas(tidy(make), "doc_id long, s array<long>")
     one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-
-    def compare(batches):
-        for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["sa"], pdf["sb"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both) and both > 0)
-            yield pdf.loc[np.array(keep, bool), names]
-
-    names = pairs.columns
-    return durable(two.select(*names, "sa", "sb").mapInPandas(compare, pairs.schema), "links")
+    both = two.withColumn("k", F.size(F.array_intersect("sa", "sb")))  # row by row: no batch holds many long sets
+    similar = both.filter(f"k > 0 AND 100L * k >= {PERCENT} * (size(sa) + size(sb) - k)")
+    return durable(similar.select(*pairs.columns), "links")
 
 
 SIMILAR_SIZES = f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
