@@ -81,3 +81,20 @@ def test_price_as_of_never_looks_ahead(spark):
     px = spark.createDataFrame([("X", D(2026, 1, 5), 1.0), ("X", D(2026, 1, 9), 2.0)], "k string, price_date date, close double")
     q = spark.createDataFrame([("X", D(2026, 1, d)) for d in (4, 5, 8, 9, 30)], "k string, day date")
     assert [r["close"] for r in T.price_as_of(q, px, "k").orderBy("day").collect()] == [None, 1.0, 1.0, 2.0, 2.0]
+
+
+def test_quotes_closes_and_estimates(spark):
+    q = spark.createDataFrame([("A", 1, 10.0, "2026-01-01"), ("A", 2, 11.0, "2026-02-09"), ("B", 1, 5.0, "2025-01-01"), ("B", 2, 6.0, None), ("C", 1, 1.0, "2025-01-01"), ("C", 2, 2.0, "2025-03-01")], "ticker string, provider_rank int, price double, quoted_at string")
+    assert {r["ticker"]: r["price"] for r in T.choose_quote(q, "2026-02-10").collect()} == {"A": 11.0, "B": 6.0, "C": 2.0}
+    e = spark.createDataFrame([("A", [0, 86400, 172800], [1.0, None, 3.0])], "ticker string, timestamps array<long>, closes array<double>")
+    assert [(str(r["day"]), r["close"]) for r in T.epoch_closes(e).orderBy("day").collect()] == [("1970-01-01", 1.0), ("1970-01-03", 3.0)]
+    a = spark.createDataFrame([("A", 7, 110.0, 10.0)], "ticker string, days_ago int, price double, pct double")
+    r = T.anchor_estimates(a, "2026-01-08").first()
+    assert (str(r["day"]), r["estimate"]) == ("2026-01-01", 100.0)
+
+
+def test_periods_carry_prices_of_empty_months(spark):
+    t = trades(spark, ("t", "X", 100.0, 10.0, D(2026, 1, 5)))
+    a = allocs(spark, ("t", 50.0, 12.0, D(2026, 3, 2)))
+    got = T.period_performance(T.dated_deltas(A.realized(a, t), t), "2026-04-15").orderBy("period").collect()
+    assert [(r["period"], r["realized_pct"]) for r in got] == [("2026-01-01", 0.0), ("2026-02-01", 0.0), ("2026-03-01", 10.0), ("2026-04-01", 0.0)]
