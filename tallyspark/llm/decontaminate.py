@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, id_text, table
+from .common import col, id_text, table, tidy
 from .words import LOOSE_GAPS, mix, word_hashes
 
 MASKS = ["11101011011", "110100110101011", "1111111"]
@@ -163,7 +163,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 rows = [(i, *x) for i, found in zip(pdf["doc_id"], scan(pdf["text"].tolist(), ix, bits)) for x in found]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "matched", "item_words", "start_word", "end_word"]).astype({"doc_id": "Int64"})
 
-        one = d.mapInPandas(read, "doc_id long, item_id long, matched int, item_words int, start_word int, end_word int")
+        one = d.mapInPandas(tidy(read), "doc_id long, item_id long, matched int, item_words int, start_word int, end_word int")
         out = one if out is None else out.unionByName(one)
     return out
 

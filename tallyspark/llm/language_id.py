@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import col, table
+from .common import col, table, tidy
 
 WINDOW = 256
 PER_LANG, WINDOWS_A_ROW, MOST_LANGS = 800, 3, 256
@@ -242,7 +242,7 @@ def identify(docs: DataFrame, model: Tables, id_col: str = "doc_id", text_col: s
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": langs, "score": scores})
 
     d = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(remainder(id_col, 4) == 2, F.lit(False)).alias("held_out"), col(text_col).alias("text"))
-    return d.mapInPandas(judge, "doc_id long, held_out boolean, lang_pred string, score double")
+    return d.mapInPandas(tidy(judge), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep(docs: DataFrame, model: Tables, least_score: float, text_col: str = "text") -> DataFrame:
@@ -255,7 +255,7 @@ def keep(docs: DataFrame, model: Tables, least_score: float, text_col: str = "te
             langs, scores = shared.value.judge(b.column(b.schema.names.index(text_col)).to_pylist())
             yield b.filter(pa.array([y != UNKNOWN and s >= least_score for y, s in zip(langs, scores)], pa.bool_()))
 
-    return docs.mapInArrow(judge, docs.schema)
+    return docs.mapInArrow(tidy(judge), docs.schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

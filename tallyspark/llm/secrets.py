@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, span_digest, table
+from .common import id_text, span_digest, table, tidy
 
 #: The base patterns, in the order that breaks ties; letters of ``assign`` in either case.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -105,7 +105,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "spans": [[dict(zip(("kind", "s", "e", "score"), x)) for x in scan(t)] for t in pdf["text"]]})
 
-    return id_text(docs, id_col, text_col).mapInPandas(read, "doc_id long, spans array<struct<kind:string,s:int,e:int,score:double>>")
+    return id_text(docs, id_col, text_col).mapInPandas(tidy(read), "doc_id long, spans array<struct<kind:string,s:int,e:int,score:double>>")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

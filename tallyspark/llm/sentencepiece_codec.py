@@ -21,10 +21,9 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import col, table
+from .common import col, table, tidy
 
 MODEL_FILE = os.environ.get("TALLYSPARK_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
@@ -305,7 +304,7 @@ def encode(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "tex
         codec.cache.clear()  # the process may idle on, or serve other stages
 
     d = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
-    return d.mapInArrow(run, "doc_id long, ids array<int>, text_sha256 string")
+    return d.mapInArrow(tidy(run), "doc_id long, ids array<int>, text_sha256 string")
 
 
 def decode(encoded: DataFrame, shared) -> DataFrame:
@@ -323,11 +322,34 @@ def decode(encoded: DataFrame, shared) -> DataFrame:
                 arrays = [part.column(0), lists, pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]), part.column(2), pa.array([codec.decode(x) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "n_tokens", "ids_sha256", "text_sha256", "text"])
 
-    return encoded.select("doc_id", "ids", "text_sha256").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, text_sha256 string, text string")
+    return encoded.select("doc_id", "ids", "text_sha256").mapInArrow(tidy(run), "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, text_sha256 string, text string")
+
+
+def round_trip(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, text_sha256, round_trip): encodes each text, decodes
+    its ids and tells whether the text came back; one Python stage, row for row as ``encode``."""
+
+    def run(batches):
+        codec = _codec(shared)
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                texts = part.column(1).to_pylist()
+                ids = [np.frombuffer(x, np.int32) for x in codec.encode_batch(texts)]
+                offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                arrays = [
+                    part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())),
+                    pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256((t or "").encode()).hexdigest() for t in texts], pa.string()),
+                    pa.array([codec.decode(x) == (t or "") for x, t in zip(ids, texts)], pa.bool_()),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids", "ids_sha256", "text_sha256", "round_trip"])
+        codec.cache.clear()
+
+    d = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+    return d.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, text_sha256 string, round_trip boolean")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every document, decodes its ids, and tells whether the text came back."""
-    shared = share(spark)
-    back = decode(encode(table(spark, sf_dir, "documents"), shared), shared)
-    return back.select("doc_id", "n_tokens", "ids_sha256", "text_sha256", (F.sha2(F.col("text").cast("binary"), 256) == F.col("text_sha256")).alias("round_trip"))
+    return round_trip(table(spark, sf_dir, "documents"), share(spark)).drop("ids")

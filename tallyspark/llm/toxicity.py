@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import col, table
+from .common import col, table, tidy
 from .language_id import remainder
 
 WINDOW, LONG_WORD = 24, 64
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": p, "predicted": [int(x >= CUT) for x in p]})
 
     d = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(remainder(id_col, 3) == 1, F.lit(False)).alias("held_out"), col(text_col).alias("text"))
-    return d.mapInPandas(read, "doc_id long, held_out boolean, score double, predicted int")
+    return d.mapInPandas(tidy(read), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
