@@ -165,8 +165,9 @@ class Tables:
         act = np.maximum(np.concatenate([h2, h3, h4], 1) + self.bias, 0)
         return softmax(act @ self.dense + self.offset)
 
-    def judge(self, texts: list[str | None], most: int = 1024) -> tuple[list[str], np.ndarray]:
-        """Language and score of each whole text; ``most`` windows are in memory at a time."""
+    def judge(self, texts: list[str | None], most: int = 1024, habits: Habits | None = None, tally: np.ndarray | None = None) -> tuple[list[str], np.ndarray]:
+        """Language and score of each whole text; ``most`` windows are in memory at a time.
+        With ``habits`` each text's counts are added to its row of ``tally``."""
         total, sizes = np.zeros((len(texts), max(1, len(self.langs)))), np.zeros(len(texts))
         owners, held = [], []
 
@@ -175,7 +176,10 @@ class Tables:
                 x = np.concatenate(held)
                 owner = np.concatenate(owners)
                 size = (x != 0).sum(1)
-                np.add.at(total, owner, self.probabilities(x) * size[:, None])
+                p = self.probabilities(x)
+                np.add.at(total, owner, p * size[:, None])
+                if habits is not None:
+                    np.add.at(tally, owner, habits.count(x, p.argmax(1)))
                 np.add.at(sizes, owner, size)
                 held.clear()
                 owners.clear()
@@ -196,12 +200,61 @@ class Tables:
         return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
 
 
+class Habits:
+    """How many bits each letter costs after the two classes before it, by language: what tells
+    text of a language from noise, code and languages that weren't learnt. The softmax can't, as
+    it shares out all of its weight among the languages whatever the text.
+
+    A triple of classes counts if one in ``ONE_IN`` of a language's training rows has it, and two
+    rows at least, so rows of noise that bear a language's label teach nothing.
+    ``noise`` is the mean cost of letters drawn evenly, ``spread`` the deviation of one letter's
+    cost in the training windows.
+    """
+
+    SMOOTH, STEP, ONE_IN = 8.0, 8, 100  # bits are kept in eighths
+
+    def __init__(self, n_langs: int, x: np.ndarray, y: np.ndarray, row: np.ndarray):
+        self.letter = np.zeros(CLASSES, bool)
+        self.letter[2:28] = self.letter[30:] = True
+        self.bits = np.zeros((n_langs, CLASSES**3), np.uint8)
+        for k in range(n_langs):
+            c = x[y == k].astype(np.int64)
+            triple = (c[:, :-2] * CLASSES + c[:, 1:-1]) * CLASSES + c[:, 2:]
+            rows, own = np.unique(row[y == k], return_inverse=True)
+            met = np.bincount(np.unique(own[:, None] * CLASSES**3 + triple) % CLASSES**3, minlength=CLASSES**3)
+            n3 = np.bincount(triple.ravel(), minlength=CLASSES**3).astype(float)
+            n3[met < min(len(rows), max(2, len(rows) // self.ONE_IN))] = 0
+            n3 = n3.reshape(CLASSES, CLASSES, CLASSES)
+            n3[:, :, 0] = 0
+            n2 = n3.sum(0)
+            n1 = n2.sum(0)
+            p1 = (n1 + 0.5) / (n1.sum() + 0.5 * CLASSES)
+            p2 = (n2 + self.SMOOTH * p1) / (n2.sum(1, keepdims=True) + self.SMOOTH)
+            p3 = (n3 + self.SMOOTH * p2) / (n3.sum(2, keepdims=True) + self.SMOOTH)
+            self.bits[k] = np.clip(np.round(-np.log2(p3) * self.STEP), 0, 255).astype(np.uint8).ravel()
+        plain = np.arange(2, 28)
+        self.noise = float(self.bits.reshape(-1, CLASSES, CLASSES, CLASSES)[:, plain][:, :, plain][:, :, :, plain].mean() / self.STEP) if n_langs else 0.0
+        self.spread = 0.0
+        if n_langs:
+            cost, met = self._costs(x, y)
+            self.spread = float(cost[met].std() / self.STEP) if met.any() else 0.0
+
+    def _costs(self, x: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = x.astype(np.int32)
+        return self.bits[lang[:, None], (c[:, :-2] * CLASSES + c[:, 1:-1]) * CLASSES + c[:, 2:]], self.letter[x[:, 2:]]
+
+    def count(self, x: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Of windows and their languages: bits, letters they are of, all letters, all bytes but spaces."""
+        cost, met = self._costs(x, lang)
+        return np.stack([np.where(met, cost, 0).sum(1) / self.STEP, met.sum(1), self.letter[x].sum(1), (x > 1).sum(1)], 1).astype(float)
+
+
 def remainder(id_col: str, n: int):
     return F.pmod(F.crc32(col(id_col).cast("string").cast("binary")), F.lit(n))
 
 
-def training_windows(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> list[tuple[str, str]]:
-    """(language, part of a text): about ``per_lang`` rows of each language by a hash of the id,
+def training_windows(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> list[tuple[str, str, int]]:
+    """(language, part of a text, hash of its row's id): about ``per_lang`` rows of each language by a hash of the id,
     ``WINDOWS_A_ROW`` parts of each, a quarter of them short."""
     d = labelled.select(col(id_col).alias("i"), col(text_col).alias("t"), col(lang_col).alias("y")).filter("i IS NOT NULL AND y IS NOT NULL AND t RLIKE '\\\\p{L}'")
     counts = d.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MOST_LANGS).collect()
@@ -212,17 +265,22 @@ def training_windows(labelled: DataFrame, id_col: str, text_col: str, lang_col:
     at = lambda j: F.pmod(F.xxhash64("i", F.lit(j)), F.greatest(F.lit(1), F.length("t") - WINDOW)).cast("int") + 1
     size = lambda j: F.when(F.pmod(F.xxhash64("i", F.lit(100 + j)), F.lit(4)) == 0, 40).otherwise(WINDOW)
     parts = some.select("y", F.explode(F.array_distinct(F.array(*[F.substring("t", at(j), size(j)) for j in range(WINDOWS_A_ROW)]))).alias("part"), F.xxhash64("i").alias("h"))
-    return [(r["y"], r["part"]) for r in parts.orderBy("y", "h", "part").collect()]
+    return [(r["y"], r["part"], r["h"]) for r in parts.orderBy("y", "h", "part").collect()]
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Tables:
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> tuple[Tables, Habits]:
     parts = training_windows(labelled, id_col, text_col, lang_col, per_lang)
-    langs = sorted({y for y, _ in parts})
+    langs = sorted({y for y, _, _ in parts})
     if not langs:
-        return Tables(Network([]))
+        return Tables(Network([])), Habits(0, np.zeros((0, WINDOW), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     number = {y: i for i, y in enumerate(langs)}
-    x = np.concatenate([windows_of(t.encode())[:1] for _, t in parts]).astype(np.int64)
-    return Network(langs).train(x, np.array([number[y] for y, _ in parts])).tables()
+    x = np.concatenate([windows_of(t.encode())[:1] for _, t, _ in parts]).astype(np.int64)
+    y = np.array([number[y] for y, _, _ in parts])
+    return Network(langs).train(x, y).tables(), Habits(len(langs), x, y, np.array([h for _, _, h in parts]))
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Tables:
+    return learn(labelled, id_col, text_col, lang_col, per_lang)[0]
 
 
 def identify(docs: DataFrame, model: Tables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,15 +303,49 @@ def identify(docs: DataFrame, model: Tables, id_col: str = "doc_id", text_col: s
     return d.mapInPandas(tidy(judge), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep(docs: DataFrame, model: Tables, least_score: float, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text has a language with at least that score."""
+#: A text is rejected from half way between what a letter costs in the corpus and in noise. Short
+#: texts may cost more, by this many deviations of their mean.
+HALF_WAY, SHORT = 0.5, 4.0
+#: ... and so is one with less than this part of the corpus' usual share of letters.
+LETTERS = 0.25
+
+
+def levels(docs: DataFrame, model: Tables, habits: Habits, text_col: str = "text") -> tuple[float, float]:
+    """(most bits a letter, least share of letters) that a text of a language has: from the
+    medians over all rows, so noise doesn't move them while it is less than half of the rows."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, habits))
+
+    def measure(batches):
+        model, habits = shared.value
+        for pdf in batches:
+            tally = np.zeros((len(pdf), 4))
+            model.judge(pdf["text"].tolist(), habits=habits, tally=tally)
+            tally = tally[tally[:, 1] > 0]
+            yield pd.DataFrame({"bits": tally[:, 0] / tally[:, 1], "share": tally[:, 2] / tally[:, 3]})
+
+    seen = docs.select(col(text_col).alias("text")).mapInPandas(tidy(measure), "bits double, share double")
+    usual = seen.agg(F.percentile_approx("bits", 0.5, 10000).alias("bits"), F.percentile_approx("share", 0.5, 10000).alias("share")).first()
+    if usual["bits"] is None:
+        return float("inf"), 0.0
+    return usual["bits"] + HALF_WAY * max(0.0, habits.noise - usual["bits"]), LETTERS * usual["share"]
+
+
+def keep(docs: DataFrame, model: Tables, habits: Habits, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text is in a language: each window's is the
+    network's choice, and the text's letters must follow each other as they do in it."""
+    most, least = levels(docs, model, habits, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast((model, habits))
 
     def judge(batches):
+        model, habits = shared.value
         for b in batches:
-            langs, scores = shared.value.judge(b.column(b.schema.names.index(text_col)).to_pylist())
-            yield b.filter(pa.array([y != UNKNOWN and s >= least_score for y, s in zip(langs, scores)], pa.bool_()))
+            texts = b.column(b.schema.names.index(text_col)).to_pylist()
+            tally = np.zeros((len(texts), 4))
+            langs, _ = model.judge(texts, habits=habits, tally=tally)
+            n = np.maximum(tally[:, 1], 1)
+            good = (tally[:, 0] / n <= most + SHORT * habits.spread / np.sqrt(n)) & (tally[:, 2] >= least * tally[:, 3])
+            yield b.filter(pa.array([bool(g) and y != UNKNOWN for y, g in zip(langs, good)], pa.bool_()))
 
     return docs.mapInArrow(tidy(judge), docs.schema)
 

@@ -1,5 +1,7 @@
+import base64
 import hashlib
 import os
+import random
 import sys
 
 import corpus_pipeline
@@ -32,5 +34,21 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, df.limit(0), "/root/testdata/sf0.001").collect() == []
 
 
+def test_language_stage_rejects_what_is_in_no_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = random.Random(5)
+    noise = [
+        "".join(r.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(600)), base64.b64encode(r.randbytes(400)).decode(), "xqzjv kwpfh qqxz vbnmk jhgfd zxcvb qwrtp", "1234567 x 89012345",
+        "for (int i = 0; i < n; ++i) { if (buf[i] == NULL) return -EINVAL; kfree(ctx->ptr); memcpy(dst, src, sizeof(struct foo_hdr)); }",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    ]
+    clean = ["Von.", "That it.", "Osrañ.", "Erinst resh.", "Pachque çaneux et.", "Of anntre erthnd, thlyre to the."]
+    added = spark.createDataFrame([(10**6 + i, t, "en", "s", len(t)) for i, t in enumerate(noise + clean)], docs.schema)
+    got = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs.unionByName(added), "").select("doc_id").collect()}
+    assert [i for i in range(len(noise)) if 10**6 + i in got] == []
+    assert got == {r["doc_id"] for r in docs.collect()} | {10**6 + len(noise) + i for i in range(len(clean))}
+
+
 def test_registered():
     assert queries.QUERIES["pipeline"] is corpus_pipeline.run and len(queries.QUERIES) == 11
