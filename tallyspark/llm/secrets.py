@@ -27,10 +27,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more: the same spans as run
 KINDS = ["assign", "access", "hex", "secret"]
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]{0,127})["'`]?[\x20\t]*(?::=|=>|=(?!=)|:(?!:))[\x20\t]*"""
-    r"""("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s"'`,;(){}\[\]<>]+)"""
-)
+LEFT = re.compile(r"""(?<![A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*+)["'`]?[\x20\t]*+(:=|=>|=(?!=)|:(?!:))[\x20\t]*+""")
+VALUE = re.compile(r"""("(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`|[^\s"'`,;(){}\[\]<>]+)""")
+BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
+#: What may stand between a name's colon and an equals sign. It ends before the next single colon,
+#: so what the names of a line look at doesn't overlap.
+TYPE = re.compile(r"""((["'])[\w.\[\],|\x20]++\2[\x20\t]*+|(?:::|[\w.\[\]<>(),|&*?!$'\x20\t])++)(?<![!<])=(?![=>])[\x20\t]*+""")
+TYPE_WORDS = re.compile(r"(?:'\w+|\b(?:const|mut|dyn|impl|static|readonly|unsigned|long|keyof|typeof|unique))(?=[\x20\t])")
+TWO_WORDS = re.compile(r"[\w\])>?][\x20\t]+[\w(]")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: What a word of a name tells.
@@ -57,18 +61,68 @@ def literal_score(text: str) -> float:
     return min(1.0, entropy / 3.0) * min(1.0, 0.5 + 0.25 * kinds) if kinds > 1 else 0.0
 
 
+def after_type(text: str, at: int) -> tuple[int, str] | None:
+    """Where the value starts if a type annotation of one line and an equals sign come first, and
+    the type."""
+    m = TYPE.match(text, at)
+    if not m:
+        return None
+    kind = m[1].strip()
+    depth = 0
+    for c in kind if not m[2] else "":
+        depth += (c in "[<(") - (c in "])>")
+        if depth < 0 or (c == "," and not depth):
+            return None
+    if depth or not kind or (not m[2] and TWO_WORDS.search(TYPE_WORDS.sub("", kind))):
+        return None
+    return m.end(), kind
+
+
 def assignments(text: str) -> list[tuple[str, int, int]]:
-    """(name, start, end): the names that each literal goes to, constants propagated."""
+    """(name, start, end): the names that each literal goes to, constants propagated.
+
+    All names of ``a = b = "literal"`` get the literal, and so does the name before a type
+    (``a: type = "literal"``), and the type if it is a single name, as in ``note: pwd = x``.
+    A bare ``b=literal`` without spaces on the right may also be a literal as a whole, so
+    the name on its left gets all of it.
+    """
     known: dict[str, tuple[int, int]] = {}
     out = []
-    for m in PAIR.finditer(text):
-        s, e = m.span(2)
+
+    def give(names: list[str], s: int, e: int) -> None:
         if text[s] in "\"'`":
             s, e = s + 1, e - 1
-        elif NAME.fullmatch(m[2]) and m[2] in known:
-            s, e = known[m[2]]
-        known[m[1]] = (s, e)
-        out.append((m[1], s, e))
+        elif NAME.fullmatch(text, s, e) and text[s:e] in known:
+            s, e = known[text[s:e]]
+        for n in names:
+            known[n] = (s, e)
+            out.append((n, s, e))
+
+    at = 0
+    while m := LEFT.search(text, at):
+        names: list[tuple[str, int]] = []
+        while m:
+            names.append((m[1], m.start(1)))
+            at = m.end()
+            if m[2] == ":" and (typed := after_type(text, at)):
+                if NAME.fullmatch(typed[1]):
+                    names.append((typed[1], at))
+                at = typed[0]
+            m = LEFT.match(text, at)
+            if m and m[2] == ":" and not after_type(text, m.end()):
+                m = None
+        first = [n for n, _ in names]
+        value = VALUE.match(text, at)
+        whole = BARE.match(text, names[1][1]) if len(names) > 1 else None
+        if whole and whole.end() >= (value.end() if value else at):  # one run of characters
+            give(first[:1], *whole.span())
+            first = first[1:]
+        if value:
+            give(first, *value.span())
+            at = value.end()
+        elif len(names) > 1:
+            last = BARE.match(text, names[-1][1])
+            give(first[:-1], *last.span())
     return out
 
 

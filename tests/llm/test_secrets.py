@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from tallyspark.llm import secrets
 
@@ -38,6 +39,30 @@ def test_constants_propagate():
     assert secrets.scan("note: see chapter\nlabel = 'q8Zr7-Tt55kLm'") == []
 
 
+def spans(text):
+    return [text[s:e] for kind, s, e, _ in secrets.scan(text) if kind == "secret"]
+
+
+def test_typed_and_chained_assignments():
+    for t in (
+        'DB_PWD: str = "hunter2Xy9"', 'const dbPwd: string = "hunter2Xy9"', 'val dbPwd: String? = "hunter2Xy9"', "static DB_PWD: &'static str = \"hunter2Xy9\";",
+        'db_pwd: Optional[Dict[str, str]] = "hunter2Xy9"', 'let db_pwd: std::string::String = "hunter2Xy9"', 'dbPwd: string | null = "hunter2Xy9"', 'db_pwd: "str" = "hunter2Xy9"',
+        'def f(user: str = "bob", db_pwd: str = "hunter2Xy9"):', 'db_pwd = backup = "hunter2Xy9"', 'backup = db_pwd = "hunter2Xy9"', "a = b = db_pwd = c = 'hunter2Xy9'", 'db_pwd=backup="hunter2Xy9"',
+        'a: str = "hunter2Xy9"\ndb_pwd: str = a', "note: db_pwd = hunter2Xy9", "{user: admin, db_pwd = hunter2Xy9}", "x." * 100 + 'db_pwd = "hunter2Xy9"', "db_pwd = hunter2Xy9 = {",
+    ):
+        assert spans(t) == ["hunter2Xy9"], t
+    assert spans("db_pwd = abc=deF9x") == ["abc=deF9x"] and spans("db_pwd = abC123xyz=") == ["abC123xyz="]
+    assert spans('label: str = other = "hunter2Xy9"') == [] and spans("url: http://host/aB3?x=1") == []
+    assert secrets.assignments('a = "x"; b: 1, c => d') == [("a", 5, 6), ("b", 12, 13), ("c", 20, 21)]
+
+
+def test_long_texts_take_linear_time():
+    for unit in ("a:", "a=", "a = ", "a: b[", "a::b:", "a.", 'a: "', "a: str = "):
+        began = time.perf_counter()
+        secrets.assignments(unit * 100_000)
+        assert time.perf_counter() - began < 10, unit
+
+
 def test_whole_table(spark):
     d = "/root/testdata/sf0.01"
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
