@@ -8,6 +8,7 @@ allocated before. Each kernel keeps no more than its key's rows.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,10 +162,13 @@ def removal_suggestion(rows: list[tuple], verified: float, avg_cost: float | Non
     if n < 2 or n > MOST_SUBSET_ROWS or abs(deficit) < DUST:
         return None
     found = []
-    for mask in range(1, 2**n - 1):
-        chosen = [i for i in range(n) if mask >> i & 1]
-        if abs(sum(rows[i][1] for i in chosen) - deficit) > DUST:
+    sums = np.zeros(1)
+    for r in rows:
+        sums = np.concatenate([sums, sums + r[1]])
+    for mask in np.flatnonzero(np.abs(sums - deficit) <= DUST).tolist():
+        if not 0 < mask < 2**n - 1:
             continue
+        chosen = [i for i in range(n) if mask >> i & 1]
         bucket = 0
         if avg_cost:
             rest = [rows[i] for i in range(n) if not mask >> i & 1 and rows[i][1] > 0]

@@ -59,7 +59,7 @@ def _search(s, d):
 
 
 def _allocation_rows(s, d):
-    f = S.facts(s, d).filter("ticker_id < 10").withColumn("id", _id())
+    f = S.facts(s, d).withColumn("id", _id())
     keys = ["portfolio_id", "ticker_id"]
     buys = f.filter("kind = 'BuyExecution'").groupBy(*keys, "id").agg(F.min("execution_date").alias("on"), F.sum("shares").cast("double").alias("shares"))
     sells = f.filter("kind = 'SellExecution'").groupBy(*keys, "id").agg(F.min("execution_date").alias("on"), F.sum("shares").cast("double").alias("shares"))
@@ -71,21 +71,21 @@ def _allocation_rows(s, d):
 
 
 def _evidence_rows(s, d):
-    f = S.dense_facts(s, d).filter("portfolio_id < 3").withColumn("id", _id())
+    f = S.dense_facts(s, d).withColumn("id", _id())
     role = F.when(F.col("source").isin("orders-screen"), "evidence").when(F.col("source").isin("csv", "statement"), "candidate")
     r = f.select("portfolio_id", "ticker_id", "execution_date", role.alias("role"), F.col("l_orderkey").alias("ord"), "id", F.col("kind").alias("side"), F.col("shares").cast("double").alias("shares"), "price", F.col("minutes").cast("double").alias("minutes"))
     return r.filter("role IS NOT NULL")
 
 
 def _statement_rows(s, d):
-    f = S.dense_facts(s, d).filter("portfolio_id < 3").withColumn("id", _id())
+    f = S.dense_facts(s, d).withColumn("id", _id())
     role = F.when(F.col("source") == "statement", "statement").when(F.col("source").isin("csv", "orders-screen", "invoice"), "execution")
     r = f.select("portfolio_id", "ticker_id", "execution_date", "kind", role.alias("role"), F.col("l_orderkey").alias("ord"), "id", F.when(role == "statement", F.col("shares") * 2).otherwise(F.col("shares")).cast("double").alias("shares"), "price").filter("role IS NOT NULL")
     return r
 
 
 def _mismatch_rows(s, d):
-    f = S.dense_facts(s, d).filter("portfolio_id < 2 AND l_linenumber = 3").withColumn("id", _id())
+    f = S.dense_facts(s, d).withColumn("id", _id())
     return f.select("portfolio_id", "ticker_id", F.col("l_orderkey").alias("ord"), "id", F.when(F.col("kind") == "BuyExecution", F.col("shares")).otherwise(-F.col("shares")).cast("double").alias("signed_shares"), "price", F.least(F.lit(2), E.authority("source") / 2).cast("int").alias("confidence"), F.lit(60.0).alias("units"), F.lit(None).cast("double").alias("avg_cost"))
 
 
