@@ -63,15 +63,21 @@ class Logistic:
         return np.clip(self._z(x) @ self.weights, -12, 12)
 
 
+def measure(batches):
+    for pdf in batches:
+        yield pd.DataFrame({"i": pdf["i"], "y": pdf["y"], "x": [features(t) for t in pdf["t"]]})
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Logistic | None:
+    """Executors measure the sampled whole texts; only the features come to the driver."""
     n = labels.count()
     some = labels.filter(F.pmod(F.xxhash64("i", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, FIT_ROWS / max(1, n))))
-    rows = docs.join(F.broadcast(some), "i").select("i", "y", F.substring("t", 1, 100_000).alias("t")).collect()
-    rows = sorted((r["i"], r["y"], r["t"] or "") for r in rows)
+    rows = docs.join(F.broadcast(some), "i").select("i", "y", "t").mapInPandas(tidy(measure), "i long, y int, x array<double>").collect()
+    rows = sorted((r["i"], r["y"], r["x"]) for r in rows)
     y = np.array([float(r[1]) for r in rows])
     if not len(y) or y.min() == y.max():
         return None
-    return Logistic(np.array([features(t) for _, _, t in rows]), y)
+    return Logistic(np.array([x for _, _, x in rows]), y)
 
 
 def strength(means: DataFrame) -> float:

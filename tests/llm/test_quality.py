@@ -24,3 +24,10 @@ def test_shrinkage_and_odd_rows(spark):
     assert one[80]["score"] > 0.5 > one[81]["score"]
     assert {r["score"] for r in Q.quality(df, labels.limit(0)).collect()} == {0.5}
     assert Q.quality(df.limit(0), labels).collect() == []
+
+
+def test_training_reads_whole_texts(spark):
+    same = "plain words " * 9_000  # the first 100,000 characters tell nothing
+    df = spark.createDataFrame([(i, same + ["good plain text here. ", "### $$$ !!! "][i % 2] * 9_000, "a", "b") for i in range(40)], "doc_id long, text string, source string, lang string")
+    one = {r["doc_id"]: r["evidence"] for r in Q.quality(df, spark.createDataFrame([(i, 1 - i % 2) for i in range(30)], "doc_id long, quality int")).collect()}
+    assert one[38] > 0.8 and one[39] < 0.2
