@@ -19,17 +19,16 @@ shuffled, so hot passages cost nothing more.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, id_text, table, tidy
+from .common import col, id_text, over_texts, table
 from .words import LOOSE_GAPS, mix, word_hashes
 
 MASKS = ["11101011011", "110100110101011", "1111111"]
 MATCHED, SHARE, LEAST = 13, 0.7, 7
 OTHER, DROP = 2, 8
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 1_000_000  # about 80 MB of index in each Python worker
 FILTER_BITS = 22
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -148,25 +147,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     Null and empty texts on either side overlap with nothing, nor do items of fewer than 7
     words. Repeated documents are reported each; equal items under different ids each.
-    Documents with a null id are reported with it. No documents or no benchmark: no rows.
+    Documents with a null id are reported with it. No documents or no benchmark: no rows. Other
+    columns are ignored. Texts of any length are read whole; memory follows the longest one.
     """
     d, out = id_text(docs, id_col, text_col), None
     for part in blocks(benchmark, item_col, item_text_col):
         ix = index(sorted((r["item_id"], r["text"]) for r in part.collect()))
         shared = docs.sparkSession.sparkContext.broadcast(ix)
 
-        def read(batches, shared=shared):
+        def start(shared=shared):
             ix = shared.value
             bits = np.zeros(1 << FILTER_BITS, bool)
             bits[(ix["h"] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-            for pdf in batches:
-                rows = [(i, *x) for i, found in zip(pdf["doc_id"], scan(pdf["text"].tolist(), ix, bits)) for x in found]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "matched", "item_words", "start_word", "end_word"]).astype({"doc_id": "Int64"})
 
-        one = d.mapInPandas(tidy(read), "doc_id long, item_id long, matched int, item_words int, start_word int, end_word int")
+            def judge(texts):
+                found = [(i, *x) for i, own in enumerate(scan(texts, ix, bits)) for x in own]
+                rows, *values = zip(*found) if found else [()] * 6
+                return rows, values
+
+            return judge
+
+        one = over_texts(d, start, "item_id long, matched int, item_words int, start_word int, end_word int")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``leaks`` of all documents and the whole benchmark: doc_id, item_id, matched, item_words,
+    start_word, end_word. Nulls, empty, long and repeated texts, ties: as stated there."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

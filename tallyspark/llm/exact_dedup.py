@@ -66,21 +66,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical, nothing normalised; a null text counts as empty. Of equal
-    texts the largest doc_id stays. Ties: rows that repeat a doc_id and its text are the same
-    document, each is counted in group_size and all are ``kept`` together. A null doc_id never
-    wins over another; if a group has no other, keep_id is null and its rows are kept. No rows
-    give no rows; other columns are ignored. Chunks are at most ``MAX_CHUNK`` characters, so a
-    text of any length moves in small pieces.
+    texts the largest doc_id stays. Ties: of rows that repeat a doc_id and its text one alone is
+    ``kept``; each is counted in group_size. A null doc_id never wins over another; if a group
+    has no other, keep_id is null and one of its rows is kept. No rows give no rows; other
+    columns are ignored. Chunks are at most ``MAX_CHUNK`` characters, so a text of any length
+    moves in small pieces.
     """
-    r = durable(recipes(docs, digest_bytes, id_col, text_col), "recipes")
-    groups = r.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    r = durable(recipes(docs, digest_bytes, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "recipes")
+    groups = r.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("group_size"))
     groups = durable(groups, "groups")  # read back, it has no partitioning that would keep the skew join from splitting
     return r.join(groups, "recipe").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+        "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("top.row")).alias("kept"), "text_sha256"
     )
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``exact_dedup`` of all documents; nulls, ties, repeated rows and long texts: as stated there."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -3,8 +3,9 @@
 Bytes fall in 64 classes (letters without case, digits, marks, UTF-8 parts). Filters of
 widths 2, 3 and 4 slide over windows of ``WINDOW`` bytes; each filter's largest answer in the
 window goes through a dense layer and a softmax. The network is trained in numpy, by Adam, on
-windows of a bounded sample of labelled rows: about ``PER_LANG`` rows of each language and
-``WINDOWS_A_ROW`` windows of each row, chosen by a hash of the id.
+windows of a bounded sample of labelled rows: about ``PER_LANG`` rows of each language, of all
+languages ``MOST_ROWS`` at most, and ``WINDOWS_A_ROW`` windows of each row, chosen by a hash of
+the id.
 
 A filter's answer depends on 2 to 4 classes only, so for use it becomes a table, 16 bytes a
 row (16 filters of 8 bits, or 8 of 16 bits in two halves for width 4): a window costs one
@@ -13,24 +14,22 @@ lookup a byte and table, and a maximum. All windows of a whole text count, by th
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import col, table, tidy
+from .common import col, durable, over_texts, slices, table, tidy
 
 WINDOW = 256
-PER_LANG, WINDOWS_A_ROW, MOST_LANGS = 800, 3, 256
+PER_LANG, WINDOWS_A_ROW, MOST_ROWS = 800, 3, 100_000
 EPOCHS, BATCH, RATE, SEED = 3, 64, 0.01, 7
 CLASSES = 64
 WIDTHS = {2: 16, 3: 16, 4: 8}
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def byte_classes() -> np.ndarray:
@@ -254,14 +253,16 @@ def remainder(id_col: str, n: int):
 
 
 def training_windows(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> list[tuple[str, str, int]]:
-    """(language, part of a text, hash of its row's id): about ``per_lang`` rows of each language by a hash of the id,
-    ``WINDOWS_A_ROW`` parts of each, a quarter of them short."""
+    """(language, part of a text, hash of its row's id): about ``per_lang`` rows of each language by
+    a hash of the id, of very many languages less, so that all rows are about ``MOST_ROWS`` at
+    most; ``WINDOWS_A_ROW`` parts of each, a quarter of them short."""
     d = labelled.select(col(id_col).alias("i"), col(text_col).alias("t"), col(lang_col).alias("y")).filter("i IS NOT NULL AND y IS NOT NULL AND t RLIKE '\\\\p{L}'")
-    counts = d.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MOST_LANGS).collect()
-    if not counts:
+    counts = durable(d.groupBy("y").agg(F.count(F.lit(1)).alias("k")), "languages")
+    langs = counts.count()
+    if not langs:
         return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["y"], min(1.0, per_lang / r["count"]))])
-    some = d.filter(F.pmod(F.xxhash64("i", F.lit(SEED)), F.lit(1 << 20)) < share[F.col("y")] * (1 << 20))
+    rows = min(float(per_lang), MOST_ROWS / langs)
+    some = d.join(counts, "y").filter(F.pmod(F.xxhash64("i", F.lit(SEED)), F.lit(1 << 20)) < F.lit(rows) / F.col("k") * (1 << 20))
     at = lambda j: F.pmod(F.xxhash64("i", F.lit(j)), F.greatest(F.lit(1), F.length("t") - WINDOW)).cast("int") + 1
     size = lambda j: F.when(F.pmod(F.xxhash64("i", F.lit(100 + j)), F.lit(4)) == 0, 40).otherwise(WINDOW)
     parts = some.select("y", F.explode(F.array_distinct(F.array(*[F.substring("t", at(j), size(j)) for j in range(WINDOWS_A_ROW)]))).alias("part"), F.xxhash64("i").alias("h"))
@@ -274,7 +275,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if not langs:
         return Tables(Network([])), Habits(0, np.zeros((0, WINDOW), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     number = {y: i for i, y in enumerate(langs)}
-    x = np.concatenate([windows_of(t.encode())[:1] for _, t, _ in parts]).astype(np.int64)
+    x = np.concatenate([windows_of(t.encode())[:1] for _, t, _ in parts])
     y = np.array([number[y] for y, _, _ in parts])
     return Network(langs).train(x, y).tables(), Habits(len(langs), x, y, np.array([h for _, _, h in parts]))
 
@@ -294,13 +295,11 @@ def identify(docs: DataFrame, model: Tables, id_col: str = "doc_id", text_col: s
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def judge(batches):
-        for pdf in batches:
-            langs, scores = shared.value.judge(pdf["text"].tolist())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": langs, "score": scores})
+    def judge(texts):
+        return None, shared.value.judge(texts)
 
-    d = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(remainder(id_col, 4) == 2, F.lit(False)).alias("held_out"), col(text_col).alias("text"))
-    return d.mapInPandas(tidy(judge), "doc_id long, held_out boolean, lang_pred string, score double")
+    d = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(remainder(id_col, 4) == 2, F.lit(False)).alias("held_out"), col(text_col).cast("string").alias("text"))
+    return over_texts(d, lambda: judge, "lang_pred string, score double")
 
 
 #: A text is rejected from half way between what a letter costs in the corpus and in noise. Short
@@ -316,15 +315,18 @@ def levels(docs: DataFrame, model: Tables, habits: Habits, text_col: str = "text
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model, habits))
 
-    def measure(batches):
+    def start():
         model, habits = shared.value
-        for pdf in batches:
-            tally = np.zeros((len(pdf), 4))
-            model.judge(pdf["text"].tolist(), habits=habits, tally=tally)
-            tally = tally[tally[:, 1] > 0]
-            yield pd.DataFrame({"bits": tally[:, 0] / tally[:, 1], "share": tally[:, 2] / tally[:, 3]})
 
-    seen = docs.select(col(text_col).alias("text")).mapInPandas(tidy(measure), "bits double, share double")
+        def measure(texts):
+            tally = np.zeros((len(texts), 4))
+            model.judge(texts, habits=habits, tally=tally)
+            rows = np.flatnonzero(tally[:, 1] > 0)
+            return rows, [tally[rows, 0] / tally[rows, 1], tally[rows, 2] / tally[rows, 3]]
+
+        return measure
+
+    seen = over_texts(docs.select(col(text_col).cast("string").alias("text")), start, "bits double, share double")
     usual = seen.agg(F.percentile_approx("bits", 0.5, 10000).alias("bits"), F.percentile_approx("share", 0.5, 10000).alias("share")).first()
     if usual["bits"] is None:
         return float("inf"), 0.0
@@ -339,17 +341,21 @@ def keep(docs: DataFrame, model: Tables, habits: Habits, text_col: str = "text")
 
     def judge(batches):
         model, habits = shared.value
-        for b in batches:
-            texts = b.column(b.schema.names.index(text_col)).to_pylist()
-            tally = np.zeros((len(texts), 4))
-            langs, _ = model.judge(texts, habits=habits, tally=tally)
-            n = np.maximum(tally[:, 1], 1)
-            good = (tally[:, 0] / n <= most + SHORT * habits.spread / np.sqrt(n)) & (tally[:, 2] >= least * tally[:, 3])
-            yield b.filter(pa.array([bool(g) and y != UNKNOWN for y, g in zip(langs, good)], pa.bool_()))
+        for batch in batches:
+            at = batch.schema.names.index(text_col)
+            for b in slices(batch, at):
+                texts = b.column(at).to_pylist()
+                tally = np.zeros((len(texts), 4))
+                langs, _ = model.judge(texts, habits=habits, tally=tally)
+                n = np.maximum(tally[:, 1], 1)
+                good = (tally[:, 0] / n <= most + SHORT * habits.spread / np.sqrt(n)) & (tally[:, 2] >= least * tally[:, 3])
+                yield b.filter(pa.array([bool(g) and y != UNKNOWN for y, g in zip(langs, good)], pa.bool_()))
 
     return docs.mapInArrow(tidy(judge), docs.schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``identify`` for all documents: doc_id, held_out, lang_pred, score, by a network that has
+    seen no held-out row. Nulls, texts without letters, ties, repeats: as stated there."""
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit(docs.filter(remainder("doc_id", 4) != 2)))

@@ -32,11 +32,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, id_text, table, tidy
+from .common import durable, id_text, over_texts, slices, table, tidy
 from .graph import components
 from .words import mix, shingle_sets
 
@@ -47,8 +48,8 @@ FAN = 256
 MOST_MATCHES, VERIFY = 8, 4.0  # largest l; cost of a verification, in list entries
 MINIMA = [0x9E3779B97F4A7C15 * k % 2**64 for k in range(1, 7)]
 STAR_MINIMA = 3  # shared ones before a star link is verified
-MOST_VALUES = 1 << 19  # of a batch of sets
-FILTER_BITS = 23  # of the broadcast bitmaps: 1 MB, whatever the input
+#: Log of the bits of the broadcast bitmaps: 8 to 16 a key, within these bounds (1 to 8 MB).
+FILTER_BITS = 23, 26
 
 
 def frequency_sketch(docs: DataFrame) -> np.ndarray:
@@ -57,12 +58,13 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(1 << BITS, np.int64)
-        for pdf in batches:
-            sets = shingle_sets(pdf["text"].tolist())
-            if sets:
+        for batch in batches:
+            for part in slices(batch, 1):
+                sets = shingle_sets(part.column(1).to_pylist())
                 total += np.bincount((np.concatenate(sets) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
         if total.any():
-            yield pd.DataFrame({"part": TaskContext.get().partitionId(), "block": range(BLOCKS), "counts": [x.astype(np.uint32).tobytes() if x.max(initial=0) < 2**32 else x.tobytes() for x in np.split(total, BLOCKS)]})
+            counts = [x.astype(np.uint32).tobytes() if x.max(initial=0) < 2**32 else x.tobytes() for x in np.split(total, BLOCKS)]
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * BLOCKS, pa.int64()), pa.array(range(BLOCKS), pa.int32()), pa.array(counts, pa.binary())], names=["part", "block", "counts"])
 
     def numbers(raw: bytes) -> np.ndarray:
         return np.frombuffer(raw, np.uint32 if len(raw) == 4 * (1 << BITS) // BLOCKS else np.int64).astype(np.int64)
@@ -71,7 +73,7 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
         return pd.DataFrame({"part": pdf["part"][:1], "block": pdf["block"][:1], "counts": [sum(map(numbers, pdf["counts"]), np.zeros((1 << BITS) // BLOCKS, np.int64)).tobytes()]})
 
     schema = "part long, block int, counts binary"
-    n, level = docs.rdd.getNumPartitions(), docs.mapInPandas(tidy(count), schema)
+    n, level = docs.rdd.getNumPartitions(), docs.mapInArrow(tidy(count), schema)
     while n > 1:
         level = level.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part", "block").applyInPandas(add, schema)
         n = -(-n // FAN)
@@ -99,11 +101,12 @@ def signatures(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     usual = float(np.median(sketch))
     noise = usual + 3 * usual**0.5
 
-    def sign(batches):
+    def start():
         counts = shared.value
-        for pdf in batches:
+
+        def sign(texts):
             rows = []
-            for s in shingle_sets(pdf["text"].tolist()):
+            for s in shingle_sets(texts):
                 n = len(s)
                 must = (PERCENT * n + 99) // 100
                 est = counts[(s >> np.uint64(64 - BITS)).astype(np.int64)]
@@ -112,48 +115,47 @@ def signatures(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 prefix = s[order[: n - must + l]].astype(np.int64)
                 minima = np.array([mix(s ^ np.uint64(x)).min() for x in MINIMA] if n else [], np.uint64).astype(np.int64)
                 rows.append((n, l, int((est <= noise).sum()), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), prefix, minima))
-            yield pd.DataFrame(rows, columns=["n", "l", "rare", "sig", "prefix", "minima"]).assign(doc_id=pdf["doc_id"].astype("Int64").to_numpy(dtype=object) if len(pdf) else [])[["doc_id", "n", "l", "rare", "sig", "prefix", "minima"]]
+            return None, list(zip(*rows))
+
+        return sign
+
+    return over_texts(docs, start, "n long, l int, rare long, sig binary, prefix array<long>, minima array<long>")
 
-    return docs.mapInPandas(tidy(sign), "doc_id long, n long, l int, rare long, sig binary, prefix array<long>, minima array<long>")
 
+class Bitmap:
+    """Which values a column may have: a broadcast of bits of its values' hashes.
+
+    Its size follows the number of rows up to a bound. Far beyond that most bits are set, and it
+    keeps back little: joins are then what they would be without it.
+    """
 
-def bit_of(c):
-    return F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    def __init__(self, keys: DataFrame, *columns: str):
+        keys = keys.select(*columns)
+        self.bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (8 * keys.count()).bit_length()))
+        b = keys.select(self._bit(*columns).alias("bit"))
+        words = b.groupBy(F.shiftright("bit", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("_bits"))
+        self.words = durable(words, "bitmap")
 
+    def _bit(self, *columns):
+        return F.pmod(F.xxhash64(*columns), F.lit(1 << self.bits))
 
-def bitmap(keys: DataFrame, key: str) -> DataFrame:
-    """(word, bits) of a bitmap of fixed size over a column: at most 2^(FILTER_BITS - 6) rows."""
-    b = keys.select(bit_of(F.col(key)).alias("bit"))
-    return b.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
+    def mark(self, df: DataFrame, hit: str, *columns) -> DataFrame:
+        """``df`` with a column ``hit``: true for all rows with such values, and few others."""
+        at = df.withColumn("_bit", self._bit(*columns)).withColumn("_word", F.shiftright("_bit", 6)).join(F.broadcast(self.words), "_word", "left")
+        return at.withColumn(hit, F.coalesce(F.expr("(shiftright(_bits, cast(_bit & 63 as int)) & 1L) = 1"), F.lit(False))).drop("_bit", "_word", "_bits")
 
 
-def maybe_in(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
-    """Rows whose key's bit is set: all that are in the bitmap's column, and few others."""
-    at = df.withColumn("_bit", bit_of(F.col(key))).withColumn("_word", F.shiftright("_bit", 6))
-    hit = at.join(F.broadcast(bits.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))), "_word")
-    return hit.filter("(shiftright(_bits, cast(_bit & 63 as int)) & 1L) = 1").drop("_bit", "_word", "_bits")
+def maybe_in(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose column has one of the keys, and few others."""
+    return Bitmap(keys, key).mark(df, "_hit", column).filter("_hit").drop("_hit")
 
 
 def linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b, ...) whose whole shingle sets are similar enough."""
     pairs = durable(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    some = maybe_in(docs.filter("doc_id IS NOT NULL"), "doc_id", durable(bitmap(ids, "doc_id"), "bitmap"))
-
-    def make(batches):
-        for pdf in batches:
-            ids, sets, held = [], [], 0
-            for i, s in zip(pdf["doc_id"], shingle_sets(pdf["text"].tolist())):
-                ids.append(i)
-                sets.append(s.astype(np.int64))
-                held += len(s)
-                if held > MOST_VALUES:
-                    yield pd.DataFrame({"doc_id": ids, "s": sets})
-                    ids, sets, held = [], [], 0
-            if ids:
-                yield pd.DataFrame({"doc_id": ids, "s": sets})
-
-    sets = some.mapInPandas(tidy(make), "doc_id long, s array<long>")
+    some = maybe_in(docs.filter("doc_id IS NOT NULL"), "doc_id", ids, "doc_id")
+    sets = over_texts(some, lambda: lambda texts: (None, [[s.astype(np.int64) for s in shingle_sets(texts)]]), "s array<long>")
     one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     both = two.withColumn("k", F.size(F.array_intersect("sa", "sb")))  # row by row: no batch holds many long sets
@@ -191,9 +193,9 @@ def finer_star_pairs(classes: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(rep, sig, comp) after links (ca, cb) between components."""
+    """(rep, row, sig, comp) after links (ca, cb) between components."""
     m = components(links, "ca", "cb").select(F.col("node").alias("comp"), F.col("comp").alias("final"))
-    return durable(labels.join(m, "comp", "left").select("rep", "sig", F.coalesce("final", "comp").alias("comp")), "labels")
+    return durable(labels.join(m, "comp", "left").select("rep", "row", "sig", F.coalesce("final", "comp").alias("comp")), "labels")
 
 
 def cross_pairs(signed: DataFrame, labels: DataFrame) -> DataFrame:
@@ -204,10 +206,10 @@ def cross_pairs(signed: DataFrame, labels: DataFrame) -> DataFrame:
     Of equal sizes either may count as the shorter: the one with more rare tokens does, which
     has fewer frequent ones among its first. Pairs are made where that holds; their whole prefixes must then share what a link needs.
     """
-    own = signed.join(labels.select(F.col("rep").alias("doc_id"), "sig", "comp"), ["doc_id", "sig"])
-    t = own.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("rep"), "n", "l", "rare", "comp").withColumn("early", F.expr(f"pos <= n - ceil({2 * PERCENT} * n / {100 + PERCENT})")).drop("pos")
+    own = signed.select("row", "n", "l", "rare", "prefix").join(labels.select("row", "rep", "comp"), "row")
+    t = own.select(F.posexplode("prefix").alias("pos", "token"), "rep", "n", "l", "rare", "comp").withColumn("early", F.expr(f"pos <= n - ceil({2 * PERCENT} * n / {100 + PERCENT})")).drop("pos")
     spanning = durable(t.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("early").alias("any")).filter("lo <> hi").select("token", "any"), "spanning")
-    some = maybe_in(t, "token", durable(bitmap(spanning, "token"), "bitmap"))
+    some = maybe_in(t, "token", spanning, "token")
     x = durable(some.join(spanning, "token"), "tokens")
     main = x.filter("any").groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     # no more of a prefix can be shared than its tokens that span components
@@ -221,10 +223,11 @@ def cross_pairs(signed: DataFrame, labels: DataFrame) -> DataFrame:
     (ra, rb), (ca, cb) = pick("r"), pick("c")
     p = durable(p.select(ra.alias("a"), rb.alias("b"), ca.alias("ca"), cb.alias("cb")).distinct(), "candidates")
     ids = p.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    held = maybe_in(signed.filter("n > 0").select("doc_id", "n", "l", "prefix"), "doc_id", durable(bitmap(ids, "doc_id"), "bitmap"))
+    held = maybe_in(signed.filter("n > 0").select("doc_id", "n", "l", "prefix"), "doc_id", ids, "doc_id")
     for s in "ab":
         p = p.join(held.select(F.col("doc_id").alias(s), F.col("n").alias("n" + s), F.col("l").alias("l" + s), F.col("prefix").alias("p" + s)), s)
-    return p.filter(F.size(F.array_intersect("pa", "pb")) >= F.expr(NEED)).select("a", "b", "ca", "cb").distinct()
+    # written first: an aggregate right above the joins would keep the skew join from splitting a document of many pairs
+    return durable(p.filter(F.size(F.array_intersect("pa", "pb")) >= F.expr(NEED)).select("a", "b", "ca", "cb"), "near").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,11 +241,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     No rows give no rows; other columns are ignored.
     """
     d = id_text(docs, id_col, text_col)
-    signed = durable(signatures(d, frequency_sketch(d)), "signed")
-    classes = durable(signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = signed.select(F.col("doc_id").alias("rep"), "sig", "n", "rare", "minima").join(classes, ["rep", "sig"]).drop("sig").distinct()
-    reps = durable(reps, "reps")
-    labels = classes.select("rep", "sig", F.col("rep").alias("comp"))
+    signed = durable(signatures(d, frequency_sketch(d)).withColumn("row", F.monotonically_increasing_id()), "signed")
+    first = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    classes = durable(first.select("sig", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row")), "classes")
+    reps = durable(signed.select("row", "n", "rare", "minima").join(classes.select("row", "rep"), "row").drop("row"), "reps")
+    labels = classes.select("rep", "row", "sig", F.col("rep").alias("comp"))
     labels = merged(labels, linked(d, star_pairs(reps).select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))))
     labels = merged(labels, linked(d, finer_star_pairs(reps, labels)))
     labels = merged(labels, linked(d, cross_pairs(signed, labels)))
@@ -251,4 +254,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` of all documents; nulls, ties, empty, long and repeated texts: as stated there."""
     return near_duplicates(table(spark, sf_dir, "documents"))

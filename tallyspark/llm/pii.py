@@ -32,7 +32,7 @@ KINDS = ["email", "ip", "card", "phone"]
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+",  # a run that has digits enough, from its start
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
@@ -54,13 +54,25 @@ CUES = {
 MATCH = "array<struct<s:int,e:int,t:string,before:string,after:string>>"
 LABELERS = ["v_check", "v_gazetteer", "v_context", "v_beside"]
 SURE, ROUNDS = 0.95, 25
+PART = 128
+
+
+def parts(array: Column) -> Column:
+    """An array in parts of ``PART`` elements."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(array), F.lit(1)), F.lit(PART)), lambda i: F.slice(array, i, F.lit(PART)))
 
 
 def matches(text: Column, pattern: str, hint: str) -> Column:
-    """array<struct<s, e, t, before, after>> of a pattern's matches, in code points."""
+    """array<struct<s, e, t, before, after>> of a pattern's matches, in code points.
+
+    Folds copy what they have built at each step, so matches are placed part by part, after a
+    fold over the parts' lengths: a text of n matches takes about n * PART + (n / PART)^2 steps
+    of copying, not n^2.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     pairs = F.arrays_zip(found.alias("t"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"), F.slice(gaps, F.lit(2), F.size(found)).alias("h"))
+    last = lambda acc: F.element_at(acc, -1)
 
     def step(acc: Column, p: Column) -> Column:
         s = acc["pos"] + F.length(p["g"])
@@ -68,9 +80,13 @@ def matches(text: Column, pattern: str, hint: str) -> Column:
         one = F.struct(s.alias("s"), e.alias("e"), p["t"].alias("t"), F.right(p["g"], F.lit(24)).alias("before"), F.substring(p["h"], 1, 8).alias("after"))
         return F.struct(e.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(MATCH).alias("out"))
-    placed = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(hint), placed).otherwise(F.array().cast(MATCH))
+    def place(part: Column, at: Column) -> Column:
+        return F.aggregate(part, F.struct(at.alias("pos"), F.array().cast(MATCH).alias("out")), step, lambda acc: acc["out"])
+
+    lengths = F.transform(parts(pairs), lambda part: F.aggregate(part, F.lit(0), lambda n, p: n + F.length(p["g"]) + F.length(p["t"])))
+    starts = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(last(acc) + n)))
+    placed = F.flatten(F.zip_with(parts(pairs), F.slice(starts, F.lit(1), F.size(lengths)), place))
+    return F.when(text.rlike(hint) & (F.size(found) > 0), placed).otherwise(F.array().cast(MATCH))
 
 
 def luhn(digits: Column) -> Column:
@@ -149,8 +165,6 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def of(kind: str, loose: bool) -> Column:
         found = matches(t, (LOOSE if loose else BASE)[kind], HINT[f"loose {kind}" if loose else kind])
-        if kind == "card":
-            found = F.filter(found, lambda m: F.length(digits_of(m["t"])) >= 13)
         return F.transform(found, lambda m: candidate(kind, loose, m))
 
     return d.select("doc_id", F.concat(*[of(k, False) for k in KINDS], *[of(k, True) for k in LOOSE]).alias("cands"))
@@ -212,7 +226,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     and the looser candidates of which the span classifier is sure and that touch no base span.
     A null or empty text has none. Rows with repeated or null ids are judged each for itself;
     no rows give no rows; other columns are ignored. Texts without any candidate leave nothing
-    to learn from: all spans are then the base spans.
+    to learn from: all spans are then the base spans. The looser patterns take names of up to 64
+    characters, domains of up to 63 and endings of up to 8, as mail addresses have them. Texts
+    are read whole; their candidates are placed in parts, so many of them cost in proportion.
     """
     c = durable(candidates(docs, id_col, text_col), "pii")
     bias, weight = span_classifier(c)
@@ -225,15 +241,22 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             logit = logit + F.coalesce(w[F.concat_ws("|", x["kind"], F.lit(f), x[f].cast("string"))], F.lit(0.0))
         return logit > math.log(SURE / (1 - SURE))
 
-    base = F.filter("cands", lambda x: x["base"])
+    base = F.array_sort(F.transform(F.filter("cands", lambda x: x["base"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
     if weight:
-        more = F.filter("cands", lambda x: x["loose"] & sure(x) & ~F.exists("base_all", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
+        meets = lambda x, y: (y["s"] < x["e"]) & (x["s"] < y["e"])
+        # of many base spans whole parts are passed over
+        spread = F.transform(parts(F.col("base_all")), lambda p: F.struct(F.get(p, F.lit(0))["s"].alias("s"), F.array_max(p["e"]).alias("e"), p.alias("own")))
+        more = F.filter("cands", lambda x: x["loose"] & sure(x) & ~F.exists("spread", lambda y: meets(x, y) & F.exists(y["own"], lambda z: meets(x, z))))
+        c = c.withColumn("base_all", base).withColumn("spread", F.when(F.size("base_all") > 0, spread).otherwise(F.array().cast("array<struct<s:int,e:int,own:array<struct<s:int,e:int,kind:string>>>>")))
     else:
         more = F.filter("cands", lambda x: F.lit(False))
-    return c.withColumn("base_all", base).select("doc_id", F.transform("base_all", slim).alias("base"), F.concat(F.transform("base_all", slim), F.transform(more, slim)).alias("spans"))
+        c = c.withColumn("base_all", base)
+    return c.select("doc_id", F.transform("base_all", slim).alias("base"), F.concat(F.transform("base_all", slim), F.transform(more, slim)).alias("spans"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each document, from
+    ``find_pii``; what it says of nulls, empty and long texts and repeated rows holds."""
     found = find_pii(table(spark, sf_dir, "documents"))
     number = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *[number(k) for k in KINDS], F.sha2(span_digest(F.col("base"), KINDS).cast("binary"), 256).alias("base_sha256"), span_digest(F.col("spans"), KINDS).alias("spans"))

@@ -5,7 +5,7 @@ may be learnt from, the classifier's probability elsewhere) is summed by site an
 site over all documents. Beta priors shrink them: a site toward the global mean, a path toward
 its site, each by a strength that the spread of the level's means sets (method of moments), so
 sparse sites stay near the prior. A document's posterior odds are its classifier's odds moved
-from the prior of training to that of its path.
+from the prior of training to that of its path, as the other documents there have it.
 
 The site is ``source`` and the path within it ``lang``, as documents have no urls. The
 classifier is fitted on a bounded sample of labelled rows, about ``FIT_ROWS`` by a hash of the
@@ -16,12 +16,11 @@ any size are aggregated map-side, and the join back has one row per path on one
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import col, durable, table, tidy
+from .common import col, durable, over_texts, table
 from .language_id import remainder
 
 FIT_ROWS = 6000
@@ -63,16 +62,12 @@ class Logistic:
         return np.clip(self._z(x) @ self.weights, -12, 12)
 
 
-def measure(batches):
-    for pdf in batches:
-        yield pd.DataFrame({"i": pdf["i"], "y": pdf["y"], "x": [features(t) for t in pdf["t"]]})
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Logistic | None:
     """Executors measure the sampled whole texts; only the features come to the driver."""
     n = labels.count()
     some = labels.filter(F.pmod(F.xxhash64("i", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, FIT_ROWS / max(1, n))))
-    rows = docs.join(F.broadcast(some), "i").select("i", "y", "t").mapInPandas(tidy(measure), "i long, y int, x array<double>").collect()
+    sample = docs.join(F.broadcast(some), "i").select("i", "y", "t")
+    rows = over_texts(sample, lambda: lambda texts: (None, [[features(t) for t in texts]]), "x array<double>").collect()
     rows = sorted((r["i"], r["y"], r["x"]) for r in rows)
     y = np.array([float(r[1]) for r in rows])
     if not len(y) or y.min() == y.max():
@@ -100,7 +95,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     Null sites and null paths are groups of their own; a null text is an empty one. Labels
     that contradict each other count as their mean, at least half being good. Rows with a null
     id have no label. Repeated rows each count and are each scored. Without labels of both
-    kinds the evidence is even (0.5) and so is every score. No rows give no rows.
+    kinds the evidence is even (0.5) and so is every score. Ties of score go to good. No rows
+    give no rows; whole texts of any length are read; other columns are ignored. ``site_mean``
+    and ``path_mean`` leave the row's own evidence out.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -110,28 +107,35 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     model = fit(d, y)
     shared = spark.sparkContext.broadcast(model)
 
-    def read(batches):
+    def start():
         m = shared.value
-        for pdf in batches:
-            x = np.array([features(t) for t in pdf["t"]]).reshape(len(pdf), -1)
-            yield pd.DataFrame({"i": pdf["i"], "site": pdf["site"], "path": pdf["path"], "logit": m.logit(x) if m else np.zeros(len(pdf))})
 
-    seen = durable(d.mapInPandas(tidy(read), "i long, site string, path string, logit double"), "evidence")
-    known = seen.join(y, "i", "left").withColumn("e", F.coalesce(F.col("y").cast("double"), 1 / (1 + F.exp(-F.col("logit")))))
+        def judge(texts):
+            x = np.array([features(t) for t in texts]).reshape(len(texts), -1)
+            return None, [m.logit(x) if m else np.zeros(len(texts))]
+
+        return judge
+
+    seen = over_texts(d.select("i", "site", "path", "t"), start, "logit double")
+    known = seen.join(y, "i", "left").withColumn("e", F.coalesce(F.col("y").cast("double"), 1 / (1 + F.exp(-F.col("logit"))))).drop("y")
+    known = durable(known, "evidence")
     paths = durable(known.groupBy("site", "path").agg(F.sum("e").alias("e"), F.count(F.lit(1)).alias("n")), "paths")
     sites = durable(paths.groupBy("site").agg(F.sum("e").alias("e"), F.sum("n").alias("n")), "sites")
     total = sites.agg(F.sum("e").alias("e"), F.sum("n").alias("n")).first()
     prior = float(np.clip((total["e"] or 0.0) / max(1, total["n"] or 0), 1e-3, 1 - 1e-3)) if total["n"] else 0.5
     ks = strength(sites.select((F.col("e") / F.col("n")).alias("mean"), "n", F.lit(prior).alias("prior")))
-    sites = durable(sites.select("site", ((F.col("e") + ks * prior) / (F.col("n") + ks)).alias("site_mean")), "sites")
-    both = paths.join(sites, "site")
-    kp = strength(both.select((F.col("e") / F.col("n")).alias("mean"), "n", F.col("site_mean").alias("prior")))
-    both = durable(both.select("site", "path", "site_mean", ((F.col("e") + kp * F.col("site_mean")) / (F.col("n") + kp)).alias("path_mean")), "posteriors")
+    at_site = lambda e, n: (e + ks * prior) / (n + ks)
+    both = paths.join(sites.select("site", F.col("e").alias("se"), F.col("n").alias("sn")), "site")
+    kp = strength(both.select((F.col("e") / F.col("n")).alias("mean"), "n", at_site(F.col("se"), F.col("sn")).alias("prior")))
+    both = durable(both.select("site", "path", F.col("e").alias("pe"), F.col("n").alias("pn"), "se", "sn"), "sums")
     odds = lambda c: F.log(c / (1 - c))
-    held = F.least(F.greatest(F.col("path_mean"), F.lit(1e-3)), F.lit(1 - 1e-3))
     base = float(np.log(model.prior / (1 - model.prior))) if model else 0.0
+    # a document's own evidence, its label above all, is taken off before its path judges it
+    out = known.join(both, ["site", "path"]).withColumn("site_mean", at_site(F.col("se") - F.col("e"), F.col("sn") - 1))
+    out = out.withColumn("path_mean", (F.col("pe") - F.col("e") + kp * F.col("site_mean")) / (F.col("pn") - 1 + kp))
+    held = F.least(F.greatest(F.col("path_mean"), F.lit(1e-3)), F.lit(1 - 1e-3))
     p = 1 / (1 + F.exp(-(F.col("logit") - base + odds(held)))) if model else F.lit(0.5)
-    out = seen.join(both, ["site", "path"]).select(
+    out = out.select(
         F.col("i").alias("doc_id"), F.coalesce(remainder("i", 4) == 3, F.lit(False)).alias("held_out"),
         (1 / (1 + F.exp(-F.col("logit")))).alias("evidence"), "site_mean", "path_mean", p.alias("score"),
     )
@@ -139,4 +143,5 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``quality`` of all documents; nulls, ties, empty and repeated rows: as stated there."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -13,12 +13,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, span_digest, table, tidy
+from .common import id_text, over_texts, span_digest, table
 
 #: The base patterns, in the order that breaks ties; letters of ``assign`` in either case.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -55,8 +55,7 @@ def name_score(name: str) -> float:
 def literal_score(text: str) -> float:
     if len(text) < 6 or PLACEHOLDER.match(text) or any(c.isspace() for c in text):
         return 0.0
-    counts = [text.count(c) for c in set(text)]
-    entropy = -sum(n / len(text) * math.log2(n / len(text)) for n in counts)
+    entropy = -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
     kinds = bool(re.search("[a-z]", text)) + bool(re.search("[A-Z]", text)) + bool(re.search("[0-9]", text)) + bool(re.search("[^A-Za-z0-9]", text))
     return min(1.0, entropy / 3.0) * min(1.0, 0.5 + 0.25 * kinds) if kinds > 1 else 0.0
 
@@ -155,14 +154,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     no rows; other columns are ignored. Every pattern walks a text once, whatever its length.
     """
 
-    def read(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "spans": [[dict(zip(("kind", "s", "e", "score"), x)) for x in scan(t)] for t in pdf["text"]]})
+    def judge(texts):
+        return None, [[[dict(zip(("kind", "s", "e", "score"), x)) for x in scan(t)] for t in texts]]
 
-    return id_text(docs, id_col, text_col).mapInPandas(tidy(read), "doc_id long, spans array<struct<kind:string,s:int,e:int,score:double>>")
+    return over_texts(id_text(docs, id_col, text_col), lambda: judge, "spans array<struct<kind:string,s:int,e:int,score:double>>")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each document, from
+    ``find_secrets``; what it says of nulls, empty and long texts and repeated rows holds."""
     found = find_secrets(table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda x: x["kind"] != "secret"))
     number = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *[number(k) for k in KINDS[:3]], F.sha2(span_digest(F.col("base"), KINDS).cast("binary"), 256).alias("base_sha256"), span_digest(F.col("spans"), KINDS).alias("spans"))

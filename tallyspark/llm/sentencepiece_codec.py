@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import pickle
 import re
 
 import numpy as np
@@ -193,13 +194,17 @@ class Codec:
         return [out[i, fill[i] :].tobytes() for i in range(n)]
 
     def viterbi_long(self, unit: bytes) -> bytes:
-        """The same for one long unit, with memory in proportion to it."""
+        """The same for one long unit. Open ends are kept for the length of a piece only, the way
+        back as 6 bytes a byte, so memory is in proportion to the unit, at a small rate."""
         p, n = self.p, len(unit)
         base, check, value, scores = p.trie.base, p.trie.check, p.trie.value, p.scores
-        best, back = [float("-inf")] * (n + 1), [(0, -1)] * (n + 1)
+        ring = max(p.longest, 4) + 1
+        best = [float("-inf")] * ring
+        from_len, from_id = np.zeros(n + 1, np.int16), np.full(n + 1, -1, np.int32)
         best[0] = 0.0
         for i in range(n):
-            if best[i] == float("-inf"):
+            own, best[i % ring] = best[i % ring], float("-inf")
+            if own == float("-inf"):
                 continue
             c = unit[i]
             size = 1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4
@@ -211,16 +216,17 @@ class Codec:
                 state = t
                 if (v := int(value[t])) >= 0:
                     alone |= j + 1 - i == size
-                    if (s := best[i] + float(scores[v])) > best[j + 1]:
-                        best[j + 1], back[j + 1] = s, (j + 1 - i, v)
-            if not alone and (s := best[i] + p.fallback * size) > best[i + size]:
-                best[i + size], back[i + size] = s, (size, -1)
-        ids, at = [], n
+                    if (s := own + float(scores[v])) > best[(j + 1) % ring]:
+                        best[(j + 1) % ring], from_len[j + 1], from_id[j + 1] = s, j + 1 - i, v
+            if not alone and (s := own + p.fallback * size) > best[(i + size) % ring]:
+                best[(i + size) % ring], from_len[i + size], from_id[i + size] = s, size, -1
+        ids, fill, at = np.zeros(n, np.int32), n, n
         while at:
-            step, v = back[at]
-            ids += [v] if v >= 0 else [int(p.byte_ids[b]) for b in reversed(unit[at - step : at])]
-            at -= step
-        return np.array(ids[::-1], np.int32).tobytes()
+            step, v = int(from_len[at]), from_id[at]
+            one = 1 if v >= 0 else step
+            ids[fill - one : fill] = v if v >= 0 else p.byte_ids[list(unit[at - step : at])]
+            fill, at = fill - one, at - step
+        return ids[fill:].tobytes()
 
     def learn(self, units: list[str]) -> None:
         if len(self.cache) > CACHED:
@@ -229,9 +235,7 @@ class Codec:
         for u in units:
             if u == MARK:
                 self.cache[u] = self.p.byte_ids[list(MARK.encode())].astype(np.int32).tobytes()
-            elif len(raw := spelled(u)) > LONG_UNIT:
-                self.cache[u] = self.viterbi_long(raw)
-            else:
+            elif len(raw := spelled(u)) <= LONG_UNIT:
                 short.append((len(raw), u, raw))
         short.sort()
         for k in range(0, len(short), TOGETHER):
@@ -251,7 +255,8 @@ class Codec:
                     self.cache.clear()
                     new = {u for g in group for u in g}
                 self.learn(list(new))
-                out += [b"".join(map(self.cache.__getitem__, g)) for g in group]
+                held = self.cache.get  # of short units
+                out += [b"".join([held(u) or self.viterbi_long(spelled(u)) for u in g]) for g in group]
                 group, size = [], 0
         return out[: len(texts)]
 
@@ -280,7 +285,9 @@ def share(spark: SparkSession, model_file: str = MODEL_FILE):
     ship(spark)
     p = Pieces.load(model_file)
     state = {k: v for k, v in vars(p).items() if k != "trie"}
-    return spark.sparkContext.broadcast({"key": model_file, "state": state, "trie": (p.trie.base, p.trie.check, p.trie.value)})
+    trie = p.trie.base, p.trie.check, p.trie.value
+    key = hashlib.sha256(pickle.dumps((state, trie))).hexdigest()  # a file may change under its path
+    return spark.sparkContext.broadcast({"key": key, "state": state, "trie": trie})
 
 
 def encode(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,13 +19,12 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import col, table, tidy
+from .common import col, over_texts, table
 from .language_id import remainder
 
 WINDOW, LONG_WORD = 24, 64
@@ -189,15 +188,18 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def read(batches):
+    def start():
         m = shared.value
         zs = m.compressors() if m else []
-        for pdf in batches:
-            p = [m.score(m.margins(t, zs)) if m else 0.0 for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": p, "predicted": [int(x >= CUT) for x in p]})
 
-    d = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(remainder(id_col, 3) == 1, F.lit(False)).alias("held_out"), col(text_col).alias("text"))
-    return d.mapInPandas(tidy(read), "doc_id long, held_out boolean, score double, predicted int")
+        def judge(texts):
+            p = [m.score(m.margins(t, zs)) if m else 0.0 for t in texts]
+            return None, [p, [int(x >= CUT) for x in p]]
+
+        return judge
+
+    d = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(remainder(id_col, 3) == 1, F.lit(False)).alias("held_out"), col(text_col).cast("string").alias("text"))
+    return over_texts(d, start, "score double, predicted int")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

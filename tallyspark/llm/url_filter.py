@@ -79,8 +79,8 @@ def rule_events(rules: DataFrame) -> DataFrame:
 def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", target: int = 256, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 
-    A null url, or one without ``://``, has an empty host and path and fits no rule; ``rule``
-    is then null and ``verdict`` the ``default``. Of the rules that fit, that of the longest
+    A null url, or one without ``://``, has an empty host and path and fits no rule but one
+    with neither; else ``rule`` is null and ``verdict`` the ``default``. Of the rules that fit, that of the longest
     host and path together wins, of equally long ones that of the longer host; of rules with
     the same host and path, the verdict that sorts last. Repeated and null page ids are kept
     as they are. No rules: all pages get the default. No pages: no rows.
@@ -108,7 +108,11 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", targe
         dealt.unionByName(told).withColumn("top", F.last("event", ignorenulls=True).over(sweep)["now"])
         .filter("kind = 1 AND top IS NOT NULL").groupBy("host", "path").agg(F.max("top").alias("top"))
     )
-    return p.join(found, ["host", "path"], "left").select(
+    found = durable(found, "found")  # read back, it leaves the skew join free to split a url that many rows have
+    # urls without host and path, null ones above all, may be many: what they meet is one row
+    bare = (F.col("host") == "") & (F.col("path") == "")
+    halves = p.filter(~bare).join(found.filter(~bare), ["host", "path"], "left"), p.filter(bare).join(F.broadcast(found.filter(bare)), ["host", "path"], "left")
+    return halves[0].unionByName(halves[1]).select(
         "page_id", "host", "path", F.col("top.rule").alias("rule"), F.coalesce("top.verdict", F.lit(default)).alias("verdict")
     )
 
@@ -118,6 +122,7 @@ def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``url_filter`` of all pages by the fixed rules; nulls, ties and repeats: as stated there."""
     return url_filter(table(spark, sf_dir, "pages"), rules_frame(spark))
 
 

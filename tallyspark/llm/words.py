@@ -2,8 +2,8 @@
 
 Words are runs of anything but space and the controls 9 to 13, with A-Z in lower case. A
 word's hash is a polynomial in its bytes' random codes, taken from prefix sums, then mixed; a
-shingle's combines the hashes of its words. Texts are walked in segments of about ``SEGMENT``
-bytes that end at white space, so memory follows the segment or the longest single word.
+shingle's combines the hashes of its words. Texts are walked in segments of ``SEGMENT`` bytes,
+whatever their length and that of their words.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 WORDS_IN_SHINGLE = 5
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -31,35 +31,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_BASE, -1, 1 << 64)
-    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, b, np.uint64))]) for b in (_BASE, inverse))
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(SEGMENT, b, np.uint64))]) for b in (_BASE, inverse))
 
 
 def _segment_words(raw: bytes, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each word of a segment."""
+    """Polynomial, start and end of each word of at most ``SEGMENT`` bytes."""
     b = np.frombuffer(raw.lower(), np.uint8)
     gap = np.concatenate([[True], gaps[b], [True]])
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     start, end = edge[::2], edge[1::2]
-    up, down = _powers(max(SEGMENT, 1 << (len(b) - 1).bit_length() if len(b) else 0))
+    up, down = _powers()
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_CODES[b] * up[: len(b)], out=sums[1:])
-    h = (sums[end] - sums[start]) * down[start]
-    return mix(h + (end - start).astype(np.uint64) * _STEP), start, end
+    return (sums[end] - sums[start]) * down[start], start, end
 
 
-def _pieces(raw: bytes):
-    """Cuts a long text at white space."""
-    at = 0
-    while len(raw) - at > 2 * SEGMENT:
-        cut = at + SEGMENT
-        while cut < len(raw) and not _SPACE[raw[cut]]:
-            cut += 1
-        yield raw[at:cut]
-        at = cut
-    yield raw[at:]
+def _finished(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix(h + size.astype(np.uint64) * _STEP)
+
+
+def _long_text(raw: bytes, gaps: np.ndarray) -> np.ndarray:
+    """The words of a text of more than a segment. A word that goes on in the next segment is
+    put together from its parts' polynomials."""
+    out, part, size = [], 0, 0  # of the word at the end of what was read
+    for at in range(0, len(raw), SEGMENT):
+        piece = raw[at : at + SEGMENT]
+        h, start, end = _segment_words(piece, gaps)
+        n = end - start
+        if size and (not len(start) or start[0]):
+            out.append(_finished(np.array([part], np.uint64), np.array([size])))
+            part = size = 0
+        if not len(start):
+            continue
+        if size:
+            h[0] = np.uint64((part + pow(_BASE, size, 1 << 64) * int(h[0])) % (1 << 64))
+            n[0] += size
+        part, size = (int(h[-1]), int(n[-1])) if end[-1] == len(piece) else (0, 0)
+        done = len(h) - (size > 0)
+        out.append(_finished(h[:done], n[:done]))
+    if size:
+        out.append(_finished(np.array([part], np.uint64), np.array([size])))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def word_hashes(texts: list[str | None], gaps: np.ndarray = _SPACE) -> list[np.ndarray]:
@@ -71,7 +86,8 @@ def word_hashes(texts: list[str | None], gaps: np.ndarray = _SPACE) -> list[np.n
     def flush() -> None:
         nonlocal batch, held
         if batch:
-            h, start, _ = _segment_words(b"\n".join(x for _, x in batch), gaps)
+            h, start, end = _segment_words(b"\n".join(x for _, x in batch), gaps)
+            h = _finished(h, end - start)
             bounds = np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for _, x in batch)]))
             for (i, _), a, z in zip(batch, bounds[:-1], bounds[1:]):
                 out[i] = h[a:z]
@@ -80,12 +96,12 @@ def word_hashes(texts: list[str | None], gaps: np.ndarray = _SPACE) -> list[np.n
     for i, text in enumerate(texts):
         raw = (text or "").encode()
         if len(raw) > SEGMENT:
-            out[i] = np.concatenate([_segment_words(p, gaps)[0] for p in _pieces(raw)])
+            out[i] = _long_text(raw, gaps)
             continue
+        if held + len(raw) > SEGMENT:
+            flush()
         batch.append((i, raw))
         held += len(raw) + 1
-        if held >= SEGMENT:
-            flush()
     flush()
     return out
 
