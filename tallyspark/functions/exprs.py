@@ -98,9 +98,9 @@ def one_digit_day_apart(a, b) -> Column:
 
 
 def company_key(x) -> Column:
-    """Upper case, no dots or commas, no legal form, single spaces."""
+    """Upper case, no dots or commas, no legal form, single spaces. The legal forms."""
     bare = F.regexp_replace(F.upper(c(x)), "[.,]", "")
-    forms = F.regexp_replace(bare, r"\b(CO|COMPANY|CORP|INC|LTD|SAE|S A E|GROUP|HOLDING)\b", "")
+    forms = F.regexp_replace(bare, r"\b(LTD|CO|SAE|PLC|CORP|COMPANY)\b", "")
     return F.trim(F.regexp_replace(forms, r"\s+", " "))
 
 
@@ -109,18 +109,25 @@ def repair_digits(x) -> Column:
     return F.translate(c(x), "OoTIl", "00111")
 
 
+#: Marks without width and marks of direction, spaces, and digits and separators of
+#: Arabic and Persian script with their ASCII forms.
+NO_WIDTH = "[\\u200B-\\u200F\\u202A-\\u202E\\u2066-\\u2069\\uFEFF]"
+SPACES = "[\\u00A0\\u1680\\u2000-\\u200A\\u202F\\u205F\\u3000]"
+ARABIC = "".join(chr(0x660 + i) for i in range(10)) + "".join(chr(0x6F0 + i) for i in range(10)) + "\u066b\u066c"
+ASCII = "01234567890123456789.,"
+
+
 def clean_text(x) -> Column:
-    """No zero-width or direction marks, plain spaces, Arabic-Indic digits and marks as ASCII."""
-    t = F.regexp_replace(c(x), "[​-‏‪-‮⁦-⁩﻿]", "")
-    t = F.regexp_replace(t, "[  -  　]", " ")
-    return F.translate(t, "٠١٢٣٤٥٦٧٨٩٫٬", "0123456789.,")
+    """No zero-width or direction marks, plain spaces, Arabic and Persian digits and marks as ASCII."""
+    t = F.regexp_replace(c(x), NO_WIDTH, "")
+    return F.translate(F.regexp_replace(t, SPACES, " "), ARABIC, ASCII)
 
 
 def parse_price(x) -> Column:
-    """A comma before at most three last digits, and no dot, is a decimal mark; else it groups."""
-    t = F.trim(c(x))
-    decimal = t.rlike(r"^\d+,\d{1,3}$")
-    return F.expr("try_cast(NULL AS double)") if x is None else F.when(decimal, F.regexp_replace(t, ",", ".")).otherwise(F.regexp_replace(t, ",", "")).try_cast("double")
+    """A comma or dot before one to three last digits is a decimal mark; other commas group."""
+    t, p = F.trim(c(x)), r"^([\d,]*\d)[.,](\d{1,3})$"
+    decimal = F.concat(F.regexp_replace(F.regexp_extract(t, p, 1), ",", ""), F.lit("."), F.regexp_extract(t, p, 2))
+    return F.when(t.rlike(p), decimal).otherwise(F.regexp_replace(t, ",", "")).try_cast("double")
 
 
 def whole_shares(x, tolerance: float = 0.03) -> Column:

@@ -104,26 +104,29 @@ def open_position_stats(lots: DataFrame, prices: DataFrame, today) -> DataFrame:
     )
 
 
-def portfolio_health(lots: DataFrame, prices: DataFrame, cash: DataFrame) -> DataFrame:
-    """Concentration, largest position and health; a lot without a price counts at entry price.
+def portfolio_health(lots: DataFrame, prices: DataFrame, cash: DataFrame, r: DataFrame) -> DataFrame:
+    """Open lots, concentration, largest position, best and worst realized return, health; a lot
+    without a price counts at entry price.
 
-    ``cash``: portfolio_id, cash_micros. Ties of the largest go to the ticker that sorts first.
+    ``cash``: portfolio_id, cash_micros; ``r``: realized allocations. Ties of the largest go to
+    the ticker that sorts first. Without realized allocations best and worst are 0.
     """
     v = lots.filter("remaining_shares > 0").join(prices, "ticker", "left").withColumn("v", half_up(F.coalesce("price", "entry_price") * 1e6 * F.col("remaining_shares")))
-    t = v.groupBy("portfolio_id", "ticker").agg(F.sum("v").alias("v"))
+    t = v.groupBy("portfolio_id", "ticker").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("k"))
     total = F.sum("v").over(Window.partitionBy("portfolio_id"))
     t = t.withColumn("w", F.when(total > 0, F.col("v") / F.when(total > 0, total)).otherwise(F.lit(0.0)))
     g = t.groupBy("portfolio_id").agg(
-        F.sum("v").alias("value_micros"), (F.sum(half_up(F.col("w") * F.col("w") * 1e12)) / 1e12).alias("hhi"),
+        F.sum("v").alias("value_micros"), F.sum("k").alias("open_trades"), (F.sum(half_up(F.col("w") * F.col("w") * 1e12)) / 1e12).alias("hhi"),
         F.min_by("ticker", F.struct(-F.col("v"), F.col("ticker"))).alias("largest_ticker"), F.max("w").alias("w"),
     )
     g = g.join(cash, "portfolio_id", "left").withColumn("cash_micros", F.coalesce("cash_micros", F.lit(0)))
+    g = g.join(r.groupBy("portfolio_id").agg(F.max("return_pct").alias("best"), F.min("return_pct").alias("worst")), "portfolio_id", "left").fillna(0.0, ["best", "worst"])
     equity = F.col("value_micros") + F.col("cash_micros")
     diversification = (1 - F.col("hhi")) * 100
     cash_pct = ratio_pct("cash_micros", equity)
     cash_score = F.when(F.col("value_micros") > 0, F.greatest(F.lit(0.0), 100 - 2 * F.abs(cash_pct - 20))).otherwise(F.lit(0.0))
     return g.select(
-        "portfolio_id", "value_micros", round_to("hhi", 6).alias("hhi"), round_to(diversification, 6).alias("diversification"), "largest_ticker",
+        "portfolio_id", "value_micros", "open_trades", round_to("best", 6).alias("largest_winner"), round_to("worst", 6).alias("largest_loser"), round_to("hhi", 6).alias("hhi"), round_to(diversification, 6).alias("diversification"), "largest_ticker",
         round_to(F.col("w") * 100, 6).alias("largest_pct"), round_to(cash_pct, 6).alias("cash_pct"), round_to(clamp(diversification * 0.6 + cash_score * 0.4, 0.0, 100.0), 6).alias("health"),
     )
 
@@ -137,13 +140,28 @@ def sector_allocation(lots: DataFrame, prices: DataFrame) -> DataFrame:
     return s.select("portfolio_id", "sector", "value_micros", round_to(F.col("value_micros") / F.sum("value_micros").over(w) * 100, 6).alias("pct"), rank.alias("ord"))
 
 
-def strategy_attribution(r: DataFrame, tags: Column) -> DataFrame:
-    """Results by tag; a trade with several tags counts in full for each, once a tag."""
-    t = r.withColumn("tag", F.explode(F.array_distinct(tags))).filter("tag <> ''")
-    p = to_micros("return_pct")
-    return t.groupBy("portfolio_id", "tag").agg(
-        F.sum("pnl_micros").alias("pnl_micros"), F.count(F.lit(1)).alias("n"), round_to(win_rate(), 6).alias("win_rate"), profit_factor().alias("profit_factor"),
-        round_to(F.sum(p).cast("double") / F.count(F.lit(1)) / 1e6, 6).alias("avg_return"), F.count_distinct("trade_id").alias("n_trades"),
+def strategy_attribution(trades: DataFrame, r: DataFrame, journal: DataFrame | None = None) -> DataFrame:
+    """Results by tag, by falling result (``ord``; ties by tag).
+
+    ``trades``: portfolio_id, trade_id, tags; ``journal``: trade_id, ord, tags. A trade has its
+    own tags and those of its last journal entry, each once; it counts in full for each of
+    them, sold or not. Allocations are summed by trade before tags multiply them.
+    """
+    t = trades.select("portfolio_id", "trade_id", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    if journal is not None:
+        last = journal.groupBy("trade_id").agg(F.max_by("tags", "ord").alias("more"))
+        t = t.join(last, "trade_id", "left").withColumn("tags", F.array_union("tags", F.coalesce("more", F.array().cast("array<string>")))).drop("more")
+    gain, loss = (F.sum(F.greatest(F.lit(0), sign * F.col("pnl_micros"))) for sign in (1, -1))
+    sums = {"n": F.count(F.lit(1)), "wins": F.count_if(F.col("pnl_micros") > 0), "gain": gain, "loss": loss, "pnl": F.sum("pnl_micros"), "cost": F.sum("cost_micros")}
+    by_trade = r.groupBy("trade_id").agg(*[v.alias(k) for k, v in sums.items()])
+    each = t.select("portfolio_id", "trade_id", F.explode(F.array_distinct("tags")).alias("tag")).filter("tag <> ''").join(by_trade, "trade_id", "left").fillna(0, list(sums))
+    g = each.groupBy("portfolio_id", "tag").agg(F.count(F.lit(1)).alias("n_trades"), *[F.sum(k).alias(k) for k in sums])
+    part = lambda x, y, scale=1.0: F.when(F.col(y) > 0, F.col(x) / F.when(F.col(y) > 0, F.col(y)) * scale).otherwise(F.lit(0.0))
+    factor = F.when(F.col("loss") > 0, round_to(part("gain", "loss"), 6)).when(F.col("gain") > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))
+    rank = F.row_number().over(Window.partitionBy("portfolio_id").orderBy(F.desc("pnl"), "tag"))
+    return g.select(
+        "portfolio_id", "tag", rank.alias("ord"), "n_trades", F.col("n").alias("n_allocations"), round_to(part("wins", "n", 100.0), 6).alias("win_rate"), factor.alias("profit_factor"),
+        F.col("pnl").alias("pnl_micros"), F.when(F.col("n") > 0, money_div("pnl", "n")).otherwise(0).alias("avg_pnl_micros"), round_to(part("pnl", "cost", 100.0), 6).alias("return_pct"),
     )
 
 
@@ -161,10 +179,41 @@ def status_counts(lots: DataFrame) -> DataFrame:
     return lots.groupBy("ticker").agg(n("open"), n("partial"), n("closed"))
 
 
-def dashboard_totals(by_portfolio: DataFrame) -> DataFrame:
-    """One row over all portfolios: sums, mean deployment, best and worst by realized result
-    (ties: the smallest id)."""
-    return by_portfolio.agg(
-        F.sum("value_micros").alias("value_micros"), F.sum("cost_micros").alias("cost_micros"), round_to(F.avg("deployment"), 4).alias("mean_deployment"),
-        F.min_by("portfolio_id", F.struct(-F.col("value_micros"), F.col("portfolio_id"))).alias("largest"), F.min_by("portfolio_id", F.struct("value_micros", "portfolio_id")).alias("smallest"),
+def portfolio_rollup(positions: DataFrame, r: DataFrame, dividends: DataFrame) -> DataFrame:
+    """By portfolio: value (cost where no price is known), cost, realized and unrealized results,
+    dividends, in micros."""
+    p = positions.groupBy("portfolio_id").agg(F.sum(F.coalesce("value_micros", "cost_micros")).alias("value_micros"), F.sum("cost_micros").alias("cost_micros"), F.sum(F.coalesce("unrealized_micros", F.lit(0))).alias("unrealized_micros"))
+    a = r.groupBy("portfolio_id").agg(F.sum("pnl_micros").alias("realized_micros"))
+    d = dividends.groupBy("portfolio_id").agg(F.sum("amount_micros").alias("dividend_micros"))
+    sums = ["value_micros", "cost_micros", "unrealized_micros", "realized_micros", "dividend_micros"]
+    return p.join(a, "portfolio_id", "full_outer").join(d, "portfolio_id", "full_outer").fillna(0, sums).select("portfolio_id", *sums)
+
+
+def dashboard_totals(rollup: DataFrame, cash: DataFrame, returns: DataFrame) -> DataFrame:
+    """One row over all portfolios: sums, return weighted by assets, mean deployment, and the best
+    and worst portfolio by total return (ties: the smallest id).
+
+    ``returns``: portfolio_id, total_pct, deployment.
+    """
+    j = rollup.join(cash, "portfolio_id", "left").join(returns, "portfolio_id", "left").fillna(0, ["cash_micros"]).fillna(0.0, ["total_pct", "deployment"])
+    assets = F.col("value_micros") + F.col("cash_micros")
+    pct = to_micros("total_pct")
+    money = ["cash_micros", "value_micros", "cost_micros", "realized_micros", "unrealized_micros", "dividend_micros"]
+    g = j.agg(
+        *[F.sum(c).alias(c) for c in money], F.sum(assets).alias("assets_micros"), F.sum(pct.cast("decimal(19,0)") * assets.cast("decimal(19,0)")).cast("double").alias("weighted"), (F.sum(to_micros("deployment")) / F.count(F.lit(1))).alias("deployed"),
+        F.min_by("portfolio_id", F.struct(-pct, F.col("portfolio_id"))).alias("best"), F.min_by("portfolio_id", F.struct(pct, F.col("portfolio_id"))).alias("worst"),
     )
+    weighted = F.when(F.col("assets_micros") > 0, F.col("weighted") / F.when(F.col("assets_micros") > 0, F.col("assets_micros")) / 1e6).otherwise(F.lit(0.0))
+    return g.select(*money, round_to(weighted, 4).alias("weighted_return"), round_to(F.col("deployed") / 1e6, 4).alias("mean_deployment"), "best", "worst")
+
+
+def summary(parts: dict[str, DataFrame], portfolios: DataFrame) -> DataFrame:
+    """One flat row a portfolio: the columns of all parts side by side, each named after its part
+    where a name occurs twice; numbers that a part has none of are 0."""
+    seen: set[str] = {"portfolio_id"}
+    out = portfolios.select("portfolio_id").distinct()
+    for name, df in parts.items():
+        new = [(c, c if c not in seen else f"{name}_{c}") for c in df.columns if c != "portfolio_id"]
+        seen |= {n for _, n in new}
+        out = out.join(df.select("portfolio_id", *[F.col(c).alias(n) for c, n in new]), "portfolio_id", "left")
+    return out.fillna(0)

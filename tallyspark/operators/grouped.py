@@ -25,6 +25,25 @@ def _run(df: DataFrame, keys: list[str], kernel, schema: str) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(lambda pdf: kernel(pdf), schema)
 
 
+def _by_key(df: DataFrame, keys: list[str], find, made: str) -> DataFrame:
+    """``find`` gets a key's rows in order and gives a list of tuples, the columns of ``made``."""
+    names = [c.split()[0] for c in made.split(", ")]
+    types = dict(df.dtypes)
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = find(pdf.sort_values(["ord", "id"], kind="stable"))
+        out = pd.DataFrame(found, columns=names)
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0] if found else pd.Series(dtype=pdf[k].dtype))
+        return out
+
+    return _run(df, keys, kernel, ", ".join(f"{k} {types[k]}" for k in keys) + ", " + made)
+
+
+def _or_none(x):
+    return None if pd.isna(x) else x
+
+
 def _with_roles(rows: DataFrame, keys: list[str], needed: tuple[str, str]) -> DataFrame:
     """Rows of keys that hold both roles; only these need a kernel."""
     both = rows.groupBy(*keys).agg(F.count_if(F.col("role") == needed[0]).alias("a"), F.count_if(F.col("role") == needed[1]).alias("b"))
@@ -70,133 +89,162 @@ def allocate(rows: DataFrame, keys: list[str]) -> DataFrame:
 def match_greedy(candidates: list[tuple], evidence: list[tuple], tolerance: float = 0.05) -> dict:
     """Candidate id to evidence id, each evidence used once, both in their order.
 
-    Rows: (id, side, shares, price, minutes); null shares, price or time of evidence match any.
+    Candidates: (id, side, shares, price, minutes, day); evidence the same and its total value.
+    Dated evidence must be of the candidate's day and have its value within the tolerance,
+    undated evidence its shares, and a price within it. Times that both know must be equal;
+    midnight is a time like any other.
     """
-    used, out = set(), {}
-    for cid, side, shares, price, minutes in candidates:
-        for eid, eside, eshares, eprice, eminutes in evidence:
-            if eid in used or eside != side or (eshares is not None and abs(eshares - shares) > DUST):
-                continue
-            if eprice is not None and abs(eprice - price) > max(eprice, price) * tolerance:
-                continue
-            if minutes is not None and eminutes is not None and minutes != eminutes:
-                continue
-            used.add(eid)
-            out[cid] = eid
-            break
+    if not evidence:
+        return {}
+    ids, sides, shares, prices, minutes, days, totals = (np.array(x, dtype=object) for x in zip(*evidence))
+    number = lambda x: np.array([np.nan if v is None else v for v in x], float)
+    shares, prices, minutes, totals = map(number, (shares, prices, minutes, totals))
+    dated = np.array([d is not None for d in days])
+    free = np.ones(len(ids), bool)
+    near = lambda a, b: np.abs(a - b) <= np.maximum(a, b) * tolerance
+    out = {}
+    for cid, side, n, price, at, day in candidates:
+        alike = free & (sides == side)
+        if at is not None:
+            alike &= np.isnan(minutes) | (minutes == at)
+        with np.errstate(invalid="ignore"):
+            fits = np.where(dated, (days == day) & near(totals, n * price), (shares == n) & near(prices, price))
+        hit = np.flatnonzero(alike & fits)
+        if len(hit):
+            free[hit[0]] = False
+            out[cid] = ids[hit[0]]
     return out
 
 
 def order_evidence(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id, evidence_id): matches, and orphan evidence with a null id. Rows: keys, role
-    ('candidate' or 'evidence'), ord, id, side, shares, price, minutes."""
+    ('candidate' or 'evidence'), ord, id, side, shares, price, minutes, day, total."""
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "id"], kind="stable")
-        tup = lambda d: [tuple(None if pd.isna(x) else x for x in r) for r in d[["id", "side", "shares", "price", "minutes"]].itertuples(index=False)]
-        c, e = tup(pdf[pdf.role == "candidate"]), tup(pdf[pdf.role == "evidence"])
-        got = match_greedy(c, e)
-        orphans = [x[0] for x in e if x[0] not in set(got.values())]
-        out = pd.DataFrame([*got.items(), *((None, x) for x in orphans)], columns=["id", "evidence_id"])
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+    def find(pdf: pd.DataFrame) -> list[tuple]:
+        part = lambda role, cols: [tuple(map(_or_none, r)) for r in pdf.loc[pdf.role == role, cols].itertuples(index=False)]
+        cols = ["id", "side", "shares", "price", "minutes", "day"]
+        evidence = part("evidence", [*cols, "total"])
+        got = match_greedy(part("candidate", cols), evidence)
+        used = set(got.values())
+        return [*got.items(), *((None, e[0]) for e in evidence if e[0] not in used)]
 
-    types = dict(rows.dtypes)
-    met = _run(_with_roles(rows, keys, ("candidate", "evidence")), keys, kernel, ", ".join(f"{k} {types[k]}" for k in keys) + ", id string, evidence_id string")
+    met = _by_key(_with_roles(rows, keys, ("candidate", "evidence")), keys, find, "id string, evidence_id string")
     alone = rows.filter("role = 'evidence'").join(rows.filter("role = 'candidate'").select(*keys).distinct(), keys, "left_anti")
     return met.unionByName(alone.select(*keys, F.lit(None).cast("string").alias("id"), F.col("id").alias("evidence_id")))
 
 
-def smallest_subset(pool: list[tuple], total: float, price: float, tolerance: float = 0.02) -> list | None:
-    """Ids of the fewest pool rows (id, shares, price) whose shares add up to the total and whose
-    mean price is within the tolerance; of equally few the first in the pool's order."""
-    if len(pool) > MOST_POOL_ROWS:
-        return None
+def smallest_subset(pool: list[tuple], total: float) -> list[int] | None:
+    """Places of the fewest pool rows (id, shares, price) whose shares add up to the total.
+
+    One choice is kept for each sum, the first of the fewest rows, so the work is the pool's size
+    times the number of sums up to the total.
+    """
     want = round(total * 1e6)
-    # by sum in millionths of a share: for each number of rows the choices that reach it
-    reach: dict[int, list[tuple]] = {0: [()]}
+    kept: dict[int, tuple[int, ...]] = {0: ()}
     for i, (_, shares, _) in enumerate(pool):
-        s = round(shares * 1e6)
-        if s > 0:
-            for had in sorted((k for k in reach if k + s <= want), reverse=True):
-                reach.setdefault(had + s, []).extend(c + (i,) for c in reach[had])
-    for choice in sorted((c for c in reach.get(want, []) if c), key=lambda c: (len(c), c)):
-        value = sum(pool[i][1] * pool[i][2] for i in choice) / sum(pool[i][1] for i in choice)
-        if abs(value - price) <= max(value, price) * tolerance:
-            return [pool[i][0] for i in choice]
-    return None
-
-
-def statement_aggregates(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, statement_id, parts): statement rows as sums of executions, each used once;
-    statements by rising shares. Rows: keys, role ('statement' or 'execution'), ord, id, shares,
-    price."""
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "id"], kind="stable")
+        step = round(shares * 1e6)
+        for had, rows in list(kept.items()):
+            now = had + step
+            if now <= want and len(rows) + 1 < len(kept.get(now, range(len(pool) + 2))):
+                kept[now] = (*rows, i)
+    return list(kept[want]) if want > 0 and kept.get(want) else None
+
+
+def statement_aggregates(rows: DataFrame, keys: list[str], tolerance: float = 0.02) -> DataFrame:
+    """(keys, statement_id, searched, parts): statement rows that are sums of executions, each used
+    once; statements by rising shares. The executions' mean price must be within the tolerance
+    of the statement's. Where more than ``MOST_POOL_ROWS`` executions are left nothing is
+    searched, and the row says so. Rows: keys, role ('statement' or 'execution'), ord, id,
+    shares, price."""
+
+    def find(pdf: pd.DataFrame) -> list[tuple]:
         pool = list(pdf.loc[pdf.role == "execution", ["id", "shares", "price"]].itertuples(index=False, name=None))
         found = []
         for sid, shares, price in pdf.loc[pdf.role == "statement"].sort_values("shares", kind="stable")[["id", "shares", "price"]].itertuples(index=False, name=None):
-            if parts := smallest_subset(pool, shares, price):
-                pool = [x for x in pool if x[0] not in set(parts)]
-                found.append((sid, ",".join(parts)))
-        out = pd.DataFrame(found, columns=["statement_id", "parts"])
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0] if found else pd.Series(dtype=pdf[k].dtype))
-        return out
+            if len(pool) > MOST_POOL_ROWS:
+                found.append((sid, False, None))
+            elif parts := smallest_subset(pool, shares):
+                mean = sum(pool[i][1] * pool[i][2] for i in parts) / sum(pool[i][1] for i in parts)
+                if abs(mean - price) <= max(mean, price) * tolerance:
+                    found.append((sid, True, ",".join(pool[i][0] for i in parts)))
+                    pool = [x for i, x in enumerate(pool) if i not in set(parts)]
+        return found
 
-    types = dict(rows.dtypes)
-    return _run(_with_roles(rows, keys, ("statement", "execution")), keys, kernel, ", ".join(f"{k} {types[k]}" for k in keys) + ", statement_id string, parts string")
+    return _by_key(_with_roles(rows, keys, ("statement", "execution")), keys, find, "statement_id string, searched boolean, parts string")
 
 
-def removal_suggestion(rows: list[tuple], verified: float, avg_cost: float | None = None) -> tuple[list, int] | None:
-    """The rows to remove so that the rest nets to the verified units, and how many other ways.
+def removal_suggestion(rows: list[tuple], units: float, avg_cost: float | None = None, existing: float = 0.0, existing_cost_micros: int | None = None) -> tuple[list, int, bool] | None:
+    """The rows to remove so that existing shares and the rest come to the units, how many other
+    ways there are, and whether mean cost ranked them.
 
-    Rows: (id, signed shares, price, confidence 0..2). Among proper subsets the best leaves a
-    mean buy price near ``avg_cost`` (by whole percents), then has the least confidence, then
-    the fewest rows, then comes first.
+    Rows: (id, signed shares, price, confidence 0..2). Of all proper subsets that one is best
+    that leaves the mean cost nearest to ``avg_cost`` (by whole percents; only among buys),
+    then has the least confidence, then the fewest rows, then comes first.
     """
     n = len(rows)
-    deficit = sum(r[1] for r in rows) - verified
-    if n < 2 or n > MOST_SUBSET_ROWS or abs(deficit) < DUST:
+    if not 0 < n <= MOST_SUBSET_ROWS:
+        return None
+    signed = np.array([r[1] for r in rows], float)
+    surplus = existing + signed.sum() - units
+    if abs(surplus) < DUST:
         return None
-    found = []
     sums = np.zeros(1)
-    for r in rows:
-        sums = np.concatenate([sums, sums + r[1]])
-    for mask in np.flatnonzero(np.abs(sums - deficit) <= DUST).tolist():
-        if not 0 < mask < 2**n - 1:
-            continue
-        chosen = [i for i in range(n) if mask >> i & 1]
-        bucket = 0
-        if avg_cost:
-            rest = [rows[i] for i in range(n) if not mask >> i & 1 and rows[i][1] > 0]
-            shares = sum(r[1] for r in rest)
-            bucket = round(100 * abs(sum(r[1] * r[2] for r in rest) / shares - avg_cost) / avg_cost) if shares else 100
-        found.append((bucket, sum(rows[i][3] for i in chosen), len(chosen), mask, chosen))
-    if not found:
+    for x in signed:
+        sums = np.concatenate([sums, sums + x])
+    masks = np.flatnonzero(np.abs(sums - surplus) < DUST)
+    masks = masks[(masks > 0) & (masks < 2**n - 1)]
+    if not len(masks):
         return None
-    best = min(found)
-    return [rows[i][0] for i in best[4]], len(found) - 1
+    taken = (masks[:, None] >> np.arange(n)) & 1
+    ranked = bool(avg_cost) and avg_cost > 0 and bool((signed > 0).all()) and (existing == 0 or existing_cost_micros is not None)
+    bucket = np.zeros(len(masks))
+    if ranked:
+        micros = np.array([np.floor(np.floor(r[2] * 1e6 + 0.5) * r[1] + 0.5) for r in rows])
+        cost, shares = (existing_cost_micros or 0) + (1 - taken) @ micros, existing + (1 - taken) @ signed
+        mean = np.floor(cost / np.where(shares > 0, shares, 1) + 0.5) / 1e6
+        bucket = np.where(shares > 0, np.floor(np.abs(mean - avg_cost) / avg_cost * 100 + 0.5), 2.0**53 - 1)
+    best = np.lexsort((masks, taken.sum(1), taken @ np.array([r[3] for r in rows]), bucket))[0]
+    return [rows[i][0] for i in np.flatnonzero(taken[best])], len(masks) - 1, ranked
 
 
 def mismatch_suggestions(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, remove, alternatives) where facts and verified units differ. Rows: keys, ord, id,
-    signed_shares, price, confidence, units, avg_cost."""
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "id"], kind="stable")
-        cost = pdf["avg_cost"].iloc[0]
-        got = removal_suggestion(list(zip(pdf["id"], pdf["signed_shares"], pdf["price"], pdf["confidence"])), pdf["units"].iloc[0], None if pd.isna(cost) else cost)
-        out = pd.DataFrame([(",".join(got[0]), got[1])] if got else [], columns=["remove", "alternatives"])
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0] if got else pd.Series(dtype=pdf[k].dtype))
-        return out
-
-    types = dict(rows.dtypes)
-    few = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, MOST_SUBSET_ROWS)).drop("n")
-    return _run(rows.join(few, keys, "left_semi"), keys, kernel, ", ".join(f"{k} {types[k]}" for k in keys) + ", remove string, alternatives long")
+    """(keys, searched, remove, alternatives, ranked): one row a key. Keys of more than
+    ``MOST_SUBSET_ROWS`` rows aren't searched, others may have no way: both have null ``remove``.
+    Rows: keys, ord, id, signed_shares, price, confidence, units, avg_cost, existing,
+    existing_cost_micros."""
+
+    def find(pdf: pd.DataFrame) -> list[tuple]:
+        one = pdf.iloc[0]
+        cost = _or_none(one["existing_cost_micros"])
+        got = removal_suggestion(list(zip(pdf["id"], pdf["signed_shares"], pdf["price"], pdf["confidence"])), one["units"], _or_none(one["avg_cost"]), one["existing"], None if cost is None else int(cost))
+        return [(True, ",".join(got[0]), got[1], got[2])] if got else [(True, None, None, None)]
+
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    few = sizes.filter(F.col("n") <= MOST_SUBSET_ROWS).drop("n")
+    made = "searched boolean, remove string, alternatives long, ranked boolean"
+    none = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in made.split(", ")[1:]]
+    return _by_key(rows.join(few, keys, "left_semi"), keys, find, made).unionByName(sizes.filter(F.col("n") > MOST_SUBSET_ROWS).select(*keys, F.lit(False).alias("searched"), *none))
+
+
+def duplicate_lots(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, remove): untouched lots that are probably read twice, of tickers with more shares
+    than the broker counts. With a mean cost and few lots as ``removal_suggestion`` finds them;
+    else the cheapest first, each only if the count isn't undershot. Rows: keys, ord, id, price,
+    shares, remaining, computed, units, avg_cost."""
+
+    def find(pdf: pd.DataFrame) -> list[tuple]:
+        one, whole = pdf.iloc[0], pdf[pdf["remaining"] == pdf["shares"]]
+        cost = _or_none(one["avg_cost"])
+        if cost is not None and 0 < len(whole) <= MOST_SUBSET_ROWS and (got := removal_suggestion([(i, n, p, 2) for i, n, p in zip(whole["id"], whole["shares"], whole["price"])], one["units"], cost)):
+            return [(",".join(got[0]),)]
+        left, ids = one["computed"], []
+        for i, n in whole.sort_values("price", kind="stable")[["id", "shares"]].itertuples(index=False):
+            if left > one["units"] and left - n >= one["units"]:
+                ids.append(i)
+                left -= n
+        return [(",".join(ids),)] if ids else []
+
+    return _by_key(rows, keys, find, "remove string")
 
 
 def repair_official_sells(lots: list[tuple], decided: list[tuple], sells: list[tuple]) -> dict:
@@ -247,3 +295,28 @@ def match_consuming(canonical: list[tuple], stored: list[tuple], tolerance: floa
             used.add(best[1])
             out[cid] = best[1]
     return out
+
+
+def repaired_official_sells(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sell_id, lot_id, shares): lines of official sales, first in first out; a sale that
+    its lots can't serve has one row without a lot. Rows: keys, role ('lot', 'decided' or
+    'sell'), ord (time order), id, lot_id (of decided lines), shares, at."""
+
+    def find(pdf: pd.DataFrame) -> list[tuple]:
+        part = lambda role, cols: [tuple(map(_or_none, r)) for r in pdf.loc[pdf.role == role, cols].itertuples(index=False)]
+        got = repair_official_sells(part("lot", ["id", "shares", "at"]), part("decided", ["lot_id", "shares"]), part("sell", ["id", "shares", "at"]))
+        return [(sid, lot, n) for sid, lines in got.items() for lot, n in (lines if lines is not None else [(None, None)])]
+
+    with_sells = rows.filter("role = 'sell'").select(*keys).distinct()
+    return _by_key(rows.join(with_sells, keys, "left_semi"), keys, find, "sell_id string, lot_id string, shares double")
+
+
+def matched_canonical(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, stored_id): canonical rows and the stored row that each takes, every stored row
+    once. Rows: keys, role ('canonical' or 'stored'), ord, id, number, price."""
+
+    def find(pdf: pd.DataFrame) -> list[tuple]:
+        part = lambda role: [tuple(map(_or_none, r)) for r in pdf.loc[pdf.role == role, ["id", "number", "price"]].itertuples(index=False)]
+        return list(match_consuming(part("canonical"), part("stored")).items())
+
+    return _by_key(_with_roles(rows, keys, ("canonical", "stored")), keys, find, "id string, stored_id string")

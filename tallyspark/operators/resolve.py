@@ -85,24 +85,40 @@ def time_clusters(facts: DataFrame) -> DataFrame:
 
 
 def date_misreads(facts: DataFrame, ids: Column) -> DataFrame:
-    """Pairs of rows alike but for one digit of the day: (id, other), the first other."""
+    """(id, other_date, n): rows but official ones that another row of the ticker equals in side,
+    shares and price (within 1 %) but for one digit of the day; the first such row's day."""
+    keys = ["portfolio_id", "ticker_id", "kind", "shares", "month"]
     f = facts.select("portfolio_id", "ticker_id", "kind", "shares", F.date_trunc("month", "execution_date").alias("month"), "execution_date", "price", "source", ids.alias("id"))
-    a = f.filter(authority("source") <= 1)
-    b = f.filter(authority("source") >= 4).select("portfolio_id", "ticker_id", "kind", "shares", "month", F.col("execution_date").alias("other_date"), F.col("price").alias("other_price"), F.col("id").alias("other"))
-    j = a.join(b, ["portfolio_id", "ticker_id", "kind", "shares", "month"])
+    rows = f.groupBy(*keys, F.col("execution_date").alias("other_date"), F.col("price").alias("other_price")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k"))
+    j = f.filter("source <> 'official-broker-excel'").join(rows, keys)
     j = j.filter(one_digit_day_apart("execution_date", "other_date") & within("price", "other_price", 0.01))
-    return j.groupBy("id").agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("n"))
+    return j.groupBy("id").agg(F.min_by("other_date", "first").alias("other_date"), F.sum("k").alias("n"))
 
 
 def wrong_tickers(facts: DataFrame, ids: Column) -> DataFrame:
-    """Rows of low authority whose side, day and shares a better row has under one other ticker
-    at a price within 10 %."""
-    f = facts.select("portfolio_id", "ticker_id", "kind", "shares", "execution_date", "price", authority("source").alias("rank"), ids.alias("id"))
-    a, b = f.filter("rank <= 1"), f.filter("rank >= 5")
-    b = b.select("portfolio_id", "kind", "shares", "execution_date", F.col("ticker_id").alias("other_ticker"), F.col("price").alias("other_price"))
-    j = a.join(b, ["portfolio_id", "kind", "shares", "execution_date"]).filter(F.col("ticker_id") != F.col("other_ticker")).filter(within("price", "other_price", 0.10))
-    g = j.groupBy("id").agg(F.min("other_ticker").alias("lo"), F.max("other_ticker").alias("hi"))
-    return g.filter("lo = hi").select("id", F.col("lo").alias("suggested_ticker"))
+    """(id, suggested_ticker): rows that aren't of high confidence whose side, day and shares stand
+    under another ticker at a price within 10 %; the first such row's ticker."""
+    keys = ["portfolio_id", "kind", "shares", "execution_date"]
+    f = facts.select(*keys, "ticker_id", "price", "confidence", ids.alias("id"))
+    rows = f.groupBy(*keys, F.col("ticker_id").alias("other_ticker"), F.col("price").alias("other_price")).agg(F.min("id").alias("first"))
+    j = f.filter("confidence <> 'high'").join(rows, keys).filter(F.col("ticker_id") != F.col("other_ticker")).filter(within("price", "other_price", 0.10))
+    return j.groupBy("id").agg(F.min_by("other_ticker", "first").alias("suggested_ticker"))
+
+
+def order_ticker_hints(entries: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(id, suggested_ticker): rows that aren't of high confidence, whose own ticker has no order
+    that fits while exactly one other ticker has.
+
+    ``evidence``: portfolio_id, ticker_id, kind, shares, price, minutes, day, total (fulfilled
+    orders). A dated order fits by day and value within 5 %, an undated one by shares and price.
+    """
+    e = entries.filter("confidence <> 'high'").select("id", "portfolio_id", "ticker_id", "kind", F.col("execution_date").alias("day"), "shares", "price", "minutes")
+    o = evidence.select("portfolio_id", F.col("ticker_id").alias("t"), "kind", F.col("shares").alias("s"), F.col("price").alias("p"), F.col("minutes").alias("m"), "day", "total").distinct()
+    dated = e.join(o.filter("day IS NOT NULL"), ["portfolio_id", "kind", "day"]).filter(within("total", F.col("shares") * F.col("price"), 0.05))
+    undated = e.join(o.filter("day IS NULL").drop("day").withColumn("shares", F.col("s")), ["portfolio_id", "kind", "shares"]).filter(F.col("p").isNotNull() & within("p", "price", 0.05))
+    fits = dated.select("id", "ticker_id", "t", "minutes", "m").unionByName(undated.select("id", "ticker_id", "t", "minutes", "m")).filter(~F.coalesce(F.col("minutes") != F.col("m"), F.lit(False)))
+    g = fits.groupBy("id").agg(F.bool_or(F.col("t") == F.col("ticker_id")).alias("own"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+    return g.filter("NOT own AND lo = hi").select("id", F.col("lo").alias("suggested_ticker"))
 
 
 def duplicate_dividends(cash: DataFrame) -> DataFrame:
@@ -112,86 +128,27 @@ def duplicate_dividends(cash: DataFrame) -> DataFrame:
     return d.join(first, ["portfolio_id", "day", "cents"]).filter("seq <> first_seq").select("seq", "first_seq", "portfolio_id", "day", "cents")
 
 
-def ticker_status(facts: DataFrame, verifications: DataFrame) -> DataFrame:
-    """Bought, sold and net shares of a ticker against the broker's units, and what that says.
-
-    Reasons in the order in which they apply: no-verification, stale (facts after it),
-    oversold, matched, all-low-confidence, missing-buys, missing-sells.
-    """
-    buy = F.sum(F.when(F.col("kind") == "BuyExecution", F.col("shares")).otherwise(0))
-    sell = F.sum(F.when(F.col("kind") == "SellExecution", F.col("shares")).otherwise(0))
-    g = facts.groupBy("portfolio_id", "ticker_id").agg(buy.alias("bought"), sell.alias("sold"), F.max("execution_date").alias("last_date"), F.max(authority("source")).alias("best"), F.count(F.lit(1)).alias("n"))
-    j = g.join(verifications, ["portfolio_id", "ticker_id"], "left")
-    net = F.col("bought") - F.col("sold")
-    reason = (
-        F.when(F.col("units").isNull(), "no-verification").when(F.col("last_date") > F.col("captured_on"), "stale").when(net < 0, "oversold")
-        .when(net == F.col("units"), "matched").when(F.col("best") <= 1, "all-low-confidence").when(net < F.col("units"), "missing-buys").otherwise("missing-sells")
-    )
-    return j.select("portfolio_id", "ticker_id", "bought", "sold", net.alias("net"), reason.alias("reason"), F.when(F.col("units").isNotNull(), F.col("units") - net).alias("gap"))
-
-
 def latest_verifications(v: DataFrame) -> DataFrame:
     """The first of the latest captured units of a portfolio and ticker."""
     return v.groupBy("portfolio_id", "ticker_id").agg(F.min_by(F.struct("units", "captured_on"), F.struct((-F.unix_date("captured_on")).alias("d"), F.col("ord"))).alias("v")).select("portfolio_id", "ticker_id", "v.units", "v.captured_on")
 
 
-def completeness(status: DataFrame) -> DataFrame:
-    """Share of the position that facts explain, and its class."""
-    score = F.when(F.col("gap").isNull(), F.lit(None).cast("int")).otherwise(F.greatest(F.lit(0), 100 - F.floor(100 * F.abs("gap") / F.greatest(F.lit(1), F.abs("gap") + F.abs("net")))).cast("int"))
-    s = status.withColumn("score", score)
-    return s.select("portfolio_id", "ticker_id", "score", F.when(F.col("score").isNull(), "unknown").when(F.col("score") == 100, "complete").when(F.col("score") >= 80, "nearly").when(F.col("score") >= 40, "partial").otherwise("sparse").alias("class"))
-
-
-def coverage_claims(facts: DataFrame) -> DataFrame:
-    """What each source's upload covers: its kind of claim, first and last day, tickers."""
-    claim = F.when(F.col("source") == "official-broker-excel", "all-tickers-in-range").when(F.col("source") == "statement", "ticker-in-range").when(F.col("source") == "invoice", "single-execution").otherwise("none")
-    return facts.groupBy("portfolio_id", "source", claim.alias("claim")).agg(F.min("execution_date").alias("first_day"), F.max("execution_date").alias("last_day"), F.count_distinct("ticker_id").alias("n_tickers"), F.count(F.lit(1)).alias("n"))
-
-
-def evidence_edges(facts: DataFrame) -> DataFrame:
-    """Edges of the evidence graph, counted: fact to ticker, fact to source, ticker to portfolio."""
-    one = lambda kind, a, b: facts.groupBy(F.lit(kind).alias("edge"), F.col(a).cast("string").alias("src"), F.col(b).cast("string").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
-    return one("reports", "source", "ticker_id").unionByName(one("held-in", "ticker_id", "portfolio_id")).unionByName(one("feeds", "source", "portfolio_id"))
-
-
-def merge_suggestions(facts: DataFrame) -> DataFrame:
-    """Tickers whose multiset of (side, day, shares) another ticker of the portfolio has too.
-
-    The multiset's digest is a sum over hashed rows, so it aggregates map-side; equal digests
-    of equal sizes are matched."""
-    row = F.xxhash64("kind", "execution_date", "shares").cast("decimal(38,0)")
-    other = F.xxhash64("shares", "kind", "execution_date").cast("decimal(38,0)")
-    g = facts.groupBy("portfolio_id", "ticker_id").agg(F.count(F.lit(1)).alias("n"), F.sum(row).alias("h1"), F.sum(other).alias("h2"))
-    b = g.select("portfolio_id", "n", "h1", "h2", F.col("ticker_id").alias("same_as"))
-    return g.join(b, ["portfolio_id", "n", "h1", "h2"]).filter("ticker_id <> same_as").select("portfolio_id", "ticker_id", "same_as", "n")
+#: Bytes of a row's digest that are summed as one number; a sum of 10^18 of them fits a decimal.
+LIMBS, LIMB_DIGITS = 5, 13
 
 
-def snapshot_hash(facts: DataFrame, fields: list[str]) -> DataFrame:
-    """A digest of each category, whatever the order of rows: rows are digested, digests sorted
-    and joined within parts, and the parts' digests joined in order. No list is longer than a
-    part of a category."""
+def snapshot_hash(facts: DataFrame, fields: list[str], category: str = "kind") -> DataFrame:
+    """A digest of each category and one of all ('*'), whatever the order of rows: rows are
+    digested, and the digests' limbs are added up, so nothing is listed and tasks begin the sums."""
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in fields])
-    rows = facts.select("kind", F.sha2(text, 256).alias("h")).withColumn("part", F.substring("h", 1, 2))
-    p = rows.groupBy("kind", "part").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("p"))
-    return p.groupBy("kind").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "p"))), lambda x: x["p"]), ","), 256).alias("digest"))
-
-
-def verdicts(facts: DataFrame) -> DataFrame:
-    """A verdict for each fact, counted: official and invoice rows verify themselves, other rows
-    are corroborated by a second source of the same canonical key, the rest needs review."""
-    f = with_price4(facts)
-    multi = cross_source_verified(facts).select(*CANONICAL).withColumn("multi", F.lit(True))
-    j = f.join(multi, CANONICAL, "left")
-    verdict = F.when(F.col("source").isin("official-broker-excel", "invoice"), "Verified").when(F.col("multi"), "Corroborated").otherwise("Needs Review")
-    return j.groupBy("portfolio_id", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def committable(facts: DataFrame) -> DataFrame:
-    """Portfolios and tickers none of whose facts needs review."""
-    f = with_price4(facts)
-    multi = cross_source_verified(facts).select(*CANONICAL).withColumn("multi", F.lit(True))
-    ok = F.col("source").isin("official-broker-excel", "invoice") | F.coalesce("multi", F.lit(False))
-    return f.join(multi, CANONICAL, "left").groupBy("portfolio_id", "ticker_id").agg(F.bool_and(ok).alias("committable"), F.count_if(~ok).alias("n_review"))
+    h = F.sha2(text, 256)
+    limb = lambda i: F.conv(F.substring("h", 1 + i * LIMB_DIGITS, LIMB_DIGITS if i < LIMBS - 1 else 64 - LIMB_DIGITS * (LIMBS - 1)), 16, 10).cast("decimal(20,0)")
+    rows = facts.select(F.col(category).alias("category"), h.alias("h"))
+    g = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), *[F.sum(limb(i)).alias(f"s{i}") for i in range(LIMBS)])
+    sums = F.concat_ws(",", *[F.col(f"s{i}").cast("decimal(38,0)").cast("string") for i in range(LIMBS)])
+    own = g.select("category", "n", F.sha2(sums, 256).alias("digest"))
+    every = own.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category", "digest"))), lambda x: F.concat_ws("=", x["category"], x["digest"])), ","), 256).alias("digest"))
+    return own.unionByName(every.select(F.lit("*").alias("category"), "n", "digest"))
 
 
 def compare_positions(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import authority, from_micros, ratio_pct, round_to
+from ..functions.exprs import authority
 
 TRACKING_START = "2026-01-01"
 
@@ -82,15 +82,6 @@ def default_portfolios(facts: DataFrame, choices: DataFrame) -> DataFrame:
     return g.join(choices, "ticker_id", "left").select("ticker_id", F.coalesce("choice", F.when(F.col("n") == 1, F.col("only"))).alias("portfolio_id"))
 
 
-def inventory_diagnosis(status: DataFrame) -> DataFrame:
-    """Contradictions of a ticker's facts and the hypotheses that they suggest, as an ordered list."""
-    h = F.array(
-        F.when((F.col("net") < 0), F.lit("missing-buys")), F.when(F.col("gap") > 0, F.lit("unrecorded-executions")), F.when(F.col("gap") < 0, F.lit("duplicate-or-unrecorded-sale")),
-        F.when((F.col("bought") == 0) & (F.col("sold") > 0), F.lit("opening-balance-missing")),
-    )
-    return status.select("portfolio_id", "ticker_id", F.array_join(F.array_compact(h), ",").alias("hypotheses"))
-
-
 def pending_confirmations(trades: DataFrame) -> DataFrame:
     """Pending rows by key, buys singly and sales by group."""
     buys = trades.filter("pending AND kind = 'BuyExecution'").select("portfolio_id", "ticker_id", F.lit("buy").alias("what"), F.col("shares").cast("bigint").alias("shares"))
@@ -112,14 +103,3 @@ def authority_retractions(facts: DataFrame, keys: list[str]) -> DataFrame:
     g = facts.groupBy(*keys).agg(F.max(authority("source")).alias("top"), F.count_distinct(t).alias("n_times"), F.count(F.lit(1)).alias("n"))
     j = facts.join(g.filter("n > 1 AND n_times <= 1"), keys).filter(authority("source") < F.col("top"))
     return j.groupBy("source").agg(F.count(F.lit(1)).alias("n_retracted"))
-
-
-def analytics_summary(realized: DataFrame, exposure: DataFrame) -> DataFrame:
-    """One flat row a portfolio: realized and unrealized results and returns on cost."""
-    r = realized.groupBy("portfolio_id").agg(F.sum("pnl_micros").alias("realized_micros"), F.sum("cost_micros").alias("closed_cost_micros"), F.count_distinct("trade_id").alias("n_trades"))
-    j = r.join(exposure.withColumnRenamed("cost_micros", "open_cost_micros"), "portfolio_id", "left")
-    unrealized = F.col("value_micros") - F.col("open_cost_micros")
-    return j.select(
-        "portfolio_id", "realized_micros", unrealized.alias("unrealized_micros"), "n_trades", round_to(ratio_pct("realized_micros", "closed_cost_micros"), 6).alias("realized_pct"),
-        round_to(F.when(F.col("open_cost_micros") > 0, unrealized / F.when(F.col("open_cost_micros") > 0, F.col("open_cost_micros")) * 100).otherwise(F.lit(0.0)), 6).alias("unrealized_pct"), from_micros("cash_micros").alias("cash"),
-    )

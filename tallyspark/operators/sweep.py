@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import authority, known_time
+from ..scratch import durable
 from .resolve import CONTENT
 
 
@@ -24,15 +25,6 @@ def completed_fields(facts: DataFrame, order: list) -> DataFrame:
     return need.withColumn("filled", donor["m"]).filter("filled IS NOT NULL").drop("ds")
 
 
-def canonical_transactions(facts: DataFrame) -> DataFrame:
-    """One row per content key and time cluster: its rows, sources, strongest source's price."""
-    t = known_time("minutes")
-    lone = facts.groupBy(*CONTENT).agg(F.count_if(t.isNull()).alias("_u"))
-    j = facts.join(lone, CONTENT).withColumn("cluster", F.when(F.col("_u") > 0, F.lit(-1)).otherwise(t))
-    best = F.struct(authority("source").alias("a"), F.col("price"))
-    return j.groupBy(*CONTENT, "cluster").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("n_sources"), F.max(authority("source")).alias("best_rank"), F.max(best).alias("b")).select(*CONTENT, "cluster", "n", "n_sources", "best_rank", F.col("b.price").alias("price"))
-
-
 def official_coverage(facts: DataFrame) -> DataFrame:
     """Tickers whose every row is official or has an official twin of its day and side."""
     days = ["portfolio_id", "ticker_id", "kind", "execution_date"]
@@ -41,20 +33,11 @@ def official_coverage(facts: DataFrame) -> DataFrame:
     return j.groupBy("portfolio_id", "ticker_id").agg(F.bool_and("ok").alias("fully_official"), F.count_if("ok").alias("n_covered"), F.count(F.lit(1)).alias("n"))
 
 
-def root_causes(status: DataFrame) -> DataFrame:
-    """Unresolved tickers by cause: mismatches that one, few or many shares explain, and missing
-    verifications by whether anything is held."""
-    gap = F.abs("gap")
-    cause = (
-        F.when(F.col("reason") == "matched", None).when((F.col("reason") == "no-verification") & (F.col("net") > 0), "NV-1").when((F.col("reason") == "no-verification") & (F.col("net") == 0), "NV-2")
-        .when(F.col("reason") == "no-verification", "NV-3").when(gap <= 10, "MM-1").when(gap <= 500, "MM-2").otherwise("MM-3")
-    )
-    return status.withColumn("cause", cause).filter("cause IS NOT NULL").groupBy("cause").agg(F.count(F.lit(1)).alias("n"))
-
-
-def ticker_split(status: DataFrame) -> DataFrame:
-    """Active and completed tickers of a portfolio, and how many match."""
-    return status.groupBy("portfolio_id").agg(F.count_if(F.col("net") != 0).alias("n_active"), F.count_if(F.col("net") == 0).alias("n_completed"), F.count_if(F.col("reason") == "matched").alias("n_matched"), F.count_if(F.col("reason") != "matched").alias("n_unmatched"))
+def ticker_split(tickers: DataFrame, resolved: DataFrame) -> DataFrame:
+    """By portfolio: tickers still active and completed (``resolved``: keys, resolved), and how
+    many of the active ones match."""
+    j = tickers.join(resolved, ["portfolio_id", "ticker_id"], "left").withColumn("done", F.coalesce("resolved", F.lit(False)))
+    return j.groupBy("portfolio_id").agg(F.count_if(~F.col("done")).alias("n_active"), F.count_if("done").alias("n_completed"), F.count_if(~F.col("done") & F.col("matched")).alias("n_matched"), F.count_if(~F.col("done") & ~F.col("matched")).alias("n_unmatched"))
 
 
 def unique_invoice_matches(pending: DataFrame, invoices: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,13 +66,13 @@ def closed_positions(facts: DataFrame) -> DataFrame:
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node): all nodes that the seeds reach over edges (a, b) in either direction, by rounds
-    from the newest nodes only; each round's nodes are joined, none is collected."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = fresh = seeds.select("node").distinct()
+    from the newest nodes only. Each round is written to the shared folder, so plans don't grow
+    and a lost executor costs one round."""
+    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    seen = fresh = durable(seeds.select("node").distinct(), "seen")
     while fresh.limit(1).count():
-        fresh = both.join(fresh.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
-        fresh = fresh.cache()
-        seen = seen.unionByName(fresh)
+        fresh = durable(both.join(fresh.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti"), "fresh")
+        seen = durable(seen.unionByName(fresh), "seen")
     return seen
 
 

@@ -66,9 +66,40 @@ def price_as_of(probes: DataFrame, prices: DataFrame, key: str, day: str = "day"
     return both.withColumn("close", F.last("_close", ignorenulls=True).over(w)).filter("_probe = 1").drop("_day", "_probe", "_close")
 
 
-def period_performance(deltas: DataFrame, today, unit: str = "month") -> DataFrame:
-    """Every period from the first activity to today: own results over the peak of open cost
-    through the period's end."""
+def unrealized_by_period(trades: DataFrame, allocations: DataFrame, prices: DataFrame, today, unit: str = "month") -> DataFrame:
+    """(portfolio_id, period, unrealized_micros) of the lots open at each period's end, today's at
+    the latest, at the last close on or before it; tickers without a close count nothing.
+
+    ``prices``: ticker, price_date, close. A lot is a step function of time: allocations before
+    its own day count from that day, and one that is closed beyond its shares counts nothing.
+    Steps are summed by ticker and period before they are laid out over the periods, so the
+    rows follow tickers times periods, not lots times periods.
+    """
+    end = F.lit(today).cast("date")
+    t = trades.select("trade_id", "portfolio_id", "ticker", "shares", F.col("execution_date").alias("bought"), unit_cost().alias("unit"))
+    sold = allocations.groupBy("trade_id", F.col("execution_date").alias("day")).agg(F.sum("shares_closed").alias("closed"))
+    steps = t.select("trade_id", F.col("bought").alias("day"), F.lit(0.0).alias("closed")).unionByName(sold)
+    steps = steps.join(t, "trade_id").groupBy("trade_id", "portfolio_id", "ticker", "shares", "unit", F.greatest("day", "bought").alias("day")).agg(F.sum("closed").alias("closed"))
+    w = Window.partitionBy("trade_id").orderBy("day")
+    left = F.greatest(F.lit(0.0), F.col("shares") - F.sum("closed").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    before = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0))
+    steps = steps.withColumn("left", left).withColumn("cost", to_micros(F.col("left") * F.col("unit")))
+    steps = steps.withColumn("step", F.col("left") - before("left")).withColumn("cost_step", F.col("cost") - before("cost")).filter(F.col("day") <= end)
+    by_period = steps.groupBy("portfolio_id", "ticker", F.trunc("day", unit).alias("period")).agg(F.sum("step").alias("shares"), F.sum("cost_step").alias("cost_micros"))
+    spine = by_period.groupBy("portfolio_id", "ticker").agg(F.min("period").alias("p")).select("portfolio_id", "ticker", F.explode(F.sequence("p", F.trunc(end, unit), F.expr(f"interval 1 {unit}"))).alias("period"))
+    run = Window.partitionBy("portfolio_id", "ticker").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
+    held = spine.join(by_period, ["portfolio_id", "ticker", "period"], "left")
+    held = held.select("portfolio_id", "ticker", "period", F.sum(F.coalesce("shares", F.lit(0.0))).over(run).alias("shares"), F.sum(F.coalesce("cost_micros", F.lit(0))).over(run).alias("cost_micros"))
+    last_day = F.least(F.date_add(F.add_months("period", 12 if unit == "year" else 1), -1), end)
+    probes = held.select("ticker", "period").distinct().withColumn("day", last_day)
+    closes = price_as_of(probes, prices, "ticker").filter("close IS NOT NULL").select("ticker", "period", "close")
+    value = to_micros(F.col("close") * F.col("shares")) - F.col("cost_micros")
+    return held.join(closes, ["ticker", "period"]).groupBy("portfolio_id", "period").agg(F.sum(value).alias("unrealized_micros"))
+
+
+def period_performance(deltas: DataFrame, today, unit: str = "month", unrealized: DataFrame | None = None) -> DataFrame:
+    """Every period from the first activity to today: own results, and the change of
+    ``unrealized`` results within it, over the peak of open cost through the period's end."""
     s = daily_states(deltas)
     end = F.lit(today).cast("date")
     first = s.groupBy("portfolio_id").agg(F.min("day").alias("d")).filter(F.col("d") <= end)
@@ -78,22 +109,46 @@ def period_performance(deltas: DataFrame, today, unit: str = "month") -> DataFra
     j = spine.join(own, ["portfolio_id", "period"], "left")
     filled = j.select("portfolio_id", "period", *[F.coalesce(F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias(c) for c in ("pnl", "dividend", "peak")])
     own_of = lambda c: F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0))
-    f = filled.withColumn("own_pnl", own_of("pnl")).withColumn("own_div", own_of("dividend"))
+    if unrealized is None:
+        filled = filled.withColumn("unrealized_micros", F.lit(0).cast("bigint"))
+    else:
+        filled = filled.join(unrealized, ["portfolio_id", "period"], "left").fillna(0, ["unrealized_micros"])
+    f = filled.withColumn("own_pnl", own_of("pnl")).withColumn("own_div", own_of("dividend")).withColumn("own_open", own_of("unrealized_micros"))
     pct = lambda c: round_to(F.when(F.col("peak") > 0, F.col(c) / F.when(F.col("peak") > 0, F.col("peak")) * 100).otherwise(F.lit(0.0)), 6)
-    return f.select("portfolio_id", F.date_format("period", "yyyy-MM-dd").alias("period"), F.col("own_pnl").alias("pnl_micros"), pct("own_pnl").alias("realized_pct"), pct("own_div").alias("dividend_pct"))
+    return f.select("portfolio_id", F.date_format("period", "yyyy-MM-dd").alias("period"), F.col("own_pnl").alias("pnl_micros"), pct("own_pnl").alias("realized_pct"), pct("own_div").alias("dividend_pct"), pct("own_open").alias("unrealized_pct"))
 
 
 def comparison_curve(curve: DataFrame) -> DataFrame:
-    """All days of all portfolios, each portfolio's value carried forward."""
+    """Realized and dividend return together, of each portfolio on all days that any has from its
+    first on, carried forward."""
     days = curve.select("day").distinct()
+    last = days.agg(F.max("day")).first()[0]
     each = curve.groupBy("portfolio_id").agg(F.min("day").alias("first"))
-    spine = each.join(days, F.col("day") >= F.col("first")).select("portfolio_id", "day")
+    spine = each.select("portfolio_id", F.explode(F.sequence("first", F.lit(last).cast("date"))).alias("day")).join(days, "day", "left_semi")
     w = Window.partitionBy("portfolio_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return spine.join(curve, ["portfolio_id", "day"], "left").select("portfolio_id", "day", F.last("realized_pct", ignorenulls=True).over(w).alias("realized_pct"))
+    total = curve.select("portfolio_id", "day", (F.col("realized_pct") + F.col("dividend_pct")).alias("total"))
+    return spine.join(total, ["portfolio_id", "day"], "left").select("portfolio_id", "day", round_to(F.last("total", ignorenulls=True).over(w), 6).alias("return_pct"))
 
 
 def monthly_mean(periods: DataFrame) -> DataFrame:
-    return periods.groupBy("period").agg((F.sum(to_micros("realized_pct")) / F.count(F.lit(1)) / 1e6).alias("m"), F.count(F.lit(1)).alias("n")).select("period", round_to("m", 4).alias("mean_pct"), "n")
+    """Plain mean over the portfolios of a period's realized, dividend and unrealized return."""
+    total = to_micros("realized_pct") + to_micros("dividend_pct") + to_micros("unrealized_pct")
+    return periods.groupBy("period").agg((F.sum(total) / F.count(F.lit(1)) / 1e6).alias("m"), F.count(F.lit(1)).alias("n")).select("period", round_to("m", 4).alias("mean_pct"), "n")
+
+
+def total_returns(curve: DataFrame, exposure: DataFrame) -> DataFrame:
+    """(portfolio_id, n_points, realized_pct, dividend_pct, portfolio_return, unrealized_pct,
+    total_pct): the curve's end, and the open result over its cost. Zero where nothing is known."""
+    j = curve_end(curve).join(exposure.select("portfolio_id", "value_micros", "cost_micros"), "portfolio_id", "full_outer").fillna(0).fillna(0.0)
+    open_pct = round_to(F.when(F.col("cost_micros") > 0, (F.col("value_micros") - F.col("cost_micros")) / F.when(F.col("cost_micros") > 0, F.col("cost_micros")) * 100).otherwise(F.lit(0.0)), 6)
+    own = round_to(F.col("realized_pct") + F.col("dividend_pct"), 6)
+    j = j.withColumn("portfolio_return", own).withColumn("unrealized_pct", open_pct)
+    return j.select("portfolio_id", "n_points", "realized_pct", "dividend_pct", "portfolio_return", "unrealized_pct", round_to(F.col("portfolio_return") + F.col("unrealized_pct"), 6).alias("total_pct"))
+
+
+def curve_end(curve: DataFrame) -> DataFrame:
+    """The last point of each portfolio's curve, and how many points it has."""
+    return curve.groupBy("portfolio_id").agg(F.max_by("realized_pct", "day").alias("realized_pct"), F.max_by("dividend_pct", "day").alias("dividend_pct"), F.count(F.lit(1)).alias("n_points"))
 
 
 def frozen_history(prices: DataFrame, key: str) -> DataFrame:

@@ -32,16 +32,17 @@ QUERIES = {
     "holding_time_weighted": lambda s, d: A.holding_time(_r(s, d)),
     "positions_by_ticker": lambda s, d: A.positions(_lots(s, d), S.lot_prices(s, d)),
     "open_position_stats": lambda s, d: A.open_position_stats(_lots(s, d), S.lot_prices(s, d), TODAY),
-    "portfolio_health": lambda s, d: A.portfolio_health(_lots(s, d), S.lot_prices(s, d), _cash(s)),
+    "portfolio_health": lambda s, d: A.portfolio_health(_lots(s, d), S.lot_prices(s, d), _cash(s), _r(s, d)),
     "sector_allocation": lambda s, d: A.sector_allocation(_lots(s, d), S.lot_prices(s, d)),
-    "strategy_attribution": lambda s, d: A.strategy_attribution(_r(s, d), F.split("strategy_tags_raw", " ")),
+    "strategy_attribution": lambda s, d: A.strategy_attribution(S.trades(s, d), _r(s, d), S.journal(s, d)),
     "exposure_cash_ratio": lambda s, d: A.exposure(_lots(s, d), S.lot_prices(s, d), _cash(s)),
     "status_counts": lambda s, d: A.status_counts(_lots(s, d)),
-    "dashboard_totals": lambda s, d: A.dashboard_totals(A.exposure(_lots(s, d), S.lot_prices(s, d), _cash(s))),
+    "portfolio_rollup": lambda s, d: A.portfolio_rollup(A.positions(_lots(s, d), S.lot_prices(s, d)), _r(s, d), S.dividends(s, d)),
 }
 
 _BASE = with_(TRADES, ALLOCATIONS, REALIZED)
 _OPEN = with_(TRADES, ALLOCATIONS, LOTS)
+_ALL = with_(TRADES, ALLOCATIONS, REALIZED, LOTS)
 _VALUE = "CAST(floor(price * 1e6 * rem + 0.5) AS BIGINT)"
 _EXPOSURE = f"""e AS (SELECT portfolio_id, CAST(cost AS BIGINT) AS cost_micros, CAST(value AS BIGINT) AS value_micros, coalesce(cash, 0) AS cash_micros,
   {r6("CASE WHEN value + coalesce(cash, 0) > 0 THEN value / (value + coalesce(cash, 0)) * 100 ELSE 0 END")} AS exposure,
@@ -61,21 +62,30 @@ FROM (SELECT portfolio_id, ticker, sum(rem) AS shares, CAST(sum(cost) AS BIGINT)
   {r6('max(pct)')} AS best_pct, {r6('min(pct)')} AS worst_pct, {r6('sum(days * rem) / sum(rem)')} AS holding_days, count(*) AS n_lots
 FROM (SELECT portfolio_id, rem, {_VALUE} - cost AS pnl, (price - (entry_price + (fees + taxes) / shares)) / (entry_price + (fees + taxes) / shares) * 100 AS pct,
              date_diff('day', execution_date, DATE '{TODAY}') AS days FROM lots JOIN px USING (ticker) WHERE rem > 0) GROUP BY 1""",
-    "portfolio_health": _OPEN + f"""SELECT portfolio_id, value_micros, {r6('hhi')} AS hhi, {r6('(1 - hhi) * 100')} AS diversification, largest_ticker, {r6('w * 100')} AS largest_pct, {r6('cp')} AS cash_pct,
+    "portfolio_health": _ALL + f"""SELECT portfolio_id, value_micros, open_trades, {r6('coalesce(best, 0)')} AS largest_winner, {r6('coalesce(worst, 0)')} AS largest_loser, {r6('hhi')} AS hhi, {r6('(1 - hhi) * 100')} AS diversification, largest_ticker, {r6('w * 100')} AS largest_pct, {r6('cp')} AS cash_pct,
   {r6('least(greatest((1 - hhi) * 100 * 0.6 + (CASE WHEN value_micros > 0 THEN greatest(0.0, 100 - 2 * abs(cp - 20)) ELSE 0.0 END) * 0.4, 0.0), 100.0)')} AS health
 FROM (SELECT *, CASE WHEN value_micros + coalesce(cash, 0) > 0 THEN coalesce(cash, 0) / (value_micros + coalesce(cash, 0)) * 100 ELSE 0.0 END AS cp
-  FROM (SELECT portfolio_id, CAST(sum(v) AS BIGINT) AS value_micros, CAST(sum(CAST(floor(w * w * 1e12 + 0.5) AS BIGINT)) AS BIGINT) / 1e12::DOUBLE AS hhi, arg_min(ticker, (-v, ticker)) AS largest_ticker, max(w) AS w
-    FROM (SELECT portfolio_id, ticker, v, v / sum(v) OVER (PARTITION BY portfolio_id) AS w
-      FROM (SELECT portfolio_id, ticker, CAST(sum(CAST(floor(coalesce(price, entry_price) * 1e6 * rem + 0.5) AS BIGINT)) AS BIGINT) AS v FROM lots LEFT JOIN px USING (ticker) WHERE rem > 0 GROUP BY 1, 2)) GROUP BY 1)
-  LEFT JOIN cash USING (portfolio_id))""",
+  FROM (SELECT portfolio_id, CAST(sum(v) AS BIGINT) AS value_micros, CAST(sum(k) AS BIGINT) AS open_trades, CAST(sum(CAST(floor(w * w * 1e12 + 0.5) AS BIGINT)) AS BIGINT) / 1e12::DOUBLE AS hhi, arg_min(ticker, (-v, ticker)) AS largest_ticker, max(w) AS w
+    FROM (SELECT portfolio_id, ticker, v, k, v / sum(v) OVER (PARTITION BY portfolio_id) AS w
+      FROM (SELECT portfolio_id, ticker, count(*) AS k, CAST(sum(CAST(floor(coalesce(price, entry_price) * 1e6 * rem + 0.5) AS BIGINT)) AS BIGINT) AS v FROM lots LEFT JOIN px USING (ticker) WHERE rem > 0 GROUP BY 1, 2)) GROUP BY 1)
+  LEFT JOIN cash USING (portfolio_id) LEFT JOIN (SELECT portfolio_id, max(pct) AS best, min(pct) AS worst FROM r GROUP BY 1) USING (portfolio_id))""",
     "sector_allocation": _OPEN + f"""SELECT portfolio_id, sector, value_micros, {r6('value_micros / sum(value_micros) OVER (PARTITION BY portfolio_id) * 100')} AS pct,
   CAST(row_number() OVER (PARTITION BY portfolio_id ORDER BY CASE WHEN sector = 'Unclassified' THEN 1 ELSE 0 END, value_micros DESC, sector) AS INTEGER) AS ord
 FROM (SELECT portfolio_id, coalesce(sector, 'Unclassified') AS sector, CAST(sum(coalesce({_VALUE}, cost)) AS BIGINT) AS value_micros FROM lots LEFT JOIN px USING (ticker) WHERE rem > 0 AND coalesce({_VALUE}, cost) > 0 GROUP BY 1, 2)""",
-    "strategy_attribution": _BASE + f"""SELECT portfolio_id, tag, CAST(sum(pnl) AS BIGINT) AS pnl_micros, count(*) AS n, {WIN} AS win_rate, {PF} AS profit_factor,
-  {r6('sum(CAST(floor(pct * 1e6 + 0.5) AS BIGINT))::DOUBLE / count(*) / 1e6')} AS avg_return, count(DISTINCT trade_id) AS n_trades
-FROM (SELECT *, unnest(list_distinct(string_split(tags, ' '))) AS tag FROM r) WHERE tag <> '' GROUP BY 1, 2""",
+    "strategy_attribution": _BASE.rstrip() + f""",
+jr AS (SELECT p_partkey AS trade_id, [lower(p_type), string_split(p_name, ' ')[1]] AS more FROM part WHERE p_partkey % 3 = 0),
+tg AS (SELECT portfolio_id, trade_id, unnest(list_distinct(list_concat(string_split(tags, ' '), coalesce(more, [])))) AS tag FROM v_trades LEFT JOIN jr USING (trade_id)),
+g AS (SELECT tg.portfolio_id, tag, count(DISTINCT tg.trade_id) AS n_trades, count(r.trade_id) AS n_allocations, count(*) FILTER (pnl > 0) AS wins, coalesce(sum(pnl) FILTER (pnl > 0), 0) AS gain, coalesce(sum(-pnl) FILTER (pnl < 0), 0) AS loss,
+  coalesce(sum(pnl), 0) AS pnl, coalesce(sum(cost), 0) AS cost FROM tg LEFT JOIN r ON r.trade_id = tg.trade_id WHERE tag <> '' GROUP BY 1, 2)
+SELECT portfolio_id, tag, CAST(row_number() OVER (PARTITION BY portfolio_id ORDER BY pnl DESC, tag) AS INTEGER) AS ord, n_trades, n_allocations, coalesce({r6('wins / n_allocations * 100')}, 0.0) AS win_rate,
+  CASE WHEN loss > 0 THEN {r6('gain / loss')} WHEN gain > 0 THEN 'infinity'::DOUBLE ELSE 0.0 END AS profit_factor, CAST(pnl AS BIGINT) AS pnl_micros,
+  CAST(CASE WHEN n_allocations > 0 THEN floor(pnl / n_allocations + 0.5) ELSE 0 END AS BIGINT) AS avg_pnl_micros, CASE WHEN cost > 0 THEN {r6('pnl / cost * 100')} ELSE 0.0 END AS return_pct FROM g""",
     "exposure_cash_ratio": _OPEN.rstrip() + ",\n" + _EXPOSURE + " SELECT * FROM e",
     "status_counts": _OPEN + "SELECT ticker, count(*) FILTER (rem >= shares) AS n_open, count(*) FILTER (rem > 0 AND rem < shares) AS n_partial, count(*) FILTER (rem <= 0) AS n_closed FROM lots GROUP BY 1",
-    "dashboard_totals": _OPEN.rstrip() + ",\n" + _EXPOSURE + """ SELECT CAST(sum(value_micros) AS BIGINT) AS value_micros, CAST(sum(cost_micros) AS BIGINT) AS cost_micros,
-  CAST(floor(avg(deployment) * 10000.0 + 0.5) AS BIGINT) / 10000.0::DOUBLE AS mean_deployment, arg_min(portfolio_id, (-value_micros, portfolio_id)) AS largest, arg_min(portfolio_id, (value_micros, portfolio_id)) AS smallest FROM e""",
+    "portfolio_rollup": _ALL.rstrip() + f""",
+ps AS (SELECT portfolio_id, ticker, CAST(sum(cost) AS BIGINT) AS cost, sum(rem) AS sh FROM lots WHERE rem > 0 GROUP BY 1, 2), pv AS (SELECT *, CAST(floor(price * 1e6 * sh + 0.5) AS BIGINT) AS v FROM ps LEFT JOIN px USING (ticker)),
+dv AS (SELECT user_id % 8 AS portfolio_id, CAST(sum(CAST(floor(value * 1e6 + 0.5) AS BIGINT)) AS BIGINT) AS d FROM events WHERE event_type = 'click' GROUP BY 1)
+SELECT portfolio_id, coalesce(value_micros, 0) AS value_micros, coalesce(cost_micros, 0) AS cost_micros, coalesce(unrealized_micros, 0) AS unrealized_micros, coalesce(realized_micros, 0) AS realized_micros, coalesce(d, 0) AS dividend_micros
+FROM (SELECT portfolio_id, CAST(sum(coalesce(v, cost)) AS BIGINT) AS value_micros, CAST(sum(cost) AS BIGINT) AS cost_micros, CAST(sum(coalesce(v - cost, 0)) AS BIGINT) AS unrealized_micros FROM pv GROUP BY 1)
+FULL JOIN (SELECT portfolio_id, CAST(sum(pnl) AS BIGINT) AS realized_micros FROM r GROUP BY 1) USING (portfolio_id) FULL JOIN dv USING (portfolio_id)""",
 }

@@ -71,9 +71,11 @@ def _allocation_rows(s, d):
 
 
 def _evidence_rows(s, d):
+    """Rows of order screens are evidence, half of them undated; csv and statement rows candidates."""
     f = S.dense_facts(s, d).withColumn("id", _id())
     role = F.when(F.col("source").isin("orders-screen"), "evidence").when(F.col("source").isin("csv", "statement"), "candidate")
-    r = f.select("portfolio_id", "ticker_id", "execution_date", role.alias("role"), F.col("l_orderkey").alias("ord"), "id", F.col("kind").alias("side"), F.col("shares").cast("double").alias("shares"), "price", F.col("minutes").cast("double").alias("minutes"))
+    dated = (role == "candidate") | (F.col("l_linenumber") % 2 == 0)
+    r = f.select("portfolio_id", "ticker_id", F.col("kind").alias("side"), role.alias("role"), F.col("l_orderkey").alias("ord"), "id", F.col("shares").cast("double").alias("shares"), "price", F.col("minutes").cast("double").alias("minutes"), F.when(dated, F.date_format("execution_date", "yyyy-MM-dd")).alias("day"), (F.col("shares") * F.col("price")).alias("total"))
     return r.filter("role IS NOT NULL")
 
 
@@ -84,9 +86,32 @@ def _statement_rows(s, d):
     return r
 
 
-def _mismatch_rows(s, d):
+def _official_rows(s, d):
+    """Official sales over official lots; other sales have taken theirs from the first lot of the month."""
+    f = S.facts(s, d).withColumn("id", _id()).withColumn("at", F.unix_date("execution_date").cast("double")).withColumn("shares", F.col("shares").cast("double"))
+    keys = ["portfolio_id", "ticker_id"]
+    cols = [*keys, "role", "at", "id", "lot_id", "shares"]
+    lots = f.filter("kind = 'BuyExecution'").select(*keys, F.lit("lot").alias("role"), "at", "id", F.lit(None).cast("string").alias("lot_id"), "shares")
+    sells = f.filter("kind = 'SellExecution'")
+    official = sells.filter("source = 'official-broker-excel'").select(*keys, F.lit("sell").alias("role"), "at", "id", F.lit(None).cast("string").alias("lot_id"), "shares")
+    first = f.filter("kind = 'BuyExecution'").groupBy(*keys, F.trunc("execution_date", "month").alias("month")).agg(F.min("id").alias("lot_id"))
+    other = sells.filter("source <> 'official-broker-excel'").withColumn("month", F.trunc("execution_date", "month")).join(first, [*keys, "month"]).select(*keys, F.lit("decided").alias("role"), "at", "id", "lot_id", (F.col("shares") / 2).alias("shares"))
+    return lots.select(*cols).unionByName(official.select(*cols)).unionByName(other.select(*cols)).withColumn("ord", F.col("at"))
+
+
+def _canonical_rows(s, d):
     f = S.dense_facts(s, d).withColumn("id", _id())
-    return f.select("portfolio_id", "ticker_id", F.col("l_orderkey").alias("ord"), "id", F.when(F.col("kind") == "BuyExecution", F.col("shares")).otherwise(-F.col("shares")).cast("double").alias("signed_shares"), "price", F.least(F.lit(2), E.authority("source") / 2).cast("int").alias("confidence"), F.lit(60.0).alias("units"), F.lit(None).cast("double").alias("avg_cost"))
+    role = F.when(F.col("source").isin("csv", "manual"), "stored").otherwise("canonical")
+    return f.select("portfolio_id", "ticker_id", "kind", "execution_date", "shares", role.alias("role"), F.col("l_orderkey").alias("ord"), "id", F.when(F.col("l_linenumber") % 3 == 0, (F.col("l_orderkey") % 50).cast("string")).alias("number"), "price")
+
+
+def _duplicate_lot_rows(s, d):
+    """Lots of small tickers of which the ledger has more than the broker counts."""
+    e = S.entries(s, d).filter("kind = 'BuyExecution'")
+    keys = ["portfolio_id", "ticker_id"]
+    total = e.groupBy(*keys).agg(F.sum("shares").cast("double").alias("computed"))
+    lots = e.select(*keys, F.col("l_orderkey").alias("ord"), "id", "price", F.col("shares").cast("double").alias("shares"), (F.col("shares") - F.when(F.col("l_linenumber") == 7, 5).otherwise(0)).cast("double").alias("remaining"))
+    return lots.join(total, keys).join(S.counted_units(s, d), keys).filter("computed > units")
 
 
 def _events(s, d):
@@ -110,9 +135,11 @@ QUERIES = {
     "sliding_windows": lambda s, d: W.sliding(_events(s, d)).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")),
     "session_windows": lambda s, d: W.sessions(_events(s, d)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.max("n").alias("longest")),
     "allocation_replay": lambda s, d: G.allocate(_allocation_rows(s, d), ["portfolio_id", "ticker_id"]),
-    "order_evidence": lambda s, d: G.order_evidence(_evidence_rows(s, d), ["portfolio_id", "ticker_id", "execution_date"]),
+    "order_evidence": lambda s, d: G.order_evidence(_evidence_rows(s, d), ["portfolio_id", "ticker_id", "side"]),
     "statement_aggregates": lambda s, d: G.statement_aggregates(_statement_rows(s, d), ["portfolio_id", "ticker_id", "execution_date", "kind"]),
-    "mismatch_suggestions": lambda s, d: G.mismatch_suggestions(_mismatch_rows(s, d), ["portfolio_id", "ticker_id"]),
+    "official_sell_repair": lambda s, d: G.repaired_official_sells(_official_rows(s, d), ["portfolio_id", "ticker_id"]),
+    "canonical_matches": lambda s, d: G.matched_canonical(_canonical_rows(s, d), ["portfolio_id", "ticker_id", "kind", "execution_date", "shares"]),
+    "suspected_duplicate_lots": lambda s, d: G.duplicate_lots(_duplicate_lot_rows(s, d), ["portfolio_id", "ticker_id"]),
 }
 
 ORACLES = {

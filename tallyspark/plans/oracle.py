@@ -12,9 +12,16 @@ SELECT CASE WHEN l_returnflag = 'R' THEN 'SellExecution' ELSE 'BuyExecution' END
        CASE l_orderkey % 6 WHEN 0 THEN 6 WHEN 1 THEN 5 WHEN 2 THEN 4 WHEN 3 THEN 3 WHEN 4 THEN 1 ELSE 0 END AS rank,
        l_suppkey % 10 AS portfolio_id, l_partkey % 40 AS ticker_id, CAST(l_quantity AS BIGINT) AS shares, l_extendedprice / l_quantity AS price,
        CAST(l_shipdate AS DATE) AS execution_date, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_linenumber * 60 END AS minutes,
-       l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem)"""
+       CASE l_orderkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem)"""
 DENSE = FACTS.replace("v_facts AS (", "v_fine AS (") + """, v_facts AS (
 SELECT * REPLACE (CAST(date_trunc('month', execution_date) AS DATE) AS execution_date, (shares % 4 + 1) * 10 AS shares, CAST((floor(price / 250) + 1) * 250.0 + l_linenumber AS DOUBLE) AS price) FROM v_fine)"""
+ENTRIES = FACTS + """, v_entries AS (
+SELECT portfolio_id, l_partkey AS ticker_id, kind, CAST(date_trunc('year', execution_date) AS DATE) AS execution_date, (shares % 2 + 1) * 10 AS shares, CAST((floor(price / 500) + 1) * 500.0 + l_linenumber AS DOUBLE) AS price,
+       CASE WHEN l_linenumber % 4 = 0 THEN 600 END AS minutes, CASE WHEN l_linenumber = 3 THEN CAST(l_orderkey % 5 AS VARCHAR) END AS number, nullif(source, 'manual') AS source,
+       confidence, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_orderkey, l_linenumber, l_suppkey,
+       row_number() OVER () AS rid FROM v_facts),
+v_existing AS (SELECT DISTINCT portfolio_id, ticker_id, CAST(ticker_id % 3 * 10 AS DOUBLE) AS existing, ticker_id % 3 * 10000000000 AS existing_cost FROM v_entries),
+v_units AS (SELECT DISTINCT portfolio_id, ticker_id, CAST(ticker_id % 5 * 10 AS DOUBLE) AS units, CASE WHEN ticker_id % 2 = 0 THEN 1000.0::DOUBLE + ticker_id % 7 * 50 END AS avg_cost FROM v_entries WHERE (ticker_id + portfolio_id) % 3 <> 0)"""
 CASH = """v_cash AS (
 SELECT event_id AS seq, user_id AS portfolio_id, CASE event_type WHEN 'purchase' THEN 'Withdrawal' WHEN 'signup' THEN 'Deposit' WHEN 'click' THEN 'DividendPayment'
        WHEN 'error' THEN 'CashReset' ELSE 'CashAdjustment' END AS kind, value AS amount, ts FROM events)"""

@@ -8,7 +8,7 @@ from ..operators import ledger as L
 from ..operators import resolve as R
 from ..sources import adapters as S
 from .ledger_queries import _M
-from .oracle import CASH, DENSE, FACTS, with_
+from .oracle import CASH, DENSE, ENTRIES, FACTS, with_
 
 _ID = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
@@ -32,8 +32,10 @@ def _matches(s, d):
     return R.duplicate_matches(own, best, R.CONTENT, [])
 
 
-def _status(s, d):
-    return R.ticker_status(S.facts(s, d), _verifications(s, d))
+def _order_hints(s, d):
+    e = S.entries(s, d)
+    orders = e.filter("source = 'orders-screen'").select("portfolio_id", "ticker_id", "kind", "shares", "price", "minutes", F.when(F.col("l_linenumber") % 2 == 0, F.col("execution_date")).alias("day"), (F.col("shares") * F.col("price")).alias("total"))
+    return R.order_ticker_hints(e.filter("source = 'csv'"), orders).groupBy("suggested_ticker").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _compare(s, d):
@@ -53,16 +55,10 @@ QUERIES = {
     "time_clusters": lambda s, d: R.time_clusters(S.dense_facts(s, d)),
     "date_misread_pairs": lambda s, d: R.date_misreads(S.facts(s, d), _id()),
     "wrong_ticker_pairs": lambda s, d: R.wrong_tickers(S.facts(s, d), _id()),
+    "order_ticker_hints": _order_hints,
     "duplicate_dividends": lambda s, d: R.duplicate_dividends(S.cash_events(s, d)),
     "latest_verification": _verifications,
-    "ticker_match_status": _status,
-    "completeness": lambda s, d: R.completeness(_status(s, d)),
-    "coverage_claims": lambda s, d: R.coverage_claims(S.facts(s, d)),
-    "evidence_edges": lambda s, d: R.evidence_edges(S.facts(s, d)),
-    "merge_suggestions": lambda s, d: R.merge_suggestions(S.dense_facts(s, d).filter("l_linenumber = 7 AND execution_date < '1995-09-01'")),
     "snapshot_hash": lambda s, d: R.snapshot_hash(S.facts(s, d), ["source", "portfolio_id", "ticker_id", "shares", "execution_date", "minutes"]),
-    "verdict_histogram": lambda s, d: R.verdicts(S.dense_facts(s, d)),
-    "commit_gate": lambda s, d: R.committable(S.dense_facts(s, d)),
     "position_comparison": _compare,
 }
 
@@ -73,16 +69,8 @@ _P4 = "CAST(floor(price * 10000 + 0.5) AS BIGINT)"
 _V = """vb AS (SELECT id % 10 AS portfolio_id, id // 10 AS ticker_id, id * 13 % 900 + 300 AS units, CAST(DATE '2001-06-01' + CAST(id % 300 AS INTEGER) AS DATE) AS captured_on, id AS ord FROM range(400) x(id) WHERE id % 4 <> 3),
 va AS (SELECT * FROM vb UNION ALL SELECT portfolio_id, ticker_id, units + 7, CAST(captured_on + CAST(ord % 2 AS INTEGER) AS DATE), ord + 1000 FROM vb WHERE ord % 5 = 0),
 vv AS (SELECT portfolio_id, ticker_id, units, captured_on FROM va QUALIFY row_number() OVER (PARTITION BY portfolio_id, ticker_id ORDER BY captured_on DESC, ord) = 1)"""
-_ST = """ts AS (SELECT portfolio_id, ticker_id, CAST(bought AS BIGINT) AS bought, CAST(sold AS BIGINT) AS sold, CAST(bought - sold AS BIGINT) AS net,
-  CASE WHEN units IS NULL THEN 'no-verification' WHEN last_date > captured_on THEN 'stale' WHEN bought - sold < 0 THEN 'oversold' WHEN bought - sold = units THEN 'matched' WHEN best <= 1 THEN 'all-low-confidence'
-       WHEN bought - sold < units THEN 'missing-buys' ELSE 'missing-sells' END AS reason, CAST(units - (bought - sold) AS BIGINT) AS gap
-FROM (SELECT portfolio_id, ticker_id, sum(CASE WHEN kind = 'BuyExecution' THEN shares ELSE 0 END) AS bought, sum(CASE WHEN kind = 'SellExecution' THEN shares ELSE 0 END) AS sold, max(execution_date) AS last_date, max(rank) AS best FROM v_facts GROUP BY 1, 2)
-LEFT JOIN vv USING (portfolio_id, ticker_id))"""
-_S = with_(FACTS, _V, _ST)
 _TIME = "nullif(minutes, 0)"
 _MULTI = f"mk AS (SELECT {_C}, {_P4} AS price4, count(DISTINCT source) AS n_sources FROM v_facts GROUP BY ALL HAVING count(DISTINCT source) >= 2)"
-_OK = "(source IN ('official-broker-excel', 'invoice') OR n_sources IS NOT NULL)"
-_J = with_(DENSE, _MULTI) + "SELECT {0} FROM (SELECT *, " + _P4 + f" AS price4 FROM v_facts) f LEFT JOIN mk USING ({_C}, price4) GROUP BY ALL"
 _ONE = "id, min(portfolio_id) AS portfolio_id, min(ticker_id) AS ticker_id, min(kind) AS kind, min(execution_date) AS execution_date, min(shares) AS shares, min(price) AS price, min(minutes) AS minutes, min(CASE WHEN l_linenumber % 3 = 0 THEN l_orderkey END) AS number"
 
 ORACLES = {
@@ -102,27 +90,19 @@ SELECT id, match_id, match_class FROM j QUALIFY row_number() OVER (PARTITION BY
     "official_suppression": _D + "SELECT portfolio_id, ticker_id, source, count(*) AS n FROM v_facts f WHERE source <> 'official-broker-excel' AND EXISTS (SELECT 1 FROM v_facts o WHERE o.source = 'official-broker-excel' AND o.portfolio_id = f.portfolio_id AND o.kind = f.kind AND o.ticker_id = f.ticker_id AND o.execution_date = f.execution_date) GROUP BY 1, 2, 3",
     "time_clusters": _D + f"SELECT {_C}, count(*) AS n, CASE WHEN count(*) FILTER ({_TIME} IS NULL) > 0 THEN 1 ELSE count(DISTINCT {_TIME}) END AS n_clusters FROM v_facts GROUP BY ALL HAVING count(*) > 1",
     "date_misread_pairs": _F.rstrip() + f""", f AS (SELECT *, {_KEY} AS id FROM v_facts)
-SELECT a.id, min(b.id) AS other, count(*) AS n FROM f a JOIN f b ON a.portfolio_id = b.portfolio_id AND a.ticker_id = b.ticker_id AND a.kind = b.kind AND a.shares = b.shares AND date_trunc('month', a.execution_date) = date_trunc('month', b.execution_date)
-WHERE a.rank <= 1 AND b.rank >= 4 AND (day(a.execution_date) // 10 <> day(b.execution_date) // 10) <> (day(a.execution_date) % 10 <> day(b.execution_date) % 10) AND abs(a.price - b.price) <= greatest(a.price, b.price) * 0.01 GROUP BY 1""",
+SELECT a.id, arg_min(b.execution_date, b.id) AS other_date, count(*) AS n FROM f a JOIN f b ON a.portfolio_id = b.portfolio_id AND a.ticker_id = b.ticker_id AND a.kind = b.kind AND a.shares = b.shares AND date_trunc('month', a.execution_date) = date_trunc('month', b.execution_date)
+WHERE a.source <> 'official-broker-excel' AND (day(a.execution_date) // 10 <> day(b.execution_date) // 10) <> (day(a.execution_date) % 10 <> day(b.execution_date) % 10) AND abs(a.price - b.price) <= greatest(a.price, b.price) * 0.01 GROUP BY 1""",
     "wrong_ticker_pairs": _F.rstrip() + f""", f AS (SELECT *, {_KEY} AS id FROM v_facts)
-SELECT a.id, min(b.ticker_id) AS suggested_ticker FROM f a JOIN f b ON a.portfolio_id = b.portfolio_id AND a.kind = b.kind AND a.shares = b.shares AND a.execution_date = b.execution_date AND a.ticker_id <> b.ticker_id
-WHERE a.rank <= 1 AND b.rank >= 5 AND abs(a.price - b.price) <= greatest(a.price, b.price) * 0.10 GROUP BY 1 HAVING min(b.ticker_id) = max(b.ticker_id)""",
+SELECT a.id, arg_min(b.ticker_id, b.id) AS suggested_ticker FROM f a JOIN f b ON a.portfolio_id = b.portfolio_id AND a.kind = b.kind AND a.shares = b.shares AND a.execution_date = b.execution_date AND a.ticker_id <> b.ticker_id
+WHERE a.confidence <> 'high' AND abs(a.price - b.price) <= greatest(a.price, b.price) * 0.10 GROUP BY 1""",
+    "order_ticker_hints": with_(ENTRIES).rstrip() + """, o AS (SELECT portfolio_id, ticker_id, kind, shares, price, minutes, CASE WHEN l_linenumber % 2 = 0 THEN execution_date END AS day, shares * price AS total FROM v_entries WHERE source = 'orders-screen'),
+m AS (SELECT e.id, e.ticker_id, o.ticker_id AS t FROM v_entries e JOIN o ON e.portfolio_id = o.portfolio_id AND e.kind = o.kind AND NOT coalesce(e.minutes <> o.minutes, false)
+  AND CASE WHEN o.day IS NOT NULL THEN o.day = e.execution_date AND abs(o.total - e.shares * e.price) <= greatest(o.total, e.shares * e.price) * 0.05 ELSE o.shares = e.shares AND abs(o.price - e.price) <= greatest(o.price, e.price) * 0.05 END WHERE e.source = 'csv' AND e.confidence <> 'high')
+SELECT suggested_ticker, count(*) AS n FROM (SELECT id, min(t) AS suggested_ticker FROM m GROUP BY 1 HAVING NOT bool_or(t = ticker_id) AND min(t) = max(t)) GROUP BY 1""",
     "duplicate_dividends": with_(CASH) + """SELECT seq, first_seq, portfolio_id, day, cents FROM (SELECT *, min(seq) OVER (PARTITION BY portfolio_id, day, cents) AS first_seq FROM (
   SELECT *, CAST(ts AS DATE) AS day, CAST(floor(amount * 100 + 0.5) AS BIGINT) AS cents FROM v_cash WHERE kind = 'DividendPayment')) WHERE seq <> first_seq""",
     "latest_verification": with_(_V) + "SELECT * FROM vv",
-    "ticker_match_status": _S + "SELECT * FROM ts",
-    "completeness": _S + """SELECT portfolio_id, ticker_id, score, CASE WHEN score IS NULL THEN 'unknown' WHEN score = 100 THEN 'complete' WHEN score >= 80 THEN 'nearly' WHEN score >= 40 THEN 'partial' ELSE 'sparse' END AS class
-FROM (SELECT *, CAST(CASE WHEN gap IS NULL THEN NULL ELSE greatest(0, 100 - floor(100 * abs(gap) / greatest(1, abs(gap) + abs(net)))) END AS INTEGER) AS score FROM ts)""",
-    "coverage_claims": _F + """SELECT portfolio_id, source, CASE source WHEN 'official-broker-excel' THEN 'all-tickers-in-range' WHEN 'statement' THEN 'ticker-in-range' WHEN 'invoice' THEN 'single-execution' ELSE 'none' END AS claim,
-  min(execution_date) AS first_day, max(execution_date) AS last_day, count(DISTINCT ticker_id) AS n_tickers, count(*) AS n FROM v_facts GROUP BY 1, 2, 3""",
-    "evidence_edges": _F + """SELECT 'reports' AS edge, source AS src, CAST(ticker_id AS VARCHAR) AS dst, count(*) AS n FROM v_facts GROUP BY 1, 2, 3
-UNION ALL SELECT 'held-in', CAST(ticker_id AS VARCHAR), CAST(portfolio_id AS VARCHAR), count(*) FROM v_facts GROUP BY 1, 2, 3 UNION ALL SELECT 'feeds', source, CAST(portfolio_id AS VARCHAR), count(*) FROM v_facts GROUP BY 1, 2, 3""",
-    "merge_suggestions": _D.rstrip() + """, g AS (SELECT portfolio_id, ticker_id, count(*) AS n, list_sort(list(concat_ws('|', kind, execution_date, shares))) AS l FROM v_facts WHERE l_linenumber = 7 AND execution_date < DATE '1995-09-01' GROUP BY 1, 2)
-SELECT a.portfolio_id, a.ticker_id, b.ticker_id AS same_as, a.n FROM g a JOIN g b ON a.portfolio_id = b.portfolio_id AND a.l = b.l AND a.ticker_id <> b.ticker_id""",
-    "snapshot_hash": _F + """SELECT kind, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(p, ',' ORDER BY part)) AS digest FROM (SELECT kind, left(h, 2) AS part, count(*) AS n, sha256(string_agg(h, ',' ORDER BY h)) AS p FROM (
-  SELECT kind, sha256(concat_ws('|', source, portfolio_id, ticker_id, shares, execution_date, coalesce(CAST(minutes AS VARCHAR), '~'))) AS h FROM v_facts) GROUP BY 1, 2) GROUP BY 1""",
-    "verdict_histogram": _J.format("portfolio_id, CASE WHEN source IN ('official-broker-excel', 'invoice') THEN 'Verified' WHEN n_sources IS NOT NULL THEN 'Corroborated' ELSE 'Needs Review' END AS verdict, count(*) AS n"),
-    "commit_gate": _J.format(f"portfolio_id, ticker_id, bool_and({_OK}) AS committable, count(*) FILTER (NOT {_OK}) AS n_review"),
+    "snapshot_hash": _F.rstrip() + ", h AS (SELECT kind, sha256(concat_ws('|', source, portfolio_id, ticker_id, shares, execution_date, coalesce(CAST(minutes AS VARCHAR), '~'))) AS h FROM v_facts),\nk AS (SELECT kind AS category, count(*) AS n, sha256(concat_ws(',', " + ", ".join(f"sum(CAST(concat('0x', substr(h, {1 + 13 * i}, {13 if i < 4 else 12})) AS BIGINT))" for i in range(5)) + ")) AS digest FROM h GROUP BY 1)\nSELECT * FROM k UNION ALL SELECT '*', CAST(sum(n) AS BIGINT), sha256(string_agg(concat(category, '=', digest), ',' ORDER BY category)) FROM k",
     "position_comparison": _M + """SELECT portfolio_id, ticker_id, CASE WHEN b.shares IS NULL THEN 'only-left' WHEN a.shares IS NULL THEN 'only-right' WHEN abs(a.shares - b.shares) > 1e-6 THEN 'shares-differ' ELSE 'match' END AS result
 FROM (SELECT portfolio_id, ticker_id, sum(remaining) AS shares FROM openl WHERE remaining > 0 GROUP BY 1, 2) a
 FULL JOIN (SELECT portfolio_id, ticker_id, sum(CASE WHEN kind = 'BuyExecution' THEN shares ELSE -shares END) AS shares FROM v_facts WHERE ticker_id % 7 <> 0 GROUP BY 1, 2) b USING (portfolio_id, ticker_id)""",

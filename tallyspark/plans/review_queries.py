@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import analytics as A
 from ..operators import ledger as L
 from ..operators import review as V
 from ..sources import adapters as S
-from .analytics_queries import _EXPOSURE, _cash, _lots, _r
 from .ledger_queries import _M, _id, _timeline
-from .oracle import ALLOCATIONS, DENSE, FACTS, LOTS, REALIZED, TRADES, r6, with_
-from .resolve_queries import _S, _V, _status, _verifications
+from .oracle import DENSE, FACTS, with_
+from .resolve_queries import _V, _verifications
 
 KEYS = ["portfolio_id", "ticker_id", "kind", "execution_date", "shares"]
 
@@ -40,7 +38,13 @@ def _imports(s, d):
 
 def _smart(s, d):
     lots = S.facts(s, d).filter("kind = 'BuyExecution'")
-    return V.smart_order(lots, ["portfolio_id", "ticker_id"], S.FACT_ORDER).filter("take_order <= 5").select("portfolio_id", "ticker_id", "l_orderkey", "l_linenumber", F.col("take_order").cast("int").alias("take_order"))
+    return V.smart_order(lots, ["portfolio_id", "ticker_id"], S.FACT_ORDER).select("portfolio_id", "ticker_id", "l_orderkey", "l_linenumber", F.col("take_order").cast("int").alias("take_order"))
+
+
+def _defaults(s, d):
+    """Tickers of a part and year, of which many are in one portfolio only; every third is chosen."""
+    f = S.facts(s, d).select("portfolio_id", (F.col("l_partkey") * 100 + F.year("execution_date") - 1990).alias("ticker_id"))
+    return V.default_portfolios(f, f.filter("ticker_id % 3 = 0").select("ticker_id", (F.col("ticker_id") + 100).alias("choice")).distinct())
 
 
 QUERIES = {
@@ -49,13 +53,11 @@ QUERIES = {
     "rebuild_differences": _rebuild,
     "import_decisions": _imports,
     "invalidated_verifications": lambda s, d: V.invalidated_verifications(S.facts(s, d), _verifications(s, d)),
-    "default_portfolios": lambda s, d: V.default_portfolios(S.facts(s, d).filter("l_linenumber = 7 AND l_suppkey % 10 < 2"), s.range(20).select(F.col("id").alias("ticker_id"), F.when(F.col("id") % 3 == 0, F.col("id") + 100).alias("choice"))),
-    "inventory_diagnosis": lambda s, d: V.inventory_diagnosis(_status(s, d)),
+    "default_portfolios": _defaults,
     "pending_confirmations": lambda s, d: V.pending_confirmations(S.facts(s, d).withColumn("pending", F.col("l_partkey") % 3 == 0)),
     "smart_lot_order": _smart,
     "authority_retractions": lambda s, d: V.authority_retractions(S.dense_facts(s, d), KEYS),
     "tracking_window": lambda s, d: V.tracked_counts(S.facts(s, d), ["source"], "execution_date", "1998-01-01", "2000-12-30"),
-    "analytics_summary": lambda s, d: V.analytics_summary(_r(s, d), A.exposure(_lots(s, d), S.lot_prices(s, d), _cash(s))),
 }
 
 _C = "portfolio_id, ticker_id, kind, execution_date, shares"
@@ -75,18 +77,13 @@ FROM (SELECT {_C}, count(*) AS a FROM v_facts WHERE source <> 'manual' GROUP BY
 FROM (SELECT * FROM v_facts WHERE l_suppkey % 2 = 0) LEFT JOIN (SELECT ticker_id, kind, execution_date, shares, max(rank) AS live FROM v_facts WHERE l_suppkey % 2 = 1 GROUP BY ALL) USING (ticker_id, kind, execution_date, shares) GROUP BY 1, 2""",
     "invalidated_verifications": with_(FACTS, _V) + """SELECT portfolio_id, ticker_id, units, captured_on, CAST(net AS BIGINT) AS net FROM (
   SELECT portfolio_id, ticker_id, units, captured_on, sum(CASE WHEN execution_date <= captured_on THEN CASE WHEN kind = 'BuyExecution' THEN shares ELSE -shares END ELSE 0 END) AS net FROM vv JOIN v_facts USING (portfolio_id, ticker_id) GROUP BY ALL) WHERE net <> units""",
-    "default_portfolios": with_(FACTS) + """SELECT ticker_id, coalesce(choice, CASE WHEN n = 1 THEN only_one END) AS portfolio_id FROM (SELECT ticker_id, count(DISTINCT portfolio_id) AS n, min(portfolio_id) AS only_one FROM v_facts WHERE l_linenumber = 7 AND l_suppkey % 10 < 2 GROUP BY 1)
-LEFT JOIN (SELECT id AS ticker_id, CASE WHEN id % 3 = 0 THEN id + 100 END AS choice FROM range(20) x(id)) USING (ticker_id)""",
-    "inventory_diagnosis": _S + """SELECT portfolio_id, ticker_id, concat_ws(',', CASE WHEN net < 0 THEN 'missing-buys' END, CASE WHEN gap > 0 THEN 'unrecorded-executions' END, CASE WHEN gap < 0 THEN 'duplicate-or-unrecorded-sale' END,
-  CASE WHEN bought = 0 AND sold > 0 THEN 'opening-balance-missing' END) AS hypotheses FROM ts""",
+    "default_portfolios": with_(FACTS) + """SELECT ticker_id, CASE WHEN ticker_id % 3 = 0 THEN ticker_id + 100 WHEN n = 1 THEN only_one END AS portfolio_id
+FROM (SELECT l_partkey * 100 + year(execution_date) - 1990 AS ticker_id, count(DISTINCT portfolio_id) AS n, min(portfolio_id) AS only_one FROM v_facts GROUP BY 1)""",
     "pending_confirmations": with_(FACTS) + """SELECT portfolio_id, ticker_id, what, count(*) AS n, CAST(sum(shares) AS BIGINT) AS shares FROM (
   SELECT portfolio_id, ticker_id, 'buy' AS what, shares FROM v_facts WHERE l_partkey % 3 = 0 AND kind = 'BuyExecution'
   UNION ALL SELECT portfolio_id, ticker_id, 'sell', sum(shares) FROM v_facts WHERE l_partkey % 3 = 0 AND kind = 'SellExecution' GROUP BY portfolio_id, ticker_id, l_orderkey) GROUP BY 1, 2, 3""",
     "smart_lot_order": with_(FACTS) + """SELECT portfolio_id, ticker_id, l_orderkey, l_linenumber, CAST(r AS INTEGER) AS take_order FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id, ticker_id
-  ORDER BY execution_date, CASE WHEN minutes IS NULL THEN 1 ELSE 0 END, coalesce(minutes, 0), l_orderkey, l_linenumber, l_partkey, l_suppkey, shares, l_extendedprice) AS r FROM v_facts WHERE kind = 'BuyExecution') WHERE r <= 5""",
+  ORDER BY execution_date, CASE WHEN minutes IS NULL THEN 1 ELSE 0 END, coalesce(minutes, 0), l_orderkey, l_linenumber, l_partkey, l_suppkey, shares, l_extendedprice) AS r FROM v_facts WHERE kind = 'BuyExecution')""",
     "authority_retractions": _DD + f"SELECT source, count(*) AS n_retracted FROM v_facts JOIN (SELECT {_C}, max(rank) AS top FROM v_facts GROUP BY ALL HAVING count(*) > 1 AND count(DISTINCT nullif(minutes, 0)) <= 1) USING ({_C}) WHERE rank < top GROUP BY 1",
     "tracking_window": with_(FACTS) + "SELECT source, count(*) FILTER (execution_date BETWEEN DATE '1998-01-01' AND DATE '2000-12-31') AS n_inside, count(*) FILTER (execution_date NOT BETWEEN DATE '1998-01-01' AND DATE '2000-12-31') AS n_outside FROM v_facts GROUP BY 1",
-    "analytics_summary": with_(TRADES, ALLOCATIONS, REALIZED, LOTS).rstrip() + ",\n" + _EXPOSURE + f""" SELECT portfolio_id, realized_micros, value_micros - cost_micros AS unrealized_micros, n_trades,
-  {r6("CASE WHEN cc > 0 THEN realized_micros / cc * 100 ELSE 0.0 END")} AS realized_pct, {r6("CASE WHEN cost_micros > 0 THEN (value_micros - cost_micros) / cost_micros * 100 ELSE 0.0 END")} AS unrealized_pct, cash_micros / 1e6::DOUBLE AS cash
-FROM (SELECT portfolio_id, CAST(sum(pnl) AS BIGINT) AS realized_micros, CAST(sum(cost) AS BIGINT) AS cc, count(DISTINCT trade_id) AS n_trades FROM r GROUP BY 1) LEFT JOIN e USING (portfolio_id)""",
 }

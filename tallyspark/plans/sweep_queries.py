@@ -8,7 +8,6 @@ from ..operators import sweep as W
 from ..sources import adapters as S
 from .ledger_queries import _id
 from .oracle import DENSE, FACTS, with_
-from .resolve_queries import _S, _status
 
 _ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
@@ -21,10 +20,7 @@ def _invoices(s, d):
 
 QUERIES = {
     "completed_fields": lambda s, d: W.completed_fields(S.dense_facts(s, d), _ORDER).select("portfolio_id", "ticker_id", *_ORDER[:4], "source", "filled"),
-    "canonical_transactions": lambda s, d: W.canonical_transactions(S.dense_facts(s, d)),
     "official_coverage": lambda s, d: W.official_coverage(S.dense_facts(s, d)),
-    "root_causes": lambda s, d: W.root_causes(_status(s, d)),
-    "ticker_split": lambda s, d: W.ticker_split(_status(s, d)),
     "unique_invoice_matches": _invoices,
     "sweep_report": lambda s, d: W.sweep_report(S.dense_facts(s, d)),
     "closed_positions": lambda s, d: W.closed_positions(S.facts(s, d)),
@@ -36,13 +32,8 @@ ORACLES = {
     "completed_fields": _D + f"""SELECT portfolio_id, ticker_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, source, filled FROM (
   SELECT u.*, d.minutes AS filled, row_number() OVER (PARTITION BY u.rid ORDER BY CASE WHEN d.source = 'invoice' THEN 0 ELSE 1 END, d.l_orderkey, d.l_linenumber, d.l_partkey, d.l_suppkey, d.l_extendedprice, d.minutes) AS r
   FROM (SELECT *, row_number() OVER () AS rid FROM v_facts WHERE nullif(minutes, 0) IS NULL) u JOIN v_facts d USING ({_C}) WHERE nullif(d.minutes, 0) IS NOT NULL AND d.source <> u.source) WHERE r = 1""",
-    "canonical_transactions": _D + f"""SELECT {_C}, CAST(cluster AS INTEGER) AS cluster, count(*) AS n, count(DISTINCT source) AS n_sources, max(rank) AS best_rank, max(struct_pack(a := rank, p := price)).p AS price
-FROM (SELECT *, CASE WHEN count(*) FILTER (nullif(minutes, 0) IS NULL) OVER (PARTITION BY {_C}) > 0 THEN -1 ELSE minutes END AS cluster FROM v_facts) GROUP BY {_C}, cluster""",
     "official_coverage": _D + """SELECT portfolio_id, ticker_id, bool_and(o IS NOT NULL) AS fully_official, count(o) AS n_covered, count(*) AS n
 FROM v_facts LEFT JOIN (SELECT DISTINCT portfolio_id, ticker_id, kind, execution_date, 1 AS o FROM v_facts WHERE source = 'official-broker-excel') USING (portfolio_id, ticker_id, kind, execution_date) GROUP BY 1, 2""",
-    "root_causes": _S + """SELECT cause, count(*) AS n FROM (SELECT CASE WHEN reason = 'matched' THEN NULL WHEN reason = 'no-verification' AND net > 0 THEN 'NV-1' WHEN reason = 'no-verification' AND net = 0 THEN 'NV-2' WHEN reason = 'no-verification' THEN 'NV-3'
-  WHEN abs(gap) <= 10 THEN 'MM-1' WHEN abs(gap) <= 500 THEN 'MM-2' ELSE 'MM-3' END AS cause FROM ts) WHERE cause IS NOT NULL GROUP BY 1""",
-    "ticker_split": _S + "SELECT portfolio_id, count(*) FILTER (net <> 0) AS n_active, count(*) FILTER (net = 0) AS n_completed, count(*) FILTER (reason = 'matched') AS n_matched, count(*) FILTER (reason <> 'matched') AS n_unmatched FROM ts GROUP BY 1",
     "unique_invoice_matches": _D.rstrip() + """, f AS (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id FROM v_facts)
 SELECT p.id, i.invoice_id FROM f p JOIN (SELECT portfolio_id, ticker_id, kind, execution_date, min(id) AS invoice_id FROM f WHERE source = 'invoice' GROUP BY 1, 2, 3, 4 HAVING count(*) = 1) i USING (portfolio_id, ticker_id, kind, execution_date) WHERE p.source = 'csv'""",
     "sweep_report": _D + f"""SELECT portfolio_id, count(DISTINCT ticker_id) AS n_tickers, count(*) AS n_facts, CAST(any_value(ng) AS BIGINT) AS n_groups, count(*) FILTER (rank < top) AS n_superseded

@@ -22,10 +22,30 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("trade_id"), (F.col("p_partkey") % 8).alias("portfolio_id"), F.upper("p_brand").alias("ticker"), F.col("p_type").alias("sector"),
         F.lit(1000.0).alias("shares"), F.col("p_retailprice").alias("entry_price"), F.col("p_size").cast("double").alias("fees"), F.lit(0.5).alias("taxes"),
-        F.to_date(F.lit("1995-01-01")).alias("execution_date"), F.col("p_name").alias("strategy_tags_raw"),
+        F.to_date(F.lit("1995-01-01")).alias("execution_date"), F.col("p_name").alias("strategy_tags_raw"), F.split("p_name", " ").alias("tags"),
     )
 
 
+def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two journal entries of every third trade; the second has the tags that count."""
+    p = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0")
+    entry = lambda ord_, tag: p.select(F.col("p_partkey").alias("trade_id"), F.lit(ord_).alias("ord"), F.array(F.lower(tag), F.element_at(F.split("p_name", " "), 1)).alias("tags"))
+    return entry(1, F.col("p_brand")).unionByName(entry(2, F.col("p_type")))
+
+
+def dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each click pays its value, on one of 600 days."""
+    e = table(spark, sf_dir, "events").filter("event_type = 'click'")
+    return e.select((F.col("user_id") % 8).alias("portfolio_id"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("event_id") % 600).cast("int")).alias("day"), half_up(F.col("value") * 1e6).alias("amount_micros"))
+
+
+def brand_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean unit price by brand and day, in cents half up."""
+    li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", F.upper("p_brand").alias("ticker"))
+    unit = F.sum(half_up(F.col("l_extendedprice") / F.col("l_quantity") * 100)) / F.count(F.lit(1))
+    return li.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("ticker", F.to_date("l_shipdate").alias("price_date")).agg((half_up(unit) / F.lit(100.0)).alias("close"))
+
+
 def allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line item closes shares of its part's lot."""
     return table(spark, sf_dir, "lineitem").select(
@@ -35,6 +55,7 @@ def allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+CONFIDENCE = ["low", "medium", "high"]
 SOURCES = ["invoice", "official-broker-excel", "statement", "orders-screen", "csv", "manual"]
 
 
@@ -46,7 +67,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_suppkey") % 10).alias("portfolio_id"), (F.col("l_partkey") % 40).alias("ticker_id"),
         F.col("l_quantity").cast("bigint").alias("shares"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.to_date("l_shipdate").alias("execution_date"), F.when(F.col("l_linenumber") != 1, F.col("l_linenumber") * 60).alias("minutes"),
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+        F.element_at(F.array(*map(F.lit, CONFIDENCE)), (F.col("l_orderkey") % 3 + 1).cast("int")).alias("confidence"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
     )
 
 
@@ -86,3 +107,27 @@ def dense_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         facts(spark, sf_dir).withColumn("execution_date", F.trunc("execution_date", "month")).withColumn("shares", (F.col("shares") % 4 + 1) * 10)
         .withColumn("price", (F.floor(F.col("price") / 250) + 1) * F.lit(250.0) + F.col("l_linenumber"))
     )
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending executions of many small tickers on a coarse grid of years, shares and prices:
+    two in three rows of a part are read by several documents. Manual rows are untyped."""
+    f = facts(spark, sf_dir)
+    return f.select(
+        "portfolio_id", F.col("l_partkey").alias("ticker_id"), "kind", F.trunc("execution_date", "year").alias("execution_date"), ((F.col("shares") % 2 + 1) * 10).cast("bigint").alias("shares"),
+        ((F.floor(F.col("price") / 500) + 1) * F.lit(500.0) + F.col("l_linenumber")).alias("price"), F.when(F.col("l_linenumber") % 4 == 0, 600).alias("minutes"),
+        F.when(F.col("l_linenumber") == 3, (F.col("l_orderkey") % 5).cast("string")).alias("number"), F.nullif("source", F.lit("manual")).alias("source"),
+        "confidence", F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("id"), "l_orderkey", "l_linenumber", "l_suppkey",
+    )
+
+
+def existing_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares on the ledger of every portfolio and part: 0, 10 or 20."""
+    k = entries(spark, sf_dir).select("portfolio_id", "ticker_id").distinct()
+    return k.withColumn("existing", (F.col("ticker_id") % 3 * 10).cast("double")).withColumn("existing_cost_micros", (F.col("ticker_id") % 3 * 10_000_000_000).cast("bigint"))
+
+
+def counted_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The broker's count of two in three portfolio tickers, every other one with a mean cost."""
+    k = entries(spark, sf_dir).select("portfolio_id", "ticker_id").distinct().filter("(ticker_id + portfolio_id) % 3 <> 0")
+    return k.select("portfolio_id", "ticker_id", (F.col("ticker_id") % 5 * 10).cast("double").alias("units"), F.when(F.col("ticker_id") % 2 == 0, 1000.0 + F.col("ticker_id") % 7 * 50).alias("avg_cost"))
