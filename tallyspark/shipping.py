@@ -12,7 +12,7 @@ _shipped: set[str] = set()
 
 #: Rows and bytes of an Arrow batch, Spark's defaults and ours, unless the session says otherwise:
 #: whole texts are wide, and 10,000 of them would take a lot of each Python worker.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "512"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "512"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "2m")}
 
 
 def ship(spark: SparkSession) -> None:
