@@ -60,8 +60,8 @@ def test_open_position_stats(spark):
 
 def test_health_of_two_equal_tickers(spark):
     t = trades(spark, ("a", "A", 100.0, 10.0, D(2026, 1, 1)), ("b", "B", 100.0, 10.0, D(2026, 1, 1)))
-    r = A.portfolio_health(A.open_lots(t, spark.createDataFrame([], ALLOC)), spark.createDataFrame([], "ticker string, price double"), spark.createDataFrame([], "portfolio_id string, cash_micros long")).first()
-    assert (r["hhi"], r["largest_pct"], r["largest_ticker"]) == (0.5, 50.0, "A")
+    r = A.portfolio_health(A.open_lots(t, spark.createDataFrame([], ALLOC)), spark.createDataFrame([], "ticker string, price double"), spark.createDataFrame([], "portfolio_id string, cash_micros long"), A.realized(spark.createDataFrame([], ALLOC), t)).first()
+    assert (r["hhi"], r["largest_pct"], r["largest_ticker"], r["open_trades"], r["largest_winner"]) == (0.5, 50.0, "A", 2, 0.0)
 
 
 def test_allocation_without_trade_fails(spark):
@@ -98,3 +98,22 @@ def test_periods_carry_prices_of_empty_months(spark):
     a = allocs(spark, ("t", 50.0, 12.0, D(2026, 3, 2)))
     got = T.period_performance(T.dated_deltas(A.realized(a, t), t), "2026-04-15").orderBy("period").collect()
     assert [(r["period"], r["realized_pct"]) for r in got] == [("2026-01-01", 0.0), ("2026-02-01", 0.0), ("2026-03-01", 10.0), ("2026-04-01", 0.0)]
+
+
+def test_open_results_by_period(spark):
+    t = trades(spark, ("t", "X", 100.0, 10.0, D(2026, 1, 5)), ("u", "Y", 10.0, 1.0, D(2026, 1, 5)))
+    a = allocs(spark, ("t", 50.0, 12.0, D(2026, 3, 2)))
+    px = spark.createDataFrame([("X", D(2026, 1, 20), 11.0), ("X", D(2026, 2, 28), 9.0), ("X", D(2026, 4, 16), 99.0)], "ticker string, price_date date, close double")
+    open_ = T.unrealized_by_period(t, a, px, "2026-04-15")
+    got = {str(r["period"]): r["unrealized_micros"] / 1e6 for r in open_.collect()}
+    assert got == {"2026-01-01": 100.0, "2026-02-01": -100.0, "2026-03-01": -50.0, "2026-04-01": -50.0}  # Y has no close; the last close is of tomorrow
+    p = T.period_performance(T.dated_deltas(A.realized(a, t), t), "2026-04-15", "month", open_).orderBy("period").collect()
+    assert [r["unrealized_pct"] for r in p] == [round(x / 1010 * 100, 6) for x in (100.0, -200.0, 50.0, 0.0)]
+
+
+def test_last_journal_entry_has_the_tags(spark):
+    t = trades(spark, ("t", "X", 100.0, 10.0, D(2026, 1, 5)), ("u", "X", 100.0, 10.0, D(2026, 1, 5))).withColumn("tags", A.F.array(A.F.lit("swing")))
+    a = allocs(spark, ("t", 50.0, 12.0, D(2026, 3, 2)))
+    j = spark.createDataFrame([("t", 1, ["early"]), ("t", 2, ["late", "swing"])], "trade_id string, ord int, tags array<string>")
+    got = {r["tag"]: (r["n_trades"], r["n_allocations"], r["ord"]) for r in A.strategy_attribution(t, A.realized(a, t), j).collect()}
+    assert got == {"swing": (2, 1, 2), "late": (1, 1, 1)}

@@ -61,27 +61,43 @@ def test_allocation_lines():
 
 def test_subsets():
     pool = [("o1", 5000.0, 8.0), ("o2", 3000.0, 8.0)]
-    assert G.smallest_subset(pool, 8000.0, 8.0) == ["o1", "o2"]
-    assert G.smallest_subset(pool[1:], 8000.0, 8.0) is None
+    assert G.smallest_subset(pool, 8000.0) == [0, 1]
+    assert G.smallest_subset(pool[1:], 8000.0) is None and G.smallest_subset(pool, 0.0) is None
     r = random.Random(2)
     for _ in range(200):
-        p = [(str(i), float(r.randrange(1, 9)), float(r.randrange(90, 111))) for i in range(r.randrange(1, 9))]
+        p = [(str(i), float(r.randrange(1, 9)), 100.0) for i in range(r.randrange(1, 9))]
         total = float(r.randrange(1, 25))
-        fits = [c for c in ([i for i in range(len(p)) if m >> i & 1] for m in range(1, 2 ** len(p))) if sum(p[i][1] for i in c) == total and abs(sum(p[i][1] * p[i][2] for i in c) / total - 100) <= max(sum(p[i][1] * p[i][2] for i in c) / total, 100) * 0.02]
-        got = G.smallest_subset(p, total, 100.0)
-        assert (got is None) == (not fits) and (got is None or len(got) == min(map(len, fits)))
+        fits = [c for c in ([i for i in range(len(p)) if m >> i & 1] for m in range(1, 2 ** len(p))) if sum(p[i][1] for i in c) == total]
+        got = G.smallest_subset(p, total)
+        assert (got is None) == (not fits) and (got is None or (len(got) == min(map(len, fits)) and got in fits))
+    assert len(G.smallest_subset([(str(i), 100.0, 1.0) for i in range(30)], 1500.0)) == 15  # one choice a sum, not all of them
 
 
 def test_removals():
-    assert G.removal_suggestion([("a", 30.0, 1.0, 2), ("b", 15.0, 1.0, 2), ("c", 8.0, 1.0, 0)], 45.0) == (["c"], 0)
-    assert G.removal_suggestion([("dear", 10.0, 9.0, 1), ("cheap", 10.0, 1.0, 1), ("x", 5.0, 9.0, 1)], 15.0, 9.0) == (["cheap"], 1)
-    assert G.removal_suggestion([("a", 1.0, 1.0, 0)], 5.0) is None
+    assert G.removal_suggestion([("a", 30.0, 1.0, 2), ("b", 15.0, 1.0, 2), ("c", 8.0, 1.0, 0)], 45.0) == (["c"], 0, False)
+    assert G.removal_suggestion([("dear", 10.0, 9.0, 1), ("cheap", 10.0, 1.0, 1), ("x", 5.0, 9.0, 1)], 15.0, 9.0) == (["cheap"], 1, True)
+    assert G.removal_suggestion([("dear", 10.0, 9.0, 1), ("cheap", 10.0, 1.0, 1), ("s", -5.0, 9.0, 1)], 5.0, 9.0)[2] is False  # sales aren't ranked by cost
+    assert G.removal_suggestion([("a", 1.0, 1.0, 0)], 5.0) is None and G.removal_suggestion([("a", 1.0, 1.0, 0)], 0.0) is None
+    assert G.removal_suggestion([("a", 5.0, 1.0, 0), ("b", 3.0, 1.0, 0)], 15.0, None, 12.0) == (["a"], 0, False)  # with what is on the ledger
+    r = random.Random(9)
+    for _ in range(100):
+        rows = [(str(i), float(r.choice([-2, -1, 1, 2, 3])), 1.0, r.randrange(3)) for i in range(r.randrange(1, 9))]
+        units, n = float(r.randrange(-2, 6)), len(rows)
+        ways = [m for m in range(1, 2**n - 1) if sum(rows[i][1] for i in range(n) if m >> i & 1) == sum(x[1] for x in rows) - units]
+        got = G.removal_suggestion(rows, units)
+        if sum(x[1] for x in rows) == units or not ways:
+            assert got is None
+        else:
+            best = min(ways, key=lambda m: (sum(rows[i][3] for i in range(n) if m >> i & 1), bin(m).count("1"), m))
+            assert got == ([rows[i][0] for i in range(n) if best >> i & 1], len(ways) - 1, False)
 
 
 def test_greedy_evidence():
-    c = [("c1", "B", 5.0, 10.0, None), ("c2", "B", 5.0, 10.0, 60)]
-    e = [("e1", "B", 5.0, 10.2, 60), ("e2", "B", None, None, None)]
+    c = [("c1", "B", 5.0, 10.0, None, "d1"), ("c2", "B", 5.0, 10.0, 60, "d1"), ("c3", "B", 7.0, 10.0, 0, "d2")]
+    e = [("e1", "B", 5.0, 10.2, 60, None, 51.0), ("e2", "B", 9.0, None, None, "d1", 52.0), ("e3", "B", 7.0, None, None, None, 70.0), ("e4", "B", 1.0, 1.0, 5, "d2", 70.0), ("e5", "B", 1.0, 1.0, 0, "d2", 74.0)]
+    # dated evidence goes by day and value, undated by shares and price; midnight is a time; a missing price fits nothing
     assert G.match_greedy(c, e) == {"c1": "e1", "c2": "e2"}
+    assert G.match_greedy(c, [*e, ("e6", "B", None, None, 0, "d2", 72.0)])["c3"] == "e6"
 
 
 def test_completeness_and_compare(spark):
