@@ -10,11 +10,14 @@ def brute(rows):
     groups = {}
     for i, t in rows:
         groups.setdefault(t or "", []).append(i)
-    out = []
+    out, kept = [], set()
     for i, t in rows:
         g = groups[t or ""]
         best = max((x for x in g if x is not None), default=None)
-        out.append((i, best, len(g), i == best, hashlib.sha256((t or "").encode()).hexdigest()))
+        keep = i == best and (t or "") not in kept
+        if keep:
+            kept.add(t or "")
+        out.append((i, best, len(g), keep, hashlib.sha256((t or "").encode()).hexdigest()))
     return sorted(map(str, out))
 
 
@@ -42,3 +45,10 @@ def test_chunks_join_to_the_text(spark):
     c = X.chunks(F.col("text"))
     assert df.filter(F.array_join(c, "") != F.col("text")).count() == 0
     assert df.filter(F.exists(c, lambda x: F.length(x) > X.MAX_CHUNK)).count() == 0
+
+
+def test_one_of_repeated_rows_stays(spark):
+    df = spark.createDataFrame([(7, "t"), (7, "t"), (3, "t"), (None, "n"), (None, "n"), (None, "t"), (5, None), (5, "")], "doc_id long, text string")
+    got = X.exact_dedup(df).collect()
+    assert sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"]) for r in got if r["kept"]) == [(0, 0, 2), (5, 5, 2), (7, 7, 4)]
+    assert len(got) == 8

@@ -33,3 +33,17 @@ def test_odd_rows(spark):
     none = L.identify(df, L.fit(df.filter("false"))).collect()
     assert {r["lang_pred"] for r in none} == {"und"}
     assert L.identify(df.filter("false"), L.fit(df)).collect() == []
+
+
+def test_what_is_no_letter(spark):
+    rows = [(1, "\u00bd \u00b2 \u2167 \u2460 12 _", None), (2, "", None), (3, None, None), (4, "\u00b2 a", None)]
+    train = spark.createDataFrame([(i, ["the cat sat on the mat", "le chat est sur la table"][i % 2], ["en", "fr"][i % 2]) for i in range(60)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), L.fit(train)).collect()}
+    assert [got[i]["lang_pred"] == "und" for i in (1, 2, 3, 4)] == [True, True, True, False] and got[1]["score"] == 0
+
+
+def test_every_language_is_learnt(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_ROWS", 600)
+    train = spark.createDataFrame([(i, " ".join([f"w{i % 300}x"] * 40), f"l{i % 300}") for i in range(1800)], "doc_id long, text string, lang string")
+    parts = L.training_windows(train, "doc_id", "text", "lang", 800)
+    assert len({y for y, _, _ in parts}) > 200 and len({h for _, _, h in parts}) < 900

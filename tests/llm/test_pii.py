@@ -71,3 +71,53 @@ def test_em_finds_the_bad_labeler():
     table, post = pii.reliabilities(counts)
     assert post["ip", 1, 1, 1, -1] > 0.9 > 0.1 > post["ip", -1, -1, 0, 1]
     assert table["ip"][0][1][1] > 0.9
+
+
+def test_many_matches_cost_in_proportion(spark, tmp_path):
+    import time
+
+    numbers = ",".join(str(10 + i % 90) for i in range(200_000)) + " 4111 1111 1111 1111"
+    mails = " ".join(f"a{i}@b{i}.com" for i in range(20_000))
+    texts = {1: numbers, 2: mails + " user [at] mail [dot] com", None: "x@y.zz"}
+    began = time.time()
+    got = query(spark, tmp_path, [(i, t, None, "x", "y") for i, t in texts.items()])
+    assert time.time() - began < 60
+    check(got, texts)
+    assert {r["doc_id"]: (r["n_card"], r["n_email"]) for r in got} == {1: (1, 0), 2: (0, 20_000), None: (0, 1)}
+
+
+def test_added_spans_against_plain_python(spark, tmp_path):
+    """The classifier again, from the candidates that were written, in plain Python."""
+    import math
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    cands = pii.candidates(rows, "doc_id", "text")
+    each = [(r["doc_id"], c) for r in cands.collect() for c in r["cands"]]
+    counts = {}
+    for _, c in each:
+        k = (c["kind"], *(c[v] for v in pii.LABELERS))
+        counts[k] = counts.get(k, 0) + 1
+    _, post = pii.reliabilities([(*k, n) for k, n in counts.items()])
+    one, zero = {}, {}
+    for _, c in each:
+        p = post[(c["kind"], *(c[v] for v in pii.LABELERS))]
+        for f in pii.FEATURES:
+            k = c["kind"], f, c[f]
+            one[k], zero[k] = one.get(k, 0) + p, zero.get(k, 0) + 1 - p
+    total = {k: [sum(v for (kind, f, _), v in side.items() if kind == k and f == "v_check") for side in (one, zero)] for k in pii.KINDS}
+
+    def sure(c):
+        a, b = total[c["kind"]]
+        z = math.log((a + 1) / (b + 1))
+        for f in pii.FEATURES:
+            k = c["kind"], f, c[f]
+            z += math.log((one[k] + 1) / (a + 10)) - math.log((zero[k] + 1) / (b + 10))
+        return z > math.log(pii.SURE / (1 - pii.SURE))
+
+    base = {}
+    for i, c in each:
+        if c["base"]:
+            base.setdefault(i, []).append((c["s"], c["e"]))
+    want = sorted((i, c["kind"], c["s"], c["e"]) for i, c in each if c["base"] or (c["loose"] and sure(c) and not any(s < c["e"] and c["s"] < e for s, e in base.get(i, []))))
+    got = sorted((r["doc_id"], x["kind"], x["s"], x["e"]) for r in pii.find_pii(rows).collect() for x in r["spans"])
+    assert got == want

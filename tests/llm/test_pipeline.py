@@ -29,6 +29,10 @@ def test_run_against_brute_force(spark):
 
 def test_stages_keep_the_columns(spark):
     df = spark.createDataFrame([(1, "the cat sat on the mat today", "en", "s", 3), (1, "the cat sat on the mat today", "en", "s", 3), (None, None, None, None, None), (2, "le chat est sur la table", "fr", None, 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    exact = corpus_pipeline.exact_dedup_stage(spark, df.unionByName(df.limit(2)), "").collect()
+    assert sorted((r["doc_id"] or 0) for r in exact) == [0, 1, 2]  # of four equal rows one stays, null ids too
+    clash = df.selectExpr("*", "1 AS hit", "2 AS d", "3 AS sha", "4 AS again", "map('k', 1) AS m")
+    assert corpus_pipeline.exact_dedup_stage(spark, clash, "").schema.names == clash.schema.names
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, df, "/root/testdata/sf0.001").schema.names == df.schema.names
         assert stage(spark, df.limit(0), "/root/testdata/sf0.001").collect() == []

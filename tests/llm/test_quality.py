@@ -31,3 +31,44 @@ def test_training_reads_whole_texts(spark):
     df = spark.createDataFrame([(i, same + ["good plain text here. ", "### $$$ !!! "][i % 2] * 9_000, "a", "b") for i in range(40)], "doc_id long, text string, source string, lang string")
     one = {r["doc_id"]: r["evidence"] for r in Q.quality(df, spark.createDataFrame([(i, 1 - i % 2) for i in range(30)], "doc_id long, quality int")).collect()}
     assert one[38] > 0.8 and one[39] < 0.2
+
+
+def test_posteriors_against_plain_python(spark):
+    import math
+
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    got = Q.quality(docs, labels).collect()
+    meta = {r["doc_id"]: (r["source"], r["lang"]) for r in docs.select("doc_id", "source", "lang").collect()}
+    import zlib
+
+    y = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 3}
+    e = {r["doc_id"]: float(y.get(r["doc_id"], r["evidence"])) for r in got}
+    paths, sites = {}, {}
+    for i, x in e.items():
+        for table, key in ((paths, meta[i]), (sites, meta[i][0])):
+            a, n = table.get(key, (0.0, 0))
+            table[key] = (a + x, n + 1)
+    prior = sum(a for a, _ in sites.values()) / sum(n for _, n in sites.values())
+
+    def strength(rows):
+        n = sum(k for _, k, _ in rows)
+        each = sum(k * p * (1 - p) for _, k, p in rows) / n
+        between = (sum(k * (m - p) ** 2 for m, k, p in rows) - len(rows) * each) / n
+        return min(1000.0, max(1.0, each / between - 1)) if between > 0 else 1000.0
+
+    ks = strength([(a / n, n, prior) for a, n in sites.values()])
+    kp = strength([(a / n, n, (sites[k[0]][0] + ks * prior) / (sites[k[0]][1] + ks)) for k, (a, n) in paths.items()])
+    rows = {r["doc_id"]: r for r in got}
+    base = None
+    for i, r in rows.items():
+        (sa, sn), (pa, pn) = sites[meta[i][0]], paths[meta[i]]
+        site = (sa - e[i] + ks * prior) / (sn - 1 + ks)
+        path = (pa - e[i] + kp * site) / (pn - 1 + kp)
+        assert math.isclose(r["site_mean"], site, rel_tol=1e-9) and math.isclose(r["path_mean"], path, rel_tol=1e-9)
+        held = min(max(path, 1e-3), 1 - 1e-3)
+        odds = lambda p: math.log(p / (1 - p))
+        if 1e-9 < r["evidence"] < 1 - 1e-9:
+            shift = odds(r["evidence"]) + odds(held) - odds(r["score"])  # the prior of training, the same for all
+            base = shift if base is None else base
+            assert math.isclose(shift, base, abs_tol=1e-6)
