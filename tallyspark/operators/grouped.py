@@ -1,18 +1,23 @@
-"""Order-dependent and combinatorial operators: kernels over one key's rows, run by Spark in
-Arrow batches.
+"""Order-dependent and combinatorial operators: kernels over one key's rows, run by Spark.
 
-A kernel gets the rows of one (portfolio, ticker) or one (ticker, side, day) in a stated order.
-Keys are many and a key's replay can't be split: what it allocates next depends on all it
-allocated before. Each kernel keeps no more than its key's rows.
+Rows are dealt out by key and sorted within their partition, and Python walks them as a stream,
+a key at a time: what a key allocates next depends on all it allocated before, so a key can't
+be split, but small keys cost no more than their rows. A kernel keeps its key's rows only.
 """
 
 from __future__ import annotations
 
+from collections import namedtuple
+from itertools import groupby
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
+from ..scratch import durable
 from ..shipping import ship
 
 DUST = 1e-6
@@ -20,28 +25,26 @@ MOST_SUBSET_ROWS = 16  # fixed: larger groups get no suggestion
 MOST_POOL_ROWS = 30  # fixed: larger pools aren't searched
 
 
-def _run(df: DataFrame, keys: list[str], kernel, schema: str) -> DataFrame:
-    ship(df.sparkSession)
-    return df.groupBy(*keys).applyInPandas(lambda pdf: kernel(pdf), schema)
-
-
-def _by_key(df: DataFrame, keys: list[str], find, made: str) -> DataFrame:
+def _by_key(df: DataFrame, keys: list[str], find, made: str, order: tuple[str, ...] = ("ord", "id")) -> DataFrame:
     """``find`` gets a key's rows in order and gives a list of tuples, the columns of ``made``."""
-    names = [c.split()[0] for c in made.split(", ")]
-    types = dict(df.dtypes)
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = find(pdf.sort_values(["ord", "id"], kind="stable"))
-        out = pd.DataFrame(found, columns=names)
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0] if found else pd.Series(dtype=pdf[k].dtype))
-        return out
-
-    return _run(df, keys, kernel, ", ".join(f"{k} {types[k]}" for k in keys) + ", " + made)
+    ship(df.sparkSession)
+    fields = [*(df.schema[k] for k in keys), *StructType.fromDDL(made).fields]
+    types, names, columns = [to_arrow_type(f.dataType) for f in fields], [f.name for f in fields], df.columns
 
+    def run(batches):
+        row = namedtuple("Row", columns)
+        place = [columns.index(k) for k in keys]
+        rows = (row(*r) for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        found = []
+        for key, own in groupby(rows, lambda r: tuple(r[i] for i in place)):
+            found += [(*key, *x) for x in find(list(own))]
+            if len(found) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found), types)], names=names)
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found), types)], names=names)
 
-def _or_none(x):
-    return None if pd.isna(x) else x
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, StructType(fields))
 
 
 def _with_roles(rows: DataFrame, keys: list[str], needed: tuple[str, str]) -> DataFrame:
@@ -71,19 +74,11 @@ def allocate(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Explicit allocation of all keys. Rows: keys, kind ('lot' or 'line'), ord, id (of the lot
     or the sell), lot_id, sell_shares, shares, fees, taxes."""
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "id", "lot_id"], kind="stable")
-        lots = pdf[pdf.kind == "lot"]
-        lines = pdf[pdf.kind == "line"]
-        got = replay_allocations(list(zip(lots["lot_id"], lots["shares"])), list(zip(lines["id"], lines["sell_shares"], lines["fees"], lines["taxes"], lines["lot_id"], lines["shares"])))
-        out = pd.DataFrame(got, columns=["sell_id", "lot_id", "shares", "fees", "taxes"])
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+    def find(rows: list) -> list[tuple]:
+        lots = [(r.lot_id, r.shares) for r in rows if r.kind == "lot"]
+        return replay_allocations(lots, [(r.id, r.sell_shares, r.fees, r.taxes, r.lot_id, r.shares) for r in rows if r.kind == "line"])
 
-    types = dict(rows.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", sell_id string, lot_id string, shares double, fees double, taxes double"
-    return _run(rows, keys, kernel, schema)
+    return _by_key(rows, keys, find, "sell_id string, lot_id string, shares double, fees double, taxes double", ("ord", "id", "lot_id"))
 
 
 def match_greedy(candidates: list[tuple], evidence: list[tuple], tolerance: float = 0.05) -> dict:
@@ -120,11 +115,10 @@ def order_evidence(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id, evidence_id): matches, and orphan evidence with a null id. Rows: keys, role
     ('candidate' or 'evidence'), ord, id, side, shares, price, minutes, day, total."""
 
-    def find(pdf: pd.DataFrame) -> list[tuple]:
-        part = lambda role, cols: [tuple(map(_or_none, r)) for r in pdf.loc[pdf.role == role, cols].itertuples(index=False)]
-        cols = ["id", "side", "shares", "price", "minutes", "day"]
-        evidence = part("evidence", [*cols, "total"])
-        got = match_greedy(part("candidate", cols), evidence)
+    def find(rows: list) -> list[tuple]:
+        candidates = [(r.id, r.side, r.shares, r.price, r.minutes, r.day) for r in rows if r.role == "candidate"]
+        evidence = [(r.id, r.side, r.shares, r.price, r.minutes, r.day, r.total) for r in rows if r.role == "evidence"]
+        got = match_greedy(candidates, evidence)
         used = set(got.values())
         return [*got.items(), *((None, e[0]) for e in evidence if e[0] not in used)]
 
@@ -157,10 +151,10 @@ def statement_aggregates(rows: DataFrame, keys: list[str], tolerance: float = 0.
     searched, and the row says so. Rows: keys, role ('statement' or 'execution'), ord, id,
     shares, price."""
 
-    def find(pdf: pd.DataFrame) -> list[tuple]:
-        pool = list(pdf.loc[pdf.role == "execution", ["id", "shares", "price"]].itertuples(index=False, name=None))
+    def find(rows: list) -> list[tuple]:
+        pool = [(r.id, r.shares, r.price) for r in rows if r.role == "execution"]
         found = []
-        for sid, shares, price in pdf.loc[pdf.role == "statement"].sort_values("shares", kind="stable")[["id", "shares", "price"]].itertuples(index=False, name=None):
+        for sid, shares, price in sorted(((r.id, r.shares, r.price) for r in rows if r.role == "statement"), key=lambda x: x[1]):
             if len(pool) > MOST_POOL_ROWS:
                 found.append((sid, False, None))
             elif parts := smallest_subset(pool, shares):
@@ -213,12 +207,12 @@ def mismatch_suggestions(rows: DataFrame, keys: list[str]) -> DataFrame:
     Rows: keys, ord, id, signed_shares, price, confidence, units, avg_cost, existing,
     existing_cost_micros."""
 
-    def find(pdf: pd.DataFrame) -> list[tuple]:
-        one = pdf.iloc[0]
-        cost = _or_none(one["existing_cost_micros"])
-        got = removal_suggestion(list(zip(pdf["id"], pdf["signed_shares"], pdf["price"], pdf["confidence"])), one["units"], _or_none(one["avg_cost"]), one["existing"], None if cost is None else int(cost))
+    def find(rows: list) -> list[tuple]:
+        one = rows[0]
+        got = removal_suggestion([(r.id, r.signed_shares, r.price, r.confidence) for r in rows], one.units, one.avg_cost, one.existing, one.existing_cost_micros)
         return [(True, ",".join(got[0]), got[1], got[2])] if got else [(True, None, None, None)]
 
+    rows = durable(rows, "rows")  # it is read three times
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     few = sizes.filter(F.col("n") <= MOST_SUBSET_ROWS).drop("n")
     made = "searched boolean, remove string, alternatives long, ranked boolean"
@@ -232,14 +226,13 @@ def duplicate_lots(rows: DataFrame, keys: list[str]) -> DataFrame:
     else the cheapest first, each only if the count isn't undershot. Rows: keys, ord, id, price,
     shares, remaining, computed, units, avg_cost."""
 
-    def find(pdf: pd.DataFrame) -> list[tuple]:
-        one, whole = pdf.iloc[0], pdf[pdf["remaining"] == pdf["shares"]]
-        cost = _or_none(one["avg_cost"])
-        if cost is not None and 0 < len(whole) <= MOST_SUBSET_ROWS and (got := removal_suggestion([(i, n, p, 2) for i, n, p in zip(whole["id"], whole["shares"], whole["price"])], one["units"], cost)):
+    def find(rows: list) -> list[tuple]:
+        one, whole = rows[0], [r for r in rows if r.remaining == r.shares]
+        if one.avg_cost is not None and 0 < len(whole) <= MOST_SUBSET_ROWS and (got := removal_suggestion([(r.id, r.shares, r.price, 2) for r in whole], one.units, one.avg_cost)):
             return [(",".join(got[0]),)]
-        left, ids = one["computed"], []
-        for i, n in whole.sort_values("price", kind="stable")[["id", "shares"]].itertuples(index=False):
-            if left > one["units"] and left - n >= one["units"]:
+        left, ids = one.computed, []
+        for i, n in ((r.id, r.shares) for r in sorted(whole, key=lambda r: r.price)):
+            if left > one.units and left - n >= one.units:
                 ids.append(i)
                 left -= n
         return [(",".join(ids),)] if ids else []
@@ -302,9 +295,9 @@ def repaired_official_sells(rows: DataFrame, keys: list[str]) -> DataFrame:
     its lots can't serve has one row without a lot. Rows: keys, role ('lot', 'decided' or
     'sell'), ord (time order), id, lot_id (of decided lines), shares, at."""
 
-    def find(pdf: pd.DataFrame) -> list[tuple]:
-        part = lambda role, cols: [tuple(map(_or_none, r)) for r in pdf.loc[pdf.role == role, cols].itertuples(index=False)]
-        got = repair_official_sells(part("lot", ["id", "shares", "at"]), part("decided", ["lot_id", "shares"]), part("sell", ["id", "shares", "at"]))
+    def find(rows: list) -> list[tuple]:
+        part = lambda role, *cols: [tuple(getattr(r, c) for c in cols) for r in rows if r.role == role]
+        got = repair_official_sells(part("lot", "id", "shares", "at"), part("decided", "lot_id", "shares"), part("sell", "id", "shares", "at"))
         return [(sid, lot, n) for sid, lines in got.items() for lot, n in (lines if lines is not None else [(None, None)])]
 
     with_sells = rows.filter("role = 'sell'").select(*keys).distinct()
@@ -315,8 +308,8 @@ def matched_canonical(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id, stored_id): canonical rows and the stored row that each takes, every stored row
     once. Rows: keys, role ('canonical' or 'stored'), ord, id, number, price."""
 
-    def find(pdf: pd.DataFrame) -> list[tuple]:
-        part = lambda role: [tuple(map(_or_none, r)) for r in pdf.loc[pdf.role == role, ["id", "number", "price"]].itertuples(index=False)]
+    def find(rows: list) -> list[tuple]:
+        part = lambda role: [(r.id, r.number, r.price) for r in rows if r.role == role]
         return list(match_consuming(part("canonical"), part("stored")).items())
 
     return _by_key(_with_roles(rows, keys, ("canonical", "stored")), keys, find, "id string, stored_id string")
