@@ -38,21 +38,38 @@ def duplicate_survivors(facts: DataFrame, order: list) -> DataFrame:
     return r.filter(F.col("rank") > 1).filter(within("price", "best_price", 0.01) & ~clash).drop("best_price", "best_minutes")
 
 
-def duplicate_matches(candidates: DataFrame, existing: DataFrame, keys: list[str], ord_cols: list[str]) -> DataFrame:
-    """The best match of each candidate among existing rows of its key within 1 %: same
-    transaction number, then the same price, then the closest, then the first.
-
-    Both sides hold: id, price, minutes, number. The pick is an aggregate per candidate, so the
-    pairs of a key are never sorted together.
+def duplicate_matches(candidates: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
+    """(id, match_id, match_class): the best match of each candidate among existing rows.
+
+    Class 0: a row of its portfolio, ticker and side with the same transaction number, the first
+    by id. Else rows of its key whose known time is no other and whose number, if both have
+    one, is no other: class 1, the first with the same price to 4 places, or class 2, the one
+    of the closest price. Both sides hold: id, price, minutes, number. Existing rows that are
+    alike count once, by their first id, so the pairs of a key follow its different prices.
+    """
+    ticker = ["portfolio_id", "ticker_id", "kind"]
+    e = existing.groupBy(*keys, F.col("price").alias("e_price"), F.col("minutes").alias("e_minutes"), F.col("number").alias("e_number")).agg(F.min("id").alias("e_id"))
+    numbered = candidates.filter("number IS NOT NULL").join(existing.filter("number IS NOT NULL").groupBy(*ticker, "number").agg(F.min("id").alias("e_id")), [*ticker, "number"]).select("id", F.col("e_id").alias("by_number"))
+    clash = F.coalesce(known_time("minutes") != known_time("e_minutes"), F.lit(False)) | F.coalesce(F.col("number") != F.col("e_number"), F.lit(False))
+    class_ = F.when(round4("price") == round4("e_price"), 1).otherwise(2)
+    away = F.when(class_ == 1, 0.0).otherwise(F.abs(F.col("price") - F.col("e_price")))
+    j = candidates.join(e, keys).filter(~clash).groupBy("id").agg(F.min(F.struct(class_.alias("k"), away.alias("d"), F.col("e_id").alias("i"))).alias("m"))
+    both = numbered.join(j, "id", "full_outer")
+    return both.select("id", F.coalesce("by_number", "m.i").alias("match_id"), F.when(F.col("by_number").isNotNull(), 0).otherwise(F.col("m.k")).alias("match_class"))
+
+
+def sell_differences(canonical: DataFrame, groups: DataFrame) -> DataFrame:
+    """(what, id): sales that the ledger lacks (add), those whose group's price is off by more than
+    1 % (modify), and groups that no sale matches (extraneous). Sales may match one group.
+
+    ``canonical``: content, id, price, minutes, number; ``groups``: keys, group, total_shares,
+    price, day, minutes, number.
     """
-    e = existing.select(*keys, *[F.col(c).alias("e_" + c) for c in ("id", "price", "minutes", "number")])
-    j = candidates.join(e, keys)
-    same_number = F.coalesce(F.col("number") == F.col("e_number"), F.lit(False))
-    clash = F.coalesce(known_time("minutes") != known_time("e_minutes"), F.lit(False))
-    j = j.filter(same_number | (within("price", "e_price", 0.01) & ~clash))
-    class_ = F.when(same_number, 0).when(round4("price") == round4("e_price"), 1).otherwise(2)
-    rank = F.struct(class_.alias("k"), F.abs(F.col("price") - F.col("e_price")).alias("d"), F.col("e_id").alias("i"))
-    return j.groupBy("id").agg(F.min(rank).alias("m")).select("id", F.col("m.i").alias("match_id"), F.col("m.k").alias("match_class"))
+    g = groups.select("portfolio_id", "ticker_id", F.lit("SellExecution").alias("kind"), F.col("day").alias("execution_date"), F.col("total_shares").alias("shares"), F.col("group").alias("id"), "price", "minutes", "number")
+    m = duplicate_matches(canonical, g, CONTENT)
+    priced = m.join(canonical.select("id", "price"), "id").join(g.select(F.col("id").alias("match_id"), F.col("price").alias("g_price")), "match_id")
+    out = canonical.join(m, "id", "left_anti").select(F.lit("add").alias("what"), "id").unionByName(priced.filter(~within("price", "g_price", 0.01)).select(F.lit("modify").alias("what"), "id"))
+    return out.unionByName(g.join(m.select(F.col("match_id").alias("id")), "id", "left_anti").select(F.lit("extraneous").alias("what"), "id"))
 
 
 def cross_source_verified(facts: DataFrame) -> DataFrame:

@@ -351,3 +351,19 @@ def intelligence(canonical: DataFrame, verified: DataFrame, complete: DataFrame)
     c = canonical.groupBy(*TICKER).agg(n("Verified").alias("n_confirmed"), n("Needs Review").alias("n_review"), n("Rejected").alias("n_rejected"))
     best = verified.groupBy(*TICKER).agg(F.max(authority("source")).cast("int").alias("best_rank"))
     return c.join(best, TICKER).join(complete.select(*TICKER, "class", "score", "ask_for"), TICKER)
+
+
+def completed(entries: DataFrame) -> DataFrame:
+    """Typed entries with fees, taxes, time and number filled from rows of another source that
+    describe the same execution, invoices first, then by id; ``n_filled`` counts the fields.
+    Where there is such a row the confidence is high. Entries also hold fees and taxes."""
+    fields = ["fees", "taxes", "minutes", "number"]
+    typed = entries.filter("source IS NOT NULL").withColumn("look", look())
+    looks = typed.groupBy(*CONTENT, "look").agg(*[F.min(F.when(F.col(c).isNotNull(), F.struct("id", F.col(c).alias("v")))).alias(c) for c in fields], F.min("id").alias("first"))
+    pairs = looks.select(*CONTENT, F.col("look").alias("own")).join(looks, CONTENT).filter("own.source <> look.source").filter(same_candidate("own", "look"))
+    order = lambda c: F.struct((F.col("look.source") != "invoice").cast("int").alias("k"), F.col(f"{c}.id").alias("i"))
+    best = pairs.groupBy(*CONTENT, F.col("own").alias("look")).agg(*[F.min_by(F.col(f"{c}.v"), F.when(F.col(c).isNotNull(), order(c))).alias(f"from_{c}") for c in fields])
+    j = typed.join(best.withColumn("donor", F.lit(True)), [*CONTENT, "look"], "left").drop("look")
+    filled = sum((F.when(F.col(c).isNull() & F.col(f"from_{c}").isNotNull(), 1).otherwise(0) for c in fields), F.lit(0))
+    j = j.withColumn("n_filled", filled).withColumn("confidence", F.when(F.col("donor"), "high").otherwise(F.col("confidence")))
+    return j.withColumns({c: F.coalesce(c, f"from_{c}") for c in fields}).drop("donor", *[f"from_{c}" for c in fields])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import imports as I
+from ..operators import resolve as R
 from ..operators import verification as V
 from ..sources import adapters as S
 from .oracle import ENTRIES, with_
@@ -74,6 +75,7 @@ def _lessons(s, d):
 
 QUERIES = {
     "sell_groups": lambda s, d: _groups(s, d).groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("n_groups"), F.sum("total_shares").alias("shares"), F.sum("n").alias("n"), F.min("group").alias("first_group"), F.max("group").alias("last_group")),
+    "sell_differences": lambda s, d: R.sell_differences(_candidates(s, d).filter("kind = 'SellExecution'").dropDuplicates(["id"]), _groups(s, d)).groupBy("what").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")),
     "raised_confidence": lambda s, d: I.raised_confidence(_flagged(s, d)).groupBy("portfolio_id", "confidence").agg(F.count(F.lit(1)).alias("n"), F.count_if("raised").alias("n_raised")),
     "already_allocated": lambda s, d: _counted(I.already_allocated(_candidates(s, d).filter("kind = 'SellExecution'").dropDuplicates(["id"]), _groups(s, d)).filter("allocated > 0"), F.sum("allocated").alias("allocated")),
     "resolved_candidates": lambda s, d: _counted(_resolved(s, d)),
@@ -107,6 +109,13 @@ lx AS (SELECT lg.*, nl <= 1 AS single, nl = 1 AND bf AS orphan, nl > 1 AND low <
 
 ORACLES = {
     "sell_groups": with_(ENTRIES, _L) + "SELECT portfolio_id, count(*) AS n_groups, CAST(sum(t) AS BIGINT) AS shares, CAST(sum(n) AS BIGINT) AS n, min(grp) AS first_group, max(grp) AS last_group FROM gr GROUP BY 1",
+    "sell_differences": with_(ENTRIES, _L).rstrip() + """, cs AS (SELECT * FROM cd WHERE kind = 'SellExecution' QUALIFY row_number() OVER (PARTITION BY id ORDER BY rid) = 1),
+bn AS (SELECT c.id, min(grp) AS m FROM cs c JOIN gr g ON c.portfolio_id = g.portfolio_id AND c.ticker_id = g.ticker_id AND c.number = g.no GROUP BY 1),
+j AS (SELECT c.id, grp AS m, CASE WHEN floor(c.price * 10000.0 + 0.5) = floor(g.p * 10000.0 + 0.5) THEN 1 ELSE 2 END AS k, CASE WHEN floor(c.price * 10000.0 + 0.5) = floor(g.p * 10000.0 + 0.5) THEN 0 ELSE abs(c.price - g.p) END AS dd FROM cs c JOIN gr g ON c.portfolio_id = g.portfolio_id AND c.ticker_id = g.ticker_id AND c.execution_date = g.d AND c.shares = g.t
+  WHERE NOT coalesce(nullif(c.minutes, 0) <> nullif(g.m, 0), false) AND NOT coalesce(c.number <> nullif(g.no, ''), false)), b AS (SELECT id, m FROM j QUALIFY row_number() OVER (PARTITION BY id ORDER BY k, dd, m) = 1),
+mt AS (SELECT id, coalesce(bn.m, b.m) AS m FROM bn FULL JOIN b USING (id)),
+o AS (SELECT 'add' AS what, id FROM cs WHERE id NOT IN (SELECT id FROM mt) UNION ALL SELECT 'modify', c.id FROM mt JOIN cs c USING (id) JOIN gr g ON g.grp = mt.m WHERE abs(c.price - g.p) > greatest(c.price, g.p) * 0.01 UNION ALL SELECT 'extraneous', grp FROM gr WHERE grp NOT IN (SELECT m FROM mt))
+SELECT what, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM o GROUP BY 1""",
     "raised_confidence": with_(ENTRIES, _FLAGS) + "SELECT portfolio_id, CASE WHEN c THEN 'high' ELSE confidence END AS confidence, count(*) AS n, count(*) FILTER (c AND confidence <> 'high') AS n_raised FROM e GROUP BY 1, 2",
     "already_allocated": with_(ENTRIES, _L).rstrip() + f""", cs AS (SELECT * FROM cd WHERE kind = 'SellExecution' QUALIFY row_number() OVER (PARTITION BY id ORDER BY rid) = 1),
 bn AS (SELECT c.id, arg_min(t, grp) AS t FROM cs c JOIN gr g ON c.portfolio_id = g.portfolio_id AND c.ticker_id = g.ticker_id AND c.number = g.no GROUP BY 1), ft AS (SELECT c.id, count(*) AS k, min(t) AS t FROM cs c JOIN gr g ON c.portfolio_id = g.portfolio_id AND c.ticker_id = g.ticker_id AND c.execution_date = g.d AND {_AC} GROUP BY 1),

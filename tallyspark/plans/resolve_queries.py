@@ -29,7 +29,7 @@ def _matches(s, d):
     low, high = f.filter("source IN ('csv', 'manual', 'orders-screen')"), f.filter("source IN ('invoice', 'official-broker-excel', 'statement')")
     best = high.groupBy("id").agg(*[F.min(c).alias(c) for c in (*R.CONTENT, "price", "minutes", "number")])
     own = low.groupBy("id").agg(*[F.min(c).alias(c) for c in (*R.CONTENT, "price", "minutes", "number")])
-    return R.duplicate_matches(own, best, R.CONTENT, [])
+    return R.duplicate_matches(own, best, R.CONTENT)
 
 
 def _order_hints(s, d):
@@ -81,10 +81,11 @@ ORACLES = {
 WHERE rank2 > 1 AND abs(price - bp) <= greatest(price, bp) * 0.01 AND NOT coalesce(nullif(minutes, 0) <> nullif(bm, 0), false)""",
     "duplicate_matches": _D.rstrip() + f""", f AS (SELECT *, {_KEY} AS id FROM v_facts), a AS (SELECT {_ONE} FROM f WHERE source IN ('csv', 'manual', 'orders-screen') GROUP BY id),
 b AS (SELECT {_ONE} FROM f WHERE source IN ('invoice', 'official-broker-excel', 'statement') GROUP BY id),
-j AS (SELECT a.id, b.id AS match_id, abs(a.price - b.price) AS d, CASE WHEN a.number = b.number THEN 0 WHEN floor(a.price * 10000 + 0.5) = floor(b.price * 10000 + 0.5) THEN 1 ELSE 2 END AS match_class
+bn AS (SELECT a.id, min(b.id) AS m FROM a JOIN b ON a.portfolio_id = b.portfolio_id AND a.ticker_id = b.ticker_id AND a.kind = b.kind AND a.number = b.number GROUP BY 1),
+j AS (SELECT a.id, b.id AS m, CASE WHEN floor(a.price * 10000 + 0.5) = floor(b.price * 10000 + 0.5) THEN 1 ELSE 2 END AS k, CASE WHEN floor(a.price * 10000 + 0.5) = floor(b.price * 10000 + 0.5) THEN 0 ELSE abs(a.price - b.price) END AS d
   FROM a JOIN b ON a.portfolio_id = b.portfolio_id AND a.ticker_id = b.ticker_id AND a.kind = b.kind AND a.execution_date = b.execution_date AND a.shares = b.shares
-  WHERE coalesce(a.number = b.number, false) OR (abs(a.price - b.price) <= greatest(a.price, b.price) * 0.01 AND NOT coalesce(nullif(a.minutes, 0) <> nullif(b.minutes, 0), false)))
-SELECT id, match_id, match_class FROM j QUALIFY row_number() OVER (PARTITION BY id ORDER BY match_class, d, match_id) = 1""",
+  WHERE NOT coalesce(a.number <> b.number, false) AND NOT coalesce(nullif(a.minutes, 0) <> nullif(b.minutes, 0), false)), c AS (SELECT id, m, k FROM j QUALIFY row_number() OVER (PARTITION BY id ORDER BY k, d, m) = 1)
+SELECT id, coalesce(bn.m, c.m) AS match_id, CAST(CASE WHEN bn.m IS NOT NULL THEN 0 ELSE k END AS INTEGER) AS match_class FROM bn FULL JOIN c USING (id)""",
     "cross_source_verified": with_(DENSE, _MULTI) + "SELECT * FROM mk",
     "authority_winner": _D + f"SELECT {_C}, top_rank, n, n_superseded FROM (SELECT {_C}, max(rank) AS top_rank, count(*) AS n, count(*) - count(*) FILTER (rank = m) AS n_superseded FROM (SELECT *, max(rank) OVER (PARTITION BY {_C}) AS m FROM v_facts) GROUP BY ALL) WHERE n > 1",
     "official_suppression": _D + "SELECT portfolio_id, ticker_id, source, count(*) AS n FROM v_facts f WHERE source <> 'official-broker-excel' AND EXISTS (SELECT 1 FROM v_facts o WHERE o.source = 'official-broker-excel' AND o.portfolio_id = f.portfolio_id AND o.kind = f.kind AND o.ticker_id = f.ticker_id AND o.execution_date = f.execution_date) GROUP BY 1, 2, 3",

@@ -105,7 +105,13 @@ def _intelligence(s, d):
     return V.intelligence(V.canonical_transactions(v), v, _completeness(s, d))
 
 
+def _completed(s, d):
+    e = S.entries(s, d).withColumn("fees", F.when(F.col("l_linenumber") % 3 == 0, F.col("l_linenumber") * 1.5)).withColumn("taxes", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber") * 0.5))
+    return V.completed(e).groupBy("portfolio_id", "source", "confidence").agg(F.count(F.lit(1)).alias("n"), F.sum("n_filled").alias("n_filled"), F.sum(F.col("fees") * 2).cast("bigint").alias("fees"), F.sum(F.col("taxes") * 2).cast("bigint").alias("taxes"), F.count("minutes").alias("n_minutes"), F.sum(F.col("number").cast("bigint")).alias("numbers"))
+
+
 QUERIES = {
+    "completed_rows": _completed,
     "inventory_diagnosis": lambda s, d: V.diagnose(_tickers(s, d), _signs(s, d)),
     "coverage_claims": lambda s, d: V.coverage_claims(_uploads(s, d)),
     "covered_days": _covered,
@@ -191,7 +197,13 @@ _CANON = f"""cn AS (SELECT {_C}, price, CASE WHEN bool_or(nullif(minutes, 0) IS
   CASE coalesce(source, '~') WHEN 'invoice' THEN 6 WHEN 'official-broker-excel' THEN 5 WHEN 'statement' THEN 4 WHEN 'orders-screen' THEN 3 WHEN 'csv' THEN 1 END AS rk FROM vd),
 ct AS (SELECT {_C}, price, cluster, count(*) AS n, min(id) AS first_id, CASE WHEN bool_or(verdict = 'Verified') THEN 'Verified' WHEN bool_or(verdict = 'Needs Review') THEN 'Needs Review' ELSE 'Rejected' END AS status FROM cn GROUP BY ALL)"""
 
+_DONOR = lambda c: f"arg_min(b.{c}, (b.source <> 'invoice', b.id)) FILTER (b.{c} IS NOT NULL)"
 ORACLES = {
+    "completed_rows": with_(ENTRIES).rstrip() + f""", q AS (SELECT *, CASE WHEN l_linenumber % 3 = 0 THEN l_linenumber * 1.5::DOUBLE END AS fees, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber * 0.5::DOUBLE END AS taxes FROM v_entries WHERE source IS NOT NULL),
+p AS (SELECT a.rid, {_DONOR('fees')} AS ff, {_DONOR('taxes')} AS ft, {_DONOR('minutes')} AS fm, {_DONOR('number')} AS fn FROM q a JOIN q b ON {_ON} WHERE a.source <> b.source AND {_SAME} GROUP BY 1),
+r AS (SELECT q.*, p.rid AS donor, ff, ft, fm, fn FROM q LEFT JOIN p ON p.rid = q.rid)
+SELECT portfolio_id, source, CASE WHEN donor IS NOT NULL THEN 'high' ELSE confidence END AS confidence, count(*) AS n, CAST(sum(CASE WHEN fees IS NULL AND ff IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN taxes IS NULL AND ft IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN minutes IS NULL AND fm IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN number IS NULL AND fn IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_filled,
+  CAST(sum(coalesce(fees, ff) * 2) AS BIGINT) AS fees, CAST(sum(coalesce(taxes, ft) * 2) AS BIGINT) AS taxes, count(coalesce(minutes, fm)) AS n_minutes, CAST(sum(CAST(coalesce(number, fn) AS BIGINT)) AS BIGINT) AS numbers FROM r GROUP BY 1, 2, 3""",
     "inventory_diagnosis": _T.rstrip() + ",\n" + _SUB + ",\n" + _BAL + """,
 sn AS (SELECT portfolio_id, ticker_id, count(t) AS nw, count(*) FILTER (l_orderkey % 17 = 0) AS nm FROM e GROUP BY 1, 2)
 SELECT portfolio_id, ticker_id, units AS expected, net AS calculated, net - units AS difference, coalesce(nullif(concat_ws(',', CASE WHEN sg.alternatives = 0 THEN 'duplicate-row:high' WHEN sg.alternatives > 0 THEN 'duplicate-row:medium' END, CASE WHEN orp.n > 0 THEN 'missing-import:medium' END, CASE WHEN nw > 0 THEN 'wrong-ticker:medium' END,

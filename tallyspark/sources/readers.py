@@ -129,3 +129,20 @@ def exchange_workbook(observations: DataFrame, documents: DataFrame) -> tuple[Da
     status = F.when(F.lower("order_status").contains("cancel"), "cancelled").when(F.lower("order_status").contains("partial"), "partial").otherwise("executed")
     r = o.select("observation_id", "document_id", "source", side.alias("side"), normalize_ticker("ticker").alias("ticker"), day.alias("day"), time_to_minutes("trade_time").alias("minutes"), q.alias("shares"), p.alias("price"), status.alias("status"), problem.alias("problem"))
     return r.filter("problem IS NULL").drop("problem"), r.filter("problem IS NOT NULL").select("observation_id", "problem")
+
+
+def first_by_hash(files: DataFrame, digest: str) -> DataFrame:
+    """The first file of a content hash, by path; no row if it is new. Files: path, digest."""
+    return files.filter(F.col("digest") == digest).orderBy("path").limit(1)
+
+
+#: Header names that a sheet may not set.
+FORBIDDEN = ["__proto__", "constructor", "prototype"]
+
+
+def guarded_sheets(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells without those of forbidden headers, problems by file): workbooks of too many sheets,
+    rows or columns. Cells: file, sheet, row, col, header, value."""
+    g = cells.groupBy("file").agg(F.count_distinct("sheet").alias("sheets"), F.max("row").alias("rows"), F.max("col").alias("cols"))
+    problem = F.when(F.col("sheets") > MAX_SHEETS, "too-many-sheets").when(F.col("rows") > MAX_ROWS, "too-many-rows").when(F.col("cols") > MAX_COLUMNS, "too-many-columns")
+    return cells.filter(~F.coalesce(F.col("header"), F.lit("")).isin(FORBIDDEN)), g.select("file", problem.alias("problem"))

@@ -108,3 +108,34 @@ def test_sql_functions_and_calculators(spark, sf):
     tables = {"trades": S.trades(spark, sf), "allocations": S.allocations(spark, sf), "prices": S.lot_prices(spark, sf), "cash": cash}
     for name in CALCULATORS:
         assert compute(name, tables, "2002-01-01").count() > 0
+
+
+def test_guards_and_extensions(spark, tmp_path):
+    from tallyspark.plans import extensions as E2
+
+    cells = spark.createDataFrame([("a", f"s{i}", 1, 1, "h", "v") for i in range(33)] + [("b", "s", 1, 257, "constructor", "v"), ("c", "s", 100_001, 1, "h", "v"), ("d", "s", 1, 1, None, "v")], "file string, sheet string, row int, col int, header string, value string")
+    kept, problems = D.guarded_sheets(cells)
+    assert dict(problems.collect()) == {"a": "too-many-sheets", "b": "too-many-columns", "c": "too-many-rows", "d": None} and kept.filter("file = 'b'").count() == 0
+    files = spark.createDataFrame([("p2", "x"), ("p1", "x")], "path string, digest string")
+    assert [r["path"] for r in D.first_by_hash(files, "x").collect()] == ["p1"] and D.first_by_hash(files, "y").collect() == []
+    c = E2.Catalog(spark).add("t", lambda s: s.range(3))
+    c.views()
+    assert spark.sql("SELECT count(*) FROM t").first()[0] == 3
+    with pytest.raises(KeyError):
+        c.load("u")
+    with pytest.raises(ValueError):
+        E2.add_parser("invoice", lambda d: d)
+    df, seen = E2.recorded(spark.createDataFrame([(1, None), (2, "x")], "a int, b string"), "run")
+    df.collect()
+    E2.append_record(spark, f"{tmp_path}/r", "run", seen, "2026-01-01")
+    assert spark.read.parquet(f"{tmp_path}/r").first()["counts"] == {"rows": "2", "null_a": "0", "null_b": "1"}
+
+
+def test_versions_and_patches(spark, tmp_path):
+    K.commit_tables({"a": spark.range(2), "b": spark.range(3)}, f"{tmp_path}/v")
+    time.sleep(0.01)
+    K.commit_tables({"a": spark.range(5), "b": spark.range(6)}, f"{tmp_path}/v")
+    assert (K.committed(spark, f"{tmp_path}/v", "a").count(), K.committed(spark, f"{tmp_path}/v", "b").count()) == (5, 6)
+    spark.range(4).write.parquet(f"{tmp_path}/p")
+    K.purge_all(spark, [f"{tmp_path}/p"])
+    assert spark.read.parquet(f"{tmp_path}/p").count() == 0
