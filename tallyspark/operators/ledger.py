@@ -50,13 +50,13 @@ def cash_projection(cash: DataFrame) -> DataFrame:
     return all_.select("portfolio_id", (F.coalesce(to_micros("reset_amount"), F.lit(0)) + F.coalesce("moved", F.lit(0))).alias("cash_micros"), F.coalesce("n_after", F.lit(0)).cast("bigint").alias("n_after"))
 
 
-def fifo_timeline(facts: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def fifo_timeline(facts: DataFrame, keys: list[str], order: list[str], at: str = "execution_date") -> DataFrame:
     """Executions with running bought (cb), sold (cs) and sold that lots could serve (eff).
 
     A sale is served from lots bought before it; what they lack is dropped, not carried. With
     U the largest shortage so far, E = CS - U is what has been taken from the lots.
     """
-    w = Window.partitionBy(*keys).orderBy("execution_date", F.col("kind") != "BuyExecution", *order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy(at, F.col("kind") != "BuyExecution", *order).rowsBetween(Window.unboundedPreceding, 0)
     buy, sell = F.when(F.col("kind") == "BuyExecution", F.col("shares")).otherwise(0), F.when(F.col("kind") == "SellExecution", F.col("shares")).otherwise(0)
     run = facts.withColumn("cb", F.sum(buy).over(w)).withColumn("cs", F.sum(sell).over(w))
     return run.withColumn("eff", F.col("cs") - F.greatest(F.lit(0), F.max(F.col("cs") - F.col("cb")).over(w)))
@@ -93,6 +93,26 @@ def fifo_matches(timeline: DataFrame, keys: list[str], lot_id: Column, sell_id:
     return p.withColumn("matched", size.cast("bigint")).filter("lot_id IS NOT NULL AND sell_id IS NOT NULL AND matched > 0").groupBy(*keys, "lot_id", "sell_id").agg(F.sum("matched").alias("matched"))
 
 
+def holdings(lots: DataFrame, sells: DataFrame, allocations: DataFrame, keys: list[str]) -> DataFrame:
+    """Lots with what explicit allocations, and then first-in first-out sales, leave of them.
+
+    ``lots``: keys, id, at (its time, compared as text), shares, price, fees, taxes; ``sells``: keys,
+    id, at, shares; ``allocations``: ord, sell_id, lot_id, shares. A line takes what its lot still
+    has at most; sales then take what their lines lack from lots no later than they. Gives keys,
+    id, remaining, cost_micros; emptied lots are left out. Shares are whole numbers.
+    """
+    a = allocations.join(lots.select(F.col("id").alias("lot_id"), F.col("shares").alias("lot_shares")), "lot_id").withColumn("ask", F.greatest("shares", F.lit(0)))
+    before = F.coalesce(F.sum("ask").over(Window.partitionBy("lot_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    a = a.withColumn("got", F.least("ask", F.greatest(F.lit(0), F.col("lot_shares") - before)))
+    gone = lambda c: a.groupBy(F.col(c).alias("id")).agg(F.sum("got").alias("gone"))
+    left = lambda df, c: df.join(gone(c), "id", "left").withColumn("left", F.greatest(F.lit(0), F.col("shares") - F.coalesce("gone", F.lit(0))).cast("bigint"))
+    row = lambda df, kind: df.filter("left > 0").select(*keys, F.lit(kind).alias("kind"), "at", "id", F.col("left").alias("shares"))
+    t = fifo_timeline(row(left(lots, "lot_id"), "BuyExecution").unionByName(row(left(sells, "sell_id"), "SellExecution")), keys, ["id"], "at")
+    open_ = fifo_open_lots(t, keys, ["id"]).drop("shares").join(lots.select("id", "shares", "price", "fees", "taxes"), "id")
+    whole = to_micros(F.col("price") * F.col("shares") + F.coalesce("fees", F.lit(0.0)) + F.coalesce("taxes", F.lit(0.0)))
+    return open_.select(*keys, "id", "remaining", F.floor(whole * F.col("remaining") / F.col("shares") + 0.5).cast("bigint").alias("cost_micros"))
+
+
 def propose_fifo(lots: DataFrame, need: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """What one sale a key takes from each lot dated no later than it: (keys..., take)."""
     j = lots.join(need, keys).filter("execution_date <= sell_date")

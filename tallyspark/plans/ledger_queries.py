@@ -57,7 +57,21 @@ def _unallocated(s, d):
     return L.unallocated_sells(sells.select("sell_id", "shares"), got)
 
 
+def _holdings(s, d):
+    """Every third sale has two explicit lines over lots of its month, some asking for too much."""
+    f = S.facts(s, d).withColumn("id", _id()).withColumn("at", F.concat_ws("T", F.date_format("execution_date", "yyyy-MM-dd"), F.lpad(F.coalesce("minutes", F.lit(0)).cast("string"), 4, "0")))
+    side = lambda k: f.filter(F.col("kind") == k).groupBy(*KEYS, "id").agg(F.min("at").alias("at"), F.sum("shares").alias("shares"), F.min("price").alias("price"))
+    lots, sells = side("BuyExecution").withColumn("fees", F.lit(1.5)).withColumn("taxes", F.lit(None).cast("double")), side("SellExecution")
+    month = F.substring("at", 1, 7).alias("month")
+    first = lots.groupBy(*KEYS, month).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    pick = sells.filter("shares % 3 = 0").select(*KEYS, month, F.col("id").alias("sell_id"), "shares").join(first, [*KEYS, "month"])
+    lines = pick.select("sell_id", F.explode(F.array(F.struct(F.lit(1).alias("n"), F.col("lo").alias("lot_id"), F.col("shares").alias("s")), F.struct(F.lit(2).alias("n"), F.col("hi").alias("lot_id"), F.floor(F.col("shares") / 3).alias("s")))).alias("x"))
+    alloc = lines.select(F.concat_ws("|", "sell_id", F.col("x.n").cast("string")).alias("ord"), "sell_id", F.col("x.lot_id").alias("lot_id"), F.col("x.s").cast("bigint").alias("shares"))
+    return L.holdings(lots, sells, alloc, KEYS)
+
+
 QUERIES = {
+    "holdings": _holdings,
     "cash_projection": lambda s, d: L.cash_projection(S.cash_events(s, d)),
     "fifo_open_lots": lambda s, d: L.fifo_open_lots(_timeline(s, d), KEYS, ["execution_date", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]),
     "fifo_matches": lambda s, d: L.fifo_matches(_timeline(s, d), KEYS, _id(), _id()),
@@ -112,4 +126,13 @@ LEFT JOIN (SELECT portfolio_id, ticker_id, sold AS execution_date, sum(m) AS a F
 t AS (SELECT target_id AS id, arg_max(patch, seq) AS nt FROM f WHERE kind = 'Correction' GROUP BY 1), p AS (SELECT target_id AS id, arg_max(assigned, seq) AS np FROM f WHERE kind = 'PortfolioAssignment' GROUP BY 1)
 SELECT coalesce(np, portfolio_id) AS current_portfolio, coalesce(nt, ticker) AS current_ticker, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM f LEFT JOIN t USING (id) LEFT JOIN p USING (id)
 WHERE kind NOT IN ('Correction', 'Retraction', 'PortfolioAssignment') AND id NOT IN (SELECT target_id FROM f WHERE kind = 'Retraction') GROUP BY 1, 2""",
+    "holdings": with_(FACTS).rstrip() + """, k AS (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, concat(strftime(execution_date, '%Y-%m-%d'), 'T', lpad(CAST(coalesce(minutes, 0) AS VARCHAR), 4, '0')) AS tm FROM v_facts),
+g AS (SELECT portfolio_id, ticker_id, kind, id, min(tm) AS tm, CAST(sum(shares) AS BIGINT) AS sh, min(price) AS price FROM k GROUP BY 1, 2, 3, 4), fm AS (SELECT portfolio_id, ticker_id, left(tm, 7) AS mo, min(id) AS lo, max(id) AS hi FROM g WHERE kind = 'BuyExecution' GROUP BY 1, 2, 3),
+al AS (SELECT concat(id, '|', n) AS o, id AS sell_id, CASE n WHEN 1 THEN lo ELSE hi END AS lot_id, CASE n WHEN 1 THEN sh ELSE sh // 3 END AS s FROM g JOIN fm ON g.portfolio_id = fm.portfolio_id AND g.ticker_id = fm.ticker_id AND left(g.tm, 7) = fm.mo CROSS JOIN (VALUES (1), (2)) v(n) WHERE g.kind = 'SellExecution' AND sh % 3 = 0),
+ad AS (SELECT al.*, least(s, greatest(0, l.sh - coalesce(sum(s) OVER (PARTITION BY lot_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS got FROM al JOIN (SELECT id, sh FROM g WHERE kind = 'BuyExecution') l ON l.id = lot_id),
+r AS (SELECT g.*, sh - coalesce(gone, 0) AS q FROM g LEFT JOIN (SELECT lot_id AS id, 'BuyExecution' AS kind, sum(got) AS gone FROM ad GROUP BY 1 UNION ALL SELECT sell_id, 'SellExecution', sum(got) FROM ad GROUP BY 1) USING (id, kind)),
+t AS (SELECT *, sum(CASE WHEN kind = 'BuyExecution' THEN q ELSE 0 END) OVER w AS cb, sum(CASE WHEN kind = 'SellExecution' THEN q ELSE 0 END) OVER w AS cs FROM r WHERE q > 0 WINDOW w AS (PARTITION BY portfolio_id, ticker_id ORDER BY tm, kind <> 'BuyExecution', id ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT *, cs - greatest(0, max(cs - cb) OVER (PARTITION BY portfolio_id, ticker_id ORDER BY tm, kind <> 'BuyExecution', id ROWS UNBOUNDED PRECEDING)) AS eff FROM t),
+o AS (SELECT *, greatest(0, cb - greatest(cb - q, max(eff) OVER (PARTITION BY portfolio_id, ticker_id))) AS rem FROM e)
+SELECT portfolio_id, ticker_id, id, CAST(rem AS BIGINT) AS remaining, CAST(floor(CAST(floor((price * sh + 1.5::DOUBLE) * 1e6 + 0.5) AS BIGINT) * rem / sh + 0.5) AS BIGINT) AS cost_micros FROM o WHERE kind = 'BuyExecution' AND rem > 0""",
 }

@@ -118,3 +118,33 @@ def test_closure(spark):
 
     e = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(20, 21)], "a long, b long")
     assert sorted(r[0] for r in closure(e, spark.createDataFrame([(3,)], "node long")).collect()) == list(range(7))
+
+
+def test_holdings_against_brute_force(spark):
+    r = random.Random(8)
+    lots, sells, alloc, want = [], [], [], {}
+    for k in range(60):
+        own = [(k, f"{k}l{i}", f"2026-01-{r.randrange(1, 9):02d}T{r.choice(['10:00AM', '9:00AM', '0000'])}", r.randrange(1, 9)) for i in range(r.randrange(0, 6))]
+        out = [(k, f"{k}s{i}", f"2026-01-{r.randrange(1, 9):02d}T{r.choice(['10:00AM', '9:00AM', '0000'])}", r.randrange(1, 9)) for i in range(r.randrange(0, 5))]
+        lines = [(f"{k:03d}-{i}", r.choice(out)[1], r.choice(own)[1], r.randrange(-1, 6)) for i in range(r.randrange(0, 4))] if own and out else []
+        left, got = {x[1]: x[3] for x in own}, {}
+        for _, s, l, n in sorted(lines):
+            take = min(max(n, 0), left[l])
+            left[l] -= take
+            got[s] = got.get(s, 0) + take
+        for _, s, at, n in sorted(out, key=lambda x: (x[2], x[1])):
+            n = max(0, n - got.get(s, 0))
+            for _, l, lot_at, _ in sorted(own, key=lambda x: (x[2], x[1])):
+                if lot_at <= at:
+                    take = min(n, left[l])
+                    left[l] -= take
+                    n -= take
+        want |= {l: n for l, n in left.items() if n}
+        lots += [(*x, 2.0, 1.0, None) for x in own]
+        sells += out
+        alloc += lines
+    df = L.holdings(spark.createDataFrame(lots, "k int, id string, at string, shares long, price double, fees double, taxes double"), spark.createDataFrame(sells, "k int, id string, at string, shares long"), spark.createDataFrame(alloc, "ord string, sell_id string, lot_id string, shares long"), ["k"])
+    got = df.collect()
+    assert {r["id"]: r["remaining"] for r in got} == want
+    shares = {x[1]: x[3] for x in lots}
+    assert all(r["cost_micros"] == int((2.0 * shares[r["id"]] + 1) * 1e6 * r["remaining"] / shares[r["id"]] + 0.5) for r in got)
