@@ -62,16 +62,28 @@ def parts(array: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(array), F.lit(1)), F.lit(PART)), lambda i: F.slice(array, i, F.lit(PART)))
 
 
-def matches(text: Column, pattern: str, hint: str) -> Column:
-    """array<struct<s, e, t, before, after>> of a pattern's matches, in code points.
+PAIR = "array<struct<t:string,g:string,h:string>>"
 
-    Folds copy what they have built at each step, so matches are placed part by part, after a
-    fold over the parts' lengths: a text of n matches takes about n * PART + (n / PART)^2 steps
-    of copying, not n^2.
-    """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+def found_texts(text: Column, pattern: str, hint: str) -> Column:
+    """The texts that a pattern matches; only texts with its hint are searched."""
+    return F.when(text.rlike(hint), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def with_gaps(text: Column, found: Column, pattern: str) -> Column:
+    """Matches (t) with the text before (g) and after (h) each."""
     gaps = F.split(text, pattern, -1)
     pairs = F.arrays_zip(found.alias("t"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"), F.slice(gaps, F.lit(2), F.size(found)).alias("h"))
+    return F.when(F.size(found) > 0, pairs.cast(PAIR)).otherwise(F.array().cast(PAIR))
+
+
+def placed(pairs: Column) -> Column:
+    """array<struct<s, e, t, before, after>> of matches, in code points.
+
+    Folds copy what they have built at each step, so many matches are placed part by part, after
+    a fold over the parts' lengths: a text of n matches takes about n * PART + (n / PART)^2
+    steps of copying, not n^2.
+    """
     last = lambda acc: F.element_at(acc, -1)
 
     def step(acc: Column, p: Column) -> Column:
@@ -85,8 +97,8 @@ def matches(text: Column, pattern: str, hint: str) -> Column:
 
     lengths = F.transform(parts(pairs), lambda part: F.aggregate(part, F.lit(0), lambda n, p: n + F.length(p["g"]) + F.length(p["t"])))
     starts = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(last(acc) + n)))
-    placed = F.flatten(F.zip_with(parts(pairs), F.slice(starts, F.lit(1), F.size(lengths)), place))
-    return F.when(text.rlike(hint) & (F.size(found) > 0), placed).otherwise(F.array().cast(MATCH))
+    many = F.flatten(F.zip_with(parts(pairs), F.slice(starts, F.lit(1), F.size(lengths)), place))
+    return F.when(F.size(pairs) == 0, F.array().cast(MATCH)).when(F.size(pairs) <= PART, place(pairs, F.lit(0))).otherwise(many)
 
 
 def luhn(digits: Column) -> Column:
@@ -160,14 +172,17 @@ FEATURES = [*LABELERS, "f_length", "f_digits", "f_distinct"]
 
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, cands): all candidates of each document, of any kind."""
-    d = id_text(docs, id_col, text_col)
-    t = F.coalesce("text", F.lit(""))
-
-    def of(kind: str, loose: bool) -> Column:
-        found = matches(t, (LOOSE if loose else BASE)[kind], HINT[f"loose {kind}" if loose else kind])
-        return F.transform(found, lambda m: candidate(kind, loose, m))
-
-    return d.select("doc_id", F.concat(*[of(k, False) for k in KINDS], *[of(k, True) for k in LOOSE]).alias("cands"))
+    kinds = [(k, False) for k in KINDS] + [(k, True) for k in LOOSE]
+    name = lambda k, loose: f"loose {k}" if loose else k
+    pattern = {name(k, loose): (LOOSE if loose else BASE)[k] for k, loose in kinds}
+    col = lambda n: F.col(f"`{n}`")
+    # step by step, so that no search is made twice
+    d = id_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = d.select("doc_id", "text", *[found_texts(F.col("text"), p, HINT[n]).alias(n) for n, p in pattern.items()])
+    d = d.select("doc_id", *[with_gaps(F.col("text"), col(n), p).alias(n) for n, p in pattern.items()])
+    d = d.select("doc_id", *[placed(col(n)).alias(n) for n in pattern])
+    judged = lambda k, loose: F.transform(col(name(k, loose)), lambda m: candidate(k, loose, m))
+    return d.select("doc_id", F.concat(*[judged(k, loose) for k, loose in kinds]).alias("cands"))
 
 
 def reliabilities(counts: list[tuple], rounds: int = ROUNDS) -> tuple[dict, dict]:

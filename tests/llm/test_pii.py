@@ -76,7 +76,7 @@ def test_em_finds_the_bad_labeler():
 def test_many_matches_cost_in_proportion(spark, tmp_path):
     import time
 
-    numbers = ",".join(str(10 + i % 90) for i in range(200_000)) + " 4111 1111 1111 1111"
+    numbers = ",".join(str(10 + i % 90) for i in range(200_000)) + " and 4111 1111 1111 1111"
     mails = " ".join(f"a{i}@b{i}.com" for i in range(20_000))
     texts = {1: numbers, 2: mails + " user [at] mail [dot] com", None: "x@y.zz"}
     began = time.time()
