@@ -108,10 +108,12 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", targe
         dealt.unionByName(told).withColumn("top", F.last("event", ignorenulls=True).over(sweep)["now"])
         .filter("kind = 1 AND top IS NOT NULL").groupBy("host", "path").agg(F.max("top").alias("top"))
     )
-    found = durable(found, "found")  # read back, it leaves the skew join free to split a url that many rows have
+    # read back, it leaves the skew join free to split a url that many rows have; small files may
+    # hold many urls, so it isn't broadcast by their size
+    found = durable(found, "found")
     # urls without host and path, null ones above all, may be many: what they meet is one row
     bare = (F.col("host") == "") & (F.col("path") == "")
-    halves = p.filter(~bare).join(found.filter(~bare), ["host", "path"], "left"), p.filter(bare).join(F.broadcast(found.filter(bare)), ["host", "path"], "left")
+    halves = p.filter(~bare).join(found.filter(~bare).hint("merge"), ["host", "path"], "left"), p.filter(bare).join(F.broadcast(found.filter(bare)), ["host", "path"], "left")
     return halves[0].unionByName(halves[1]).select(
         "page_id", "host", "path", F.col("top.rule").alias("rule"), F.coalesce("top.verdict", F.lit(default)).alias("verdict")
     )
