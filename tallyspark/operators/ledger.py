@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import to_micros
+from ..functions.exprs import half_up, to_micros
 
 #: How a cash fact moves cash. Buys and withdrawals take, the rest give.
 CASH_SIGN = {"BuyExecution": -1, "Withdrawal": -1, "SellExecution": 1, "DividendPayment": 1, "CashAdjustment": 1, "Deposit": 1}
@@ -50,15 +50,34 @@ def cash_projection(cash: DataFrame) -> DataFrame:
     return all_.select("portfolio_id", (F.coalesce(to_micros("reset_amount"), F.lit(0)) + F.coalesce("moved", F.lit(0))).alias("cash_micros"), F.coalesce("n_after", F.lit(0)).cast("bigint").alias("n_after"))
 
 
+SHARE = 1_000_000  # micro-shares: running sums and bounds of intervals are exact on this axis
+
+
+def _whole(df: DataFrame, c: str) -> bool:
+    return df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
+def micro_shares(df: DataFrame, c: str = "shares") -> Column:
+    """A column of shares, whole or not, as micro-shares; less than half of one is dust."""
+    return F.col(c).cast("bigint") * F.lit(SHARE).cast("bigint") if _whole(df, c) else half_up(F.col(c).cast("double") * F.lit(float(SHARE)))
+
+
+def shares_of(micros: str, whole: bool) -> Column:
+    """Micro-shares as shares: whole numbers stay what they are."""
+    return F.expr(f"{micros} div {SHARE}") if whole else F.col(micros) / F.lit(float(SHARE))
+
+
 def fifo_timeline(facts: DataFrame, keys: list[str], order: list[str], at: str = "execution_date") -> DataFrame:
-    """Executions with running bought (cb), sold (cs) and sold that lots could serve (eff).
+    """Executions with their micro-shares (micros), and running ones: bought (cb), sold (cs) and
+    sold that lots could serve (eff).
 
     A sale is served from lots bought before it; what they lack is dropped, not carried. With
     U the largest shortage so far, E = CS - U is what has been taken from the lots.
     """
     w = Window.partitionBy(*keys).orderBy(at, F.col("kind") != "BuyExecution", *order).rowsBetween(Window.unboundedPreceding, 0)
-    buy, sell = F.when(F.col("kind") == "BuyExecution", F.col("shares")).otherwise(0), F.when(F.col("kind") == "SellExecution", F.col("shares")).otherwise(0)
-    run = facts.withColumn("cb", F.sum(buy).over(w)).withColumn("cs", F.sum(sell).over(w))
+    f = facts if "micros" in facts.columns else facts.withColumn("micros", micro_shares(facts))
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("micros")).otherwise(0)).over(w)
+    run = f.withColumn("cb", of("BuyExecution")).withColumn("cs", of("SellExecution"))
     return run.withColumn("eff", F.col("cs") - F.greatest(F.lit(0), F.max(F.col("cs") - F.col("cb")).over(w)))
 
 
@@ -66,8 +85,9 @@ def fifo_open_lots(timeline: DataFrame, keys: list[str], keep: list[str]) -> Dat
     """Lots with what first-in first-out sales leave of them, emptied ones left out."""
     last = timeline.groupBy(*keys).agg(F.max("eff").alias("e"))
     lots = timeline.filter("kind = 'BuyExecution'").join(last, keys)
-    left = F.greatest(F.lit(0), F.col("cb") - F.greatest(F.col("cb") - F.col("shares"), F.col("e"))).cast("bigint")
-    return lots.withColumn("remaining", left).filter("remaining > 0").select(*keys, *keep, "shares", "remaining")
+    left = F.greatest(F.lit(0), F.col("cb") - F.greatest(F.col("cb") - F.col("micros"), F.col("e"))).cast("bigint")
+    lots = lots.withColumn("left", left).filter("left > 0")
+    return lots.select(*keys, *keep, "shares", shares_of("left", _whole(timeline, "shares")).alias("remaining"))
 
 
 def fifo_matches(timeline: DataFrame, keys: list[str], lot_id: Column, sell_id: Column) -> DataFrame:
@@ -78,7 +98,7 @@ def fifo_matches(timeline: DataFrame, keys: list[str], lot_id: Column, sell_id:
     belongs to the last lot and the last sale that start at or before it. So matching is two
     running lookups, with no join of lots against sales.
     """
-    lots = timeline.filter("kind = 'BuyExecution' AND shares > 0").select(*keys, (F.col("cb") - F.col("shares")).alias("lo"), F.col("cb").alias("hi"), lot_id.alias("lot_id"))
+    lots = timeline.filter("kind = 'BuyExecution' AND micros > 0").select(*keys, (F.col("cb") - F.col("micros")).alias("lo"), F.col("cb").alias("hi"), lot_id.alias("lot_id"))
     sells = timeline.filter("kind = 'SellExecution'").withColumn("prev", F.coalesce(F.lag("eff").over(Window.partitionBy(*keys).orderBy("cs")), F.lit(0)))
     sells = sells.filter("eff > prev").select(*keys, F.col("prev").alias("lo"), F.col("eff").alias("hi"), sell_id.alias("sell_id"))
     points = lots.select(*keys, F.col("lo").alias("at"), "lot_id", F.col("hi").alias("lot_hi"), F.lit(None).cast(sells.schema["sell_id"].dataType).alias("sell_id"), F.lit(None).cast("bigint").alias("sell_hi"))
@@ -90,7 +110,8 @@ def fifo_matches(timeline: DataFrame, keys: list[str], lot_id: Column, sell_id:
     for c in ("lot_id", "lot_hi", "sell_id", "sell_hi"):
         p = p.withColumn(c, F.last(c, ignorenulls=True).over(upto))
     size = F.least("lot_hi", "sell_hi", F.coalesce("next", F.col("lot_hi"))) - F.col("at")
-    return p.withColumn("matched", size.cast("bigint")).filter("lot_id IS NOT NULL AND sell_id IS NOT NULL AND matched > 0").groupBy(*keys, "lot_id", "sell_id").agg(F.sum("matched").alias("matched"))
+    both = p.withColumn("part", size.cast("bigint")).filter("lot_id IS NOT NULL AND sell_id IS NOT NULL AND part > 0").groupBy(*keys, "lot_id", "sell_id").agg(F.sum("part").alias("part"))
+    return both.select(*keys, "lot_id", "sell_id", shares_of("part", _whole(timeline, "shares")).alias("matched"))
 
 
 def holdings(lots: DataFrame, sells: DataFrame, allocations: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,35 +120,44 @@ def holdings(lots: DataFrame, sells: DataFrame, allocations: DataFrame, keys: li
     ``lots``: keys, id, at (its time, compared as text), shares, price, fees, taxes; ``sells``: keys,
     id, at, shares; ``allocations``: ord, sell_id, lot_id, shares. A line takes what its lot still
     has at most; sales then take what their lines lack from lots no later than they. Gives keys,
-    id, remaining, cost_micros; emptied lots are left out. Shares are whole numbers.
+    id, remaining, cost_micros; lots with no more than a micro-share left are left out.
     """
-    a = allocations.join(lots.select(F.col("id").alias("lot_id"), F.col("shares").alias("lot_shares")), "lot_id").withColumn("ask", F.greatest("shares", F.lit(0)))
+    whole = _whole(lots, "shares")
+    lots, sells = (x.withColumn("held", micro_shares(x)) for x in (lots, sells))
+    a = allocations.withColumn("ask", F.greatest(micro_shares(allocations), F.lit(0))).join(lots.select(F.col("id").alias("lot_id"), "held"), "lot_id")
     before = F.coalesce(F.sum("ask").over(Window.partitionBy("lot_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    a = a.withColumn("got", F.least("ask", F.greatest(F.lit(0), F.col("lot_shares") - before)))
+    a = a.withColumn("got", F.least("ask", F.greatest(F.lit(0), F.col("held") - before)))
     gone = lambda c: a.groupBy(F.col(c).alias("id")).agg(F.sum("got").alias("gone"))
-    left = lambda df, c: df.join(gone(c), "id", "left").withColumn("left", F.greatest(F.lit(0), F.col("shares") - F.coalesce("gone", F.lit(0))).cast("bigint"))
-    row = lambda df, kind: df.filter("left > 0").select(*keys, F.lit(kind).alias("kind"), "at", "id", F.col("left").alias("shares"))
+    left = lambda df, c: df.join(gone(c), "id", "left").withColumn("micros", F.greatest(F.lit(0), F.col("held") - F.coalesce("gone", F.lit(0))).cast("bigint"))
+    row = lambda df, kind: df.filter("micros > 0").select(*keys, F.lit(kind).alias("kind"), "at", "id", "shares", "micros")
     t = fifo_timeline(row(left(lots, "lot_id"), "BuyExecution").unionByName(row(left(sells, "sell_id"), "SellExecution")), keys, ["id"], "at")
-    open_ = fifo_open_lots(t, keys, ["id"]).drop("shares").join(lots.select("id", "shares", "price", "fees", "taxes"), "id")
-    whole = to_micros(F.col("price") * F.col("shares") + F.coalesce("fees", F.lit(0.0)) + F.coalesce("taxes", F.lit(0.0)))
-    return open_.select(*keys, "id", "remaining", F.floor(whole * F.col("remaining") / F.col("shares") + 0.5).cast("bigint").alias("cost_micros"))
+    last = t.groupBy(*keys).agg(F.max("eff").alias("e"))
+    open_ = t.filter("kind = 'BuyExecution'").join(last, keys).withColumn("left", F.greatest(F.lit(0), F.col("cb") - F.greatest(F.col("cb") - F.col("micros"), F.col("e"))).cast("bigint"))
+    open_ = open_.filter("left > 1").select(*keys, "id", "left").join(lots.select("id", "shares", "price", "fees", "taxes"), "id")
+    cost = to_micros(F.col("price") * F.col("shares") + F.coalesce("fees", F.lit(0.0)) + F.coalesce("taxes", F.lit(0.0)))
+    remaining = shares_of("left", whole)
+    return open_.select(*keys, "id", remaining.alias("remaining"), half_up(cost * remaining / F.col("shares")).alias("cost_micros"))
 
 
 def propose_fifo(lots: DataFrame, need: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """What one sale a key takes from each lot dated no later than it: (keys..., take)."""
     j = lots.join(need, keys).filter("execution_date <= sell_date")
     w = Window.partitionBy(*keys).orderBy("execution_date", *order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("remaining").over(w), F.lit(0))
-    return j.withColumn("take", F.least("remaining", F.greatest(F.lit(0), F.col("need") - before)).cast("bigint")).filter("take > 0")
+    whole = _whole(lots, "remaining") and _whole(need, "need")
+    j = j.withColumn("left", micro_shares(j, "remaining"))
+    before = F.coalesce(F.sum("left").over(w), F.lit(0))
+    j = j.withColumn("take", F.least("left", F.greatest(F.lit(0), micro_shares(j, "need") - before)).cast("bigint")).filter("take > 0")
+    return j.drop("left").withColumn("take", shares_of("take", whole))
 
 
 def last_balanced_date(facts: DataFrame, keys: list[str]) -> DataFrame:
-    """The last day on which shares net to zero, null if the last day does too or none does."""
-    signed = F.when(F.col("kind") == "BuyExecution", F.col("shares")).otherwise(-F.col("shares"))
-    days = facts.groupBy(*keys, "execution_date").agg(F.sum(signed).alias("net"))
+    """The last day on which shares net to zero (less than a micro-share off), null if the last day
+    does too or none does. Sums are of micro-shares, so 0.1 + 0.2 - 0.3 is nothing."""
+    m = micro_shares(facts)
+    days = facts.groupBy(*keys, "execution_date").agg(F.sum(F.when(F.col("kind") == "BuyExecution", m).otherwise(-m)).alias("net"))
     run = days.withColumn("balance", F.sum("net").over(Window.partitionBy(*keys).orderBy("execution_date").rowsBetween(Window.unboundedPreceding, 0)))
-    g = run.groupBy(*keys).agg(F.max(F.when(F.col("balance") == 0, F.col("execution_date"))).alias("d"), F.max("execution_date").alias("last"), F.sum("net").alias("net_shares"))
-    return g.select(*keys, F.when(F.col("d") < F.col("last"), F.col("d")).alias("balanced_on"), "net_shares")
+    g = run.groupBy(*keys).agg(F.max(F.when(F.col("balance") == 0, F.col("execution_date"))).alias("d"), F.max("execution_date").alias("last"), F.sum("net").alias("net"))
+    return g.select(*keys, F.when(F.col("d") < F.col("last"), F.col("d")).alias("balanced_on"), shares_of("net", _whole(facts, "shares")).alias("net_shares"))
 
 
 def sell_orders(facts: DataFrame) -> DataFrame:

@@ -25,19 +25,6 @@ def duplicate_groups(facts: DataFrame) -> DataFrame:
     return g.filter("n > 1")
 
 
-def duplicate_survivors(facts: DataFrame, order: list) -> DataFrame:
-    """Rows of a group that fall to its survivor: an invoice first, then the highest buy or the
-    lowest sale; a row falls only if it is the same execution, that is within 1 % of the
-    survivor's price and with no other known time."""
-    w = Window.partitionBy(*CONTENT).orderBy(
-        (F.col("source") != "invoice").cast("int"), F.when(F.col("kind") == "BuyExecution", -F.col("price")).otherwise(F.col("price")), *order
-    )
-    first = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    r = facts.withColumn("rank", F.row_number().over(w)).withColumn("best_price", F.first("price").over(first)).withColumn("best_minutes", F.first("minutes").over(first))
-    clash = F.coalesce(known_time("minutes") != known_time("best_minutes"), F.lit(False))
-    return r.filter(F.col("rank") > 1).filter(within("price", "best_price", 0.01) & ~clash).drop("best_price", "best_minutes")
-
-
 def duplicate_matches(candidates: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """(id, match_id, match_class): the best match of each candidate among existing rows.
 
@@ -72,12 +59,6 @@ def sell_differences(canonical: DataFrame, groups: DataFrame) -> DataFrame:
     return out.unionByName(g.join(m.select(F.col("match_id").alias("id")), "id", "left_anti").select(F.lit("extraneous").alias("what"), "id"))
 
 
-def cross_source_verified(facts: DataFrame) -> DataFrame:
-    """Canonical keys that two kinds of source report."""
-    g = with_price4(facts).groupBy(*CANONICAL).agg(F.count_distinct("source").alias("n_sources"))
-    return g.filter("n_sources >= 2")
-
-
 def authority_winner(facts: DataFrame) -> DataFrame:
     """Of each content key the highest authority and how many rows are below it; ties stay."""
     f = facts.withColumn("rank", authority("source"))
@@ -138,11 +119,13 @@ def order_ticker_hints(entries: DataFrame, evidence: DataFrame) -> DataFrame:
     return g.filter("NOT own AND lo = hi").select("id", F.col("lo").alias("suggested_ticker"))
 
 
-def duplicate_dividends(cash: DataFrame) -> DataFrame:
-    """All dividends but the first of a portfolio, day and amount."""
-    d = cash.filter("kind = 'DividendPayment'").withColumn("day", F.to_date("ts")).withColumn("cents", F.floor(F.col("amount") * 100 + 0.5).cast("bigint"))
-    first = d.groupBy("portfolio_id", "day", "cents").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return d.join(first, ["portfolio_id", "day", "cents"]).filter("seq <> first_seq").select("seq", "first_seq", "portfolio_id", "day", "cents")
+def duplicate_dividends(dividends: DataFrame) -> DataFrame:
+    """(seq, first_seq, ticker_id, day, cents): all dividends but the first of a ticker, day and
+    amount, in whatever portfolio they stand. ``dividends``: seq, ticker_id, ts, amount."""
+    keys = ["ticker_id", "day", "cents"]
+    d = dividends.select("seq", "ticker_id", F.to_date("ts").alias("day"), F.floor(F.col("amount") * 100 + 0.5).cast("bigint").alias("cents"))
+    first = d.groupBy(*keys).agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return d.join(first, keys).filter("seq <> first_seq").select("seq", "first_seq", *keys)
 
 
 def latest_verifications(v: DataFrame) -> DataFrame:

@@ -149,6 +149,14 @@ def verdict_counts(verified: DataFrame) -> DataFrame:
     return verified.groupBy("portfolio_id", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+def commit_gate(asked: DataFrame, verified: DataFrame) -> DataFrame:
+    """(keys, commit): whether a ticker may be committed, for each one asked about (keys): it has
+    executions, and none of them needs review. ``verified``: keys, kind, verdict."""
+    done = F.coalesce(F.col("verdict") != "Needs Review", F.lit(False))
+    g = verified.filter("kind IN ('BuyExecution', 'SellExecution')").groupBy(*TICKER).agg(F.bool_and(done).alias("done"))
+    return asked.select(*TICKER).distinct().join(g, TICKER, "left").select(*TICKER, F.coalesce("done", F.lit(False)).alias("commit"))
+
+
 def resolved_tickers(rows: DataFrame, tickers: DataFrame, unallocated: DataFrame) -> DataFrame:
     """(keys, resolved): whether nothing of a ticker is left to look at.
 

@@ -68,6 +68,12 @@ def _resolved(s, d):
     return V.resolved_tickers(rows, _tickers(s, d), e.filter("l_orderkey % 31 = 0 AND kind = 'SellExecution'"))
 
 
+def _gate(s, d):
+    """Asked about: every ticker with entries, and every part's own portfolio."""
+    asked = S.entries(s, d).select(*V.TICKER).unionByName(S.trades(s, d).select("portfolio_id", F.col("trade_id").alias("ticker_id")))
+    return V.commit_gate(asked, V.verify(_entries(s, d), _tickers(s, d)))
+
+
 def _signs(s, d):
     e = _entries(s, d).groupBy(*V.TICKER).agg(F.count("other_ticker").alias("n_wrong"), F.count_if(F.col("l_orderkey") % 17 == 0).alias("n_misread"))
     found = _suggestions(s, d).filter("remove IS NOT NULL").select(*V.TICKER, "alternatives")
@@ -125,7 +131,8 @@ QUERIES = {
     "ticker_match_status": _tickers,
     "session_ticker_status": lambda s, d: _tickers(s, d, True),
     "verdict_histogram": lambda s, d: V.verdict_counts(V.verify(_entries(s, d), _tickers(s, d))),
-    "commit_gate": _resolved,
+    "commit_gate": _gate,
+    "resolved_tickers": _resolved,
     "completeness": _completeness,
     "reconciled_positions": _reconcile,
     "merge_suggestions": lambda s, d: V.merge_suggestions(S.entries(s, d).withColumn("shares", F.lit(10)).withColumn("price", F.lit(1.0)).withColumn("execution_date", F.trunc("execution_date", "year")).withColumn("confidence", F.when(F.col("ticker_id") % 5 != 0, "low").otherwise("high"))),
@@ -227,7 +234,9 @@ FROM ct JOIN (SELECT * FROM cn QUALIFY row_number() OVER (PARTITION BY """ + _C
     "ticker_match_status": _T + "SELECT * FROM tm",
     "session_ticker_status": with_(ENTRIES, _FLAGS, _match(True)) + "SELECT * FROM tm",
     "verdict_histogram": _T.rstrip() + ",\n" + _VD + " SELECT portfolio_id, verdict, count(*) AS n FROM vd GROUP BY 1, 2",
-    "commit_gate": _T.rstrip() + ",\n" + _RES + " SELECT * FROM rd",
+    "commit_gate": _T.rstrip() + ",\n" + _VD + """, ak AS (SELECT portfolio_id, ticker_id FROM v_entries UNION SELECT p_partkey % 8, p_partkey FROM part)
+SELECT portfolio_id, ticker_id, EXISTS (SELECT 1 FROM vd x WHERE x.portfolio_id = ak.portfolio_id AND x.ticker_id = ak.ticker_id) AND NOT EXISTS (SELECT 1 FROM vd x WHERE x.portfolio_id = ak.portfolio_id AND x.ticker_id = ak.ticker_id AND verdict = 'Needs Review') AS commit FROM ak""",
+    "resolved_tickers": _T.rstrip() + ",\n" + _RES + " SELECT * FROM rd",
     "completeness": _T.rstrip() + ",\n" + _BAL + """
 SELECT portfolio_id, ticker_id, class, CAST(CASE class WHEN 'Verified' THEN 100 WHEN 'Complete' THEN 90 WHEN 'Unknown' THEN 0 ELSE greatest(0, floor((CASE WHEN n > 0 THEN 60 ELSE 85 END) * (1 - CASE WHEN vol > 0 THEN least(1.0, gap / vol) ELSE 1.0 END) + 0.5)) END AS INTEGER) AS score,
   CASE WHEN class = 'Incomplete' THEN bd END AS gap_from, CASE WHEN class = 'Incomplete' AND bd IS NOT NULL THEN od END AS gap_to, CAST(CASE WHEN class = 'Incomplete' THEN CASE WHEN n > 0 THEN n WHEN units IS NOT NULL THEN 1 END END AS BIGINT) AS missing_transactions,
