@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import authority, known_time, one_digit_day_apart, round4, within
+from ..functions.stable import digest_rows
 
 CONTENT = ["portfolio_id", "ticker_id", "kind", "execution_date", "shares"]
 CANONICAL = [*CONTENT, "price4"]
@@ -133,20 +134,10 @@ def latest_verifications(v: DataFrame) -> DataFrame:
     return v.groupBy("portfolio_id", "ticker_id").agg(F.min_by(F.struct("units", "captured_on"), F.struct((-F.unix_date("captured_on")).alias("d"), F.col("ord"))).alias("v")).select("portfolio_id", "ticker_id", "v.units", "v.captured_on")
 
 
-#: Bytes of a row's digest that are summed as one number; a sum of 10^18 of them fits a decimal.
-LIMBS, LIMB_DIGITS = 5, 13
-
-
 def snapshot_hash(facts: DataFrame, fields: list[str], category: str = "kind") -> DataFrame:
-    """A digest of each category and one of all ('*'), whatever the order of rows: rows are
-    digested, and the digests' limbs are added up, so nothing is listed and tasks begin the sums."""
+    """A digest of each category and one of all ('*'), whatever the order of rows."""
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in fields])
-    h = F.sha2(text, 256)
-    limb = lambda i: F.conv(F.substring("h", 1 + i * LIMB_DIGITS, LIMB_DIGITS if i < LIMBS - 1 else 64 - LIMB_DIGITS * (LIMBS - 1)), 16, 10).cast("decimal(20,0)")
-    rows = facts.select(F.col(category).alias("category"), h.alias("h"))
-    g = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), *[F.sum(limb(i)).alias(f"s{i}") for i in range(LIMBS)])
-    sums = F.concat_ws(",", *[F.col(f"s{i}").cast("decimal(38,0)").cast("string") for i in range(LIMBS)])
-    own = g.select("category", "n", F.sha2(sums, 256).alias("digest"))
+    own = digest_rows(facts.select(F.col(category).alias("category"), text.alias("item")), ["category"])
     every = own.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category", "digest"))), lambda x: F.concat_ws("=", x["category"], x["digest"])), ","), 256).alias("digest"))
     return own.unionByName(every.select(F.lit("*").alias("category"), "n", "digest"))
 

@@ -43,6 +43,18 @@ px AS (SELECT ticker, max(struct_pack(d := CAST(l_shipdate AS DATE), p := l_exte
 cash AS (SELECT p AS portfolio_id, (p + 1) * 5000000000000 AS cash FROM range(7) x(p))"""
 
 
+LEDGER = FACTS + """, v_lines AS (
+SELECT concat_ws('-', 'x', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_orderkey AS seq, kind, source, concat('T', ticker_id) AS ticker, portfolio_id, execution_date, minutes, shares, price, confidence FROM v_facts),
+v_orders AS (SELECT seq, min(id) AS first_id, min(id) FILTER (kind = 'SellExecution') AS sell_id, arg_min(portfolio_id, id) FILTER (kind = 'SellExecution') AS sell_portfolio, arg_min(ticker, id) FILTER (kind = 'SellExecution') AS sell_ticker,
+  list({'lot_ref': id, 'shares': shares} ORDER BY id) FILTER (kind = 'BuyExecution') AS lots FROM v_lines GROUP BY 1),
+v_control AS (SELECT concat('c-', seq) AS id, seq, kind, CASE WHEN kind = 'SellAllocationDecision' THEN sell_portfolio END AS portfolio_id, CASE WHEN kind = 'SellAllocationDecision' THEN sell_ticker END AS ticker,
+  CASE WHEN kind <> 'SellAllocationDecision' THEN CASE WHEN c % 4 = 0 THEN concat('c-', seq - c % 50 - 1) ELSE first_id END END AS target_id, CASE WHEN kind = 'Correction' THEN concat('T', c % 40) END AS patch_ticker,
+  CASE WHEN kind = 'PortfolioAssignment' THEN c % 10 END AS assigned, CASE WHEN kind = 'SellAllocationDecision' THEN sell_id END AS sell_execution_id, CASE WHEN kind = 'SellAllocationDecision' THEN coalesce(lots, []) END AS allocations
+  FROM (SELECT o_orderkey AS seq, o_custkey AS c, CASE o_orderkey % 10 WHEN 6 THEN 'SellAllocationDecision' WHEN 7 THEN 'Correction' WHEN 8 THEN 'Retraction' ELSE 'PortfolioAssignment' END AS kind FROM orders WHERE o_orderkey % 10 >= 6) LEFT JOIN v_orders USING (seq)
+  WHERE kind <> 'SellAllocationDecision' OR sell_id IS NOT NULL),
+v_ledger AS (SELECT * FROM v_lines UNION ALL BY NAME SELECT * FROM v_control)"""
+
+
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 

@@ -119,7 +119,7 @@ SELECT suggested_ticker, count(*) AS n FROM (SELECT id, min(t) AS suggested_tick
     "duplicate_dividends": with_(CASH) + """SELECT seq, first_seq, ticker_id, day, cents FROM (SELECT *, min(seq) OVER (PARTITION BY ticker_id, day, cents) AS first_seq FROM (
   SELECT seq, portfolio_id % 8 AS ticker_id, CAST(ts AS DATE) AS day, CAST(floor(floor(amount / 5) * 5 * 100 + 0.5) AS BIGINT) AS cents FROM v_cash WHERE kind = 'DividendPayment')) WHERE seq <> first_seq""",
     "latest_verification": with_(_V) + "SELECT * FROM vv",
-    "snapshot_hash": _F.rstrip() + ", h AS (SELECT kind, sha256(concat_ws('|', source, portfolio_id, ticker_id, shares, execution_date, coalesce(CAST(minutes AS VARCHAR), '~'))) AS h FROM v_facts),\nk AS (SELECT kind AS category, count(*) AS n, sha256(concat_ws(',', " + ", ".join(f"sum(CAST(concat('0x', substr(h, {1 + 13 * i}, {13 if i < 4 else 12})) AS BIGINT))" for i in range(5)) + ")) AS digest FROM h GROUP BY 1)\nSELECT * FROM k UNION ALL SELECT '*', CAST(sum(n) AS BIGINT), sha256(string_agg(concat(category, '=', digest), ',' ORDER BY category)) FROM k",
+    "snapshot_hash": _F.rstrip() + ", h AS (SELECT kind, sha256(concat_ws('|', source, portfolio_id, ticker_id, shares, execution_date, coalesce(CAST(minutes AS VARCHAR), '~'))) AS h FROM v_facts),\nk AS (SELECT kind AS category, count(*) AS n, sha256(concat_ws(',', " + ", ".join(f"sum(CAST(concat('0x', substr(h, {1 + 8 * i}, 8)) AS BIGINT))" for i in range(8)) + ")) AS digest FROM h GROUP BY 1)\nSELECT * FROM k UNION ALL SELECT '*', CAST(sum(n) AS BIGINT), sha256(string_agg(concat(category, '=', digest), ',' ORDER BY category)) FROM k",
     "position_comparison": _M + """SELECT portfolio_id, ticker_id, CASE WHEN b.shares IS NULL THEN 'only-left' WHEN a.shares IS NULL THEN 'only-right' WHEN abs(a.shares - b.shares) > 1e-6 THEN 'shares-differ' ELSE 'match' END AS result
 FROM (SELECT portfolio_id, ticker_id, sum(remaining) AS shares FROM openl WHERE remaining > 0 GROUP BY 1, 2) a
 FULL JOIN (SELECT portfolio_id, ticker_id, sum(CASE WHEN kind = 'BuyExecution' THEN shares ELSE -shares END) AS shares FROM v_facts WHERE ticker_id % 7 <> 0 GROUP BY 1, 2) b USING (portfolio_id, ticker_id)""",

@@ -131,3 +131,30 @@ def counted_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The broker's count of two in three portfolio tickers, every other one with a mean cost."""
     k = entries(spark, sf_dir).select("portfolio_id", "ticker_id").distinct().filter("(ticker_id + portfolio_id) % 3 <> 0")
     return k.select("portfolio_id", "ticker_id", (F.col("ticker_id") % 5 * 10).cast("double").alias("units"), F.when(F.col("ticker_id") % 2 == 0, 1000.0 + F.col("ticker_id") % 7 * 50).alias("avg_cost"))
+
+
+def ledger_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of all kinds: an execution for each line item, and for four in ten orders a control fact
+    or an explicit allocation. These refer to the order's first execution, or to the control fact
+    of an earlier order, which may not exist; allocations go from the order's first sale to its
+    buys."""
+    lines = facts(spark, sf_dir).select(
+        F.concat_ws("-", F.lit("x"), *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("id"), F.col("l_orderkey").alias("seq"), "kind", "source",
+        F.concat(F.lit("T"), F.col("ticker_id").cast("string")).alias("ticker"), "portfolio_id", "execution_date", "minutes", "shares", "price", "confidence",
+    )
+    sale = F.when(F.col("kind") == "SellExecution", F.col("id"))
+    by_order = lines.groupBy("seq").agg(
+        F.min("id").alias("first_id"), F.min(sale).alias("sell_id"), F.min_by("portfolio_id", sale).alias("sell_portfolio"), F.min_by("ticker", sale).alias("sell_ticker"),
+        F.sort_array(F.collect_list(F.when(F.col("kind") == "BuyExecution", F.struct(F.col("id").alias("lot_ref"), "shares")))).alias("lots"),
+    )
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("c")).filter("seq % 10 >= 6").join(by_order, "seq", "left")
+    kind = F.element_at(F.array(*map(F.lit, ["SellAllocationDecision", "Correction", "Retraction", "PortfolioAssignment"])), (F.col("seq") % 10 - 5).cast("int"))
+    o = o.withColumn("kind", kind).filter("kind <> 'SellAllocationDecision' OR sell_id IS NOT NULL")
+    decides, renames, moves = (F.col("kind") == k for k in ("SellAllocationDecision", "Correction", "PortfolioAssignment"))
+    target = F.when(F.col("c") % 4 == 0, F.concat(F.lit("c-"), (F.col("seq") - F.col("c") % 50 - 1).cast("string"))).otherwise(F.col("first_id"))
+    control = o.select(
+        F.concat(F.lit("c-"), F.col("seq").cast("string")).alias("id"), "seq", "kind", F.when(decides, F.col("sell_portfolio")).alias("portfolio_id"), F.when(decides, F.col("sell_ticker")).alias("ticker"),
+        F.when(~decides, target).alias("target_id"), F.when(renames, F.concat(F.lit("T"), (F.col("c") % 40).cast("string"))).alias("patch_ticker"), F.when(moves, F.col("c") % 10).alias("assigned_portfolio_id"),
+        F.when(decides, F.col("sell_id")).alias("sell_execution_id"), F.when(decides, F.col("lots")).alias("allocations"),
+    )
+    return lines.unionByName(control, allowMissingColumns=True)
