@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,6 @@ FIRST = " ."  # stands before them, so that each begins after a character that i
 
 _W, _S, _T = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]", r"[^\S \n\x1c-\x1f]"  # white space, anything else, white space but space and line break
 UNIT = re.compile(f"{_W}*{_S}+(?:{_T}{_W}*{_S}+)*(?:{_T}{_W}*)?|{_W}+")
-OPEN_END = re.compile(f"{_W}$")
 
 
 def byte_letters() -> dict[str, int]:
@@ -85,7 +85,15 @@ class Tokenizers:
             raise ValueError(f"piece {crossing[0]!r} crosses a unit's end")
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.a_space, self.b_space = (np.array([x.startswith(b" ") for x in t]) for t in (self.a_bytes, self.b_bytes))
-        self.units: dict[str, tuple[bytes, bytes] | None] = {}
+        self.age = 0
+        self.forget()
+
+    def forget(self) -> None:
+        """No units are known any more; their numbers begin anew."""
+        self.age += 1
+        self.number: dict[str, int] = {}
+        self.ids = [np.zeros(0, np.int32) for _ in "ab"]  # of all units, one after the other
+        self.first, self.count = ([np.zeros(0, np.int64) for _ in "ab"] for _ in range(2))  # of each unit; a unit without ids is one that isn't given back
 
     def _encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of texts that begin with a space, which B adds itself."""
@@ -97,50 +105,72 @@ class Tokenizers:
         held = CHUNK
         for u in new:
             if MARK in u:
-                self.units[u] = None
+                self._known([u], [(np.zeros(0, np.int32), np.zeros(1, np.int64))] * 2)
                 continue
-            if held + len(u) > CHUNK or OPEN_END.search(u):
+            alone = u[-1].isspace()  # the separators 28 to 31 too, which does no harm
+            if alone or held + len(u) > CHUNK:
                 texts.append([])
                 held = 0
             texts[-1].append(u)
-            held = CHUNK if OPEN_END.search(u) else held + len(u)
+            held = CHUNK if alone else held + len(u)
         if not texts:
             return
         whole = [FIRST + "".join(units) for units in texts]
-        for text, units, a, b in zip(whole, texts, *self._encode(whole)):
+        names: list[str] = []
+        sides: list[list] = [[], []]
+        for text, units, *both in zip(whole, texts, *self._encode(whole)):
             raw = text.encode()
-            if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
+            if any(b"".join([table[i] for i in ids]) != raw for table, ids in zip((self.a_bytes, self.b_bytes), both)):
                 if len(units) > 1:
                     for u in units:
                         self.learn([u])
                 else:
-                    self.units[units[0]] = None
+                    self._known(units, [(np.zeros(0, np.int32), np.zeros(1, np.int64))] * 2)
                 continue
             bounds = np.cumsum([len(FIRST), *(len(u.encode()) for u in units)])
-            cuts = []
-            for ids, size in ((np.array(a, "<i4"), self.a_size), (np.array(b, "<i4"), self.b_size)):
+            for side, ids, size in zip(sides, both, (self.a_size, self.b_size)):
+                ids = np.array(ids, np.int32)
                 ends = np.cumsum(size[ids])
                 at = np.searchsorted(ends, bounds)
                 if (ends[at] != bounds).any():
                     raise ValueError("a token crosses a unit's end")
-                at = ((at + 1) * 4).tolist()
-                raw = ids.tobytes()
-                cuts.append([raw[s:e] for s, e in zip(at[:-1], at[1:])])
-            self.units.update(zip(units, zip(*cuts)))
-
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes] | None]:
-        """The ids of each text on both sides, as bytes of int32; None where there are none."""
+                side.append((ids[at[0] + 1 :], np.diff(at)))
+            names += units
+        if names:
+            self._known(names, [tuple(np.concatenate(x) for x in zip(*side)) for side in sides])
+
+    def _known(self, units: list[str], sides: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Adds units with their ids, one after the other, and how many each has, on both sides."""
+        self.number.update(zip(units, range(len(self.number), len(self.number) + len(units))))
+        for s, (ids, count) in enumerate(sides):
+            self.first[s] = np.concatenate([self.first[s], len(self.ids[s]) + np.cumsum(count) - count])
+            self.count[s] = np.concatenate([self.count[s], count])
+            self.ids[s] = np.concatenate([self.ids[s], ids])
+
+    def units(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the units of all texts, and how many each text has; none where there are
+        no tokens."""
         units = [UNIT.findall(" " + t) if t else [] for t in texts]
-        new = {u for us in units for u in us}.difference(self.units)
-        if len(self.units) + len(new) > UNITS:
-            self.units.clear()
-            new = {u for us in units for u in us}
-        self.learn(sorted(new))
-        get, out = self.units.get, []
-        for us in units:
-            got = [get(u) for u in us]
-            out.append((b"".join([x[0] for x in got]), b"".join([x[1] for x in got])) if got and None not in got else None)
-        return out
+        new = set().union(*units).difference(self.number)
+        if len(self.number) + len(new) > UNITS:
+            self.forget()
+            new = set().union(*units)
+        self.learn(list(new))
+        per_text = np.array([len(us) for us in units], np.int64)
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(units)), np.int64, per_text.sum())
+        text_of = np.repeat(np.arange(len(texts)), per_text)
+        lost = np.bincount(text_of, self.count[0][numbers] == 0, len(texts)) > 0
+        return numbers[~lost[text_of]], np.where(lost, 0, per_text)
+
+    def encoded(self, numbers: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units on one side, and how many each has."""
+        count = self.count[side][numbers]
+        return self.ids[side][places(self.first[side][numbers], count)], count
+
+
+def places(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each, ``count`` numbers."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
 class Aligner:
@@ -160,26 +190,52 @@ class Aligner:
         self.forget()
 
     def forget(self) -> None:
+        self.age = -1
         self.known: dict[tuple[bytes, bytes], int] = {}
         self.strings: list[bytes] = []
         self.groups, self.first, self.links = (np.zeros(0, np.int64) for _ in range(3))
         self.count = np.zeros(0, np.int64)
 
-    def windows(self, ids: list[tuple[bytes, bytes]]) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
-        """The id tuples of the windows of texts, and the number of windows of each text."""
-        raw_a, raw_b = b"".join([a for a, _ in ids]), b"".join([b for _, b in ids])
-        a, b = np.frombuffer(raw_a, "<i4"), np.frombuffer(raw_b, "<i4")
+    def windows(self, numbers: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The windows of texts, from their units: their numbers here, how many each text has, and how
+        many tokens each text has on both sides.
+
+        An anchor is a shared end before tokens that begin with a space on both sides. Most windows
+        are a unit, whose window is then known by the unit's number; the others, and those of new
+        units, are known by their ids.
+        """
+        (a, units_a), (b, units_b) = (self.t.encoded(numbers, side) for side in (0, 1))
         ends_a, ends_b = np.cumsum(self.t.a_size[a]), np.cumsum(self.t.b_size[b])
         at = np.searchsorted(ends_b, ends_a)
         anchor = ends_b[at] == ends_a  # the last token's end is one on both sides
         anchor[:-1] &= self.t.a_space[a[1:]] & self.t.b_space[b[np.minimum(at[:-1] + 1, len(b) - 1)]]
-        last = np.cumsum([len(x) // 4 for x, _ in ids]) - 1  # of each text
-        anchor[last] = True
-        cut_a = np.flatnonzero(anchor)
-        cut_b = at[cut_a]
-        za, zb = (4 * (cut_a + 1)).tolist(), (4 * (cut_b + 1)).tolist()
-        keys = [(raw_a[s:e], raw_b[u:v]) for s, e, u, v in zip([0, *za], za, [0, *zb], zb)]
-        return keys, np.diff(np.searchsorted(cut_a, last), prepend=-1)
+        upto_a, upto_b = np.cumsum(units_a), np.cumsum(units_b)
+        last = np.cumsum(per_text) - 1  # unit of each text
+        anchor[upto_a[last] - 1] = True
+        end_a = np.flatnonzero(anchor) + 1
+        end_b = at[end_a - 1] + 1
+        begin_a, begin_b = np.concatenate([[0], end_a[:-1]]), np.concatenate([[0], end_b[:-1]])
+        unit = np.searchsorted(upto_a, end_a)
+        one = (upto_a[unit] == end_a) & (upto_a[unit] - units_a[unit] == begin_a)
+        if self.age != self.t.age:
+            self.age, self.of_unit = self.t.age, np.zeros(0, np.int64)
+        if len(self.of_unit) < len(self.t.number):
+            self.of_unit = np.concatenate([self.of_unit, np.full(2 * len(self.t.number) - len(self.of_unit), -1)])
+        found = np.where(one, self.of_unit[numbers[unit]], -1)
+        open_ = np.flatnonzero(found < 0)
+        if len(open_):
+            raw_a, raw_b = a.tobytes(), b.tobytes()
+            keys = [(raw_a[s:e], raw_b[u:v]) for s, e, u, v in zip(*((4 * x[open_]).tolist() for x in (begin_a, end_a, begin_b, end_b)))]
+            new = set(keys).difference(self.known)
+            if len(self.known) + len(new) > WINDOWS:
+                self.forget()
+                return self.windows(numbers, per_text)
+            if new:
+                self.align(list(new))
+            found[open_] = [self.known[k] for k in keys]
+            own = open_[one[open_]]
+            self.of_unit[numbers[unit[own]]] = found[own]
+        return found, np.diff(np.searchsorted(end_a, upto_a[last]), prepend=-1), np.diff(upto_a[last], prepend=0), np.diff(upto_b[last], prepend=0)
 
     def align(self, new: list[tuple[bytes, bytes]]) -> None:
         """Groups and links of windows, all together: those of one window never meet another's."""
@@ -208,29 +264,22 @@ class Aligner:
         self.groups = np.concatenate([self.groups, np.diff(np.searchsorted(shared, window_ends), prepend=-1)])
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
 
-    def texts(self, ids: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes]]:
-        """Of each text: number of groups, number of links, groups as written, distinct links packed."""
+    def texts(self, numbers: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], list[bytes]]:
+        """Of each text, by its units: numbers of A and B tokens, groups and links, groups as written,
+        distinct links packed. Every text has units."""
         import zstandard
 
-        keys, per_text = self.windows(ids)
-        new = set(keys).difference(self.known)
-        if len(self.known) + len(new) > WINDOWS:
-            self.forget()
-            new = set(keys)
-        if new:
-            self.align(sorted(new))
-        get = self.known.__getitem__
-        numbers = np.array([get(k) for k in keys], np.int64)
-        text_of = np.repeat(np.arange(len(ids)), per_text)
+        numbers, per_text, n_a, n_b = self.windows(numbers, per_text)
+        texts = len(per_text)
+        text_of = np.repeat(np.arange(texts), per_text)
         count = self.count[numbers]
-        before = np.cumsum(count) - count
-        links = self.links[np.repeat(self.first[numbers] - before, count) + np.arange(count.sum())]
+        links = self.links[places(self.first[numbers], count)]
         if len(self.docs) < len(self.pairs):
             self.docs = np.concatenate([self.docs, np.zeros(2 * len(self.pairs), np.int64)])
         distinct, times = np.unique(np.repeat(text_of, count) << 32 | links, return_counts=True)
         code = distinct & 0xFFFFFFFF
         self.docs += np.bincount(code, minlength=len(self.docs))
-        bounds = np.searchsorted(distinct >> 32, np.arange(len(ids) + 1)).tolist()
+        bounds = np.searchsorted(distinct >> 32, np.arange(texts + 1)).tolist()
         steps = np.diff(code, prepend=0)
         steps[[s for s in bounds[:-1] if s < len(code)]] = code[[s for s in bounds[:-1] if s < len(code)]]
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -239,7 +288,7 @@ class Aligner:
         at = np.cumsum([0, *per_text]).tolist()
         strings, number = self.strings, numbers.tolist()
         written = [b"".join([strings[n] for n in number[s:e]])[:-1] for s, e in zip(at[:-1], at[1:])]
-        return np.bincount(text_of, self.groups[numbers], len(ids)).astype(np.int64), np.bincount(text_of, count, len(ids)).astype(np.int64), written, packed
+        return n_a, n_b, np.bincount(text_of, self.groups[numbers], texts).astype(np.int64), np.bincount(text_of, count, texts).astype(np.int64), written, packed
 
     def block_pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(code, a, b, docs) of the block's pairs."""
@@ -298,25 +347,23 @@ def links(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "text
 
         for whole in batches:
             for part in slices(whole, 1):
-                ids = tokens.encode(part.column(1).to_pylist())
-                own = [i for i, x in enumerate(ids) if x]
-                zero = np.zeros(len(ids), np.int64)
-                n_a, n_b, n_groups, n_links = zero.copy(), zero.copy(), zero.copy(), zero.copy()
-                written, digests, packed = [""] * len(ids), [""] * len(ids), [None] * len(ids)
-                if own:
-                    n_a[own], n_b[own] = [len(ids[i][0]) // 4 for i in own], [len(ids[i][1]) // 4 for i in own]
-                    n_groups[own], n_links[own], texts, packs = aligner.texts([ids[i] for i in own])
-                    for i, t, p in zip(own, texts, packs):
+                numbers, per_text = tokens.units(part.column(1).to_pylist())
+                own = np.flatnonzero(per_text)
+                n_a, n_b, n_groups, n_links = (np.zeros(part.num_rows, np.int64) for _ in range(4))
+                written, digests, packed = [""] * part.num_rows, [""] * part.num_rows, [None] * part.num_rows
+                if len(own):
+                    n_a[own], n_b[own], n_groups[own], n_links[own], texts, packs = aligner.texts(numbers, per_text[own])
+                    for i, t, p in zip(own.tolist(), texts, packs):
                         digests[i], packed[i] = hashlib.sha256(t).hexdigest(), p
                         if with_groups:
                             written[i] = t.decode()
                 rows = {"doc_id": part.column(0), "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": digests, "packed": packed}
-                yield batch(block, len(ids), rows | ({"groups": written} if with_groups else {}))
+                yield batch(block, part.num_rows, rows | ({"groups": written} if with_groups else {}))
                 if len(aligner.pairs) >= BLOCK_PAIRS or aligner.bytes >= BLOCK_BYTES:
                     yield from ended()
                     block += 1
         yield from ended()
-        tokens.units.clear()  # the process may idle on, or serve other stages
+        tokens.forget()  # the process may idle on, or serve other stages
 
     return id_text(docs, id_col, text_col).mapInArrow(tidy(run), f"block long, {DOC}, {PAIR}")
 
