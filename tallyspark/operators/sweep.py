@@ -25,12 +25,51 @@ def completed_fields(facts: DataFrame, order: list) -> DataFrame:
     return need.withColumn("filled", donor["m"]).filter("filled IS NOT NULL").drop("ds")
 
 
+OFFICIAL = 5  # the authority of an official export
+TWIN = [*CONTENT, "price"]
+
+
+def _ranks(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The highest authority of the rows of one execution at each known time (``name``), and, of its
+    key, at any time (``name_any``) and at none (``name_untimed``)."""
+    r = rows.withColumn("time", known_time("minutes")).withColumn("rank", F.coalesce(authority("source"), F.lit(-1)))
+    timed = r.filter("time IS NOT NULL").groupBy(*TWIN, "time").agg(F.max("rank").alias(name))
+    return timed, r.groupBy(*TWIN).agg(F.max("rank").alias(f"{name}_any"), F.max(F.when(F.col("time").isNull(), F.col("rank"))).alias(f"{name}_untimed"))
+
+
 def official_coverage(facts: DataFrame) -> DataFrame:
-    """Tickers whose every row is official or has an official twin of its day and side."""
-    days = ["portfolio_id", "ticker_id", "kind", "execution_date"]
-    official = facts.filter("source = 'official-broker-excel'").select(*days).distinct().withColumn("official", F.lit(True))
-    j = facts.join(official, days, "left").withColumn("ok", F.coalesce("official", F.lit(False)))
-    return j.groupBy("portfolio_id", "ticker_id").agg(F.bool_and("ok").alias("fully_official"), F.count_if("ok").alias("n_covered"), F.count(F.lit(1)).alias("n"))
+    """(keys, fully_official, n_official, n_shadowed, n_covered, n): whether every live row of a ticker
+    is official or better, or has a twin of higher authority.
+
+    A twin has the row's content and price. A live one counts at the same known time (shadowed);
+    a retracted one at any time that may be the row's: unknown and midnight go with every time
+    (covered). Facts: content, price, minutes, source, retracted. The ranks of twins are maxima by
+    time, so rows are never paired, and a row's own rank can't exceed itself.
+    """
+    live = facts.filter("NOT retracted").withColumn("time", known_time("minutes")).withColumn("rank", F.coalesce(authority("source"), F.lit(-1)))
+    shadows, _ = _ranks(facts.filter("NOT retracted"), "live")
+    gone_timed, gone = _ranks(facts.filter("retracted"), "gone")
+    j = live.join(shadows, [*TWIN, "time"], "left").join(gone_timed, [*TWIN, "time"], "left").join(gone, TWIN, "left")
+    twin = F.when(F.col("time").isNull(), F.col("gone_any")).otherwise(F.greatest("gone", "gone_untimed"))
+    own, shadowed, covered = F.col("rank") >= OFFICIAL, F.coalesce(F.col("live") > F.col("rank"), F.lit(False)), F.coalesce(twin > F.col("rank"), F.lit(False))
+    g = j.groupBy("portfolio_id", "ticker_id").agg(F.bool_and(own | shadowed | covered).alias("fully_official"), F.count_if(own).alias("n_official"), F.count_if(~own & shadowed).alias("n_shadowed"), F.count_if(~own & ~shadowed & covered).alias("n_covered"), F.count(F.lit(1)).alias("n"))
+    return g
+
+
+def session_coverage(facts: DataFrame, candidates: DataFrame, existing: DataFrame) -> DataFrame:
+    """(keys, covered): whether an import session's official rows account for a ticker, for each one
+    that has such rows: every live row has an official candidate of its content, price and a time
+    that may be its own, and none is official itself yet; without live rows, the ledger has no
+    shares. ``candidates``: content, price, minutes, source; ``existing``: keys, existing."""
+    keys = ["portfolio_id", "ticker_id"]
+    official = candidates.filter("source = 'official-broker-excel'")
+    timed, any_ = _ranks(official, "seen")
+    live = facts.filter("NOT retracted").withColumn("time", known_time("minutes")).withColumn("rank", F.coalesce(authority("source"), F.lit(-1)))
+    j = live.join(timed, [*TWIN, "time"], "left").join(any_, TWIN, "left")
+    met = F.when(F.col("time").isNull(), F.col("seen_any").isNotNull()).otherwise(F.col("seen").isNotNull() | F.col("seen_untimed").isNotNull())
+    g = j.groupBy(*keys).agg(F.bool_and(met & (F.col("rank") < OFFICIAL)).alias("all_met"))
+    asked = official.select(*keys).distinct().join(g, keys, "left").join(existing.select(*keys, "existing"), keys, "left")
+    return asked.select(*keys, F.coalesce("all_met", F.abs("existing") < 1e-6, F.lit(False)).alias("covered"))
 
 
 def ticker_split(tickers: DataFrame, resolved: DataFrame) -> DataFrame:

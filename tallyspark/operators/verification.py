@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import authority, half_up, known_time, within
+from ..scratch import durable
 from .resolve import CONTENT
 
 TICKER = ["portfolio_id", "ticker_id"]
@@ -375,3 +376,40 @@ def completed(entries: DataFrame) -> DataFrame:
     filled = sum((F.when(F.col(c).isNull() & F.col(f"from_{c}").isNotNull(), 1).otherwise(0) for c in fields), F.lit(0))
     j = j.withColumn("n_filled", filled).withColumn("confidence", F.when(F.col("donor"), "high").otherwise(F.col("confidence")))
     return j.withColumns({c: F.coalesce(c, f"from_{c}") for c in fields}).drop("donor", *[f"from_{c}" for c in fields])
+
+
+def canonical_entries(entries: DataFrame, order: list[str]) -> DataFrame:
+    """The executions that should exist, one row each: key, entry_id, content, price, fees, taxes,
+    minutes, number, source, sources (sorted upload ids of all rows that tell of it).
+
+    In one chain: statement rows that sum up other executions go, and their uploads join those of
+    the executions; fields are filled from siblings; of rows that are one execution the survivor
+    stays. A survivor's sources are the uploads of all rows of its content whose time may be its
+    own: they come from sets by content and time, so rows are never paired. Keys are content and
+    price; where several executions share one, all but the first by entry id carry
+    ``#`` and theirs. Entries also hold fees, taxes and upload_id; ids are unique.
+    """
+    from .grouped import statement_aggregates
+
+    day = [*TICKER, "kind", "execution_date"]
+    role = F.when(F.col("source") == "statement", "statement").when(F.col("source").isNotNull(), "execution")
+    rows = entries.select(*day, role.alias("role"), F.col("id").alias("ord"), "id", F.col("shares").cast("double").alias("shares"), "price").filter("role IS NOT NULL")
+    sums = durable(statement_aggregates(rows, day).filter("parts IS NOT NULL").select("statement_id", F.split("parts", ",").alias("parts")), "aggregates")
+    gone = sums.select(F.col("statement_id").alias("id"))
+    by_part = sums.select(F.col("statement_id").alias("id"), F.explode("parts").alias("part")).join(entries.select("id", "upload_id"), "id").groupBy(F.col("part").alias("id")).agg(F.collect_set("upload_id").alias("summed_in"))
+    rest = entries.join(gone, "id", "left_anti")
+    filled = completed(rest).drop("n_filled")
+    whole = durable(filled.unionByName(rest.filter("source IS NULL").select(filled.columns)), "filled")
+    left = with_duplicates(whole, order).filter("NOT duplicate").drop("duplicate").withColumn("time", known_time("minutes"))
+    seen = whole.groupBy(*CONTENT, known_time("minutes").alias("time")).agg(F.collect_set("upload_id").alias("uploads"))
+    known = seen.filter("time IS NOT NULL")
+    unknown = seen.filter("time IS NULL").select(*CONTENT, F.col("uploads").alias("untimed"))
+    any_time = seen.groupBy(*CONTENT).agg(F.array_distinct(F.flatten(F.collect_list("uploads"))).alias("all_uploads"))
+    j = left.join(known, [*CONTENT, "time"], "left").join(unknown, CONTENT, "left").join(any_time, CONTENT, "left").join(by_part, "id", "left")
+    none = F.array().cast("array<string>")
+    own = F.when(F.col("time").isNull(), F.col("all_uploads")).otherwise(F.array_union(F.coalesce("uploads", none), F.coalesce("untimed", none)))
+    j = j.withColumn("sources", F.array_sort(F.array_union(own, F.coalesce("summed_in", none))))
+    first = Window.partitionBy(*CONTENT, "price").orderBy("id")
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in [*CONTENT, "price"]])
+    key = F.when(F.row_number().over(first) == 1, text).otherwise(F.concat(text, F.lit("#"), F.col("id")))
+    return j.select(key.alias("key"), F.col("id").alias("entry_id"), *CONTENT, "price", "fees", "taxes", "minutes", "number", "source", "sources")

@@ -54,6 +54,8 @@ v_control AS (SELECT concat('c-', seq) AS id, seq, kind, CASE WHEN kind = 'SellA
   WHERE kind <> 'SellAllocationDecision' OR sell_id IS NOT NULL),
 v_ledger AS (SELECT * FROM v_lines UNION ALL BY NAME SELECT * FROM v_control)"""
 
+DENSE_LEDGER = DENSE + ", v_lines AS (" + LEDGER.split("v_lines AS (")[1].replace("shares, price, confidence FROM v_facts", "shares, floor(price / 250) * 250.0::DOUBLE AS price, confidence FROM v_facts")
+
 
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"

@@ -133,12 +133,13 @@ def counted_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select("portfolio_id", "ticker_id", (F.col("ticker_id") % 5 * 10).cast("double").alias("units"), F.when(F.col("ticker_id") % 2 == 0, 1000.0 + F.col("ticker_id") % 7 * 50).alias("avg_cost"))
 
 
-def ledger_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of all kinds: an execution for each line item, and for four in ten orders a control fact
+def ledger_facts(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+    """Facts of all kinds, from all line items, or from the coarse grid of dense facts: an execution for each line item, and for four in ten orders a control fact
     or an explicit allocation. These refer to the order's first execution, or to the control fact
     of an earlier order, which may not exist; allocations go from the order's first sale to its
     buys."""
-    lines = facts(spark, sf_dir).select(
+    grid = dense_facts(spark, sf_dir).withColumn("price", F.floor(F.col("price") / 250) * 250.0) if dense else facts(spark, sf_dir)
+    lines = grid.select(
         F.concat_ws("-", F.lit("x"), *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("id"), F.col("l_orderkey").alias("seq"), "kind", "source",
         F.concat(F.lit("T"), F.col("ticker_id").cast("string")).alias("ticker"), "portfolio_id", "execution_date", "minutes", "shares", "price", "confidence",
     )
