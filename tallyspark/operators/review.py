@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import authority
+from ..functions.exprs import authority, half_up
+from .ledger import SHARE, micro_shares
 
 TRACKING_START = "2026-01-01"
 
@@ -103,3 +104,53 @@ def authority_retractions(facts: DataFrame, keys: list[str]) -> DataFrame:
     g = facts.groupBy(*keys).agg(F.max(authority("source")).alias("top"), F.count_distinct(t).alias("n_times"), F.count(F.lit(1)).alias("n"))
     j = facts.join(g.filter("n > 1 AND n_times <= 1"), keys).filter(authority("source") < F.col("top"))
     return j.groupBy("source").agg(F.count(F.lit(1)).alias("n_retracted"))
+
+
+def lot_manager(lots: DataFrame, sells: DataFrame, allocated: DataFrame) -> dict[str, DataFrame]:
+    """All that a lot manager shows of each key, as five tables:
+
+    ``lots``: key, id, on, shares, price, cost_micros, allocated, remaining, status (closed, partial,
+    open), closed_by; ``sells``: key, id, on, shares, price, allocated, remaining, status (completed,
+    partial, pending), lines; ``positions``: key, bought, available, allocated, pending;
+    ``timeline``: key, id, type, on, minutes, shares, price, n_lines, net (shares held after it);
+    ``issues``: key, id, lot_id, code.
+
+    Lots and sales: key, id, on, minutes, shares, price, fees, taxes; ``allocated``: sell_id, lot_id,
+    shares, ord. Lines of unknown lots or sales count where they are known. Lists hold the lines of
+    one lot or sale, in the order of ``ord``; statuses come from exact micro-shares.
+    """
+    m, back = (lambda df: micro_shares(df)), (lambda c: F.col(c) / F.lit(float(SHARE)))
+    lots, sells = (x.withColumn("m", m(x)) for x in (lots, sells))
+    lines = allocated.withColumn("lm", m(allocated))
+    lines = lines.join(sells.select(F.col("id").alias("sell_id"), F.col("on").alias("sell_on"), F.col("key").alias("sell_key")), "sell_id", "left")
+    lines = lines.join(lots.select(F.col("id").alias("lot_id"), F.col("on").alias("lot_on")), "lot_id", "left")
+
+    def of(side: str, other: str) -> DataFrame:
+        line = F.struct("ord", F.col(f"{other}_id").alias("id"), F.col(f"{other}_on").alias("on"), back("lm").alias("shares"))
+        listed = F.transform(F.array_sort(F.collect_list(line)), lambda x: F.struct(x["id"].alias("id"), x["on"].alias("on"), x["shares"].alias("shares")))
+        return lines.groupBy(F.col(f"{side}_id").alias("id")).agg(F.sum("lm").alias("used"), F.count(F.lit(1)).alias("n_lines"), listed.alias("list"))
+
+    def stated(df: DataFrame, side: str, other: str, words: tuple[str, str, str]) -> DataFrame:
+        j = df.join(of(side, other), "id", "left").withColumn("used", F.coalesce("used", F.lit(0))).withColumn("n_lines", F.coalesce("n_lines", F.lit(0))).withColumn("left", F.col("m") - F.col("used"))
+        return j.withColumn("status", F.when(F.col("left") <= 0, words[0]).when(F.col("used") > 0, words[1]).otherwise(words[2]))
+
+    lot, sell = stated(lots, "lot", "sell", ("closed", "partial", "open")), stated(sells, "sell", "lot", ("completed", "partial", "pending"))
+    cost = half_up((F.col("price") * F.col("shares") + F.coalesce("fees", F.lit(0.0)) + F.coalesce("taxes", F.lit(0.0))) * 1e6)
+    held = lot.groupBy("key").agg(F.sum("m").alias("bought"), F.sum("left").alias("available"))
+    owed = sell.groupBy("key").agg(F.sum("left").alias("pending"))
+    taken = lines.filter("sell_key IS NOT NULL").groupBy(F.col("sell_key").alias("key")).agg(F.sum("lm").alias("allocated"))
+    p = held.join(owed, "key", "full_outer").join(taken, "key", "full_outer").fillna(0, ["bought", "available", "pending", "allocated"])
+    row = lambda df, type_, sign: df.select("key", "id", F.lit(type_).alias("type"), "on", "minutes", "shares", "price", "n_lines", (F.col("m") * sign).alias("move"))
+    at = Window.partitionBy("key").orderBy("on", F.coalesce("minutes", F.lit(0)), "type", "id").rowsBetween(Window.unboundedPreceding, 0)
+    timeline = row(lot, "BUY", 1).unionByName(row(sell, "SELL", -1)).withColumn("net", F.sum("move").over(at) / F.lit(float(SHARE))).drop("move")
+    issue = lambda df, code, id_="id", lot_id=None: df.select("key", F.col(id_).alias("id") if id_ else F.lit(None).cast("string").alias("id"), F.col(lot_id).alias("lot_id") if lot_id else F.lit(None).cast("string").alias("lot_id"), F.lit(code).alias("code"))
+    known = lines.filter("sell_key IS NOT NULL").withColumn("key", F.col("sell_key"))
+    twice = known.groupBy("key", "sell_id", "lot_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    issues = issue(lot.filter("left < 0"), "negative-remaining", None, "id").unionByName(issue(sell.filter("left < 0"), "over-allocation")).unionByName(issue(sell.filter("status = 'pending'"), "missing-allocation"))
+    issues = issues.unionByName(issue(twice, "duplicate-allocation", "sell_id", "lot_id")).unionByName(issue(known.filter("lot_on > sell_on").select("key", "sell_id", "lot_id").distinct(), "chronological-violation", "sell_id", "lot_id"))
+    issues = issues.unionByName(issue(p.filter("allocated > bought"), "inventory-mismatch", None))
+    shown = lambda df, name, *more: df.select("key", "id", "on", "shares", "price", *more, back("used").alias("allocated"), back("left").alias("remaining"), "status", F.coalesce("list", F.array().cast(df.schema["list"].dataType)).alias(name))
+    return {
+        "lots": shown(lot, "closed_by", cost.alias("cost_micros")), "sells": shown(sell, "lines"),
+        "positions": p.select("key", *[back(c).alias(c) for c in ("bought", "available", "allocated", "pending")]), "timeline": timeline, "issues": issues,
+    }

@@ -146,6 +146,25 @@ def verify(entries: DataFrame, tickers: DataFrame) -> DataFrame:
     return e.withColumn("verdict", verdict)
 
 
+def with_evidence(verified: DataFrame) -> DataFrame:
+    """Adds ``evidence``: what speaks for and against each row of ``verify``, in a fixed order, each as
+    (type, other): a duplicate read, the other document that tells of it (its type and row), a
+    statement's sum, an order, its ticker's reconciliation (the reason), another ticker (that
+    ticker), a misread date (that day, where ``misread_day`` is known). What was committed before
+    has that alone. Rows hold other_id, other_source where another document is known."""
+    item = lambda cond, type_, other=F.lit(None): F.when(cond, F.struct((type_ if isinstance(type_, Column) else F.lit(type_)).alias("type"), other.cast("string").alias("other")))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in verified.columns else F.lit(False)
+    misread = F.col("misread_day") if "misread_day" in verified.columns else F.lit(None)
+    items = F.array_compact(F.array(
+        item(flag("duplicate") & ~flag("cross_verified"), "matched-ledger"), item(F.col("other_source").isNotNull(), F.concat(F.lit("matched-"), "other_source"), F.col("other_id")),
+        item(flag("aggregated"), "matched-statement-aggregate"), item(flag("ordered"), "matched-order"),
+        item(flag("matched"), "matched-position", F.col("reason")), item(~F.coalesce("matched", F.lit(True)), "contradicted-position-mismatch", F.col("reason")),
+        item(F.col("other_ticker").isNotNull(), "contradicted-wrong-ticker", F.col("other_ticker")), item(misread.isNotNull(), "contradicted-date-misread", misread),
+    ))
+    backfilled = F.array(F.struct(F.lit("matched-backfill").alias("type"), F.lit(None).cast("string").alias("other")))
+    return verified.withColumn("evidence", F.when(source_of() == "backfill", backfilled).otherwise(items))
+
+
 def verdict_counts(verified: DataFrame) -> DataFrame:
     return verified.groupBy("portfolio_id", "verdict").agg(F.count(F.lit(1)).alias("n"))
 

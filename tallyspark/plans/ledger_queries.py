@@ -47,7 +47,8 @@ def _relevant(s, d):
 
 def _propose(s, d):
     lots = L.fifo_open_lots(_timeline(s, d), KEYS, ["execution_date", "cb", "l_orderkey", "l_linenumber"])
-    need = s.range(400).select((F.col("id") % 10).alias("portfolio_id"), F.floor(F.col("id") / 10).alias("ticker_id"), (F.col("id") % 7 * 40 + 25).alias("need"), F.to_date(F.lit("2000-06-30")).alias("sell_date"))
+    o = S.table(s, d, "orders").groupBy((F.col("o_custkey") % 10).alias("portfolio_id"), F.floor(F.col("o_custkey") / 10 % 40).cast("bigint").alias("ticker_id"))
+    need = o.agg((F.count(F.lit(1)) * 5).alias("need"), F.to_date(F.max("o_orderdate")).alias("sell_date"))
     return L.propose_fifo(lots, need, KEYS, ["cb"]).select(*KEYS, "l_orderkey", "l_linenumber", "take")
 
 
@@ -107,8 +108,8 @@ FROM v_cash LEFT JOIN (SELECT portfolio_id, max(seq) AS rs, arg_max(amount, seq)
     "fifo_matches": _M + "SELECT portfolio_id, ticker_id, lot_id, sell_id, CAST(sum(m) AS BIGINT) AS matched FROM mt WHERE m > 0 GROUP BY ALL",
     "fifo_proposal": _M + """SELECT portfolio_id, ticker_id, l_orderkey, l_linenumber, CAST(take AS BIGINT) AS take FROM (
   SELECT *, least(remaining, greatest(0, need - coalesce(sum(remaining) OVER (PARTITION BY portfolio_id, ticker_id ORDER BY execution_date, cb ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS take
-  FROM openl JOIN (SELECT id % 10 AS portfolio_id, id // 10 AS ticker_id, id % 7 * 40 + 25 AS need FROM range(400) x(id)) USING (portfolio_id, ticker_id)
-  WHERE remaining > 0 AND execution_date <= DATE '2000-06-30') WHERE take > 0""",
+  FROM openl JOIN (SELECT o_custkey % 10 AS portfolio_id, o_custkey // 10 % 40 AS ticker_id, count(*) * 5 AS need, CAST(max(o_orderdate) AS DATE) AS sell_date FROM orders GROUP BY 1, 2) USING (portfolio_id, ticker_id)
+  WHERE remaining > 0 AND execution_date <= sell_date) WHERE take > 0""",
     "last_balanced_date": _F + """SELECT portfolio_id, ticker_id, CASE WHEN max(execution_date) FILTER (b = 0) < max(execution_date) THEN max(execution_date) FILTER (b = 0) END AS balanced_on, CAST(sum(net) AS BIGINT) AS net_shares
 FROM (SELECT *, sum(net) OVER (PARTITION BY portfolio_id, ticker_id ORDER BY execution_date) AS b FROM (
   SELECT portfolio_id, ticker_id, execution_date, sum(CASE WHEN kind = 'BuyExecution' THEN shares ELSE -shares END) AS net FROM v_facts GROUP BY 1, 2, 3)) GROUP BY 1, 2""",

@@ -31,10 +31,9 @@ def _decisions(s, d):
 
 
 def _moving(s, d):
-    """A twentieth of the sales, so that groups are many; each trade numbered 1 of 100 moves."""
-    a = S.allocations(s, d).filter("sell_group_id % 20 = 3")
-    req = S.trades(s, d).filter("trade_id % 100 = 1").select("trade_id", (F.col("trade_id") % 5).alias("target"))
-    return R.moves(S.trades(s, d), a, req)
+    """Every trade asks for a portfolio; of a group the smallest trade's request counts."""
+    req = S.trades(s, d).select("trade_id", (F.col("trade_id") % 5).alias("target"))
+    return R.moves(S.trades(s, d), S.allocations(s, d), req)
 
 
 def _ops(s, d):
@@ -46,7 +45,7 @@ def _ops(s, d):
 def _pending(s, d):
     p = S.table(s, d, "part")
     pending = p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.when(F.col("p_partkey") % 5 == 0, "verified").otherwise("needs-confirmation").alias("status"), F.col("p_size").cast("double").alias("shares"), F.col("p_retailprice").alias("price"), F.lit(None).cast("string").alias("number"))
-    li = S.table(s, d, "lineitem").filter("l_linenumber = 7")
+    li = S.table(s, d, "lineitem")
     conf = li.select(F.col("l_partkey").alias("id"), F.struct("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("ord"), F.col("l_quantity").alias("c_shares"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("c_price"), F.when(F.col("l_orderkey") % 2 == 0, F.col("l_orderkey").cast("string")).alias("c_number"))
     sold = p.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 2).alias("sell_group_id"))
     return R.pending_states(pending, conf, sold)
@@ -101,8 +100,8 @@ ft AS (SELECT DISTINCT sell_id, lot_id, CASE WHEN shares <= 0 THEN 'shares must
 fa AS (SELECT * FROM ft WHERE fault IS NOT NULL)"""
 _L = with_(TRADES, ALLOCATIONS, LOTS, _REQ)
 _MOVE = with_(TRADES, ALLOCATIONS).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
-aa AS (SELECT a.* FROM v_allocations a WHERE sell_group_id % 20 = 3), li AS (SELECT DISTINCT x.trade_id AS a, y.trade_id AS b FROM aa x JOIN aa y USING (portfolio_id, sell_group_id) WHERE x.trade_id <> y.trade_id),
-rc(seed, node) AS (SELECT trade_id, trade_id FROM v_trades WHERE trade_id % 100 = 1 UNION SELECT seed, b FROM rc JOIN li ON a = node),
+aa AS (SELECT a.* FROM v_allocations a), li AS (SELECT DISTINCT x.trade_id AS a, y.trade_id AS b FROM aa x JOIN aa y USING (portfolio_id, sell_group_id) WHERE x.trade_id <> y.trade_id),
+rc(seed, node) AS (SELECT trade_id, trade_id FROM v_trades UNION SELECT seed, b FROM rc JOIN li ON a = node),
 mv AS (SELECT node AS trade_id, t.portfolio_id AS source, min(seed) % 5 AS target FROM rc JOIN v_trades t ON t.trade_id = node GROUP BY 1, 2 HAVING source <> target)"""
 _OPS = """op AS (SELECT event_id AS seq, user_id AS portfolio_id, (['set', 'dividend', 'delete-dividend', 'adjust', 'deposit', 'withdrawal', 'split', 'rights-issue', 'other'])[event_id % 9 + 1] AS op, value - CASE WHEN event_id % 19 = 0 THEN 1000 ELSE 0 END AS amount,
   CAST(DATE '2025-12-20' + CAST(event_id % 40 AS INTEGER) AS DATE) AS day FROM events),
@@ -128,7 +127,7 @@ SELECT portfolio_id, CAST(coalesce(CAST(floor(base * 1e6 + 0.5) AS BIGINT), c0,
     "cash_operation_faults": "WITH " + _OPS + """ SELECT op, fault, CASE WHEN fault IS NULL THEN CASE op WHEN 'dividend' THEN 'Dividend' WHEN 'adjust' THEN 'CashAdjustment' WHEN 'deposit' THEN 'Deposit' WHEN 'withdrawal' THEN 'Withdrawal' WHEN 'split' THEN 'Split' WHEN 'rights-issue' THEN 'RightsIssue' END END AS event,
   count(*) AS n, CAST(sum(m) AS BIGINT) AS cash_micros FROM om GROUP BY 1, 2, 3""",
     "pending_executions": """WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, CASE WHEN p_partkey % 5 = 0 THEN 'verified' ELSE 'needs-confirmation' END AS status, CAST(p_size AS DOUBLE) AS shares, p_retailprice AS price FROM part),
-c AS (SELECT l_partkey AS id, count(*) AS k, min(struct_pack(a := l_orderkey, b := l_suppkey, q := l_quantity, e := l_extendedprice)) AS m FROM lineitem WHERE l_linenumber = 7 GROUP BY 1), j AS (SELECT *, status = 'needs-confirmation' AND k IS NOT NULL AS ok, id % 3 = 0 AS sold FROM p LEFT JOIN c USING (id))
+c AS (SELECT l_partkey AS id, count(*) AS k, min(struct_pack(a := l_orderkey, b := l_suppkey, q := l_quantity, e := l_extendedprice)) AS m FROM lineitem GROUP BY 1), j AS (SELECT *, status = 'needs-confirmation' AND k IS NOT NULL AS ok, id % 3 = 0 AS sold FROM p LEFT JOIN c USING (id))
 SELECT id, side, CASE WHEN ok THEN 'verified' ELSE status END AS verification, CASE WHEN (side = 'BUY' AND ok) OR ((ok OR status = 'verified') AND sold) THEN 'executed' ELSE 'pending' END AS execution, CASE WHEN ok THEN m.q ELSE shares END AS shares, CASE WHEN ok THEN m.e / m.q ELSE price END AS price,
   CASE WHEN ok AND m.a % 2 = 0 THEN CAST(m.a AS VARCHAR) END AS number, coalesce(k, 0) > CASE WHEN ok THEN 1 ELSE 0 END AS refused FROM j""",
     "projection_actions": with_(FACTS.replace("v_facts AS (", "v_fine AS (") + """, v_facts AS (

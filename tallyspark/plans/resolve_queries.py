@@ -19,10 +19,9 @@ def _id():
 
 
 def _verifications(s, d):
-    """Units of three in four portfolio tickers, some of them twice."""
-    base = s.range(400).filter("id % 4 <> 3").select((F.col("id") % 10).alias("portfolio_id"), F.floor(F.col("id") / 10).alias("ticker_id"), (F.col("id") * 13 % 900 + 300).alias("units"), F.date_add(F.lit("2001-06-01").cast("date"), (F.col("id") % 300).cast("int")).alias("captured_on"), F.col("id").alias("ord"))
-    again = base.filter("ord % 5 = 0").select("portfolio_id", "ticker_id", (F.col("units") + 7).alias("units"), F.date_add("captured_on", (F.col("ord") % 2).cast("int")).alias("captured_on"), (F.col("ord") + 1000).alias("ord"))
-    return R.latest_verifications(base.unionByName(again))
+    """Each order is a count of its customer's ticker, by its date; some are of one day."""
+    o = S.table(s, d, "orders")
+    return R.latest_verifications(o.select((F.col("o_custkey") % 10).alias("portfolio_id"), (F.col("o_custkey") % 40).alias("ticker_id"), F.floor(F.col("o_totalprice") / 100).cast("bigint").alias("units"), F.trunc("o_orderdate", "month").alias("captured_on"), F.col("o_orderkey").alias("ord")))
 
 
 def _dense(s, d):
@@ -72,8 +71,7 @@ _F, _D = with_(FACTS), with_(DENSE)
 _C = "portfolio_id, ticker_id, kind, execution_date, shares"
 _KEY = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 _P4 = "CAST(floor(price * 10000 + 0.5) AS BIGINT)"
-_V = """vb AS (SELECT id % 10 AS portfolio_id, id // 10 AS ticker_id, id * 13 % 900 + 300 AS units, CAST(DATE '2001-06-01' + CAST(id % 300 AS INTEGER) AS DATE) AS captured_on, id AS ord FROM range(400) x(id) WHERE id % 4 <> 3),
-va AS (SELECT * FROM vb UNION ALL SELECT portfolio_id, ticker_id, units + 7, CAST(captured_on + CAST(ord % 2 AS INTEGER) AS DATE), ord + 1000 FROM vb WHERE ord % 5 = 0),
+_V = """va AS (SELECT o_custkey % 10 AS portfolio_id, o_custkey % 40 AS ticker_id, CAST(floor(o_totalprice / 100) AS BIGINT) AS units, CAST(date_trunc('month', o_orderdate) AS DATE) AS captured_on, o_orderkey AS ord FROM orders),
 vv AS (SELECT portfolio_id, ticker_id, units, captured_on FROM va QUALIFY row_number() OVER (PARTITION BY portfolio_id, ticker_id ORDER BY captured_on DESC, ord) = 1)"""
 _TIME = "nullif(minutes, 0)"
 _READ = f"rd AS (SELECT *, {_KEY} AS id, CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_orderkey % 5 AS VARCHAR) END AS number, row_number() OVER () AS r FROM v_facts)"

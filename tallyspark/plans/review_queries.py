@@ -26,6 +26,19 @@ def _issues(s, d):
     return V.lot_issues(lots, sells, got, "2001-10-15").groupBy("key", "issue").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _manager(s, d, table):
+    """First-in first-out lines; one in seven is recorded twice, and one in eleven goes to the last lot."""
+    f = S.facts(s, d).withColumn("key", F.concat_ws("-", F.col("portfolio_id").cast("string"), F.col("ticker_id").cast("string"))).withColumn("id", _id())
+    side = lambda k: f.filter(F.col("kind") == k).select("key", "id", F.col("execution_date").alias("on"), "minutes", "shares", "price", F.lit(1.5).alias("fees"), F.lit(None).cast("double").alias("taxes"))
+    lots, sells = side("BuyExecution"), side("SellExecution")
+    got = L.fifo_matches(_timeline(s, d), ["portfolio_id", "ticker_id"], _id(), _id()).withColumn("key", F.concat_ws("-", F.col("portfolio_id").cast("string"), F.col("ticker_id").cast("string")))
+    last = lots.groupBy("key").agg(F.max_by("id", F.struct("on", "id")).alias("last_id"))
+    got = got.join(last, "key").select("sell_id", F.when(F.col("matched") % 11 == 0, F.col("last_id")).otherwise(F.col("lot_id")).alias("lot_id"), F.col("matched").alias("shares"), F.explode(F.when(F.col("matched") % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("n"), F.col("lot_id").alias("was"))
+    t = V.lot_manager(lots, sells, got.withColumn("ord", F.concat_ws("|", "was", F.col("n").cast("string"))))[table]
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["id"], x["on"].cast("string"), x["shares"].cast("bigint").cast("string"))), ",").alias(c)
+    return t.select(*[listed(c) if c in ("closed_by", "lines") else F.col(c).cast("bigint").alias(c) if c in ("allocated", "remaining", "net", "bought", "available", "pending") else F.col(c) for c in t.columns])
+
+
 def _rebuild(s, d):
     f = S.dense_facts(s, d)
     return V.rebuild_differences(f.filter("source <> 'manual'"), f.filter("source <> 'csv'"), KEYS)
@@ -48,6 +61,11 @@ def _defaults(s, d):
 
 
 QUERIES = {
+    "lot_statuses": lambda s, d: _manager(s, d, "lots"),
+    "sale_statuses": lambda s, d: _manager(s, d, "sells"),
+    "lot_positions": lambda s, d: _manager(s, d, "positions"),
+    "lot_timeline": lambda s, d: _manager(s, d, "timeline"),
+    "allocation_issues": lambda s, d: _manager(s, d, "issues"),
     "duplicate_trades": _dup_trades,
     "lot_issues": _issues,
     "rebuild_differences": _rebuild,
@@ -62,7 +80,21 @@ QUERIES = {
 
 _C = "portfolio_id, ticker_id, kind, execution_date, shares"
 _DD = with_(DENSE)
+_LM = _M.rstrip() + """, lk AS (SELECT *, concat_ws('-', portfolio_id, ticker_id) AS key FROM run), l_ AS (SELECT * FROM lk WHERE kind = 'BuyExecution'), s_ AS (SELECT * FROM lk WHERE kind = 'SellExecution'),
+m1 AS (SELECT concat_ws('-', portfolio_id, ticker_id) AS key, lot_id, sell_id, sum(m) AS sh FROM mt WHERE m > 0 GROUP BY ALL), la AS (SELECT key, arg_max(id, (execution_date, id)) AS last_id FROM l_ GROUP BY 1),
+al AS (SELECT sell_id, CASE WHEN sh % 11 = 0 THEN last_id ELSE lot_id END AS lot_id, CAST(sh AS BIGINT) AS sh, concat(lot_id, '|', n) AS ord FROM m1 JOIN la USING (key) CROSS JOIN (VALUES (1), (2)) v(n) WHERE n = 1 OR sh % 7 = 0),
+ln AS (SELECT al.*, s.key, s.execution_date AS son, l.execution_date AS lon FROM al JOIN s_ s ON s.id = sell_id JOIN l_ l ON l.id = lot_id),
+lt AS (SELECT l_.*, coalesce(u, 0) AS u, coalesce(n, 0) AS n, coalesce(c, '') AS c FROM l_ LEFT JOIN (SELECT lot_id AS id, sum(sh) AS u, count(*) AS n, string_agg(concat(sell_id, ':', son, ':', sh), ',' ORDER BY ord, sell_id) AS c FROM ln GROUP BY 1) USING (id)),
+st AS (SELECT s_.*, coalesce(u, 0) AS u, coalesce(n, 0) AS n, coalesce(c, '') AS c FROM s_ LEFT JOIN (SELECT sell_id AS id, sum(sh) AS u, count(*) AS n, string_agg(concat(lot_id, ':', lon, ':', sh), ',' ORDER BY ord, lot_id) AS c FROM ln GROUP BY 1) USING (id)),
+po AS (SELECT key, CAST(coalesce(b, 0) AS BIGINT) AS bought, CAST(coalesce(av, 0) AS BIGINT) AS available, CAST(coalesce(al, 0) AS BIGINT) AS allocated, CAST(coalesce(pe, 0) AS BIGINT) AS pending FROM (SELECT key, sum(shares) AS b, sum(shares - u) AS av FROM lt GROUP BY 1) FULL JOIN (SELECT key, sum(shares - u) AS pe, sum(u) AS al FROM st GROUP BY 1) USING (key))
+"""
 ORACLES = {
+    "lot_statuses": _LM + """SELECT key, id, execution_date AS "on", shares, price, CAST(floor((price * shares + 1.5::DOUBLE) * 1e6 + 0.5) AS BIGINT) AS cost_micros, CAST(u AS BIGINT) AS allocated, CAST(shares - u AS BIGINT) AS remaining, CASE WHEN shares <= u THEN 'closed' WHEN u > 0 THEN 'partial' ELSE 'open' END AS status, c AS closed_by FROM lt""",
+    "sale_statuses": _LM + """SELECT key, id, execution_date AS "on", shares, price, CAST(u AS BIGINT) AS allocated, CAST(shares - u AS BIGINT) AS remaining, CASE WHEN shares <= u THEN 'completed' WHEN u > 0 THEN 'partial' ELSE 'pending' END AS status, c AS lines FROM st""",
+    "lot_positions": _LM + "SELECT * FROM po",
+    "lot_timeline": _LM + """SELECT key, id, CASE kind WHEN 'BuyExecution' THEN 'BUY' ELSE 'SELL' END AS type, execution_date AS "on", minutes, shares, price, n AS n_lines, CAST(sum(CASE WHEN kind = 'BuyExecution' THEN shares ELSE -shares END) OVER (PARTITION BY key ORDER BY execution_date, coalesce(minutes, 0), kind, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS net FROM (SELECT * FROM lt UNION ALL SELECT * FROM st)""",
+    "allocation_issues": _LM + """SELECT key, CAST(NULL AS VARCHAR) AS id, id AS lot_id, 'negative-remaining' AS code FROM lt WHERE u > shares UNION ALL SELECT key, id, NULL, 'over-allocation' FROM st WHERE u > shares UNION ALL SELECT key, id, NULL, 'missing-allocation' FROM st WHERE u < shares AND u = 0
+UNION ALL SELECT key, sell_id, lot_id, 'duplicate-allocation' FROM ln GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT DISTINCT key, sell_id, lot_id, 'chronological-violation' FROM ln WHERE lon > son UNION ALL SELECT key, NULL, NULL, 'inventory-mismatch' FROM po WHERE allocated > bought""",
     "duplicate_trades": _DD + f"SELECT {_C}, count(*) AS n, count(*) - greatest(1, count(*) FILTER (l_suppkey % 4 <> 0)) AS n_removable, count(DISTINCT nullif(l_suppkey % 4, 0)) >= 2 AS ambiguous FROM v_facts GROUP BY ALL HAVING count(*) > 1",
     "lot_issues": _M.rstrip() + """, k AS (SELECT *, concat_ws('-', portfolio_id, ticker_id) AS key, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id FROM v_facts),
 b AS (SELECT key, id, sum(shares) AS shares, min(price - 901) AS price, min(execution_date) AS o FROM k WHERE kind = 'BuyExecution' GROUP BY 1, 2), s AS (SELECT key, id, sum(shares) AS shares, min(execution_date) AS o FROM k WHERE kind = 'SellExecution' GROUP BY 1, 2),

@@ -15,14 +15,19 @@ from .oracle import ENTRIES, with_
 _ORDER = ["id", "shares"]
 
 
+def _corroborated(s, d):
+    """Entries with what tickers are judged by; aggregates and orders by rule, as if their kernels had
+    found them."""
+    return V.with_corroboration(S.entries(s, d).withColumn("aggregated", F.col("l_orderkey") % 11 == 0).withColumn("ordered", F.col("l_orderkey") % 7 < 3))
+
+
 def _entries(s, d):
-    """Entries with all signs; aggregates and orders by rule, as if their kernels had found them."""
-    e = S.entries(s, d).withColumn("aggregated", F.col("l_orderkey") % 11 == 0).withColumn("ordered", F.col("l_orderkey") % 7 < 3)
-    return V.with_other_ticker(V.with_duplicates(V.with_corroboration(e), _ORDER))
+    """Entries with all signs."""
+    return V.with_other_ticker(V.with_duplicates(_corroborated(s, d), _ORDER))
 
 
 def _tickers(s, d, session=False):
-    return V.match_tickers(V.ticker_inputs(_entries(s, d), S.existing_shares(s, d), S.counted_units(s, d), session))
+    return V.match_tickers(V.ticker_inputs(_corroborated(s, d), S.existing_shares(s, d), S.counted_units(s, d), session))
 
 
 def _suggestion_rows(s, d):
@@ -39,8 +44,10 @@ def _suggestions(s, d):
 
 
 def _orphans(s, d):
-    """Order evidence that no row explains: fulfilled orders of every fourth part."""
-    o = S.entries(s, d).filter("ticker_id % 4 = 0 AND l_linenumber = 5")
+    """Order evidence that no row explains: the fulfilled orders of order screens whose content and
+    price no row of another kind of source has."""
+    e, keys = S.entries(s, d), [*V.CONTENT, "price"]
+    o = e.filter("source = 'orders-screen'").join(e.filter("source IS NULL OR source <> 'orders-screen'").select(*keys).distinct(), keys, "left_anti")
     return o.groupBy(*V.TICKER).agg(F.count(F.lit(1)).alias("n_orphans"), F.sum("shares").cast("double").alias("orphan_shares"), F.max("execution_date").alias("last_orphan"))
 
 
@@ -95,6 +102,13 @@ def _verified(s, d):
     return V.verify(_entries(s, d), _tickers(s, d)).withColumn("upload_id", F.when(F.col("l_linenumber") != 2, F.col("l_orderkey"))).withColumn("fees", F.col("l_linenumber") * 1.5).withColumn("taxes", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber") * 0.5))
 
 
+def _evidence(s, d):
+    v = _verified(s, d)
+    donors = v.select(F.col("id").alias("other_id"), F.col("source").alias("other_source"))
+    e = V.with_evidence(v.join(donors, "other_id", "left"))
+    return e.select("id", "portfolio_id", "ticker_id", "verdict", F.array_join(F.transform("evidence", lambda x: F.concat_ws("=", x["type"], x["other"])), ",").alias("evidence"))
+
+
 def _edges(s, d):
     return V.evidence_graph(_verified(s, d), _tickers(s, d), _orphans(s, d))[1].groupBy("portfolio_id", "edge").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src").alias("n_src"), F.count_distinct("dst").alias("n_dst"))
 
@@ -122,6 +136,7 @@ QUERIES = {
     "coverage_claims": lambda s, d: V.coverage_claims(_uploads(s, d)),
     "covered_days": _covered,
     "evidence_edges": _edges,
+    "evidence_lists": _evidence,
     "evidence_nodes": lambda s, d: V.evidence_graph(_verified(s, d), _tickers(s, d), _orphans(s, d))[0].groupBy("portfolio_id", "kind", "label").agg(F.count(F.lit(1)).alias("n")),
     "canonical_transactions": lambda s, d: V.canonical_transactions(_verified(s, d)),
     "evidence_intelligence": _intelligence,
@@ -181,7 +196,7 @@ bs AS (SELECT *, CASE WHEN NOT coalesce(ranked, false) THEN 0 WHEN ks <= 0 THEN
 sg AS (SELECT portfolio_id, ticker_id, remove, CAST(k - 1 AS BIGINT) AS alternatives, coalesce(ranked, false) AS ranked FROM (SELECT *, count(*) OVER (PARTITION BY portfolio_id, ticker_id) AS k, row_number() OVER (PARTITION BY portfolio_id, ticker_id ORDER BY bucket, conf, cnt, mask) AS r FROM bs) WHERE r = 1)"""
 _BAL = """bal AS (SELECT portfolio_id, ticker_id, CASE WHEN d < l THEN d END AS balanced_on FROM (SELECT portfolio_id, ticker_id, max(execution_date) FILTER (bb = 0) AS d, max(execution_date) AS l FROM (
   SELECT *, sum(q) OVER (PARTITION BY portfolio_id, ticker_id ORDER BY execution_date ROWS UNBOUNDED PRECEDING) AS bb FROM (SELECT portfolio_id, ticker_id, execution_date, sum(CASE WHEN kind = 'BuyExecution' THEN shares ELSE -shares END) AS q FROM v_entries GROUP BY 1, 2, 3)) GROUP BY 1, 2)),
-orp AS (SELECT portfolio_id, ticker_id, count(*) AS n, CAST(sum(shares) AS DOUBLE) AS osh, max(execution_date) AS od FROM v_entries WHERE ticker_id % 4 = 0 AND l_linenumber = 5 GROUP BY 1, 2),
+orp AS (SELECT portfolio_id, ticker_id, count(*) AS n, CAST(sum(shares) AS DOUBLE) AS osh, max(execution_date) AS od FROM v_entries o WHERE source = 'orders-screen' AND NOT EXISTS (SELECT 1 FROM v_entries x WHERE x.source IS DISTINCT FROM 'orders-screen' AND (x.portfolio_id, x.ticker_id, x.kind, x.execution_date, x.shares, x.price) = (o.portfolio_id, o.ticker_id, o.kind, o.execution_date, o.shares, o.price)) GROUP BY 1, 2),
 cj AS (SELECT tm.*, coalesce(n, 0) AS n, osh, od, balanced_on AS bd, ticker_id % 8 < 3 AS orders, ticker_id % 16 = 4 AS dc, abs(net) >= 1e-6 AS is_open, abs(net - coalesce(units, 0.0)) AS gap, existing + buy + sell AS vol,
   CASE WHEN reason = 'matched' THEN 'Verified' WHEN reason IN ('invoice-verified', 'broker-excel-verified', 'cross-verified', 'orders-verified') THEN 'Complete' WHEN reason = 'no-shares-to-verify' THEN 'Unknown' ELSE 'Incomplete' END AS class
   FROM tm LEFT JOIN orp USING (portfolio_id, ticker_id) LEFT JOIN bal USING (portfolio_id, ticker_id)),
@@ -220,6 +235,9 @@ FROM tm LEFT JOIN sg USING (portfolio_id, ticker_id) LEFT JOIN orp USING (portfo
   CASE WHEN source = 'invoice' THEN 'exact-execution' WHEN source = 'position-verification' THEN 'current-holdings' WHEN source IN ('orders-screen', 'official-broker-excel') THEN 'ticker-history' ELSE 'date-range' END AS claim, ticker_id, f AS first_day, l AS last_day FROM cc""",
     "covered_days": with_(ENTRIES, _UP) + """SELECT portfolio_id, ticker_id, day, EXISTS (SELECT 1 FROM cc WHERE cc.portfolio_id = p.portfolio_id AND source IN ('orders-timeline', 'statement', 'csv') AND up % 40 = 4 AND day BETWEEN f AND l) AS covered
 FROM (SELECT DISTINCT portfolio_id, ticker_id, CAST(execution_date + INTERVAL 3 MONTH AS DATE) AS day FROM v_entries) p""",
+    "evidence_lists": _T.rstrip() + ",\n" + _VD + """ SELECT vd.id, vd.portfolio_id, vd.ticker_id, verdict, concat_ws(',', CASE WHEN u AND NOT c THEN 'matched-ledger' END, CASE WHEN dn.source IS NOT NULL THEN concat('matched-', dn.source, '=', oid) END, CASE WHEN ag THEN 'matched-statement-aggregate' END, CASE WHEN od THEN 'matched-order' END,
+  CASE WHEN tm.matched THEN concat('matched-position=', tm.reason) ELSE concat('contradicted-position-mismatch=', tm.reason) END, CASE WHEN t IS NOT NULL THEN concat('contradicted-wrong-ticker=', t) END) AS evidence
+FROM vd JOIN tm USING (portfolio_id, ticker_id) LEFT JOIN v_entries dn ON dn.id = oid""",
     "evidence_edges": _T.rstrip() + ",\n" + _VD + ",\n" + _BAL + """,
 ed AS (SELECT portfolio_id, 'sourced-from' AS edge, concat('row:', id) AS src, concat('document:', up) AS dst FROM vd WHERE up IS NOT NULL UNION ALL SELECT portfolio_id, 'corroborates', concat('row:', id), concat('row:', oid) FROM vd WHERE oid IS NOT NULL
   UNION ALL SELECT portfolio_id, 'reconciles-against', concat('row:', id), concat('ticker:', portfolio_id, ':', ticker_id) FROM vd UNION ALL SELECT portfolio_id, 'missing', concat('ticker:', portfolio_id, ':', ticker_id), concat('ticker:', portfolio_id, ':', ticker_id) FROM (SELECT *, unnest(range(n)) FROM orp))
