@@ -44,7 +44,7 @@ cash AS (SELECT p AS portfolio_id, (p + 1) * 5000000000000 AS cash FROM range(7)
 
 
 LEDGER = FACTS + """, v_lines AS (
-SELECT concat_ws('-', 'x', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_orderkey AS seq, kind, source, concat('T', ticker_id) AS ticker, portfolio_id, execution_date, minutes, shares, price, confidence FROM v_facts),
+SELECT concat_ws('-', 'x', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS id, l_orderkey AS seq, kind, source, concat('T', ticker_id) AS ticker, portfolio_id, execution_date, minutes, shares, price, confidence FROM v_facts),
 v_orders AS (SELECT seq, min(id) AS first_id, min(id) FILTER (kind = 'SellExecution') AS sell_id, arg_min(portfolio_id, id) FILTER (kind = 'SellExecution') AS sell_portfolio, arg_min(ticker, id) FILTER (kind = 'SellExecution') AS sell_ticker,
   list({'lot_ref': id, 'shares': shares} ORDER BY id) FILTER (kind = 'BuyExecution') AS lots FROM v_lines GROUP BY 1),
 v_control AS (SELECT concat('c-', seq) AS id, seq, kind, CASE WHEN kind = 'SellAllocationDecision' THEN sell_portfolio END AS portfolio_id, CASE WHEN kind = 'SellAllocationDecision' THEN sell_ticker END AS ticker,

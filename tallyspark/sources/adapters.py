@@ -140,7 +140,7 @@ def ledger_facts(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataF
     buys."""
     grid = dense_facts(spark, sf_dir).withColumn("price", F.floor(F.col("price") / 250) * 250.0) if dense else facts(spark, sf_dir)
     lines = grid.select(
-        F.concat_ws("-", F.lit("x"), *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("id"), F.col("l_orderkey").alias("seq"), "kind", "source",
+        F.concat_ws("-", F.lit("x"), *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], half_up(F.col("l_extendedprice") * 100).cast("string")).alias("id"), F.col("l_orderkey").alias("seq"), "kind", "source",
         F.concat(F.lit("T"), F.col("ticker_id").cast("string")).alias("ticker"), "portfolio_id", "execution_date", "minutes", "shares", "price", "confidence",
     )
     sale = F.when(F.col("kind") == "SellExecution", F.col("id"))
