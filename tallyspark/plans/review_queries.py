@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.exprs import half_up
 from ..operators import ledger as L
 from ..operators import review as V
 from ..sources import adapters as S
@@ -26,12 +27,17 @@ def _issues(s, d):
     return V.lot_issues(lots, sells, got, "2001-10-15").groupBy("key", "issue").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _row():
+    """An id that stays unique on all tables."""
+    return F.concat_ws("-", _id(), half_up(F.col("l_extendedprice") * 100).cast("string"))
+
+
 def _manager(s, d, table):
     """First-in first-out lines; one in seven is recorded twice, and one in eleven goes to the last lot."""
-    f = S.facts(s, d).withColumn("key", F.concat_ws("-", F.col("portfolio_id").cast("string"), F.col("ticker_id").cast("string"))).withColumn("id", _id())
+    f = S.facts(s, d).withColumn("key", F.concat_ws("-", F.col("portfolio_id").cast("string"), F.col("ticker_id").cast("string"))).withColumn("id", _row())
     side = lambda k: f.filter(F.col("kind") == k).select("key", "id", F.col("execution_date").alias("on"), "minutes", "shares", "price", F.lit(1.5).alias("fees"), F.lit(None).cast("double").alias("taxes"))
     lots, sells = side("BuyExecution"), side("SellExecution")
-    got = L.fifo_matches(_timeline(s, d), ["portfolio_id", "ticker_id"], _id(), _id()).withColumn("key", F.concat_ws("-", F.col("portfolio_id").cast("string"), F.col("ticker_id").cast("string")))
+    got = L.fifo_matches(_timeline(s, d), ["portfolio_id", "ticker_id"], _row(), _row()).withColumn("key", F.concat_ws("-", F.col("portfolio_id").cast("string"), F.col("ticker_id").cast("string")))
     last = lots.groupBy("key").agg(F.max_by("id", F.struct("on", "id")).alias("last_id"))
     got = got.join(last, "key").select("sell_id", F.when(F.col("matched") % 11 == 0, F.col("last_id")).otherwise(F.col("lot_id")).alias("lot_id"), F.col("matched").alias("shares"), F.explode(F.when(F.col("matched") % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("n"), F.col("lot_id").alias("was"))
     t = V.lot_manager(lots, sells, got.withColumn("ord", F.concat_ws("|", "was", F.col("n").cast("string"))))[table]
@@ -80,7 +86,7 @@ QUERIES = {
 
 _C = "portfolio_id, ticker_id, kind, execution_date, shares"
 _DD = with_(DENSE)
-_LM = _M.rstrip() + """, lk AS (SELECT *, concat_ws('-', portfolio_id, ticker_id) AS key FROM run), l_ AS (SELECT * FROM lk WHERE kind = 'BuyExecution'), s_ AS (SELECT * FROM lk WHERE kind = 'SellExecution'),
+_LM = _M.rstrip().replace("l_suppkey) AS id", "l_suppkey, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS id") + """, lk AS (SELECT *, concat_ws('-', portfolio_id, ticker_id) AS key FROM run), l_ AS (SELECT * FROM lk WHERE kind = 'BuyExecution'), s_ AS (SELECT * FROM lk WHERE kind = 'SellExecution'),
 m1 AS (SELECT concat_ws('-', portfolio_id, ticker_id) AS key, lot_id, sell_id, sum(m) AS sh FROM mt WHERE m > 0 GROUP BY ALL), la AS (SELECT key, arg_max(id, (execution_date, id)) AS last_id FROM l_ GROUP BY 1),
 al AS (SELECT sell_id, CASE WHEN sh % 11 = 0 THEN last_id ELSE lot_id END AS lot_id, CAST(sh AS BIGINT) AS sh, concat(lot_id, '|', n) AS ord FROM m1 JOIN la USING (key) CROSS JOIN (VALUES (1), (2)) v(n) WHERE n = 1 OR sh % 7 = 0),
 ln AS (SELECT al.*, s.key, s.execution_date AS son, l.execution_date AS lon FROM al JOIN s_ s ON s.id = sell_id JOIN l_ l ON l.id = lot_id),
