@@ -19,6 +19,11 @@ def _month(day):
     return F.element_at(F.array(*map(F.lit, _MONTHS)), F.month(day))
 
 
+def _parts(s, d):
+    """Parts, dealt out over all tasks: their file is small, so one task would read all documents."""
+    return _t(s, d, "part").repartition("p_partkey")
+
+
 def _words(day):
     """5 Mar 1998"""
     return F.concat_ws(" ", F.dayofmonth(day).cast("string"), _month(day), F.year(day).cast("string"))
@@ -61,7 +66,7 @@ def _names(s, d):
 
 
 def _invoice_docs(s, d):
-    p = _t(s, d, "part")
+    p = _parts(s, d)
     text = F.format_string(
         "Tax Invoice %s Security Name Symbol Code Transaction Type Average Cost %s EGS%06dC01 %s %,.2f EGP Total Quantity Average Price Total Cost %,d %s EGP %,.2f EGP Total Fees %,.2f EGP Transaction No. ref %s",
         F.format_string("%02d-%02d-2026", (F.col("p_partkey") % 28 + 1).cast("int"), (F.col("p_partkey") % 12 + 1).cast("int")), F.col("p_name"), F.col("p_partkey").cast("int"), F.when(F.col("p_partkey") % 3 == 0, "Sell").otherwise("Buy"), F.col("p_retailprice"),
@@ -101,13 +106,13 @@ def _transactions(s, d):
 
 
 def _details(s, d):
-    p = _t(s, d, "part")
+    p = _parts(s, d)
     text = F.format_string("%s Order Details Order State: %s Order Type: Market %s Price EGP %,.2f Quantity: %d shares Expiry Type Day", F.upper("p_name"), F.when(F.col("p_partkey") % 5 == 0, "Cancelled").when(F.col("p_partkey") % 5 == 1, "Pending").otherwise("Fulfilled"), F.when(F.col("p_partkey") % 3 == 0, "Sell").otherwise("Buy"), F.col("p_retailprice"), F.col("p_size").cast("int"))
     return D.order_details(p.select(F.col("p_partkey").alias("doc_id"), text.alias("text")), _dictionary(s, d)).withColumn("total", F.floor(F.col("total") * 100 + 0.5).cast("bigint"))
 
 
 def _position_docs(s, d):
-    p = _t(s, d, "part")
+    p = _parts(s, d)
     value = F.col("p_retailprice") * F.col("p_size") * F.when(F.col("p_partkey") % 4 == 0, 2).otherwise(1)
     paid = F.transform(F.sequence(F.lit(1), (F.col("p_partkey") % 3 + 1).cast("int")), lambda i: F.format_string("%d Mar 20%d EGP %,.2f", i, (F.lit(20) + i).cast("int"), (F.col("p_size") * i).cast("double")))
     text = F.format_string("%s My Current Position Units Average Cost Purchase Value %s %,.2f %,.2f Earned Cash Dividends %s", F.upper("p_name"), F.translate(F.col("p_size").cast("string"), "0", "O"), F.col("p_retailprice"), value, F.array_join(paid, " "))
