@@ -16,8 +16,9 @@ Two documents link when their sets of distinct 5-word shingles have a Jaccard si
    cost.
 5. The multi-match join: classes of different components that share as many prefix tokens as
    a link needs are candidates. Tokens that one component alone holds (nearly
-   all, those of large families too) drop out of an aggregate before anything is paired, and
-   within a token the largest component is paired only against the others. No link between
+   all, those of large families too) drop out of an aggregate before anything is paired, of
+   tokens held by the same classes all but the first do, and within a token the largest component
+   is paired only against the others. Pairs are made where they first meet, not on each token. No link between
    different components is lost; those within one can't change a component.
 6. Candidates are verified on whole sets, and the components joined.
 
@@ -34,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import durable, id_text, over_texts, slices, table, tidy
@@ -48,6 +49,7 @@ FAN = 256
 MOST_MATCHES, VERIFY = 8, 4.0  # largest l; cost of a verification, in list entries
 MINIMA = [0x9E3779B97F4A7C15 * k % 2**64 for k in range(1, 7)]
 STAR_MINIMA = 3  # shared ones before a star link is verified
+BEFORE = 4  # tokens before one, of which none may be shared where a pair is made
 #: Log of the bits of the broadcast bitmaps: 8 to 16 a key, within these bounds (1 to 8 MB).
 FILTER_BITS = 23, 26
 
@@ -198,26 +200,38 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return durable(labels.join(m, "comp", "left").select("rep", "row", "sig", F.coalesce("final", "comp").alias("comp")), "labels")
 
 
-def cross_pairs(signed: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b, ca, cb): candidates between classes of different components.
+def meetings(signed: DataFrame, labels: DataFrame) -> DataFrame:
+    """(ra, rb, ca, cb): classes of different components that meet on a prefix token, nearly always once.
 
-    The first token that two linked documents share is among the first n - ceil(6n/7) + 1 of
-    the shorter one, since the overlap is 6/7 of its size at least, and in the other's prefix.
-    Of equal sizes either may count as the shorter: the one with more rare tokens does, which
-    has fewer frequent ones among its first. Pairs are made where that holds; their whole prefixes must then share what a link needs.
+    Of all tokens that two linked documents share the first in the order is in both prefixes. From
+    there on each of them has the whole overlap, at least ceil(3/7 (na + nb)) tokens, so it is among
+    the first n - ceil(6n/7) + 1 of the shorter one, and as many tokens of its prefix that span
+    components as a link needs. Pairs are made on tokens where that holds, and not where they share
+    one of the ``BEFORE`` tokens before: there they have met. Of tokens with the same
+    documents the first tells as much as all.
     """
-    own = signed.select("row", "n", "l", "rare", "prefix").join(labels.select("row", "rep", "comp"), "row")
-    t = own.select(F.posexplode("prefix").alias("pos", "token"), "rep", "n", "l", "rare", "comp").withColumn("early", F.expr(f"pos <= n - ceil({2 * PERCENT} * n / {100 + PERCENT})")).drop("pos")
+    own = signed.select("row", "n", "l", "prefix").join(labels.select("row", "rep", "comp"), "row")
+    t = own.select(F.posexplode("prefix").alias("pos", "token"), "rep", "n", "l", "comp").withColumn("early", F.expr(f"pos <= n - ceil({2 * PERCENT} * n / {100 + PERCENT})"))
     spanning = durable(t.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("early").alias("any")).filter("lo <> hi").select("token", "any"), "spanning")
-    some = maybe_in(t, "token", spanning, "token")
+    some = maybe_in(t.drop("early"), "token", spanning, "token")
     x = durable(some.join(spanning, "token"), "tokens")
-    main = x.filter("any").groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    # no more of a prefix can be shared than its tokens that span components
-    shared = x.groupBy("rep", "n", "l").agg(F.count(F.lit(1)).alias("s"))
-    x = durable(x.join(durable(main, "main"), "token").join(durable(shared, "shared"), ["rep", "n", "l"]).filter("any"), "tokens")
-    side = lambda s: x.select("token", "main", *[F.col(c).alias(d + s) for c, d in (("rep", "r"), ("n", "n"), ("l", "l"), ("comp", "c"), ("early", "e"), ("s", "s"), ("rare", "x"))])
+    main = x.filter("any").groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"), F.expr("bit_xor(xxhash64(rep))").alias("h1"), F.expr("bit_xor(xxhash64(rep, 1))").alias("h2"), F.min(F.struct("rep", "pos")).alias("at"))
+    main = main.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("k"), F.expr("bit_xor(h1)").alias("h1"), F.expr("bit_xor(h2)").alias("h2"), F.min("at").alias("at"))
+    kept = durable(main.groupBy("k", "h1", "h2").agg(F.min_by(F.struct("token", "main"), "at").alias("f")).select("f.*"), "kept")
+    # no more of a prefix can be shared from a token on than its tokens that span components
+    by = Window.partitionBy("rep").orderBy("pos")
+    x = x.join(kept, "token", "left").withColumn("w", F.count(F.lit(1)).over(Window.partitionBy("rep")) - F.row_number().over(by) + 1).filter("main IS NOT NULL")
+    x = durable(x.withColumn("before", F.collect_list("token").over(by.rowsBetween(-BEFORE, -1))).drop("any"), "tokens")
+    side = lambda s: x.select("token", "main", *[F.col(c).alias(d + s) for c, d in (("rep", "r"), ("n", "n"), ("l", "l"), ("comp", "c"), ("pos", "p"), ("w", "w"), ("before", "b"))])
     # the documents of the token's largest component meet the others only, never one another
-    p = side("a").filter("ca <> main").join(side("b").drop("main"), "token").filter(f"ca <> cb AND (cb = main OR ra < rb) AND {SIMILAR_SIZES} AND CASE WHEN struct(na, -xa, ra) < struct(nb, -xb, rb) THEN ea ELSE eb END AND least(sa, sb) >= {NEED}")
+    p = side("a").filter("ca <> main").join(side("b").drop("main"), "token").filter(f"ca <> cb AND (cb = main OR ra < rb) AND {SIMILAR_SIZES} AND least(na - pa, nb - pb) >= ceil({PERCENT} * (na + nb) / {100 + PERCENT}) AND least(wa, wb) >= {NEED} AND NOT arrays_overlap(ba, bb)")
+    return p.select("ra", "rb", "ca", "cb")
+
+
+def cross_pairs(signed: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, ca, cb): candidates between classes of different components: those that meet, and
+    whose whole prefixes share what a link needs."""
+    p = meetings(signed, labels)
     lo = F.col("ra") < F.col("rb")
     pick = lambda c: (F.when(lo, F.col(c + "a")).otherwise(F.col(c + "b")), F.when(lo, F.col(c + "b")).otherwise(F.col(c + "a")))
     (ra, rb), (ca, cb) = pick("r"), pick("c")

@@ -78,3 +78,19 @@ def test_components_of_a_chain(spark):
     links = [(i, i + 1) for i in range(100)] + [(500, 700), (600, 700)]
     got = dict(graph.components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {i: 0 for i in range(101)} | {500: 500, 600: 500, 700: 500}
+
+
+def test_pairs_meet_about_once(spark):
+    """Documents that share most tokens but don't link are no pair on each of these tokens."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(60):  # a word in forty is new, so two share some 78 % of their shingles; links are few
+        rows.append((i, " ".join(f"Z{r.randrange(10**9)}" if r.random() < 0.028 else w for w in base)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = near_dup.signatures(d, near_dup.frequency_sketch(d)).withColumnRenamed("doc_id", "row").cache()
+    labels = signed.selectExpr("row", "row AS rep", "row AS comp")
+    met = near_dup.meetings(signed, labels)
+    n, pairs = met.count(), met.selectExpr("least(ra, rb)", "greatest(ra, rb)").distinct().count()
+    assert 0 < pairs and n <= 3 * pairs
+    assert run(spark, rows) == brute(rows)
