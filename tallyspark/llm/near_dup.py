@@ -32,7 +32,6 @@ import hashlib
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -71,13 +70,16 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
     def numbers(raw: bytes) -> np.ndarray:
         return np.frombuffer(raw, np.uint32 if len(raw) == 4 * (1 << BITS) // BLOCKS else np.int64).astype(np.int64)
 
-    def add(pdf):
-        return pd.DataFrame({"part": pdf["part"][:1], "block": pdf["block"][:1], "counts": [sum(map(numbers, pdf["counts"]), np.zeros((1 << BITS) // BLOCKS, np.int64)).tobytes()]})
+    def add(group):
+        total = np.zeros((1 << BITS) // BLOCKS, np.int64)
+        for raw in group.column("counts"):
+            total += numbers(raw.as_py())
+        return pa.table({"part": group.column("part")[:1], "block": group.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     schema = "part long, block int, counts binary"
     n, level = docs.rdd.getNumPartitions(), docs.mapInArrow(tidy(count), schema)
     while n > 1:
-        level = level.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part", "block").applyInPandas(add, schema)
+        level = level.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part", "block").applyInArrow(add, schema)
         n = -(-n // FAN)
     out = np.zeros((BLOCKS, (1 << BITS) // BLOCKS), np.int64)
     for r in level.collect():  # BLOCKS rows
