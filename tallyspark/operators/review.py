@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import authority, half_up
+from ..scratch import durable
 from .ledger import SHARE, micro_shares
 
 TRACKING_START = "2026-01-01"
@@ -123,7 +124,8 @@ def lot_manager(lots: DataFrame, sells: DataFrame, allocated: DataFrame) -> dict
     lots, sells = (x.withColumn("m", m(x)) for x in (lots, sells))
     lines = allocated.withColumn("lm", m(allocated))
     lines = lines.join(sells.select(F.col("id").alias("sell_id"), F.col("on").alias("sell_on"), F.col("key").alias("sell_key")), "sell_id", "left")
-    lines = lines.join(lots.select(F.col("id").alias("lot_id"), F.col("on").alias("lot_on")), "lot_id", "left")
+    # what allocates may be a whole match of lots and sales: it is made once, whatever tables look at it
+    lines = durable(lines.join(lots.select(F.col("id").alias("lot_id"), F.col("on").alias("lot_on")), "lot_id", "left"), "lines")
 
     def of(side: str, other: str) -> DataFrame:
         line = F.struct("ord", F.col(f"{other}_id").alias("id"), F.col(f"{other}_on").alias("on"), back("lm").alias("shares"))
