@@ -32,3 +32,19 @@ def test_rows_of_a_price_are_never_paired(spark):
     assert df.groupBy("other").count().orderBy("other").collect() == [(0, 19999), (1, 1)]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1  # the rows meet one row a price, and nothing else
+
+
+def test_only_prices_near_another_ticker_are_looked_at(spark):
+    """Of a key's prices those count that have two tickers within reach; rows of the others meet nothing."""
+    rng, keys = random.Random(4), ["portfolio_id", "kind", "execution_date", "shares"]
+    prices = [0.0, -1.0, 9.0, 10.0, 0.9, 1.0, *(round(rng.uniform(1, 500), 2) for _ in range(40))]
+    rows = [(f"{i:04d}", rng.randrange(3), rng.randrange(3), "BuyExecution", dt.date(2026, 1, 5), rng.choice((10, 20)), rng.choice(prices), rng.choice(("low", "high"))) for i in range(150)]
+    rows += [("x", 1, None, "BuyExecution", dt.date(2026, 1, 5), 10, 9.0, "low"), ("y", 1, 1, "BuyExecution", dt.date(2026, 1, 5), 10, None, "low")]
+    facts = spark.createDataFrame(rows, ROW)
+    full = [r for r in rows if None not in (r[2], r[6])]
+    near = lambda r: [o for o in full if (r[1], r[5]) == (o[1], o[5]) and r[2] != o[2] and within(r[6], o[6])]
+    got = {(x.portfolio_id, x.shares, x.price) for x in R._mixed_prices(facts, keys, 0.1).collect()}
+    want = {(r[1], r[5], r[6]) for r in full if near(r)}
+    assert want <= got and all(p <= 0 for _, _, p in got - want) and len(got) < len({(r[1], r[5], r[6]) for r in full})
+    found = {x.id: x.suggested_ticker for x in R.wrong_tickers(facts, F.col("id")).collect()}
+    assert found == {r[0]: min(near(r))[2] for r in full if r[7] != "high" and near(r)}
