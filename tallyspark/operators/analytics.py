@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clamp, from_micros, half_up, money_div, ratio_pct, round_to, to_micros
+from ..scratch import durable
 
 
 def unit_cost() -> Column:
@@ -193,17 +194,22 @@ def dashboard_totals(rollup: DataFrame, cash: DataFrame, returns: DataFrame) ->
     """One row over all portfolios: sums, return weighted by assets, mean deployment, and the best
     and worst portfolio by total return (ties: the smallest id).
 
+    Sums are whole whatever their size: 64-bit integers, and decimals where one of them passes those.
     ``returns``: portfolio_id, total_pct, deployment.
     """
     j = rollup.join(cash, "portfolio_id", "left").join(returns, "portfolio_id", "left").fillna(0, ["cash_micros"]).fillna(0.0, ["total_pct", "deployment"])
     assets = F.col("value_micros") + F.col("cash_micros")
     pct = to_micros("total_pct")
     money = ["cash_micros", "value_micros", "cost_micros", "realized_micros", "unrealized_micros", "dividend_micros"]
+    wide = lambda x: F.sum(x.cast("decimal(20,0)"))
     g = j.agg(
-        *[F.sum(c).alias(c) for c in money], F.sum(assets).alias("assets_micros"), F.sum(pct.cast("decimal(19,0)") * assets.cast("decimal(19,0)")).cast("double").alias("weighted"), (F.sum(to_micros("deployment")) / F.count(F.lit(1))).alias("deployed"),
+        *[wide(F.col(c)).alias(c) for c in money], wide(assets).alias("assets_micros"), F.sum(pct.cast("decimal(19,0)") * assets.cast("decimal(19,0)")).cast("double").alias("weighted"), (F.sum(to_micros("deployment")) / F.count(F.lit(1))).alias("deployed"),
         F.min_by("portfolio_id", F.struct(-pct, F.col("portfolio_id"))).alias("best"), F.min_by("portfolio_id", F.struct(pct, F.col("portfolio_id"))).alias("worst"),
     )
-    weighted = F.when(F.col("assets_micros") > 0, F.col("weighted") / F.when(F.col("assets_micros") > 0, F.col("assets_micros")) / 1e6).otherwise(F.lit(0.0))
+    g = durable(g, "totals")  # one row, whose sums tell their type
+    if g.filter(F.greatest(*[F.abs(c) for c in money]) > F.lit(2**63 - 1)).isEmpty():
+        g = g.withColumns({c: F.col(c).cast("bigint") for c in money})
+    weighted = F.when(F.col("assets_micros") > 0, F.col("weighted") / F.when(F.col("assets_micros") > 0, F.col("assets_micros").cast("double")) / 1e6).otherwise(F.lit(0.0))
     return g.select(*money, round_to(weighted, 4).alias("weighted_return"), round_to(F.col("deployed") / 1e6, 4).alias("mean_deployment"), "best", "worst")
 
 

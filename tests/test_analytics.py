@@ -117,3 +117,17 @@ def test_last_journal_entry_has_the_tags(spark):
     j = spark.createDataFrame([("t", 1, ["early"]), ("t", 2, ["late", "swing"])], "trade_id string, ord int, tags array<string>")
     got = {r["tag"]: (r["n_trades"], r["n_allocations"], r["ord"]) for r in A.strategy_attribution(t, A.realized(a, t), j).collect()}
     assert got == {"swing": (2, 1, 2), "late": (1, 1, 1)}
+
+
+def test_totals_beyond_64_bits_are_whole(spark):
+    """Each portfolio's value fits a 64-bit integer, and their sum doesn't; smaller sums stay 64-bit integers."""
+    rollup = lambda v: spark.createDataFrame([(i, v + i, v, 7, -3, 1) for i in range(3)], "portfolio_id long, value_micros long, cost_micros long, unrealized_micros long, realized_micros long, dividend_micros long")
+    cash = spark.createDataFrame([(0, 5), (1, 6)], "portfolio_id long, cash_micros long")
+    returns = spark.createDataFrame([(0, 10.0, 50.0), (1, 20.0, 60.0), (2, 30.0, 70.0)], "portfolio_id long, total_pct double, deployment double")
+    big, small = 8 * 10**18, 10**15
+    for v, kind in ((big, "decimal"), (small, "long")):
+        t = A.dashboard_totals(rollup(v), cash, returns)
+        assert {t.schema[c].dataType.typeName() for c in ("cash_micros", "value_micros", "cost_micros", "realized_micros")} == {kind}
+        x = t.collect()[0]
+        assert (int(x.value_micros), int(x.cost_micros), int(x.cash_micros), int(x.realized_micros)) == (3 * v + 3, 3 * v, 11, -9)
+        assert (x.weighted_return, x.mean_deployment, x.best, x.worst) == (20.0, 60.0, 2, 0)
